@@ -3,20 +3,57 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridproof.llm import quality_crf
+
+    docs = table(spark, sf_dir, "documents")
+    return quality_crf.judge(docs, quality_crf.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridproof.llm import token_counts
+
+    vocabulary = token_counts.Vocabulary.from_sentencepiece(token_counts.DEFAULT_MODEL)
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary)
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridproof.llm.ngram_join import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridproof.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        F.expr("aggregate(spans, 0L, (n, x) -> n + x.stop - x.start)").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridproof.llm.maxent_lm import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op3_token_counts": op3_token_counts,
     "op6_ngram_join": op6_ngram_join,
+    "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_lm_scoring": op8_lm_scoring,
 }
 
 ORACLE_SQL: dict[str, str] = {}
