@@ -8,10 +8,11 @@ documents of n and m shingles that link must meet within the first
 first block gives every candidate pair, and the second block, the rest of
 the columns, is accumulated for pairs whose size-derived bounds still allow a
 link: ``5 min(n, m) >= 4 max(n, m)``, at least ``0.8 n`` columns that any other
-row has, and enough columns left after the place where the two rows meet.
+row has, and ``4 (n + m) / 9`` such columns before and after the place where the
+two rows meet.
 
 Rows of equal sets are one row (a copy links with its class).  Within a column
-every row is first multiplied with one pivot row only; pairs of rows that this
+every row is first multiplied with one pivot row only, the most central one; pairs of rows that this
 already brought into one component need no product, all others are multiplied
 in a second round.  So a column that a third of all documents hold costs work
 in proportion to its rows, and no link between components is lost.
@@ -29,8 +30,9 @@ from gridproof.llm import textops
 from gridproof.llm.components import connected
 
 #: Row classes of each pack.  shingles and first are null for a row that can't link with another class.
-ROWS = "doc_id long, n_shingles long, sig binary, shingles array<long>, first array<long>, whole binary"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary()), ("shingles", pa.list_(pa.int64())), ("first", pa.list_(pa.int64())), ("whole", pa.binary())])
+#: met: how many columns any other row has; central: their mean frequency level.
+ROWS = "doc_id long, n_shingles long, sig binary, met long, central double, shingles array<long>, first array<long>"
+_ARROW = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary()), ("met", pa.int64()), ("central", pa.float64()), ("shingles", pa.list_(pa.int64())), ("first", pa.list_(pa.int64()))])
 
 
 def _sets(pack: pk.Pack, width: int):
@@ -81,17 +83,18 @@ def incidence(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         met = np.concatenate([[0], np.cumsum(level > 0)])
         for d in range(len(at) - 1):
             n = int(at[d + 1] - at[d])
-            row = {"doc_id": pack.ids[d], "n_shingles": n, "sig": sigs[d].tobytes(), "shingles": None, "first": None}
+            row = {"doc_id": pack.ids[d], "n_shingles": n, "sig": sigs[d].tobytes(), "met": None, "central": None, "shingles": None, "first": None}
             if first[d] and 100 * (met[at[d + 1]] - met[at[d]]) >= percent * n:
                 s, v = g[at[d] : at[d + 1]], level[at[d] : at[d + 1]]
                 order = np.lexsort((s, v))
                 head = order[: n - (percent * n + 99) // 100 + 1]
                 # a column that no other row has takes its place in the order but can't be met
+                row |= {"met": int((v > 0).sum()), "central": float(v.mean())}
                 row |= {"shingles": s[order].view(np.int64), "first": np.where(v[head] > 0, s[head], 0).astype(np.uint64).view(np.int64)}
             yield row
 
     answers = pk.ask(packs, keys, bits, _level)
-    return pk.written(pk.answered(packs, answers, rows, ROWS.replace(", whole binary", ""), pa.schema(list(_ARROW)[:-1])))
+    return pk.written(pk.answered(packs, answers, rows, ROWS, _ARROW))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -116,9 +119,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     """
     rows = incidence(docs, width, percent)
     classes = rows.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"))
-    sets = pk.written(rows.where("shingles is not null").groupBy("sig").agg(F.first("n_shingles").alias("n"), F.first("shingles").alias("shingles"), F.first("first").alias("first")))
-    cells = sets.select("sig", "n", F.posexplode("first").alias("pos", "shingle")).where("shingle <> 0")
-    columns = cells.groupBy("shingle").agg(F.min(F.struct("sig", "n")).alias("p"), F.count("*").alias("k")).where("k > 1")
+    sets = pk.written(rows.where("shingles is not null").groupBy("sig").agg(F.first("n_shingles").alias("n"), F.max("met").alias("met"), F.max("central").alias("central"), F.first("shingles").alias("shingles"), F.first("first").alias("first")))
+    # pos counts the columns before that another row may have
+    cells = sets.select("sig", "n", "met", "central", F.posexplode("first").alias("at", "shingle")).where("shingle <> 0").withColumn("pos", F.expr("at - (n - met)"))
+    columns = cells.groupBy("shingle").agg(F.max(F.struct("central", "sig", "n")).alias("p"), F.count("*").alias("k")).where("k > 1")
     near = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
     stars = cells.join(columns.select("shingle", F.col("p.sig").alias("u"), F.col("p.n").alias("m")), "shingle").where((F.col("sig") != F.col("u")) & near).select("u", F.col("sig").alias("v")).distinct()
     stars = pk.written(stars)
@@ -129,9 +133,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     apart = cells.join(label.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     mixed = apart.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
     left = pk.written(apart.join(mixed, "shingle", "left_semi"))
-    right = left.select("shingle", F.col("sig").alias("sig2"), F.col("root").alias("root2"), F.col("n").alias("m"), F.col("pos").alias("pos2"))
+    right = left.select("shingle", F.col("sig").alias("sig2"), F.col("root").alias("root2"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("met").alias("met2"))
     # what the two rows can still share, given where they meet
-    room = F.expr(f"(100 + {percent}) * (least(pos, pos2) + 1 + least(n - 1 - pos, m - 1 - pos2)) >= {percent} * (n + m)")
+    room = F.expr(f"(100 + {percent}) * (least(pos, pos2) + least(met - pos, met2 - pos2)) >= {percent} * (n + m)")
     met = left.join(right, "shingle").where((F.col("root") < F.col("root2")) & near & room)
     met = met.select(F.least("sig", "sig2").alias("u"), F.greatest("sig", "sig2").alias("v")).distinct()
     links = links.unionByName(_verified(met.join(stars, ["u", "v"], "left_anti"), sets, percent))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from gridproof.llm import textops
 
-PACK_BYTES = 16 << 20
+PACK_BYTES = 8 << 20
 PACK = "pack_id long, ids array<long>, sizes binary, n_words long, data binary"
 ASKED = "pack_id long, bucket int, n long, width int, keys binary, counts binary"
 ANSWER = "pack_id long, bucket int, found binary, held long, total double, stats binary"
