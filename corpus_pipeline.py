@@ -6,20 +6,45 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridproof.llm import decontaminate, line_dedup, mixing, ngram_join, quality_crf
 from gridproof.llm.packs import shared_folder
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the line labels keep."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_crf.keep(docs, quality_crf.train(docs, labels))
+
+
+def line_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without later repeats of runs of lines; n_chars follows the text."""
+    return line_dedup.keep_rest(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    from gridproof.llm.ngram_join import keep_one
+    """One document of each group."""
+    return ngram_join.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without test items."""
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
 
-    return keep_one(docs)
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Copies of the documents by the target weights of their sources, in shards."""
+    return mixing.mix_plan(docs).mixed()
 
 
 STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_duplicates", line_duplicates),
     ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("source_mix", source_mix),
 ]
 
-#: The stages hold trained models, which SQL can't express.
+#: The first stage holds a trained model, which SQL can't express.
 ORACLE_SQL = None
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridproof.llm import line_dedup
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,6 +19,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.judge(docs, quality_crf.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridproof.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridproof.llm import token_counts
 
@@ -24,6 +32,18 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridproof.llm.mixing import mix_plan
+
+    return mix_plan(table(spark, sf_dir, "documents")).taken()
+
+
+def op5_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridproof.llm.importance import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridproof.llm.ngram_join import jaccard_components
 
@@ -48,12 +68,32 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridproof.llm.line_dedup import dedup_lines
+
+    kept = dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_md5"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridproof.llm.pii import digest, find_personal_data
+
+    return digest(find_personal_data(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_decontamination": op2_decontamination,
     "op3_token_counts": op3_token_counts,
+    "op4_mixing": op4_mixing,
+    "op5_importance": op5_importance,
     "op6_ngram_join": op6_ngram_join,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_lm_scoring": op8_lm_scoring,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_pii": op10_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_line_dedup": line_dedup.ORACLE,
+}
