@@ -1,0 +1 @@
+"""Accuracy analytics for building footprints and settlement layers on Spark."""
