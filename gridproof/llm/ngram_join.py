@@ -8,7 +8,7 @@ documents of n and m shingles that link must meet within the first
 first block gives every candidate pair, and the second block, the rest of
 the columns, is accumulated for pairs whose size-derived bounds still allow a
 link: ``5 min(n, m) >= 4 max(n, m)``, at least ``0.8 n`` columns that any other
-row has, and ``4 (n + m) / 9`` such columns before and after the place where the
+row has, and ``4 (n + m) / 9`` such columns from the first place on where the
 two rows meet.
 
 Rows of equal sets are one row (a copy links with its class).  Within a column
@@ -134,8 +134,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     mixed = apart.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
     left = pk.written(apart.join(mixed, "shingle", "left_semi"))
     right = left.select("shingle", F.col("sig").alias("sig2"), F.col("root").alias("root2"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("met").alias("met2"))
-    # what the two rows can still share, given where they meet
-    room = F.expr(f"(100 + {percent}) * (least(pos, pos2) + least(met - pos, met2 - pos2)) >= {percent} * (n + m)")
+    # what the two rows can share, if this is the first column where they meet; each linked pair has such a column
+    room = F.expr(f"(100 + {percent}) * least(met - pos, met2 - pos2) >= {percent} * (n + m)")
     met = left.join(right, "shingle").where((F.col("root") < F.col("root2")) & near & room)
     met = met.select(F.least("sig", "sig2").alias("u"), F.greatest("sig", "sig2").alias("v")).distinct()
     links = links.unionByName(_verified(met.join(stars, ["u", "v"], "left_anti"), sets, percent))
