@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from gridproof.llm import decontaminate, line_dedup, mixing, ngram_join, quality_crf
-from gridproof.llm.packs import shared_folder
+from gridproof.sources.scratch import shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from gridproof.llm import packs as pk
 from gridproof.llm import textops
 from gridproof.llm.components import connected
+from gridproof.sources.scratch import written
 
 #: Row classes of each pack.  shingles and first are null for a row that can't link with another class.
 #: met: how many columns any other row has; central: their mean frequency level.
@@ -65,10 +66,10 @@ def _level(counts: np.ndarray) -> np.ndarray:
 
 def incidence(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """ROWS of all documents, written."""
-    packs = pk.packed(docs)
+    packs = pk.packed(docs, 4 << 20)
     words = packs.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     # shortened names serve the order of columns only; equal names by chance are ever rarer than one in a thousand
-    bits = min(64, max(32, int(words).bit_length() + 12))
+    bits = min(64, max(32, int(words).bit_length() + 10))
 
     def keys(pack):
         g, at, _, first = _sets(pack, width)
@@ -94,7 +95,10 @@ def incidence(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
             yield row
 
     answers = pk.ask(packs, keys, bits, _level)
-    return pk.written(pk.answered(packs, answers, rows, ROWS, _ARROW))
+    out = written(pk.answered(packs, answers, rows, ROWS, _ARROW))
+    pk.discard(packs)
+    pk.release(docs.sparkSession)
+    return out
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -119,27 +123,27 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     """
     rows = incidence(docs, width, percent)
     classes = rows.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"))
-    sets = pk.written(rows.where("shingles is not null").groupBy("sig").agg(F.first("n_shingles").alias("n"), F.max("met").alias("met"), F.max("central").alias("central"), F.first("shingles").alias("shingles"), F.first("first").alias("first")))
+    sets = written(rows.where("shingles is not null").groupBy("sig").agg(F.first("n_shingles").alias("n"), F.max("met").alias("met"), F.max("central").alias("central"), F.first("shingles").alias("shingles"), F.first("first").alias("first")))
     # pos counts the columns before that another row may have
     cells = sets.select("sig", "n", "met", "central", F.posexplode("first").alias("at", "shingle")).where("shingle <> 0").withColumn("pos", F.expr("at - (n - met)"))
     columns = cells.groupBy("shingle").agg(F.max(F.struct("central", "sig", "n")).alias("p"), F.count("*").alias("k")).where("k > 1")
     near = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
     stars = cells.join(columns.select("shingle", F.col("p.sig").alias("u"), F.col("p.n").alias("m")), "shingle").where((F.col("sig") != F.col("u")) & near).select("u", F.col("sig").alias("v")).distinct()
-    stars = pk.written(stars)
-    links = pk.written(_verified(stars, sets, percent))
+    stars = written(stars)
+    links = written(_verified(stars, sets, percent))
     label = connected(links)
 
     # second round: rows that meet in a column and are still apart
     apart = cells.join(label.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     mixed = apart.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
-    left = pk.written(apart.join(mixed, "shingle", "left_semi"))
+    left = written(apart.join(mixed, "shingle", "left_semi"))
     right = left.select("shingle", F.col("sig").alias("sig2"), F.col("root").alias("root2"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("met").alias("met2"))
     # what the two rows can share, if this is the first column where they meet; each linked pair has such a column
     room = F.expr(f"(100 + {percent}) * least(met - pos, met2 - pos2) >= {percent} * (n + m)")
     met = left.join(right, "shingle").where((F.col("root") < F.col("root2")) & near & room)
     met = met.select(F.least("sig", "sig2").alias("u"), F.greatest("sig", "sig2").alias("v")).distinct()
     links = links.unionByName(_verified(met.join(stars, ["u", "v"], "left_anti"), sets, percent))
-    label = connected(pk.written(links))
+    label = connected(written(links))
 
     roots = label.join(classes.select(F.col("sig").alias("node"), "rep"), "node").groupBy("root").agg(F.min("rep").alias("component"))
     linked = label.join(roots, "root").select(F.col("node").alias("sig"), "component")

@@ -13,8 +13,6 @@ hold counts once for each pack, so a hot key makes no large group.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridproof.llm import textops
+from gridproof.sources.scratch import written
 
 PACK_BYTES = 8 << 20
 PACK = "pack_id long, ids array<long>, sizes binary, n_words long, data binary"
@@ -32,21 +31,12 @@ ASKED = "pack_id long, bucket int, n long, width int, keys binary, counts binary
 ANSWER = "pack_id long, bucket int, found binary, held long, total double, stats binary"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; an own temporary one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return str(folder).rstrip("/")
-
-
-def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """Cuts the lineage: the rows as a table in the shared folder, read again."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by ``written`` that nothing reads any more."""
+    for table in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -81,7 +71,7 @@ class Pack:
             yield a, self.data[lo : self.offsets[b]], self.offsets[a : b + 1] - lo
 
 
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _build(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     part, number = TaskContext.get().partitionId(), 0
     ids, texts, sizes = [], [], [0]
 
@@ -94,7 +84,7 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             text = (text.as_py() or "").encode()
-            if ids and sizes[-1] + len(text) > PACK_BYTES:
+            if ids and sizes[-1] + len(text) > size:
                 yield pack()
                 number, ids, texts, sizes = number + 1, [], [], [0]
             ids.append(i)
@@ -110,10 +100,10 @@ def _parts(data: bytes, sizes: list[int]):
         yield whole[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
-def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All documents in written packs; a null text is empty."""
-    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    return written(rows.mapInArrow(_build, PACK), "none")
+def packed(docs: DataFrame, size: int = PACK_BYTES) -> DataFrame:
+    """All documents in written packs of about ``size`` bytes; a null text is empty."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t"))
+    return written(rows.mapInArrow(lambda batches: _build(batches, size), PACK), "none")
 
 
 def cut(pack_id: int, keys: np.ndarray, counts: np.ndarray | None, bits: int, parts: int) -> Iterator[dict]:
@@ -185,14 +175,18 @@ def ask(packs: DataFrame, keys: Callable[[Pack], tuple[np.ndarray, np.ndarray |
     return counted(packs.mapInArrow(send, ASKED), bits, parts, found, stats)
 
 
-def answered(packs: DataFrame, answers: DataFrame, then: Callable[[Pack, np.ndarray], Iterator[dict]], schema: str, arrow: pa.Schema, dtype=np.uint8) -> DataFrame:
-    """Rows that ``then(pack, answers in the order of its keys)`` gives for each pack."""
+def met(packs: DataFrame, answers: DataFrame, then: Callable[[dict, np.ndarray], Iterator[dict]], schema: str, arrow: pa.Schema, dtype=np.uint8) -> DataFrame:
+    """Rows that ``then(row of packs, answers in the order of its keys)`` gives for each pack."""
 
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
         found = right.sort_by("bucket").column("found").to_pylist()
         got = np.concatenate([np.frombuffer(expand(x), dtype) for x in found]) if found else np.zeros(0, dtype)
-        rows = [r for x in left.to_pylist() for r in then(Pack(x), got)]
+        rows = [r for x in left.to_pylist() for r in then(x, got)]
         return pa.Table.from_pylist(rows, arrow)
 
-    left = packs.groupBy("pack_id")
-    return left.cogroup(answers.select("pack_id", "bucket", "found").groupBy("pack_id")).applyInArrow(meet, schema)
+    return packs.groupBy("pack_id").cogroup(answers.select("pack_id", "bucket", "found").groupBy("pack_id")).applyInArrow(both, schema)
+
+
+def answered(packs: DataFrame, answers: DataFrame, then: Callable[[Pack, np.ndarray], Iterator[dict]], schema: str, arrow: pa.Schema, dtype=np.uint8) -> DataFrame:
+    """``met`` for packs of ``packed``."""
+    return met(packs, answers, lambda row, got: then(Pack(row), got), schema, arrow, dtype)
