@@ -11,7 +11,8 @@ places.  Two equal strings of ``match`` bytes thus agree on the first
 2. Only places with a named cover suffix in reach can repeat; all others are
    settled without a sort.  These are sorted to the full depth, again a
    bucket at a time and in ``blocks`` rounds, so that what is on disk or in
-   memory at once is a fixed share of the input.
+   memory at once is a fixed share of the input.  Documents without such a
+   place are settled and leave the work.
 
 A sort key is the 64-bit hash of the string of that depth.  The answers, one
 byte a key before compression, go back in the asker's order; texts never meet.
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 from gridproof.llm import packs as pk
 from gridproof.llm import textops
+from gridproof.sources.scratch import written
 
 #: Perfect difference sets (Singer) by period.
 COVERS = {
@@ -94,6 +96,29 @@ class _Work:
         return np.concatenate(places), np.concatenate(keys)
 
 
+#: Either a settled document (doc_id, text), or a pack of the documents with candidates and a bit for each place.
+_CUT = "settled boolean, doc_id long, text binary, pack_id long, ids array<long>, sizes binary, data binary, open binary"
+_CUT_ARROW = pa.schema([("settled", pa.bool_()), ("doc_id", pa.int64()), ("text", pa.binary()), ("pack_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("data", pa.binary()), ("open", pa.binary())])
+
+
+def _cut(pack: pk.Pack, open_: np.ndarray):
+    sums = np.concatenate([[0], np.cumsum(open_)])
+    has = sums[pack.offsets[1:]] > sums[pack.offsets[:-1]]
+    for d in np.flatnonzero(~has):
+        yield {"settled": True, "doc_id": pack.ids[d], "text": pack.data[pack.offsets[d] : pack.offsets[d + 1]].tobytes()}
+    if has.any():
+        size = np.diff(pack.offsets)
+        own = np.repeat(has, size)
+        sizes = np.concatenate([[0], np.cumsum(size[has])]).astype(np.int64)
+        ids = [i for i, h in zip(pack.ids, has, strict=True) if h]
+        yield {"settled": False, "pack_id": pack.pack_id, "ids": ids, "sizes": sizes.tobytes(), "data": pk.squeeze(pack.data[own].tobytes()), "open": pk.squeeze(np.packbits(open_[own]).tobytes())}
+
+
+def _opened(row: dict) -> tuple[pk.Pack, np.ndarray]:
+    pack = pk.Pack(row)
+    return pack, np.unpackbits(np.frombuffer(pk.expand(row["open"]), np.uint8), count=len(pack.data)).astype(bool)
+
+
 def remove_repeats(docs: DataFrame, match: int = 200, blocks: int = 4) -> DataFrame:
     """Each document without the bytes covered by a ``match``-byte string that also starts elsewhere.
 
@@ -119,27 +144,34 @@ def remove_repeats(docs: DataFrame, match: int = 200, blocks: int = 4) -> DataFr
     def seen(totals):
         return (totals > 1).astype(np.uint8)
 
-    named = pk.written(pk.ask(packs, sample_keys, work.bits, seen).select("pack_id", "bucket", "found"))
+    named = written(pk.ask(packs, sample_keys, work.bits, seen).select("pack_id", "bucket", "found"))
+    pk.release(spark)
+
+    left = written(pk.answered(packs, named, lambda pack, met: _cut(pack, work.candidates(pack, met)), _CUT, _CUT_ARROW))
+    pk.discard(packs, named)
     pk.release(spark)
 
     schema = pa.schema([("pack_id", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("width", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-    answers = named
+    cut = left.where("not settled")
+    answers = None
     for block in range(blocks):
 
-        def asks(pack, met, block=block):
-            _, keys = work.strings(pack, work.candidates(pack, met), block)
-            keys, counts = np.unique(keys, return_counts=True)
-            yield from pk.cut(pack.pack_id, keys, counts, 64, parts)
-
-        asked = pk.answered(packs, named, asks, pk.ASKED, schema)
-        found = pk.written(pk.counted(asked, 64, parts, seen).select("pack_id", (F.col("bucket") + (block + 1) * parts).cast("int").alias("bucket"), "found"))
-        answers = answers.unionByName(found)
+        def send(batches, block=block):
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    pack, open_ = _opened(batch.slice(i, 1).to_pylist()[0])
+                    keys, counts = np.unique(work.strings(pack, open_, block)[1], return_counts=True)
+                    if rows := list(pk.cut(pack.pack_id, keys, counts, 64, parts)):
+                        yield pa.RecordBatch.from_pylist(rows, schema)
+
+        found = pk.counted(cut.mapInArrow(send, pk.ASKED), 64, parts, seen)
+        found = written(found.select("pack_id", (F.col("bucket") + block * parts).cast("int").alias("bucket"), "found"))
+        answers = found if answers is None else answers.unionByName(found)
         pk.release(spark)
 
-    def finish(pack, got):
-        n = len(np.unique(work.samples(pack)[1]))
-        open_, used = work.candidates(pack, got[:n]), n
-        edge = np.zeros(len(pack.data) + 1, np.int32)
+    def finish(row, got):
+        pack, open_ = _opened(row)
+        used, edge = 0, np.zeros(len(pack.data) + 1, np.int32)
         for block in range(blocks):
             places, keys = work.strings(pack, open_, block)
             names, index = np.unique(keys, return_inverse=True)
@@ -151,11 +183,8 @@ def remove_repeats(docs: DataFrame, match: int = 200, blocks: int = 4) -> DataFr
         for d, i in enumerate(pack.ids):
             lo, hi = pack.offsets[d], pack.offsets[d + 1]
             mask = gone[lo:hi]
-            if mask.any():
-                turn = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8))).reshape(-1, 2)
-                spans, kept = [{"start": int(a), "stop": int(b)} for a, b in turn], pack.data[lo:hi][~mask]
-            else:
-                spans, kept = [], pack.data[lo:hi]
-            yield {"doc_id": i, "n_bytes": int(hi - lo), "spans": spans, "kept": kept.tobytes()}
-
-    return pk.answered(packs, answers, finish, SCHEMA, _ARROW)
+            turn = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8))).reshape(-1, 2)
+            yield {"doc_id": i, "n_bytes": int(hi - lo), "spans": [{"start": int(a), "stop": int(b)} for a, b in turn], "kept": pack.data[lo:hi][~mask].tobytes()}
+
+    settled = left.where("settled").select("doc_id", F.length("text").cast("long").alias("n_bytes"), F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)").alias("spans"), F.col("text").alias("kept"))
+    return pk.met(cut, answers, finish, SCHEMA, _ARROW).unionByName(settled)
