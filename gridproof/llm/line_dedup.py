@@ -54,32 +54,45 @@ def repeated_lines(docs: DataFrame, window: int = 2) -> DataFrame:
     return later.groupBy("id", "key").agg(F.array_distinct(F.flatten(F.collect_list("own"))).alias("gone"))
 
 
+def _rest(docs: DataFrame, window: int) -> DataFrame:
+    """d (the row as a struct), text (shortened), n_lines, n_removed."""
+    gone = repeated_lines(docs, window)
+    rows = docs.select(F.struct("*").alias("d"), F.col("doc_id").alias("i"), F.xxhash64("text").alias("k"))
+    left = rows.join(gone, F.expr("i <=> id") & (F.col("k") == F.col("key")), "left").select("d", "gone")
+    lines = F.split("d.text", "\n")
+    rest = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone"), lambda i: F.get(lines, i)), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("d.text")).otherwise(rest)
+    return left.select("d", text.alias("text"), F.coalesce(F.greatest(F.lit(0), F.size(lines)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.greatest(F.lit(0), F.size("gone")), F.lit(0)).cast("long").alias("n_removed"))
+
+
+def _columns(docs: DataFrame, replaced: dict) -> list:
+    return [replaced[c].alias(c) if c in replaced else F.col(f"d.`{c}`") for c in docs.columns]
+
+
 def dedup_lines(docs: DataFrame, window: int = 2) -> DataFrame:
     """``docs`` without later repeated runs of at least ``window`` lines, and two columns more.
 
-    n_lines counts all lines of the input text, n_removed those deleted; both
-    names must be free in ``docs``.  All other columns stay as they are.
+    n_lines counts all lines of the input text, n_removed those deleted; columns of
+    ``docs`` with these names are replaced, all others stay as they are.
 
     Nulls: a null text stays null with 0 and 0; rows with a null doc_id come
     after all others.  Blank lines are never deleted and don't part a run.  Rows
     with the same doc_id and text are one document and share its fate.  Empty
     input gives no rows.
     """
-    gone = repeated_lines(docs, window).select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("gone").alias("_gone"))
-    lines = F.split("text", "\n")
-    left = docs.join(gone, F.expr("doc_id <=> _id") & (F.xxhash64("text") == F.col("_key")), "left")
-    rest = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone"), lambda i: F.get(lines, i)), "\n")
-    own = [F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    n_lines = F.coalesce(F.size(lines), F.lit(0))
-    return left.select(*own, F.greatest(F.lit(0), n_lines).cast("long").alias("n_lines"), F.greatest(F.lit(0), F.coalesce(F.size("_gone"), F.lit(0))).cast("long").alias("n_removed"))
+    own = {"text": F.col("text"), "n_lines": F.col("n_lines"), "n_removed": F.col("n_removed")}
+    more = [F.col(c) for c in ("n_lines", "n_removed") if c not in docs.columns]
+    return _rest(docs, window).select(*_columns(docs, own), *more)
 
 
 def keep_rest(docs: DataFrame, window: int = 2) -> DataFrame:
     """``docs`` with the shortened texts, and n_chars, where there is one, to match; documents that lost all their words go."""
-    found = dedup_lines(docs, window)
+    found = _rest(docs, window)
     empty = (F.col("n_removed") > 0) & ~F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]"))
-    size = [F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return found.where(~empty).select(size)
+    own = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("d.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return found.where(~empty).select(*_columns(docs, own))
 
 
 ORACLE = """
