@@ -29,12 +29,31 @@ K1, B = 1.2, 0.75
 INDEX_BYTES = 8 << 20
 
 
-def _hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of lower-cased texts, and their text index."""
-    data, offsets = textops.column_bytes(pa.array(texts, pa.large_string()))
+_SIGN = np.zeros(256, bool)
+_SIGN[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of lower-cased texts without ASCII signs at their ends, and their text index.
+
+    Words of signs alone are left out, so marks strewn between words don't hide a passage.
+    """
     data = textops.lower_ascii(data)
     starts, ends, doc = textops.spans(data, offsets)
-    return textops.range_hash(textops.prefix_hash(data), starts, ends), doc
+    if not len(starts):
+        return np.zeros(0, np.uint64), doc
+    at = np.arange(len(data))
+    solid = ~_SIGN[data]
+    after = np.minimum.accumulate(np.where(solid, at, len(data))[::-1])[::-1]
+    before = np.maximum.accumulate(np.where(solid, at, -1))
+    starts = np.minimum(after[starts], ends)
+    ends = np.maximum(before[ends - 1] + 1, starts)
+    keep = ends > starts
+    return textops.range_hash(textops.prefix_hash(data), starts[keep], ends[keep]), doc[keep]
+
+
+def _hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    return word_hashes(*textops.column_bytes(pa.array(texts, pa.large_string())))
 
 
 def split_item(n_words: int) -> int:
@@ -145,11 +164,9 @@ def overlaps(item: np.ndarray, passage: np.ndarray) -> tuple[float, float]:
 
 def search(index: Index, data: np.ndarray, offsets: np.ndarray, threshold: float, question: float, answer: float) -> list[tuple[int, int, int, float, float, float]]:
     """(text, item, first word of the passage, score, overlaps) of verified items, each text and item once."""
-    data = textops.lower_ascii(data)
-    starts, ends, doc = textops.spans(data, offsets)
-    if not len(starts) or not len(index.vocabulary):
+    h, doc = word_hashes(data, offsets)
+    if not len(h) or not len(index.vocabulary):
         return []
-    h = textops.range_hash(textops.prefix_hash(data), starts, ends)
     term = np.minimum(np.searchsorted(index.vocabulary, h), len(index.vocabulary) - 1)
     known = np.flatnonzero(index.vocabulary[term] == h)
     if not len(known):
@@ -206,7 +223,7 @@ def indexes(benchmark: DataFrame) -> list[Index]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, question: float = 0.8, answer: float = 0.8) -> DataFrame:
     """One row for each document and test item found in it.
 
-    Columns: doc_id, item_id, passage (first word of the best passage), score
+    Columns: doc_id, item_id, passage (first word of the best passage, by words with a letter or digit), score
     (share of the item's best BM25 score), question_overlap, answer_overlap.
 
     Nulls: null texts and items without words find nothing; null ids are kept.

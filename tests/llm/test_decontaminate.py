@@ -72,6 +72,12 @@ def test_odd_rows(spark, documents, odd):
     assert dc.contaminated(documents([]), bench).count() == 0
 
 
+def test_signs_around_words_hide_nothing(spark, documents):
+    bench = items(spark, [(1, "One two, three four five. Six seven eight nine (ten)")])
+    text = "x One### two,*** | three&&& four$$$ five.%%% \"Six### | seven eight nine$ ten%%% y"
+    assert dc.contaminated(documents([(1, text), (2, text.replace("ten", "")), (3, "# | %")]), bench).select("doc_id").collect() == [(1,)]
+
+
 def test_several_indexes_give_the_same(spark, documents, monkeypatch):
     bench = [(k, f"alpha{k} beta{k} gamma{k} delta{k} eps{k} zeta{k} eta{k} theta{k}") for k in range(20)]
     rows = [(k, f"before {bench[k][1]} after") for k in range(20)]
