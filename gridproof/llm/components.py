@@ -1,41 +1,30 @@
-"""Connected components by alternating large and small stars."""
+"""Connected components by smallest labels and pointer jumping."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridproof.llm.packs import discard
 from gridproof.sources.scratch import written
 
 
-def _state(edges: DataFrame):
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (u, v); root is the smallest node of its component.
 
-    Each round points nodes at the smallest neighbour (large star), then at the
-    smallest of those not above it (small star); rounds grow with the logarithm
-    of a component's size.  Minima are aggregated before they are joined, so a
-    node with very many edges is no large group.  Null ends are ignored.
+    Each round a node takes the smallest root of its neighbours, then the root of
+    that root, so rounds grow with the logarithm of a path's length.  Minima are
+    aggregated before the shuffle, so a node with very many edges is no large
+    group.  Null ends are ignored.
     """
-    def pointed(pairs: DataFrame, small: bool) -> DataFrame:
-        m = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        joined = pairs.join(m, "u")
-        if small:
-            return joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(m.select("u", "m")).where("a <> b").distinct()
-        return joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-
-    # pairs always point from the larger to the smaller end
-    now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    state = None
-    while True:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = pointed(both, False).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        now = written(pointed(large, True).select(F.col("a").alias("u"), F.col("b").alias("v")))
-        if (next_state := _state(now)) == state:
-            break
-        state = next_state
-    roots = now.select("v").distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("v", "v"))
+    pairs = edges.where("u <> v").select("u", "v")
+    both = written(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    labels = written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("root")).withColumn("moved", F.lit(True)))
+    while not labels.where("moved").isEmpty():
+        near = both.join(labels.select(F.col("node").alias("v"), "root"), "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("near"))
+        step = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+        top = step.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        new = written(step.join(top, "root").select("node", F.least("root", "top").alias("root"), (F.least("root", "top") != F.col("old")).alias("moved")))
+        discard(labels)
+        labels = new
+    return labels.select("node", "root")
