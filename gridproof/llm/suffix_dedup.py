@@ -132,11 +132,11 @@ def remove_repeats(docs: DataFrame, match: int = 200, blocks: int = 4) -> DataFr
     rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    packs = pk.packed(docs)
+    packs = pk.packed(docs, 4 << 20)
     parts = pk.buckets(spark)
     size = packs.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
     # shortened keys of the cover suffixes only open candidates; equal ones by chance open a few more
-    work = _Work(match, min(64, max(32, int(size).bit_length() + 10)), blocks)
+    work = _Work(match, min(64, max(32, int(size).bit_length() + 8)), blocks)
 
     def sample_keys(pack):
         return np.unique(work.samples(pack)[1], return_counts=True)
