@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from gridproof.llm import textops
 
 K1, B = 1.2, 0.75
-#: Items of one index; more items make further indexes, each searched by all passages.
-INDEX_BYTES = 8 << 20
+#: Item bytes of one index, whose bounds are a dense table of words by blocks, and indexes searched in one pass.
+#: More items make further passes over the documents.
+INDEX_BYTES = 128 << 10
+PASS_INDEXES = 32
 
 
 _SIGN = np.zeros(256, bool)
@@ -162,19 +164,23 @@ def overlaps(item: np.ndarray, passage: np.ndarray) -> tuple[float, float]:
     return asked, told
 
 
-def search(index: Index, data: np.ndarray, offsets: np.ndarray, threshold: float, question: float, answer: float) -> list[tuple[int, int, int, float, float, float]]:
-    """(text, item, first word of the passage, score, overlaps) of verified items, each text and item once."""
+def search(some: list[Index], data: np.ndarray, offsets: np.ndarray, threshold: float, question: float, answer: float) -> list[tuple[int, object, int, float, float, float]]:
+    """(text, item_id, first word of the passage, score, overlaps) of verified items of all indexes, each text and item once."""
     h, doc = word_hashes(data, offsets)
+    return [(d, index.items[item], *more) for index in some for d, item, *more in _search(index, h, doc, len(offsets) - 1, threshold, question, answer)]
+
+
+def _search(index: Index, h: np.ndarray, doc: np.ndarray, n_texts: int, threshold: float, question: float, answer: float) -> list[tuple]:
     if not len(h) or not len(index.vocabulary):
         return []
     term = np.minimum(np.searchsorted(index.vocabulary, h), len(index.vocabulary) - 1)
     known = np.flatnonzero(index.vocabulary[term] == h)
     if not len(known):
         return []
-    first_word = np.searchsorted(doc, np.arange(len(offsets) - 1), "left")
+    first_word = np.searchsorted(doc, np.arange(n_texts), "left")
     inner = np.arange(len(doc)) - first_word[doc]
     # half passages, numbered through the slice with a free number after each text
-    halves = -(-np.bincount(doc, minlength=len(offsets) - 1) // index.longest)
+    halves = -(-np.bincount(doc, minlength=n_texts) // index.longest)
     half_at = np.concatenate([[0], np.cumsum(halves + 1)])
     half = half_at[doc] + inner // index.longest
     pair = np.unique(half[known].astype(np.int64) * len(index.vocabulary) + term[known])
@@ -220,6 +226,11 @@ def indexes(benchmark: DataFrame) -> list[Index]:
     return [*out, Index.build(items, texts)] if items else out
 
 
+def _passes(benchmark: DataFrame) -> list[list[Index]]:
+    every = indexes(benchmark)
+    return [every[k : k + PASS_INDEXES] for k in range(0, len(every), PASS_INDEXES)]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, question: float = 0.8, answer: float = 0.8) -> DataFrame:
     """One row for each document and test item found in it.
 
@@ -234,15 +245,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
     fields = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("passage", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]
     schema = "doc_id long, item_id long, passage long, score double, question_overlap double, answer_overlap double"
     out = spark.createDataFrame([], schema)
-    for index in indexes(benchmark):
+    for some in _passes(benchmark):
 
-        def run(batches, index=index):
+        def run(batches, some=some):
             for batch in batches:
                 ids, rows = batch.column(0).to_pylist(), []
                 data, offsets = textops.column_bytes(batch.column(1))
                 for a, b in textops.slices(offsets):
-                    for d, item, at, score, asked, told in search(index, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], threshold, question, answer):
-                        rows.append((ids[a + d], index.items[item], at, score, asked, told))
+                    for d, item, at, score, asked, told in search(some, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], threshold, question, answer):
+                        rows.append((ids[a + d], item, at, score, asked, told))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(fields)], [n for n, _ in fields])
 
         out = out.unionByName(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema))
@@ -252,14 +263,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
 def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, question: float = 0.8, answer: float = 0.8) -> DataFrame:
     """Rows of ``docs`` without any test item, with all their columns, without a shuffle."""
     at = docs.columns.index("text")
-    for index in indexes(benchmark):
+    for some in _passes(benchmark):
 
-        def run(batches, index=index):
+        def run(batches, some=some):
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 data, offsets = textops.column_bytes(batch.column(at))
                 for a, b in textops.slices(offsets):
-                    clean[[a + r[0] for r in search(index, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], threshold, question, answer)]] = False
+                    clean[[a + r[0] for r in search(some, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], threshold, question, answer)]] = False
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)
