@@ -164,3 +164,25 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     named = F.col("doc_id").isNotNull() & F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
     kept = docs.where(named).join(found, "doc_id", "left_anti").dropDuplicates(["doc_id"])
     return kept.select(docs.columns).unionByName(docs.where(~named))
+
+
+ORACLE = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM words
+), cells AS (
+  SELECT doc_id, len(g) AS n, unnest(g) AS s FROM sets
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM cells a JOIN cells b ON a.s = b.s AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id AS node, doc_id AS root FROM sets UNION SELECT l.y, r.root FROM reach r JOIN links l ON l.x = r.node
+), classes AS (
+  SELECT doc_id, count(*) OVER (PARTITION BY key, CASE WHEN n = 0 THEN doc_id END) AS class_size
+  FROM (SELECT doc_id, len(g) AS n, md5(array_to_string(list_sort(g), chr(10))) AS key FROM sets)
+)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, min(r.root) AS component_id, CAST(min(c.class_size) AS BIGINT) AS class_size
+FROM sets s JOIN reach r ON r.node = s.doc_id JOIN classes c ON c.doc_id = s.doc_id GROUP BY s.doc_id, len(s.g)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridproof.llm import line_dedup
+from gridproof.llm import line_dedup, ngram_join
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,9 +45,7 @@ def op5_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gridproof.llm.ngram_join import jaccard_components
-
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,5 +93,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_ngram_join": ngram_join.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
 }
