@@ -9,6 +9,10 @@ Neighbouring windows extend a match both ways, line by line, and all
 lines of the later run go.  A document of fewer lines is one window by itself
 and meets only documents with the same lines.
 
+A line of at least ``line_words`` words is a fingerprint by itself too: it
+meets every equal line, whatever its neighbours and however many lines either
+document has, and each but the first goes.
+
 Only hashes and places are shuffled for the search.  Counts and first places
 are minima, aggregated before the shuffle, so very common lines make no large
 group.
@@ -21,22 +25,32 @@ from pyspark.sql import functions as F
 
 #: The white space that is trimmed and that makes no word.
 _BLANK = " \t\n\v\f\r"
+#: Words from which a line is compared by itself.
+LINE_WORDS = 20
 
 
-def _windows(docs: DataFrame, window: int) -> DataFrame:
-    """(id, key, pos, line, fingerprint, content) of every window; pos counts lines with a word, line all lines."""
+def _windows(docs: DataFrame, window: int, line_words: int | None) -> DataFrame:
+    """(id, key, pos, own, fingerprint, content) of every window and long line; pos counts lines with a word, own has the numbers among all lines."""
     line = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), F.trim(x, F.lit(_BLANK)).alias("t")))
-    kept = F.transform(F.filter(line, lambda x: x["t"] != ""), lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["t"]).alias("h")))
-    base = docs.where("text is not null").select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), kept.alias("lines")).where("size(lines) > 0")
-    width = F.lit(window)
-    short = F.size("lines") < width
+
+    def counted(t):
+        """Whether a trimmed line has that many words; a text shorter than so many letters and blanks needs no split."""
+        return F.lit(False) if line_words is None else (F.length(t) >= 2 * line_words - 1) & (F.size(F.split(t, r"[\x20\x09-\x0D]+", line_words)) >= line_words)
+
+    kept = F.transform(F.filter(line, lambda x: x["t"] != ""), lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["t"]).alias("h"), counted(x["t"]).alias("long")))
+    base = docs.where("text is not null").select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), kept.alias("lines"))
     hashes = F.transform("lines", lambda x: x["h"])
-    base = base.select("id", "key", hashes.alias("h"), F.transform("lines", lambda x: x["i"]).alias("i"))
-    short = F.size("h") < width
-    places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("h") - width))
-    at = base.select("id", "key", "h", "i", F.explode(places).alias("pos"), short.alias("short"))
-    part = F.slice("h", F.col("pos") + 1, width)
-    return at.select("id", "key", "pos", F.slice("i", F.col("pos") + 1, width).alias("own"), F.array_min(part).alias("fingerprint"), F.xxhash64(part, "short").alias("content"))
+    base = base.select("id", "key", hashes.alias("h"), F.transform("lines", lambda x: x["i"]).alias("i"), F.transform("lines", lambda x: x["long"]).alias("long"))
+    # kinds: 0 a window, 1 a document of fewer lines, 2 a long line
+    kind = F.when(F.size("h") < window, 1).otherwise(0)
+    places = F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("h") - window)), lambda k: k < F.size("h"))
+    runs = F.transform(places, lambda k: F.struct(k.alias("pos"), F.lit(window).alias("width"), kind.alias("kind")))
+    singles = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("h") - 1)), lambda k: F.coalesce(F.get("long", k), F.lit(False))), lambda k: F.struct(k.alias("pos"), F.lit(1).alias("width"), F.lit(2).alias("kind")))
+    # outer, as an inner one makes Spark filter by the array's size, which computes all of the above twice
+    at = base.select("id", "key", "h", "i", F.explode_outer(runs if line_words is None else F.concat(runs, singles)).alias("at")).where("at is not null").select("id", "key", "h", "i", "at.*")
+    at = at.select("id", "key", "pos", "kind", F.slice("i", F.col("pos") + 1, F.col("width")).alias("own"), F.slice("h", F.col("pos") + 1, F.col("width")).alias("part"))
+    content = F.xxhash64("part", "kind")
+    return at.select("id", "key", "pos", "own", F.when(F.col("kind") == 2, content).otherwise(F.array_min("part")).alias("fingerprint"), content.alias("content"))
 
 
 def _place(df: DataFrame):
@@ -44,19 +58,21 @@ def _place(df: DataFrame):
     return F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("key").alias("key"), F.col("pos").alias("pos"))
 
 
-def repeated_lines(docs: DataFrame, window: int = 2) -> DataFrame:
+def repeated_lines(docs: DataFrame, window: int = 2, line_words: int | None = LINE_WORDS) -> DataFrame:
     """(id, key, gone): numbers of the lines to delete, for each document that has any. key is the text's hash."""
-    windows = _windows(docs, window)
+    windows = _windows(docs, window, line_words)
     met = windows.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
     candidates = windows.join(met, "fingerprint", "left_semi")
-    first = candidates.groupBy("content").agg(F.min(_place(candidates)).alias("first"), F.count("*").alias("n")).where("n > 1").select("content", "first")
+    # with its line numbers, though the place tells them: both uses of the candidates then read one exchange
+    least = F.min(F.struct(_place(candidates).alias("place"), F.col("own")))
+    first = candidates.groupBy("content").agg(least["place"].alias("first"), F.count("*").alias("n")).where("n > 1").select("content", "first")
     later = candidates.join(first, "content").where(_place(candidates) != F.col("first"))
     return later.groupBy("id", "key").agg(F.array_distinct(F.flatten(F.collect_list("own"))).alias("gone"))
 
 
-def _rest(docs: DataFrame, window: int) -> DataFrame:
+def _rest(docs: DataFrame, window: int, line_words: int | None) -> DataFrame:
     """d (the row as a struct), text (shortened), n_lines, n_removed."""
-    gone = repeated_lines(docs, window)
+    gone = repeated_lines(docs, window, line_words)
     rows = docs.select(F.struct("*").alias("d"), F.col("doc_id").alias("i"), F.xxhash64("text").alias("k"))
     left = rows.join(gone, F.expr("i <=> id") & (F.col("k") == F.col("key")), "left").select("d", "gone")
     lines = F.split("d.text", "\n")
@@ -69,8 +85,10 @@ def _columns(docs: DataFrame, replaced: dict) -> list:
     return [replaced[c].alias(c) if c in replaced else F.col(f"d.`{c}`") for c in docs.columns]
 
 
-def dedup_lines(docs: DataFrame, window: int = 2) -> DataFrame:
-    """``docs`` without later repeated runs of at least ``window`` lines, and two columns more.
+def dedup_lines(docs: DataFrame, window: int = 2, line_words: int | None = LINE_WORDS) -> DataFrame:
+    """``docs`` without later repeats of runs of at least ``window`` lines and of lines of at least ``line_words`` words, and two columns more.
+
+    With ``line_words`` None only runs count.
 
     n_lines counts all lines of the input text, n_removed those deleted; columns of
     ``docs`` with these names are replaced, all others stay as they are.
@@ -82,12 +100,12 @@ def dedup_lines(docs: DataFrame, window: int = 2) -> DataFrame:
     """
     own = {"text": F.col("text"), "n_lines": F.col("n_lines"), "n_removed": F.col("n_removed")}
     more = [F.col(c) for c in ("n_lines", "n_removed") if c not in docs.columns]
-    return _rest(docs, window).select(*_columns(docs, own), *more)
+    return _rest(docs, window, line_words).select(*_columns(docs, own), *more)
 
 
-def keep_rest(docs: DataFrame, window: int = 2) -> DataFrame:
+def keep_rest(docs: DataFrame, window: int = 2, line_words: int | None = LINE_WORDS) -> DataFrame:
     """``docs`` with the shortened texts, and n_chars, where there is one, to match; documents that lost all their words go."""
-    found = _rest(docs, window)
+    found = _rest(docs, window, line_words)
     empty = (F.col("n_removed") > 0) & ~F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]"))
     own = {"text": F.col("text")}
     if "n_chars" in docs.columns:
@@ -124,3 +142,11 @@ SELECT d.doc_id, CAST(len(string_split(d.text, chr(10))) AS BIGINT) AS n_lines,
 FROM documents d LEFT JOIN rest r ON r.id = d.doc_id
 LEFT JOIN (SELECT id, count(*) AS n FROM gone GROUP BY id) c ON c.id = d.doc_id
 """
+
+#: The same with long lines by themselves; ORACLE stays as it is.
+ORACLE_LONG_LINES = ORACLE.replace(
+    "), gone AS (",
+    """), firsts AS (
+  SELECT id, line, row_number() OVER (PARTITION BY t ORDER BY id, pos) AS k FROM kept WHERE len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) >= 20
+), gone AS (""",
+).replace("SELECT id, line2 FROM ranked WHERE k > 1)", "SELECT id, line2 FROM ranked WHERE k > 1 UNION ALL SELECT id, line FROM firsts WHERE k > 1)")

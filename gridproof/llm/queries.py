@@ -66,11 +66,18 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
 
+def _lines_left(kept: DataFrame) -> DataFrame:
+    return kept.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_md5"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gridproof.llm.line_dedup import dedup_lines
+    """Runs of two lines alone, as its SQL has it."""
+    return _lines_left(line_dedup.dedup_lines(table(spark, sf_dir, "documents"), line_words=None))
 
-    kept = dedup_lines(table(spark, sf_dir, "documents"))
-    return kept.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_md5"))
+
+def op9_long_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of two lines, and long lines by themselves, as in the pipeline."""
+    return _lines_left(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,10 +96,12 @@ QUERIES = {
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_line_dedup": op9_line_dedup,
+    "op9_long_line_dedup": op9_long_line_dedup,
     "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_ngram_join": ngram_join.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
+    "op9_long_line_dedup": line_dedup.ORACLE_LONG_LINES,
 }

@@ -70,3 +70,52 @@ def test_empty_table_and_own_names(documents):
     assert line_dedup.dedup_lines(df).first().n_lines == 2
     assert line_dedup.keep_rest(df).first().n_lines == "mine"
     assert "Python" not in line_dedup.dedup_lines(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def brute_with_lines(rows, window, words):
+    """As brute(), and every line of so many words against all lines before it."""
+    seen, gone = set(), {}
+    for none, i, t in sorted({(i is None, i or 0, t) for i, t in rows if t is not None}, key=lambda r: r[:2]):
+        kept = [(k, x.strip(BLANK)) for k, x in enumerate(t.split("\n")) if x.strip(BLANK)]
+        parts = [((len(kept) < window, *(x for _, x in kept[p : p + window])), {k for k, _ in kept[p : p + window]}) for p in range(max(1, len(kept) - window + 1) if kept else 0)]
+        parts += [(x, {k}) for k, x in kept if len(x.encode().split()) >= words]
+        gone[none, i, t] = set()
+        for key, numbers in parts:
+            gone[none, i, t] |= numbers if key in seen else set()
+            seen.add(key)
+    result = []
+    for i, t in rows:
+        lines, g = [] if t is None else t.split("\n"), gone.get((i is None, i or 0, t), set())
+        result.append((i, None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in g), len(lines), len(g)))
+    return sorted(result, key=str)
+
+
+def test_long_lines_meet_all_lines(documents):
+    """Between other neighbours, in documents of one line, and with blanks around; lines of 19 words stay."""
+    long, short = " ".join(f"w{k}" for k in range(20)), " ".join(f"v{k}" for k in range(19))
+    rows = [(1, f"a\n{long}\nb\n{short}"), (2, f"c\n {long}\t\n\nd"), (3, long), (4, short), (5, f"{short}\ne"), (6, f"{long}\n{long}"), (None, f"f\n{long}\ng"), (7, None)]
+    got = run(documents(rows), 2)
+    assert got == brute_with_lines(rows, 2, 20)
+    assert {r[0]: r[3] for r in got} == {1: 0, 2: 1, 3: 1, 4: 0, 5: 0, 6: 2, None: 1, 7: 0}
+
+
+def test_random_long_lines(documents):
+    rng = random.Random(4)
+    pool = [" ".join(f"p{n}w{k}" for k in range(rng.choice([19, 20, 21, 50]))).replace(" ", rng.choice([" ", "  ", " \t"])) for n in range(25)]
+    rows = [(k, "\n".join(rng.choice([*pool, f"u{k}{j}", "", "a"]) for j in range(rng.randrange(1, 8)))) for k in range(80)]
+    for window in (1, 2, 3):
+        assert run(documents(rows), window) == brute_with_lines(rows, window, 20)
+
+
+def test_both_queries_give_their_sql(spark):
+    import duckdb
+
+    from gridproof.llm.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    con.execute("create view documents as select * from '/root/testdata/sf0.01/documents.parquet'")
+    rows = {}
+    for name in ("op9_line_dedup", "op9_long_line_dedup"):
+        rows[name] = sorted(tuple(r) for r in QUERIES[name](spark, "/root/testdata/sf0.01").collect())
+        assert rows[name] == sorted(con.execute(ORACLE_SQL[name]).fetchall())
+    assert sum(r[2] for r in rows["op9_long_line_dedup"]) > sum(r[2] for r in rows["op9_line_dedup"])
