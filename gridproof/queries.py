@@ -380,7 +380,7 @@ def utm_projection(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs_of_rings(spark: SparkSession, d: str) -> DataFrame:
-    m = matches(spark, d).where("ref_id % 20 = 0").select("city", "dataset", "tile_id", "ref_id", "cand_id")
+    m = matches(spark, d).select("city", "dataset", "tile_id", "ref_id", "cand_id")
     r = fx.references(spark, d).select(F.col("bld_id").alias("ref_id"), geometry.box_ring(geometry.box()).alias("a"))
     c = fx.candidates(spark, d).select(F.col("bld_id").alias("cand_id"), geometry.box_ring(geometry.box()).alias("b"))
     return m.join(r, "ref_id").join(c, "cand_id")
