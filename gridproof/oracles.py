@@ -258,3 +258,9 @@ ORACLE_SQL: dict[str, str] = {
     "file_tree": """WITH RECURSIVE i AS (SELECT c_custkey AS id, CASE WHEN c_custkey <= 3 THEN NULL ELSE c_custkey // 3 END AS parent, 'n' || c_custkey AS name FROM customer WHERE c_custkey <= 400 AND c_custkey > 0),
         t AS (SELECT id, name, 1 AS level, name AS path, name AS top_folder FROM i WHERE parent IS NULL UNION ALL SELECT i.id, i.name, t.level + 1, t.path || '/' || i.name, t.top_folder FROM i JOIN t ON i.parent = t.id) SELECT * FROM t""",
 }
+
+#: Over whole tables; the SQL above stays as it is.
+ORACLE_SQL |= {
+    "split_bounds_all": ORACLE_SQL["split_bounds"].replace("WHERE bld_id % 50 = 0 AND ", "WHERE "),
+    "file_tree_all": ORACLE_SQL["file_tree"].replace("c_custkey <= 400 AND ", ""),
+}

@@ -295,9 +295,18 @@ def tracker_tiles(spark: SparkSession, d: str) -> DataFrame:
     return rounded(extract.touching_tiles(index, some).select("name", "start", "end", "lon", "lat", "xmin", "ymax"))
 
 
+def _split(refs: DataFrame) -> DataFrame:
+    return extract.split_bounds(refs.select("bld_id", *geometry.BOX), 7.0, 5.0).select("bld_id", "i", "j", "x0", "y0", "x1", "y1")
+
+
 def split_bounds(spark: SparkSession, d: str) -> DataFrame:
-    boxes = fx.references(spark, d).where("bld_id % 50 = 0").select("bld_id", *geometry.BOX)
-    return extract.split_bounds(boxes, 7.0, 5.0).select("bld_id", "i", "j", "x0", "y0", "x1", "y1")
+    """Every 50th reference box, as its SQL has it."""
+    return _split(fx.references(spark, d).where("bld_id % 50 = 0"))
+
+
+def split_bounds_all(spark: SparkSession, d: str) -> DataFrame:
+    """All reference boxes."""
+    return _split(fx.references(spark, d))
 
 
 def select_files(spark: SparkSession, d: str) -> DataFrame:
@@ -411,10 +420,20 @@ def dissolved_area(spark: SparkSession, d: str) -> DataFrame:
     return rounded(polygon_metrics.union_area(fx.sub_areas(spark).select("city", geometry.box_ring(geometry.box()).alias("ring")), ["city"], "ring"))
 
 
+def _customers(spark: SparkSession, d: str) -> DataFrame:
+    """A tree of customers: each but the first hangs below number div 3."""
+    return fx.table(spark, d, "customer").where("c_custkey > 0").selectExpr("c_custkey as id", "if(c_custkey <= 3, null, c_custkey div 3) as parent", "concat('n', c_custkey) as name")
+
+
 def file_tree(spark: SparkSession, d: str) -> DataFrame:
-    """Levels and paths of a tree of customers: each but the first hangs below number div 3."""
-    items = fx.table(spark, d, "customer").where("c_custkey <= 400 and c_custkey > 0").selectExpr("c_custkey as id", "if(c_custkey <= 3, null, c_custkey div 3) as parent", "concat('n', c_custkey) as name")
-    return inventory.file_tree(items)
+    """Levels and paths of the first 400 customers, as its SQL has it."""
+    return inventory.file_tree(_customers(spark, d).where("id <= 400"))
+
+
+def file_tree_all(spark: SparkSession, d: str) -> DataFrame:
+    """Levels and paths of all customers."""
+    return inventory.file_tree(_customers(spark, d))
+
 
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -424,7 +443,7 @@ QUERIES: dict[str, Query] = {
         tile_assignment, tile_grid, candidate_pairs_iou, buffered_pairs_iou, greedy_match, unmatched_references, tile_metrics, city_summary, size_bin_metrics, density_summary, weighted_mean_skipna, weighted_mean_zero,
         vector_global_rollup, best_dataset_per_city, pixel_binarize, predicted_area_methods, regrid_block_average, ref_fraction, raster_tile_metrics, raster_city_summary, qa_disagreement, native_guard, raster_mosaic_clip, bilinear_sample,
         raster_global_rollup, best_raster_per_city_grid, name_match_scores, best_folder_match, download_summary, unmatched_codes, duplicate_codes, duplicate_matches, file_manifest, aoi_ref_listing, quality_value_counts, tracker_explode,
-        tracker_references, quality_flag, inventory_rows, bbox_extract, sub_aoi_tagging, range_lookup, tracker_tiles, split_bounds, select_files, first_file, work_list, tile_density, density_class_summary, iou_histogram, boxplot_stats,
-        iou_by_size_quantile, f1_pivot, tile_f1_map, polygon_area, point_in_polygon, size_bins, utm_projection, polygon_iou_buffered, boundary_f_pair, boundary_f_tile, dissolved_area, file_tree,
+        tracker_references, quality_flag, inventory_rows, bbox_extract, sub_aoi_tagging, range_lookup, tracker_tiles, split_bounds, split_bounds_all, select_files, first_file, work_list, tile_density, density_class_summary, iou_histogram, boxplot_stats,
+        iou_by_size_quantile, f1_pivot, tile_f1_map, polygon_area, point_in_polygon, size_bins, utm_projection, polygon_iou_buffered, boundary_f_pair, boundary_f_tile, dissolved_area, file_tree, file_tree_all,
     )
 }
