@@ -216,6 +216,7 @@ def score_texts(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     rows; other columns are ignored.
     """
     packs = pk.packed(docs)
+    size = pk.sizes(packs)
 
     def keys(pack):
         used = np.array([not held_out(x) for x in pack.ids])
@@ -236,7 +237,7 @@ def score_texts(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
         tails = np.stack([np.bincount(low, sums, minlength=TAILS), np.bincount(low, minlength=TAILS)])
         return tails.astype(np.float64).tobytes() + names[top].tobytes() + sums[top].astype(np.int64).tobytes()
 
-    answers = written(pk.ask(packs, keys, 64, lambda totals: totals.astype(np.uint32), stats))
+    answers = written(pk.ask(packs, keys, 64, lambda totals: totals.astype(np.uint32), stats, parts=pk.buckets(docs.sparkSession, size.words)))
     # one row a bucket, each of bounded size
     said = answers.where("stats is not null").select("bucket", "held", "total", "stats").orderBy("bucket").collect()
     n, v = int(sum(r["total"] for r in said)), int(sum(r["held"] for r in said))
@@ -273,5 +274,5 @@ def score_texts(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
                 i = pack.ids[first + d]
                 yield {"doc_id": i, "held_out": held_out(i), "n_tokens": int(size[d]), "n_known": int(known[d]), "base_sum": float(base[d]), "score": float(total[d])}
 
-    rows = pk.answered(packs, answers, score, SCORES, _SCORES, np.uint32)
+    rows = pk.answered(packs, answers, score, SCORES, _SCORES, np.uint32, tasks=pk.buckets(docs.sparkSession, size.packs, pk.PACKS))
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base_sum").alias("base_score"), "score")

@@ -1,21 +1,25 @@
 """N-gram Jaccard join: blocked sparse product of the document by n-gram incidence.
 
 The matrix A has a row for each document and a column for each word shingle;
-A times its transpose holds the overlaps.  The product runs in column blocks.
-Columns are ordered by document frequency, then hash.  In that order two
-documents of n and m shingles that link must meet within the first
-``n - ceil(0.8 n) + 1`` and ``m - ceil(0.8 m) + 1`` of their columns, so the
-first block gives every candidate pair, and the second block, the rest of
-the columns, is accumulated for pairs whose size-derived bounds still allow a
-link: ``5 min(n, m) >= 4 max(n, m)``, at least ``0.8 n`` columns that any other
-row has, and ``4 (n + m) / 9`` such columns from the first place on where the
-two rows meet.
+A times its transpose holds the overlaps.  Only columns that two rows or more
+have can add to an overlap, so only those are stored.
+
+1. Which pairs to multiply.  Columns are ordered by document frequency, then
+   hash.  In that order two rows of n and m columns that link must meet within
+   the first ``n - ceil(0.8 n) + 1`` and ``m - ceil(0.8 m) + 1`` of their columns,
+   in sizes of ``5 min(n, m) >= 4 max(n, m)``, and with ``4 (n + m) / 9`` stored columns
+   left in both from the first meeting on.
+2. The product of those pairs runs in column blocks (a block is a set of
+   columns, by hash).  A block adds its part of the overlap to the pair's
+   count; a pair goes as soon as its count, with all columns of the blocks
+   left, can't reach ``4 (n + m) / 9``.  Later blocks are read for what is left only.
 
 Rows of equal sets are one row (a copy links with its class).  Within a column
-every row is first multiplied with one pivot row only, the most central one; pairs of rows that this
-already brought into one component need no product, all others are multiplied
-in a second round.  So a column that a third of all documents hold costs work
-in proportion to its rows, and no link between components is lost.
+every row is first paired with one pivot row only, the most central one; pairs of
+rows that this already brought into one component need no product, all others
+are paired in a second round, a column of very many rows in as many slices as it
+needs.  So a column that a third of all documents hold costs work in proportion
+to its rows, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -28,12 +32,18 @@ from pyspark.sql import functions as F
 from gridproof.llm import packs as pk
 from gridproof.llm import textops
 from gridproof.llm.components import connected
+from gridproof.llm.hot import hot_keys, join_hot
 from gridproof.sources.scratch import written
 
-#: Row classes of each pack.  shingles and first are null for a row that can't link with another class.
-#: met: how many columns any other row has; central: their mean frequency level.
-ROWS = "doc_id long, n_shingles long, sig binary, met long, central double, shingles array<long>, first array<long>"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary()), ("met", pa.int64()), ("central", pa.float64()), ("shingles", pa.list_(pa.int64())), ("first", pa.list_(pa.int64()))])
+#: Column blocks: the share of all columns in each, in eighths.  A small first one drops most pairs that don't link.
+BLOCKS = (1, 2, 5)
+#: Rows of a column in one slice of the second round.
+SLICE_ROWS = 2000
+#: Row classes of each pack.  first and the blocks are null for a row that can't link with another class.
+#: met: how many columns any other row has; central: their mean frequency level; b0 and so on: those columns by block.
+ROWS = "doc_id long, key long, n_shingles long, sig binary, met long, central double, first array<long>, " + ", ".join(f"b{k} array<long>" for k in range(len(BLOCKS)))
+_LONGS = pa.list_(pa.int64())
+_ARROW = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary()), ("met", pa.int64()), ("central", pa.float64()), ("first", _LONGS), *[(f"b{k}", _LONGS) for k in range(len(BLOCKS))]])
 
 
 def _sets(pack: pk.Pack, width: int):
@@ -67,9 +77,10 @@ def _level(counts: np.ndarray) -> np.ndarray:
 def incidence(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """ROWS of all documents, written."""
     packs = pk.packed(docs, 4 << 20)
-    words = packs.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    size = pk.sizes(packs)
     # shortened names serve the order of columns only; equal names by chance are ever rarer than one in a thousand
-    bits = min(64, max(32, int(words).bit_length() + 10))
+    bits = min(64, max(32, size.words.bit_length() + 10))
+    block_of = np.repeat(np.arange(len(BLOCKS)), BLOCKS)
 
     def keys(pack):
         g, at, _, first = _sets(pack, width)
@@ -84,29 +95,35 @@ def incidence(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         met = np.concatenate([[0], np.cumsum(level > 0)])
         for d in range(len(at) - 1):
             n = int(at[d + 1] - at[d])
-            row = {"doc_id": pack.ids[d], "n_shingles": n, "sig": sigs[d].tobytes(), "met": None, "central": None, "shingles": None, "first": None}
+            row = {"doc_id": pack.ids[d], "key": pack.keys[d], "n_shingles": n, "sig": sigs[d].tobytes()}
             if first[d] and 100 * (met[at[d + 1]] - met[at[d]]) >= percent * n:
                 s, v = g[at[d] : at[d + 1]], level[at[d] : at[d + 1]]
-                order = np.lexsort((s, v))
-                head = order[: n - (percent * n + 99) // 100 + 1]
+                head = np.lexsort((s, v))[: n - (percent * n + 99) // 100 + 1]
                 # a column that no other row has takes its place in the order but can't be met
-                row |= {"met": int((v > 0).sum()), "central": float(v.mean())}
-                row |= {"shingles": s[order].view(np.int64), "first": np.where(v[head] > 0, s[head], 0).astype(np.uint64).view(np.int64)}
+                row |= {"met": int((v > 0).sum()), "central": float(v.mean()), "first": np.where(v[head] > 0, s[head], 0).astype(np.uint64).view(np.int64)}
+                s = s[v > 0]
+                block = block_of[(s % np.uint64(len(block_of))).astype(np.int64)]
+                row |= {f"b{k}": s[block == k].view(np.int64) for k in range(len(BLOCKS))}
             yield row
 
-    answers = pk.ask(packs, keys, bits, _level)
-    out = written(pk.answered(packs, answers, rows, ROWS, _ARROW))
+    answers = pk.ask(packs, keys, bits, _level, parts=pk.buckets(docs.sparkSession, size.words))
+    out = written(pk.answered(packs, answers, rows, ROWS, _ARROW, tasks=pk.buckets(docs.sparkSession, size.packs, pk.PACKS)))
     pk.discard(packs)
     pk.release(docs.sparkSession)
     return out
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) whose whole rows have the asked overlap."""
-    a = sets.select(F.col("sig").alias("u"), F.col("shingles").alias("x"))
-    b = sets.select(F.col("sig").alias("v"), F.col("shingles").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(a, "u").join(b, "v").withColumn("both", both).where(F.expr(f"100 * both >= {percent} * (size(x) + size(y) - both)")).select("u", "v")
+def _product(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) whose overlap, summed block by block, reaches the asked share of their union."""
+    size = sets.select("sig", "n", F.col("met").alias("left"))
+    out = pairs.select("u", "v", F.lit(0).alias("overlap"))
+    out = out.join(size.toDF("u", "n", "left_u"), "u").join(size.toDF("v", "m", "left_v"), "v")
+    for k in range(len(BLOCKS)):
+        a, b = (sets.select(F.col("sig").alias(end), F.col(f"b{k}").alias(block)) for end, block in (("u", "x"), ("v", "y")))
+        out = out.join(a, "u").join(b, "v").withColumns({"overlap": F.col("overlap") + F.size(F.array_intersect("x", "y")), "left_u": F.col("left_u") - F.size("x"), "left_v": F.col("left_v") - F.size("y")})
+        out = out.drop("x", "y").where(F.expr(f"(100 + {percent}) * (overlap + least(left_u, left_v)) >= {percent} * (n + m)"))
+    # after the last block nothing is left, so what stays are links
+    return out.select("u", "v")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -121,49 +138,61 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     all of its component are null.  Repeated rows are copies.  Empty input gives
     no rows; other columns of ``docs`` are ignored.
     """
+    return _labelled(docs, width, percent).select("doc_id", "n_shingles", "component_id", "class_size")
+
+
+def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``jaccard_components`` with key, the hash of the text, and root, which names the component (null without words)."""
     rows = incidence(docs, width, percent)
-    classes = rows.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"))
-    sets = written(rows.where("shingles is not null").groupBy("sig").agg(F.first("n_shingles").alias("n"), F.max("met").alias("met"), F.max("central").alias("central"), F.first("shingles").alias("shingles"), F.first("first").alias("first")))
+    classes = written(rows.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size")))
+    one = [F.first(c).alias(c) for c in ("first", *[f"b{k}" for k in range(len(BLOCKS))])]
+    sets = written(rows.where("first is not null").groupBy("sig").agg(F.first("n_shingles").alias("n"), F.max("met").alias("met"), F.max("central").alias("central"), *one))
     # pos counts the columns before that another row may have
     cells = sets.select("sig", "n", "met", "central", F.posexplode("first").alias("at", "shingle")).where("shingle <> 0").withColumn("pos", F.expr("at - (n - met)"))
     columns = cells.groupBy("shingle").agg(F.max(F.struct("central", "sig", "n")).alias("p"), F.count("*").alias("k")).where("k > 1")
     near = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
     stars = cells.join(columns.select("shingle", F.col("p.sig").alias("u"), F.col("p.n").alias("m")), "shingle").where((F.col("sig") != F.col("u")) & near).select("u", F.col("sig").alias("v")).distinct()
     stars = written(stars)
-    links = written(_verified(stars, sets, percent))
-    label = connected(links)
+    links = written(_product(stars, sets, percent))
+    label = written(connected(links))
 
     # second round: rows that meet in a column and are still apart
-    apart = cells.join(label.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    mixed = apart.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
-    left = written(apart.join(mixed, "shingle", "left_semi"))
-    right = left.select("shingle", F.col("sig").alias("sig2"), F.col("root").alias("root2"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("met").alias("met2"))
+    apart = cells.drop("central", "at").join(label.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    mixed = apart.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo <> hi")
+    left = written(apart.join(mixed.select("shingle", F.ceil(F.col("k") / SLICE_ROWS).cast("int").alias("slices")), "shingle"))
+    one_side = left.withColumn("slice", F.pmod(F.xxhash64("sig"), "slices").cast("int"))
+    other = left.select("shingle", F.col("sig").alias("sig2"), F.col("root").alias("root2"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("met").alias("met2"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
     # what the two rows can share, if this is the first column where they meet; each linked pair has such a column
     room = F.expr(f"(100 + {percent}) * least(met - pos, met2 - pos2) >= {percent} * (n + m)")
-    met = left.join(right, "shingle").where((F.col("root") < F.col("root2")) & near & room)
+    met = one_side.join(other, ["shingle", "slice"]).where((F.col("root") < F.col("root2")) & near & room)
     met = met.select(F.least("sig", "sig2").alias("u"), F.greatest("sig", "sig2").alias("v")).distinct()
-    links = links.unionByName(_verified(met.join(stars, ["u", "v"], "left_anti"), sets, percent))
-    label = connected(written(links))
+    more = met.join(stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
+    label = connected(written(links.unionByName(_product(more, sets, percent))))
 
     roots = label.join(classes.select(F.col("sig").alias("node"), "rep"), "node").groupBy("root").agg(F.min("rep").alias("component"))
-    linked = label.join(roots, "root").select(F.col("node").alias("sig"), "component")
-    of_class = classes.join(linked, "sig", "left").select("sig", "class_size", F.coalesce("component", "rep").alias("component_id"))
-    full = rows.where("n_shingles > 0").select("doc_id", "n_shingles", "sig").join(of_class, "sig").drop("sig")
-    none = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.lit(1).cast("long").alias("class_size"), F.col("doc_id").alias("component_id"))
-    return full.unionByName(none).select("doc_id", "n_shingles", "component_id", "class_size")
+    linked = label.join(roots, "root").select(F.col("node").alias("sig"), "root", "component")
+    of_class = classes.join(linked, "sig", "left").select("sig", "class_size", F.coalesce("root", "sig").alias("root"), F.coalesce("component", "rep").alias("component_id"))
+    total = classes.agg(F.coalesce(F.sum("class_size"), F.lit(0))).first()[0]
+    full = join_hot(rows.where("n_shingles > 0").select("doc_id", "key", "n_shingles", "sig"), of_class, "sig", hot_keys(classes, "sig", "class_size", total)).drop("sig")
+    none = rows.where("n_shingles = 0").select("doc_id", "key", "n_shingles", F.lit(None).cast("binary").alias("root"), F.lit(1).cast("long").alias("class_size"), F.col("doc_id").alias("component_id"))
+    return full.unionByName(none)
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of ``docs``, of each component the document with the smallest doc_id.
+    """Rows of ``docs``, of each component the first by doc_id (null last), then by a hash of the text.
 
-    doc_id names a document: rows that repeat it are repeats, of which one
-    stays.  Rows without words or with a null doc_id all stay.  All columns
-    and their order are kept.
+    A document is a row, whatever others share its doc_id: rows that share it
+    but link with nothing all stay.  Rows equal in doc_id and text are repeats, of
+    which one stays, any one if they differ elsewhere.  Rows with a null text or
+    without words all stay.  Empty input gives no rows.  All columns and their
+    order are kept.
     """
-    found = jaccard_components(docs, width, percent).where("doc_id is not null and n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
-    named = F.col("doc_id").isNotNull() & F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
-    kept = docs.where(named).join(found, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.where(~named))
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("i"), F.col("key").alias("k")))
+    chosen = _labelled(docs, width, percent).where("root is not null").groupBy("root").agg(one.alias("one")).select("one.i", "one.k")
+    rows = docs.select(F.struct("*").alias("d"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"))
+    named = F.coalesce(F.regexp_like("d.text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    kept = rows.where(named).join(chosen, F.expr("id <=> i and key = k"), "left_semi").dropDuplicates(["id", "key"])
+    return kept.select("d.*").unionByName(rows.where(~named).select("d.*"))
 
 
 ORACLE = """

@@ -14,6 +14,7 @@ hold counts once for each pack, so a hot key makes no large group.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,12 @@ from gridproof.llm import textops
 from gridproof.sources.scratch import written
 
 PACK_BYTES = 8 << 20
-PACK = "pack_id long, ids array<long>, sizes binary, n_words long, data binary"
+#: Keys, counting a key once for each pack, that one task sorts; the number of buckets follows from it.  With ever more
+#: packs and buckets a row holds ever fewer keys, but never are there more rows than keys.
+KEYS = 4 << 20
+#: Packs whose answers one task brings back.
+PACKS = 16
+PACK = "pack_id long, ids array<long>, keys array<long>, sizes binary, n_words long, n_bytes long, data binary"
 ASKED = "pack_id long, bucket int, n long, width int, keys binary, counts binary"
 ANSWER = "pack_id long, bucket int, found binary, held long, total double, stats binary"
 
@@ -44,8 +50,22 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def buckets(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def buckets(spark: SparkSession, n: float = 0, each: int = KEYS) -> int:
+    """How many parts ``n`` things fall into, ``each`` to a part, and at least as many as the session shuffles into."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n) // each))
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """Packs, words and bytes (before compression) of a table of packs."""
+
+    packs: int
+    words: int
+    bytes: int
+
+
+def sizes(packs: DataFrame) -> Sizes:
+    return Sizes(*packs.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_bytes"), F.lit(0))).first())
 
 
 def squeeze(data: bytes) -> bytes:
@@ -57,10 +77,10 @@ def expand(data: bytes) -> bytes:
 
 
 class Pack:
-    """Documents of one pack: ids (None where null), bytes and offsets."""
+    """Documents of one pack: ids (None where null), hashes of the texts (where the pack has them), bytes and offsets."""
 
     def __init__(self, row: dict):
-        self.pack_id, self.ids = row["pack_id"], row["ids"]
+        self.pack_id, self.ids, self.keys = row["pack_id"], row["ids"], row.get("keys")
         self.offsets = np.frombuffer(row["sizes"], np.int64)
         self.data = np.frombuffer(expand(row["data"]), np.uint8)
 
@@ -73,21 +93,22 @@ class Pack:
 
 def _build(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     part, number = TaskContext.get().partitionId(), 0
-    ids, texts, sizes = [], [], [0]
+    ids, keys, texts, sizes = [], [], [], [0]
 
     def pack():
         data = b"".join(texts)
         words = sum(len(textops.spans(d, o)[0]) for d, o in _parts(data, sizes))
-        row = {"pack_id": [(part << 24) + number], "ids": [list(ids)], "sizes": [np.array(sizes, np.int64).tobytes()], "n_words": [words], "data": [squeeze(data)]}
-        return pa.RecordBatch.from_pydict(row, pa.schema([("pack_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("n_words", pa.int64()), ("data", pa.binary())]))
+        row = {"pack_id": [(part << 24) + number], "ids": [list(ids)], "keys": [list(keys)], "sizes": [np.array(sizes, np.int64).tobytes()], "n_words": [words], "n_bytes": [len(data)], "data": [squeeze(data)]}
+        return pa.RecordBatch.from_pydict(row, pa.schema([("pack_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("sizes", pa.binary()), ("n_words", pa.int64()), ("n_bytes", pa.int64()), ("data", pa.binary())]))
 
     for batch in batches:
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for i, key, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1), strict=True):
             text = (text.as_py() or "").encode()
             if ids and sizes[-1] + len(text) > size:
                 yield pack()
-                number, ids, texts, sizes = number + 1, [], [], [0]
+                number, ids, keys, texts, sizes = number + 1, [], [], [], [0]
             ids.append(i)
+            keys.append(key)
             texts.append(text)
             sizes.append(sizes[-1] + len(text))
     if ids:
@@ -102,7 +123,7 @@ def _parts(data: bytes, sizes: list[int]):
 
 def packed(docs: DataFrame, size: int = PACK_BYTES) -> DataFrame:
     """All documents in written packs of about ``size`` bytes; a null text is empty."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t"), F.xxhash64("text").alias("k"))
     return written(rows.mapInArrow(lambda batches: _build(batches, size), PACK), "none")
 
 
@@ -156,12 +177,11 @@ def counted(asked: DataFrame, bits: int, parts: int, found: Finding, stats: Call
         out = [{"pack_id": r["pack_id"], "bucket": r["bucket"], "found": squeeze(found(total[at[i] : at[i + 1]]).tobytes()), "held": firsts["held"] if not i else 0, "total": firsts["total"] if not i else 0.0, "stats": more if not i else None} for i, r in enumerate(rows)]
         return pa.Table.from_pylist(out, pa.schema([("pack_id", pa.int64()), ("bucket", pa.int32()), ("found", pa.binary()), ("held", pa.int64()), ("total", pa.float64()), ("stats", pa.binary())]))
 
-    return asked.groupBy("bucket").applyInArrow(bucket, ANSWER)
+    return asked.repartition(parts, "bucket").groupBy("bucket").applyInArrow(bucket, ANSWER)
 
 
-def ask(packs: DataFrame, keys: Callable[[Pack], tuple[np.ndarray, np.ndarray | None]], bits: int, found: Finding, stats=None) -> DataFrame:
+def ask(packs: DataFrame, keys: Callable[[Pack], tuple[np.ndarray, np.ndarray | None]], bits: int, found: Finding, stats=None, *, parts: int) -> DataFrame:
     """Rows of ANSWER, for ``keys(pack)``: sorted distinct keys and their counts in the pack."""
-    parts = buckets(packs.sparkSession)
     schema = pa.schema([("pack_id", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("width", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def send(batches):
@@ -175,7 +195,7 @@ def ask(packs: DataFrame, keys: Callable[[Pack], tuple[np.ndarray, np.ndarray |
     return counted(packs.mapInArrow(send, ASKED), bits, parts, found, stats)
 
 
-def met(packs: DataFrame, answers: DataFrame, then: Callable[[dict, np.ndarray], Iterator[dict]], schema: str, arrow: pa.Schema, dtype=np.uint8) -> DataFrame:
+def met(packs: DataFrame, answers: DataFrame, then: Callable[[dict, np.ndarray], Iterator[dict]], schema: str, arrow: pa.Schema, dtype=np.uint8, *, tasks: int) -> DataFrame:
     """Rows that ``then(row of packs, answers in the order of its keys)`` gives for each pack."""
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -184,9 +204,10 @@ def met(packs: DataFrame, answers: DataFrame, then: Callable[[dict, np.ndarray],
         rows = [r for x in left.to_pylist() for r in then(x, got)]
         return pa.Table.from_pylist(rows, arrow)
 
-    return packs.groupBy("pack_id").cogroup(answers.select("pack_id", "bucket", "found").groupBy("pack_id")).applyInArrow(both, schema)
+    asked = packs.repartition(tasks, "pack_id").groupBy("pack_id")
+    return asked.cogroup(answers.select("pack_id", "bucket", "found").repartition(tasks, "pack_id").groupBy("pack_id")).applyInArrow(both, schema)
 
 
-def answered(packs: DataFrame, answers: DataFrame, then: Callable[[Pack, np.ndarray], Iterator[dict]], schema: str, arrow: pa.Schema, dtype=np.uint8) -> DataFrame:
+def answered(packs: DataFrame, answers: DataFrame, then: Callable[[Pack, np.ndarray], Iterator[dict]], schema: str, arrow: pa.Schema, dtype=np.uint8, *, tasks: int) -> DataFrame:
     """``met`` for packs of ``packed``."""
-    return met(packs, answers, lambda row, got: then(Pack(row), got), schema, arrow, dtype)
+    return met(packs, answers, lambda row, got: then(Pack(row), got), schema, arrow, dtype, tasks=tasks)

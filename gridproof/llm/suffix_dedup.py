@@ -133,10 +133,11 @@ def remove_repeats(docs: DataFrame, match: int = 200, blocks: int = 4) -> DataFr
     """
     spark = docs.sparkSession
     packs = pk.packed(docs, 4 << 20)
-    parts = pk.buckets(spark)
-    size = packs.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
+    size = pk.sizes(packs)
     # shortened keys of the cover suffixes only open candidates; equal ones by chance open a few more
-    work = _Work(match, min(64, max(32, int(size).bit_length() + 8)), blocks)
+    work = _Work(match, min(64, max(32, size.bytes.bit_length() + 8)), blocks)
+    parts = pk.buckets(spark, size.bytes / blocks)
+    tasks = pk.buckets(spark, size.packs, pk.PACKS)
 
     def sample_keys(pack):
         return np.unique(work.samples(pack)[1], return_counts=True)
@@ -144,10 +145,10 @@ def remove_repeats(docs: DataFrame, match: int = 200, blocks: int = 4) -> DataFr
     def seen(totals):
         return (totals > 1).astype(np.uint8)
 
-    named = written(pk.ask(packs, sample_keys, work.bits, seen).select("pack_id", "bucket", "found"))
+    named = written(pk.ask(packs, sample_keys, work.bits, seen, parts=pk.buckets(spark, size.bytes * int(work.at_cover.sum()) / work.period)).select("pack_id", "bucket", "found"))
     pk.release(spark)
 
-    left = written(pk.answered(packs, named, lambda pack, met: _cut(pack, work.candidates(pack, met)), _CUT, _CUT_ARROW))
+    left = written(pk.answered(packs, named, lambda pack, met: _cut(pack, work.candidates(pack, met)), _CUT, _CUT_ARROW, tasks=tasks))
     pk.discard(packs, named)
     pk.release(spark)
 
@@ -187,4 +188,4 @@ def remove_repeats(docs: DataFrame, match: int = 200, blocks: int = 4) -> DataFr
             yield {"doc_id": i, "n_bytes": int(hi - lo), "spans": [{"start": int(a), "stop": int(b)} for a, b in turn], "kept": pack.data[lo:hi][~mask].tobytes()}
 
     settled = left.where("settled").select("doc_id", F.length("text").cast("long").alias("n_bytes"), F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)").alias("spans"), F.col("text").alias("kept"))
-    return pk.met(cut, answers, finish, SCHEMA, _ARROW).unionByName(settled)
+    return pk.met(cut, answers, finish, SCHEMA, _ARROW, tasks=tasks).unionByName(settled)

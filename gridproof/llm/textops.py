@@ -16,11 +16,15 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Texts are handled in slices of about this many bytes; one longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_TABLE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers = np.ones(1, np.uint64)
-_inverses = np.ones(1, np.uint64)
+#: Strings are hashed by two polynomials modulo this prime, at fixed random points; a modulus of 2**64 would make
+#: some regular strings collide whatever the point.
+_PRIME = (1 << 31) - 1
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_rng = np.random.default_rng(20240607)
+_POINTS = [int(x) for x in _rng.integers(1 << 20, _PRIME - 1, 2)]
+_TABLES = [_rng.permutation(np.arange(1, _PRIME, _PRIME // 257))[:256].astype(np.uint64) + _rng.integers(0, 1 << 20, 256, dtype=np.uint64) for _ in _POINTS]
+_powers = [np.ones(1, np.uint64) for _ in _POINTS]
+_inverses = [np.ones(1, np.uint64) for _ in _POINTS]
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -75,28 +79,73 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+#: Elements handled at once, so that intermediate arrays stay in a core's cache.
+_CHUNK = 1 << 14
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """Values below 2**63 to equal ones modulo the prime, below 2**33; in place."""
+    high = x >> np.uint64(31)
+    x &= np.uint64(_PRIME)
+    x += high
+    return x
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """The least values modulo the prime, of values below 2**63; in place."""
+    x = _fold(_fold(x))
+    x[x >= np.uint64(_PRIME)] -= np.uint64(_PRIME)
+    return x
+
+
+def _chain(step: int, n: int) -> np.ndarray:
+    """Powers 0 to n - 1 of a number modulo the prime, by doubling."""
+    out = np.ones(n, np.uint64)
+    have = 1
+    while have < n:
+        more = min(have, n - have)
+        out[have : have + more] = _reduced(out[:more] * np.uint64(pow(step, have, _PRIME)))
+        have += more
+    return out
+
+
 def _grow(n: int) -> None:
-    global _powers, _inverses
-    if len(_powers) <= n:
+    if len(_powers[0]) <= n:
         size = max(n + 1, SLICE_BYTES + (1 << 18))
-        step = np.full(size, _BASE, np.uint64)
-        step[0] = 1
-        _powers = np.cumprod(step, dtype=np.uint64)
-        step[1:] = _BASE_INV
-        _inverses = np.cumprod(step, dtype=np.uint64)
+        for k, point in enumerate(_POINTS):
+            _powers[k] = _chain(point, size)
+            _inverses[k] = _chain(pow(point, -1, _PRIME), size)
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Sums of table[byte] * base**i before each place, modulo 2**64."""
+    """For each of two points, sums of table[byte] * point**i before each place, to be read modulo the prime."""
     _grow(len(data))
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * _powers[: len(data)], dtype=np.uint64, out=out[1:])
+    out = np.zeros((len(_POINTS), len(data) + 1), np.uint64)
+    for k, table in enumerate(_TABLES):
+        for at in range(0, len(data), _CHUNK):
+            x = table[data[at : at + _CHUNK]]
+            x *= _powers[k][at : at + len(x)]
+            # below 2**33 each, so 2**30 bytes sum without overflow
+            np.cumsum(_fold(x), dtype=np.uint64, out=x)
+            out[k, at + 1 : at + 1 + len(x)] = x + out[k, at]
     return out
 
 
 def range_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each range, the same wherever they stand."""
-    return mix((prefix[ends] - prefix[starts]) * _inverses[starts])
+    """62-bit hash, spread over 64 bits, of the bytes of each range, the same wherever they stand."""
+    out = np.zeros(len(starts), np.uint64)
+    for at in range(0, len(out), _CHUNK):
+        lo, hi = starts[at : at + _CHUNK], ends[at : at + _CHUNK]
+        h = None
+        for k in range(len(_POINTS)):
+            x = prefix[k].take(hi)
+            x -= prefix[k].take(lo)
+            _fold(_fold(x))
+            x *= _inverses[k].take(lo)
+            _reduced(x)
+            h = x if h is None else (h << np.uint64(31)) | x
+        out[at : at + len(h)] = mix(h)
+    return out
 
 
 def runs_hash(values: np.ndarray, width: int) -> np.ndarray:
@@ -106,7 +155,7 @@ def runs_hash(values: np.ndarray, width: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
     for k in range(width):
-        out = out * _BASE + values[k : k + n]
+        out = mix(out) * _ODD + values[k : k + n]
     return mix(out)
 
 

@@ -95,3 +95,36 @@ def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(100, 140)] + [(1, k) for k in range(50, 90)] + [(7, 7), (None, 3)]
     got = {r.node: r.root for r in connected(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {k: 100 for k in range(100, 141)} | {k: 1 for k in (1, *range(50, 90))}
+
+
+def test_keep_one_goes_by_row_not_by_id(documents):
+    words = [f"w{k}" for k in range(40)]
+    near = " ".join(["x", *words[1:]])
+    other = " ".join(f"v{k}" for k in range(40))
+    rows = [(1, " ".join(words)), (1, other), (1, other), (2, near), (None, near), (None, "a text of its own")]
+    kept = sorted(((r.doc_id, r.text) for r in ngram_join.keep_one(documents(rows)).collect()), key=str)
+    assert kept == sorted([(1, " ".join(words)), (1, other), (None, "a text of its own")], key=str)
+
+
+def test_the_product_drops_what_the_bounds_exclude(spark):
+    """Overlaps are summed over all blocks; a pair below the bound goes and one at it stays."""
+    def row(name, columns):
+        blocks = [[c for c in columns if c % 8 in own] for own in ((0,), (1, 2), (3, 4, 5, 6, 7))]
+        return (bytearray(name), len(columns), len(columns), *blocks)
+
+    sets = spark.createDataFrame([row(b"a", list(range(18))), row(b"b", list(range(2, 20))), row(b"c", list(range(3, 21)))], "sig binary, n long, met long, b0 array<long>, b1 array<long>, b2 array<long>")
+    pairs = spark.createDataFrame([(bytearray(b"a"), bytearray(b"b")), (bytearray(b"a"), bytearray(b"c"))], "u binary, v binary")
+    assert [(bytes(r.u), bytes(r.v)) for r in ngram_join._product(pairs, sets, 80).collect()] == [(b"a", b"b")]
+
+
+def test_hot_keys_are_joined_without_a_shuffle(spark):
+    from gridproof.llm.hot import hot_keys, join_hot
+
+    rows = spark.range(1000).selectExpr("if(id < 600, 0, id) as k", "id")
+    counts = rows.groupBy("k").count()
+    hot = hot_keys(counts, "k", "count", 1000)
+    assert hot == [0]
+    table = counts.selectExpr("k", "k * 2 as twice").where("k <> 700")
+    for how in ("inner", "left", "left_semi"):
+        got, want = (sorted(map(tuple, df.collect()), key=str) for df in (join_hot(rows, table, "k", hot, how), rows.join(table, "k", how)))
+        assert got == want
