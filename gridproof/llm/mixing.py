@@ -1,13 +1,20 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Documents fall into blocks of their source by a hash.  A source takes all its
-blocks a whole number of times, then the first blocks of a keyed permutation
-up to its target, then documents of one last block.  These units are dealt to
-output shards: the root of a binary tree over the shards holds each source's
-exact number of units, each node draws its left half's numbers from a
-multivariate hypergeometric distribution, and the leaves say which disjoint
-range of a source's permuted units a shard gets.  Rows are then shuffled within
-their shard.  All draws come from hashes and the seed, so reruns agree.
+1. Quotas.  Documents fall into blocks of their source by a hash.  A source takes
+   all its blocks a whole number of times, then its first blocks up to its
+   target, then documents of one last block: an exact number of units (a block in
+   one pass over its source).
+2. Tree.  The root of a binary tree over the output shards holds every source's
+   number of units; each node draws its left half's numbers from a multivariate
+   hypergeometric distribution, and a leaf says which range of each source's
+   permuted units its shard gets.  A shard walks from the root to its leaf by
+   itself, with draws that depend on the seed and the node alone.
+3. Draw.  A shard maps its range through a keyed permutation of the source's
+   units, so shards draw disjoint blocks, and all are drawn.
+4. Shuffle.  Rows are shuffled within their shard by a keyed hash.
+
+What a document's mix takes is counted from the drawn blocks.  All draws come
+from hashes and the seed, so reruns agree.
 """
 
 from __future__ import annotations
@@ -15,15 +22,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridproof.llm.packs import buckets
+from gridproof.llm.textops import mix
 from gridproof.sources.scratch import written
 
 WEIGHTS = (3, 1, 2)
-#: A prime above any number of blocks, so that multiples of it permute them.
-_STEP = 2_147_483_647
 #: Blocks are first summed in this many ranges of a source, then within one range.
 _RANGES = 1024
 
@@ -82,9 +89,8 @@ class Mix:
         plan = plan.withColumn("full", F.floor(F.col("target") / size).cast("int")).withColumn("rest", F.col("target") - F.col("full") * F.col("source_size"))
         self.plan = written(plan.withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / block_docs)).cast("long")))
         placed = self.sized.join(self.plan.withColumnRenamed("source", "own"), F.expr("source <=> own")).drop("own")
-        block = F.pmod("key", "n_blocks")
-        rank = F.pmod(F.pmod(block * F.lit(_STEP), "n_blocks") + F.pmod(F.xxhash64("source", F.lit(seed)), "n_blocks"), "n_blocks")
-        self.placed = placed.withColumn("rank", rank)
+        # a block is what a hash of the document says, so the blocks of a source stand in no order already
+        self.placed = placed.withColumn("rank", F.pmod("key", "n_blocks"))
         self.chosen = written(self._chosen())
 
     def _chosen(self) -> DataFrame:
@@ -111,33 +117,57 @@ class Mix:
         plain = out.where("not (rank <=> last)").withColumn("taken_rest", F.expr("rest > 0 and rank <= coalesce(taken_to, -1)"))
         return edge.unionByName(plain).drop("start")
 
-    def taken(self) -> DataFrame:
-        """doc_id, size, source_size, target, taken of each row."""
-        taken = (F.col("full") + F.col("taken_rest").cast("int")) * F.col("size")
-        return self.chosen.select("doc_id", "source", F.col("size").cast("long").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", taken.cast("long").alias("taken"))
+    def draws(self, shards: int | None = None) -> DataFrame:
+        """(source, copy, rank, shard) of every unit: the blocks that each shard draws, one row each.
 
-    def dealt(self, shards: int) -> DataFrame:
-        """(s, n, stops): each source, its number of units, and where each shard's range of its permuted units ends."""
+        By default there are as many shards as shuffle partitions, so a shard stays within a task.
+        """
         spark = self.docs.sparkSession
+        shards = shards or buckets(spark)
         rest = self.chosen.where("taken_rest").groupBy("source").agg((F.max("rank") + 1).alias("r")).select(F.col("source").alias("s"), "r")
-        units = self.plan.join(rest, F.expr("source <=> s"), "left").select("source", (F.col("full") * F.col("n_blocks") + F.coalesce("r", F.lit(0))).alias("n"))
-        # one number for each source, not for each document
+        units = self.plan.join(rest, F.expr("source <=> s"), "left").select("source", "n_blocks", (F.col("full") * F.col("n_blocks") + F.coalesce("r", F.lit(0))).alias("n"))
+        # two numbers for each source, not for each document
         rows = sorted(units.collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-        stops = split_tree(np.array([r["n"] for r in rows], np.int64), shards, self.seed).cumsum(0)
-        return spark.createDataFrame([(r["source"], int(r["n"]), stops[:, j].tolist()) for j, r in enumerate(rows)], "s string, n long, stops array<long>")
+        names, blocks, counts = [r["source"] for r in rows], [r["n_blocks"] for r in rows], np.array([r["n"] for r in rows], np.int64)
+        seed, schema = self.seed, pa.schema([("source", pa.string()), ("copy", pa.int32()), ("rank", pa.int64()), ("shard", pa.int32())])
+
+        def draw(batches):
+            for batch in batches:
+                for shard in batch.column(0).to_pylist():
+                    first, n = leaf(counts, shards, shard, seed)
+                    for k in np.flatnonzero(n):
+                        unit = permuted(np.arange(first[k], first[k] + n[k]), int(counts[k]), seed * 1_000_003 + int(k))
+                        copy, rank = unit // blocks[k] + 1, unit % blocks[k]
+                        yield pa.RecordBatch.from_arrays([pa.array([names[k]] * len(unit), pa.string()), pa.array(copy, pa.int32()), pa.array(rank, pa.int64()), pa.array(np.full(len(unit), shard), pa.int32())], schema=schema)
+
+        return spark.range(shards, numPartitions=min(shards, buckets(spark))).mapInArrow(draw, "source string, copy int, rank long, shard int")
+
+    def drawn(self, shards: int | None = None) -> DataFrame:
+        """chosen with draws, the (copy, shard) of all units that hold the document.
+
+        The units of a block, at most ``most`` and one, travel to its documents
+        in one row.  A block that is cut keeps its last copy for the documents taken.
+        """
+        block = self.draws(shards).groupBy(F.col("source").alias("s"), F.col("rank").alias("r")).agg(F.sort_array(F.collect_list(F.struct("copy", "shard"))).alias("units"))
+        out = self.chosen.join(block, F.expr("source <=> s and rank = r"), "left").drop("s", "r")
+        units = F.coalesce("units", F.array().cast("array<struct<copy:int,shard:int>>"))
+        return out.withColumn("draws", F.filter(units, lambda u: (u["copy"] <= F.col("full")) | F.col("taken_rest"))).drop("units")
+
+    def taken(self, shards: int | None = None) -> DataFrame:
+        """doc_id, size, source_size, target, taken, source of each row; taken sums the sizes of the copies that shards drew."""
+        taken = F.size("draws") * F.col("size")
+        return self.drawn(shards).select("doc_id", F.col("size").cast("long").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", taken.cast("long").alias("taken"), "source")
 
     def mixed(self, shards: int | None = None) -> DataFrame:
         """Copies of the rows of ``docs`` in their shards: its columns, and copy, shard, position in place of any of these names.
 
-        By default there are as many shards as shuffle partitions, so a shard stays within a task.
+        Null texts and sources are mixed like others.  Repeated rows have the same
+        copies in the same shards, but those in a cut block may get one copy more
+        than the plan says.  Empty input gives no rows.
         """
         shards = shards or buckets(self.docs.sparkSession)
-        copies = self.chosen.select("doc_id", "source", "key", "rank", "n_blocks", F.explode(F.sequence(F.lit(0), F.col("full") + F.col("taken_rest").cast("int"))).alias("copy")).where("copy > 0")
-        copies = copies.withColumn("unit", F.expr("(copy - 1) * n_blocks + rank"))
-        at = F.pmod(F.pmod(F.col("unit") * F.lit(_STEP), "n") + F.pmod(F.xxhash64("source", F.lit(self.seed + 1)), "n"), "n")
-        placed = copies.join(self.dealt(shards), F.expr("source <=> s")).withColumn("at", at).withColumn("shard", _first_above("stops", "at", shards))
         # repeated rows have the same copies, so each is placed once
-        placed = placed.groupBy("doc_id", "source", "key").agg(F.collect_set(F.struct("copy", "shard")).alias("to"))
+        placed = self.drawn(shards).where(F.size("draws") > 0).groupBy("doc_id", "source", "key").agg(F.array_distinct(F.flatten(F.collect_list("draws"))).alias("to"))
         rows = self.docs.select(F.struct("*").alias("d"), F.col("doc_id").cast("long").alias("i"), F.col("source").cast("string").alias("s"), F.xxhash64("doc_id", "text", F.lit(self.seed)).alias("k"))
         rows = rows.join(placed, F.expr("k = key and i <=> doc_id and s <=> source")).select("d", "k", F.explode("to").alias("c"))
         rows = rows.select("d", F.col("c.copy").alias("copy"), F.col("c.shard").alias("shard"), F.xxhash64("k", "c.copy", F.lit(self.seed)).alias("position"))
@@ -145,34 +175,47 @@ class Mix:
         return rows.repartition(shards, "shard").sortWithinPartitions("shard", "position", "d.doc_id").select(*own, "copy", "shard", "position")
 
 
-def _first_above(stops: str, value: str, n: int) -> Column:
-    """Index of the first of n sorted numbers above the value, by halving."""
-    def halve(a: Column, _: Column) -> Column:
-        middle = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
-        past = F.get(F.col(stops), middle) <= F.col(value)
-        open_ = a["lo"] < a["hi"]
-        return F.struct(F.when(open_ & past, middle + 1).otherwise(a["lo"]).alias("lo"), F.when(open_ & ~past, middle).otherwise(a["hi"]).alias("hi"))
+def permuted(at: np.ndarray, n: int, key: int) -> np.ndarray:
+    """Images of numbers below n under a keyed permutation of 0 to n - 1.
 
-    start = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(n.bit_length())), start, halve, lambda a: a["lo"])
+    A Feistel network of four rounds over the next even number of bits; an image
+    outside goes through it again until it is inside.
+    """
+    half = max(1, -(-(n - 1).bit_length() // 2))
+    mask, shift = np.uint64((1 << half) - 1), np.uint64(half)
+    out = at.astype(np.uint64)
+    todo = np.arange(len(out))
+    while len(todo):
+        left, right = out[todo] >> shift, out[todo] & mask
+        for turn in range(4):
+            left, right = right, left ^ (mix(right, key * 4 + turn) & mask)
+        out[todo] = (left << shift) | right
+        todo = todo[out[todo] >= np.uint64(n)]
+    return out.astype(np.int64)
+
+
+def _left(counts: np.ndarray, first: int, stop: int, seed: int) -> np.ndarray:
+    """What the left half of a node over shards first to stop - 1 gets of ``counts``."""
+    middle, total = (first + stop) // 2, int(counts.sum())
+    draw = total * (middle - first) // (stop - first)
+    return np.random.default_rng([seed, first, stop]).multivariate_hypergeometric(counts, draw, method="marginals") if total else counts * 0
+
+
+def leaf(units: np.ndarray, shards: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each source where the shard's range of units begins and how many it has, by a walk from the root."""
+    first, stop, counts, begin = 0, shards, units, units * 0
+    while stop - first > 1:
+        middle, left = (first + stop) // 2, _left(counts, first, stop, seed)
+        if shard < middle:
+            stop, counts = middle, left
+        else:
+            first, begin, counts = middle, begin + left, counts - left
+    return begin, counts
 
 
 def split_tree(units: np.ndarray, shards: int, seed: int) -> np.ndarray:
     """Units of each source for each shard: rows sum to near equal shares, columns to ``units``."""
-    out = np.zeros((shards, len(units)), np.int64)
-
-    def deal(counts: np.ndarray, first: int, stop: int) -> None:
-        if stop - first == 1:
-            out[first] = counts
-            return
-        middle, total = (first + stop) // 2, int(counts.sum())
-        draw = total * (middle - first) // (stop - first)
-        left = np.random.default_rng([seed, first, stop]).multivariate_hypergeometric(counts, draw, method="marginals") if total else counts * 0
-        deal(left, first, middle)
-        deal(counts - left, middle, stop)
-
-    deal(units, 0, shards)
-    return out
+    return np.stack([leaf(units, shards, k, seed)[1] for k in range(shards)])
 
 
 def mix_plan(docs: DataFrame, **options) -> Mix:

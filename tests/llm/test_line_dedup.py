@@ -119,3 +119,34 @@ def test_both_queries_give_their_sql(spark):
         rows[name] = sorted(tuple(r) for r in QUERIES[name](spark, "/root/testdata/sf0.01").collect())
         assert rows[name] == sorted(con.execute(ORACLE_SQL[name]).fetchall())
     assert sum(r[2] for r in rows["op9_long_line_dedup"]) > sum(r[2] for r in rows["op9_line_dedup"])
+
+
+def test_selected_lines_are_window_minima_once(documents):
+    """Every window has its first least line among the selected ones, no line is selected twice, and not all are."""
+    rows = [(1, "\n".join(f"line {k % 37}" for k in range(200)))]
+    got = line_dedup.fingerprints(documents(rows), 4, None).collect()
+    chosen = {r.pos: r for r in got}
+    assert len(chosen) == len(got) < 110
+    h = {r.pos - r.at + k: x for r in got for k, x in enumerate(r.h)}
+    want = {min(range(s, s + 4), key=lambda k: (h[k], k)) for s in range(197)}
+    assert set(chosen) == want
+    assert all(r.fingerprint == h[r.pos] for r in got)
+
+
+def test_a_line_in_most_documents(documents):
+    """A fingerprint and a run that are hot take the other way; results agree with brute force."""
+    rows = [(k, f"menu\nlogin\nown {k}\nmenu\nend {k % 7}") for k in range(400)]
+    assert run(documents(rows), 2) == brute(rows, 2)
+
+
+def test_without_selection_or_extension_nothing_is_found(documents, monkeypatch):
+    df = documents([(1, "a\nb\nc"), (2, "a\nb\nd")])
+    assert sum(r[3] for r in run(df, 2)) == 2
+    whole = line_dedup.fingerprints
+    with monkeypatch.context() as m:
+        m.setattr(line_dedup, "fingerprints", lambda *a: whole(*a).limit(0))
+        assert sum(r[3] for r in run(df, 2)) == 0
+    with monkeypatch.context() as m:
+        extended = line_dedup._extended
+        m.setattr(line_dedup, "_extended", lambda *a: extended(*a).limit(0))
+        assert sum(r[3] for r in run(df, 2)) == 0

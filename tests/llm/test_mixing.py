@@ -92,3 +92,46 @@ def test_repeated_rows(documents):
     mix = mixing.mix_plan(documents(rows))
     assert len(mix.taken().collect()) == 9
     assert mix.mixed(2).count() >= 9
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 6, 7, 9, 14, 31, 63, 64, 126, 1000])
+def test_permutation_is_one_and_is_none_of_the_plain_ones(n):
+    every = np.arange(n)
+    got = mixing.permuted(every, n, 5)
+    assert sorted(got) == every.tolist()
+    if n > 10:
+        assert (got != every).mean() > 0.5 and (got != every[::-1]).mean() > 0.5
+        # neighbours don't stay neighbours
+        assert (np.abs(np.diff(got)) == 1).mean() < 0.3
+        assert (got != mixing.permuted(every, n, 6)).any()
+
+
+def test_shards_draw_disjoint_blocks_and_all_of_them(documents):
+    mix = mixing.mix_plan(documents(rows_of(900)), block_docs=10)
+    draws = [(r.source, r.copy, r["rank"], r.shard) for r in mix.draws(7).collect()]
+    units = [d[:3] for d in draws]
+    assert len(set(units)) == len(units)
+    plan = {r.source: r for r in mix.plan.collect()}
+    for source, r in plan.items():
+        full = {(c, b) for s, c, b in units if s == source and c <= r.full}
+        assert full == {(c + 1, b) for c in range(r.full) for b in range(r.n_blocks)}
+    # exact quotas: what the tree's leaves say
+    counts = Counter(d[0] for d in draws)
+    names = sorted(plan, key=lambda s: (s is None, (s or "").encode()))
+    tree = mixing.split_tree(np.array([counts[s] for s in names]), 7, mix.seed)
+    assert all(Counter(d[3] for d in draws if d[0] == s) == {k: int(v) for k, v in enumerate(tree[:, j]) if v} for j, s in enumerate(names))
+
+
+def test_taken_comes_from_the_draws(documents, monkeypatch):
+    df = documents(rows_of(100))
+    whole = sorted(map(str, mixing.mix_plan(df).taken(3).collect()))
+    assert whole == sorted(map(str, mixing.mix_plan(df).taken(5).collect()))
+    draws = mixing.Mix.draws
+    monkeypatch.setattr(mixing.Mix, "draws", lambda self, shards=None: draws(self, shards).limit(0))
+    assert sum(r.taken for r in mixing.mix_plan(df).taken().collect()) == 0
+
+
+def test_query_columns(spark):
+    from gridproof.llm.queries import op4_mixing
+
+    assert op4_mixing(spark, "/root/testdata/sf0.001").columns[:5] == ["doc_id", "size", "source_size", "target", "taken"]
