@@ -1,21 +1,28 @@
 """Benchmark decontamination: a BM25 index of test items, searched by block-max WAND.
 
-Items are indexed in blocks of a few; a word's impact on an item is its BM25
-weight over the item's own best score, so 1 means that all its words are there
-and one threshold serves all items.  Every document is cut into half
-passages as long as the longest item; each two neighbours form a passage, so an
-item copied anywhere lies within one.  Each passage is a query.
-
-The largest impact of a word in a block bounds what the block can score; bounds
-of a slice of passages are summed in numpy, and only blocks that can reach the
-threshold are searched, document at a time, with WAND pivots.  Retrieved items
-are verified on whole text: the five-word shingles of the question and the
-words of the answer must be found in the passage.
+Document frequencies, mean length and passage length are those of all items.
+A word's impact on an item is its BM25 weight over the item's own best score, so
+1 means that all its words are there and one threshold serves all items.
+Postings are cut into parts of bounded size, which changes nothing in any score,
+and items of a part into blocks of a few.  Parts are built by tasks and written;
+a pass over the documents takes some parts with it, so what is broadcast at once
+has a bound whatever the number of items.
+
+Every document is cut into half passages as long as the longest item; each two
+neighbours form a passage, so an item copied anywhere lies within one.  Each
+passage is a query.  The largest impact of a word in a block bounds what the
+block can score; bounds of a slice of passages are summed in numpy, and only
+blocks that can reach the threshold are searched, document at a time, with WAND
+pivots.  Retrieved items are verified on whole text: the five-word shingles of
+the question and the words of the answer must be found in the passage.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridproof.llm import textops
+from gridproof.llm.hot import hot_keys, join_hot
+from gridproof.sources.scratch import written
 
 K1, B = 1.2, 0.75
-#: Item bytes of one index, whose bounds are a dense table of words by blocks, and indexes searched in one pass.
-#: More items make further passes over the documents.
-INDEX_BYTES = 128 << 10
-PASS_INDEXES = 32
+#: Item bytes of one part of the index, whose bounds are a dense table of words by blocks, and parts searched in one
+#: pass, 4 MB of items.  More items make further passes over the documents.
+PART_BYTES = 128 << 10
+PASS_PARTS = 32
 
 
 _SIGN = np.zeros(256, bool)
@@ -54,10 +63,6 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return textops.range_hash(textops.prefix_hash(data), starts[keep], ends[keep]), doc[keep]
 
 
-def _hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    return word_hashes(*textops.column_bytes(pa.array(texts, pa.large_string())))
-
-
 def split_item(n_words: int) -> int:
     """Where an item without fields of its own parts: the last fifth of its words, three at least, is the answer."""
     return max(0, n_words - max(3, n_words // 5))
@@ -84,23 +89,20 @@ class Index:
     longest: int = 1
 
     @classmethod
-    def build(cls, items: list, texts: list[str | None], per_block: int = 8) -> Index:
-        h, doc = _hashes([t or "" for t in texts])
-        n = len(items)
-        words = [h[doc == k] for k in range(n)]
-        index = cls(items, words)
-        index.longest = max([5, *map(len, words)])
+    def build(cls, items: list, words: list[np.ndarray], df: list[np.ndarray], n: int, mean: float, longest: int, per_block: int = 8) -> Index:
+        """A part with some items, the frequency of each of their words among all ``n`` items, and all items' mean and greatest length."""
+        index = cls(items, words, longest=longest)
         size = np.array([len(w) for w in words], float)
-        mean = max(1.0, size.mean()) if n else 1.0
-        index.vocabulary = np.unique(h)
+        h, doc = np.concatenate([np.zeros(0, np.uint64), *words]), np.repeat(np.arange(len(items)), size.astype(int))
+        index.vocabulary, first = np.unique(h, return_index=True)
+        frequency = np.concatenate([np.zeros(0), *df])[first]
         pairs, tf = np.unique(np.stack([doc, np.searchsorted(index.vocabulary, h)], 1), axis=0, return_counts=True) if len(h) else (np.zeros((0, 2), np.int64), np.zeros(0))
         item, term = pairs[:, 0], pairs[:, 1]
-        df = np.bincount(term, minlength=len(index.vocabulary))
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        idf = np.log(1 + (n - frequency + 0.5) / (frequency + 0.5))
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / mean))
-        best = np.bincount(item, weight, minlength=n)
+        best = np.bincount(item, weight, minlength=len(items))
         impact = weight / np.maximum(1e-12, best[item])
-        n_blocks = -(-n // per_block)
+        n_blocks = -(-len(items) // per_block)
         index.bounds = np.zeros((len(index.vocabulary), n_blocks), np.float32)
         np.maximum.at(index.bounds, (term, item // per_block), impact.astype(np.float32))
         # float32 may round down
@@ -213,22 +215,42 @@ def _search(index: Index, h: np.ndarray, doc: np.ndarray, n_texts: int, threshol
     return [best[k] for k in sorted(best)]
 
 
-def indexes(benchmark: DataFrame) -> list[Index]:
-    """Indexes of all items, each of a bounded size; items are read one at a time in order of item_id."""
-    out, items, texts, size = [], [], [], 0
-    for r in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        if items and size > INDEX_BYTES:
-            out.append(Index.build(items, texts))
-            items, texts, size = [], [], 0
-        items.append(r["item_id"])
-        texts.append(r["text"])
-        size += len(r["text"] or "")
-    return [*out, Index.build(items, texts)] if items else out
+def _item_words(batches):
+    for batch in batches:
+        h, doc = word_hashes(*textops.column_bytes(batch.column(1)))
+        at = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+        words = [h[at[k] : at[k + 1]].view(np.int64) for k in range(batch.num_rows)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(words, pa.list_(pa.int64()))], ["item_id", "size", "words"])
+
+
+def index_parts(benchmark: DataFrame) -> DataFrame:
+    """(part, data): the index of all items that have words, in written parts of about PART_BYTES of items."""
+    items = benchmark.select(F.col("item_id").cast("long"), "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
+    items = written(items.mapInArrow(_item_words, "item_id long, size long, words array<long>"))
+    n, total, words, longest = items.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum(F.size("words")), F.lit(0)), F.coalesce(F.max(F.size("words")), F.lit(0))).first()
+    longest, mean = max(5, longest), max(1.0, words / max(1, n))
+    # rows as read from the written table keep their numbers; repeated items are items of their own
+    items = written(items.where(F.size("words") > 0).withColumn("row", F.monotonically_increasing_id()))
+    df = written(items.select(F.explode(F.array_distinct("words")).alias("h")).groupBy("h").agg(F.count("*").alias("df")))
+    told = join_hot(items.select("row", F.posexplode("words").alias("pos", "h")), df, "h", hot_keys(df, "h", "df", words)).groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "df"))), lambda x: x["df"]).alias("df"))
+    parts = max(1, -(-int(total) // PART_BYTES))
+    known = items.join(told, "row").withColumn("part", F.pmod(F.xxhash64("item_id", "words"), F.lit(parts)).cast("int"))
+
+    def build(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["words"]))
+        index = Index.build([r["item_id"] for r in rows], [np.array(r["words"], np.int64).view(np.uint64) for r in rows], [np.array(r["df"], float) for r in rows], n, mean, longest)
+        return pa.Table.from_pylist([{"part": rows[0]["part"], "data": pickle.dumps(index)}], pa.schema([("part", pa.int32()), ("data", pa.binary())]))
 
+    return written(known.select("part", "item_id", "words", "df").groupBy("part").applyInArrow(build, "part int, data binary"))
 
-def _passes(benchmark: DataFrame) -> list[list[Index]]:
-    every = indexes(benchmark)
-    return [every[k : k + PASS_INDEXES] for k in range(0, len(every), PASS_INDEXES)]
+
+def _passes(benchmark: DataFrame) -> Iterator[list[bytes]]:
+    """The parts of each pass over the documents; one pass at a time is in memory."""
+    parts = index_parts(benchmark)
+    numbers = [r["part"] for r in parts.select("part").orderBy("part").collect()]
+    for k in range(0, len(numbers), PASS_PARTS):
+        some = numbers[k : k + PASS_PARTS]
+        yield [bytes(r["data"]) for r in parts.where(F.col("part").between(some[0], some[-1])).orderBy("part").collect()]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, question: float = 0.8, answer: float = 0.8) -> DataFrame:
@@ -244,10 +266,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
     spark = docs.sparkSession
     fields = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("passage", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]
     schema = "doc_id long, item_id long, passage long, score double, question_overlap double, answer_overlap double"
-    out = spark.createDataFrame([], schema)
+    found = []
     for some in _passes(benchmark):
 
         def run(batches, some=some):
+            some = [pickle.loads(x) for x in some]
             for batch in batches:
                 ids, rows = batch.column(0).to_pylist(), []
                 data, offsets = textops.column_bytes(batch.column(1))
@@ -256,16 +279,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
                         rows.append((ids[a + d], item, at, score, asked, told))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(fields)], [n for n, _ in fields])
 
-        out = out.unionByName(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema))
-    return out
+        if found:
+            # the last pass stays lazy; the parts of earlier ones are let go
+            found[-1] = written(found[-1])
+        found.append(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema))
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, question: float = 0.8, answer: float = 0.8) -> DataFrame:
-    """Rows of ``docs`` without any test item, with all their columns, without a shuffle."""
+    """Rows of ``docs`` without any test item, with all their columns, without a shuffle.
+
+    Nulls: rows with a null text hold no item and stay; ids play no part.
+    Repeated rows go or stay together.  Items without words are in no document;
+    an empty benchmark keeps all rows, and empty ``docs`` give none.
+    """
     at = docs.columns.index("text")
     for some in _passes(benchmark):
 
         def run(batches, some=some):
+            some = [pickle.loads(x) for x in some]
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 data, offsets = textops.column_bytes(batch.column(at))
