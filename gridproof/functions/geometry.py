@@ -61,9 +61,15 @@ def _edges(ring: Column) -> Column:
     return F.zip_with(ring, after, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
 
 
+def _local(ring: Column) -> Column:
+    """The ring seen from its first point, so that products of plane coordinates of millions of metres lose no digits."""
+    o = F.element_at(ring, 1)
+    return F.transform(ring, lambda p: F.struct((p["x"] - o["x"]).alias("x"), (p["y"] - o["y"]).alias("y")))
+
+
 def ring_area(ring) -> Column:
     """Shoelace area; 0 for fewer than three points."""
-    r = col(ring)
+    r = _local(col(ring))
     twice = F.aggregate(_edges(r), F.lit(0.0), lambda a, e: a + e["p"]["x"] * e["q"]["y"] - e["q"]["x"] * e["p"]["y"])
     return F.when(F.size(r) < 3, F.lit(0.0)).otherwise(F.abs(twice) / 2)
 
@@ -85,9 +91,9 @@ def ring_centroid(ring) -> Column:
 
     def end(s: Column) -> Column:
         first = F.element_at(r, 1)
-        return F.when(s["a"] != 0, F.struct((s["x"] / (3 * s["a"])).alias("x"), (s["y"] / (3 * s["a"])).alias("y"))).otherwise(F.struct(first["x"].alias("x"), first["y"].alias("y")))
+        return F.when(s["a"] != 0, F.struct((first["x"] + s["x"] / (3 * s["a"])).alias("x"), (first["y"] + s["y"] / (3 * s["a"])).alias("y"))).otherwise(F.struct(first["x"].alias("x"), first["y"].alias("y")))
 
-    return F.aggregate(_edges(r), zero, add, end)
+    return F.aggregate(_edges(_local(r)), zero, add, end)
 
 
 def ring_bounds(ring) -> Column:

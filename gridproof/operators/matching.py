@@ -47,13 +47,16 @@ def greedy_match(pairs: DataFrame, tau: float = 0.5) -> DataFrame:
 
     def take(table: pa.Table) -> pa.Table:
         iou, ref, cand = (table.column(k).to_numpy() for k in ("iou", "ref_id", "cand_id"))
-        used_ref, used_cand, keep = set(), set(), []
-        for k, r, c in zip(order := np.lexsort((cand, ref, -iou)), ref[order].tolist(), cand[order].tolist(), strict=True):
-            if r not in used_ref and c not in used_cand:
-                used_ref.add(r)
-                used_cand.add(c)
-                keep.append(k)
-        return table.take(pa.array(sorted(keep)))
+        left, keep = np.lexsort((cand, ref, -iou)), []
+        # what is first for both its ends is taken, whatever else is; its ends go, and the rest has new firsts
+        while len(left):
+            first = np.zeros(len(left), int)
+            for side in (ref, cand):
+                first[np.unique(side[left], return_index=True)[1]] += 1
+            best = left[first == 2]
+            keep.append(best)
+            left = left[~np.isin(ref[left], ref[best]) & ~np.isin(cand[left], cand[best])]
+        return table.take(pa.array(np.sort(np.concatenate(keep)))) if keep else table
 
     return pairs.where(F.col("iou") >= tau).groupBy(*KEYS).applyInArrow(take, schema)
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gridproof.functions.exprs import col, mean_dropping_missing, precision_recall_f1, ratio
 from gridproof.functions.geometry import BOX, overlap_length
-from gridproof.operators.tiling import box_cells
+from gridproof.operators.tiling import assign_tiles
 
 CATEGORICAL = ("wsf_tracker", "binary", "nonzero", "value_in")
 
@@ -99,14 +99,21 @@ def regrid(cells: DataFrame, native: float, target: float, keys: Sequence[str] =
 
 
 def reference_fraction(refs: DataFrame, resolution: float, oversample: int = 4) -> DataFrame:
-    """Share of each cell's sub-cells whose centre lies in a box: city, gx, gy, ref_share.  Overlapping boxes count once."""
+    """Share of each cell's sub-cells whose centre lies in a box: city, gx, gy, ref_share.  Overlapping boxes count once.
+
+    A box has a row in each cell that it covers a sub-cell of, with one mask of
+    the covered sub-cells for each row of them; masks meet by bit_or, so nothing
+    is kept for single sub-cells.
+    """
     s = resolution / oversample
-    for axis, lo, hi in (("sx", "xmin", "xmax"), ("sy", "ymin", "ymax")):
+    for axis, lo, hi in (("gx", "xmin", "xmax"), ("gy", "ymin", "ymax")):
         first, last = F.ceil(F.col(lo) / s - 0.5), F.ceil(F.col(hi) / s - 0.5) - 1
-        span = F.when(first <= last, F.sequence(first, last))
-        refs = refs.withColumn(axis, F.explode(span))
-    sub = refs.select("city", "sx", "sy").distinct()
-    return sub.groupBy("city", F.floor(F.col("sx") / oversample).alias("gx"), F.floor(F.col("sy") / oversample).alias("gy")).agg((F.count("*") / float(oversample**2)).alias("ref_share"))
+        cells = F.when(first <= last, F.sequence(F.floor(first / oversample), F.floor(last / oversample)))
+        refs = refs.withColumn(axis, F.explode(cells)).withColumns({f"_{axis}0": F.greatest(F.lit(0), first - F.col(axis) * oversample), f"_{axis}1": F.least(F.lit(oversample - 1), last - F.col(axis) * oversample)})
+    masks = {f"m{k}": F.bit_or(F.when(F.lit(k).between(F.col("_gy0"), F.col("_gy1")), F.expr("(shiftleft(1L, cast(_gx1 - _gx0 + 1 as int)) - 1) * shiftleft(1L, cast(_gx0 as int))")).otherwise(F.lit(0).cast("long"))) for k in range(oversample)}
+    cells = refs.groupBy("city", "gx", "gy").agg(*[m.alias(k) for k, m in masks.items()])
+    count = sum((F.bit_count(k) for k in masks), F.lit(0))
+    return cells.select("city", "gx", "gy", (count / float(oversample**2)).alias("ref_share"))
 
 
 def tile_cells(tiles: DataFrame, resolution: float) -> DataFrame:
@@ -180,7 +187,7 @@ def tile_metrics(tiles: DataFrame, refs: DataFrame, native: DataFrame, native_re
         F.count("*").alias("n_pixels"), count().alias("n_valid"), count(ref, pred).alias("tp"), count(~ref, pred).alias("fp"), count(ref, ~pred).alias("fn"), count(~ref, ~pred).alias("tn"),
         F.sum(F.when(valid, share * px)).alias("ref_area_m2"), F.sum(F.when(valid, F.coalesce("pred_area", F.lit(0.0)))).alias("pred_area_m2"),
     )
-    built = box_cells(refs, tile_size).join(tiles.select("city", "ix", "iy", "tile_id"), ["city", "ix", "iy"]).groupBy("city", "tile_id").agg(F.count("*").alias("ref_building_count"), F.avg("area_m2").alias("mean_ref_building_area_m2"))
+    built = assign_tiles(refs, tiles, tile_size).groupBy("city", "tile_id").agg(F.count("*").alias("ref_building_count"), F.avg("area_m2").alias("mean_ref_building_area_m2"))
     out = per.join(built, ["city", "tile_id"], "left")
     none = F.col("n_valid") == 0
     p, r, f1 = precision_recall_f1("tp", "fp", "fn", None)

@@ -9,7 +9,7 @@ from gridproof.functions.geometry import boxes_touch
 
 
 def make_tiles(areas: DataFrame, size: float, parts: DataFrame | None = None, clip: bool = False, snap: bool = False) -> DataFrame:
-    """Square tiles over each area's bounds: city, ix, iy, tile_id, x0, y0, x1, y1.
+    """Square tiles over each area's bounds: city, ix, iy, tile_id, x0, y0, x1, y1, and the grid's origin ox, oy.
 
     ``areas`` has city and bounds.  With ``parts`` (boxes of each city) only tiles
     that touch a part stay.  tile_id counts the tiles of a city that stay, by ix,
@@ -32,32 +32,41 @@ def make_tiles(areas: DataFrame, size: float, parts: DataFrame | None = None, cl
         grid = grid.withColumns({"x0": F.greatest("x0", "xmin"), "y0": F.greatest("y0", "ymin"), "x1": F.least("x1", "xmax"), "y1": F.least("y1", "ymax")})
     # a city has as many tiles as its area holds
     order = F.expr("row_number() over (partition by city order by ix, iy) - 1").cast("long")
-    return grid.withColumn("tile_id", order).select("city", F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy"), "tile_id", "x0", "y0", "x1", "y1")
+    return grid.withColumn("tile_id", order).select("city", F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy"), "tile_id", "x0", "y0", "x1", "y1", "ox", "oy")
 
 
-def box_cells(df: DataFrame, size: float, ox: float = 0.0, oy: float = 0.0) -> DataFrame:
-    """df with ix and iy, a row for each tile whose closed square the box touches, so an edge on a line counts twice."""
-    s = F.lit(float(size))
-    for axis, lo, hi, o in (("ix", "xmin", "xmax", ox), ("iy", "ymin", "ymax", oy)):
-        first, last = F.ceil((F.col(lo) - o) / s) - 1, F.floor((F.col(hi) - o) / s)
-        df = df.withColumn(axis, F.explode(F.sequence(first, last)))
-    return df
+#: Slack, in tiles, that rounding may need to number a coordinate's tile; the tile's own sides decide.
+_SLACK = 1e-9
 
 
 def assign_tiles(boxes: DataFrame, tiles: DataFrame, size: float) -> DataFrame:
-    """Boxes with the tile_id of every tile they touch; boxes outside all tiles go.
+    """Boxes with ix, iy and tile_id of every tile whose closed square they touch, so an edge on a line counts twice.
 
-    The grids start at (0, 0); the join is an equi-join on (city, ix, iy).
+    Boxes outside all tiles go.  Cells are numbered from the origin of each
+    city's grid and joined by number; the box is then held against the sides of
+    the tile.
     """
-    return box_cells(boxes, size).join(tiles.select("city", "ix", "iy", "tile_id"), ["city", "ix", "iy"])
+    s = F.lit(float(size))
+    at = boxes.join(tiles.select("city", "ox", "oy").distinct(), "city")
+    for axis, lo, hi, o in (("ix", "xmin", "xmax", "ox"), ("iy", "ymin", "ymax", "oy")):
+        first, last = F.ceil((F.col(lo) - F.col(o)) / s - _SLACK) - 1, F.floor((F.col(hi) - F.col(o)) / s + _SLACK)
+        at = at.withColumn(axis, F.explode(F.sequence(first, last)))
+    tile = tiles.select("city", "ox", "oy", "ix", "iy", "tile_id", *[F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")])
+    sides = {"xmin": F.col("_x0"), "ymin": F.col("_y0"), "xmax": F.col("_x1"), "ymax": F.col("_y1")}
+    met = at.join(tile, ["city", "ox", "oy", "ix", "iy"]).where(boxes_touch({k: F.col(k) for k in sides}, sides))
+    return met.select(*boxes.columns, "ix", "iy", "tile_id")
 
 
 def point_tiles(points: DataFrame, tiles: DataFrame, size: float) -> DataFrame:
     """Points (x, y) strictly inside a tile, so each is in one tile at most and those on a line in none."""
     s = F.lit(float(size))
-    ix, iy = F.floor(F.col("x") / s), F.floor(F.col("y") / s)
-    inner = points.withColumns({"ix": ix, "iy": iy}).where((F.col("x") > F.col("ix") * s) & (F.col("y") > F.col("iy") * s))
-    return inner.join(tiles.select("city", "ix", "iy", "tile_id"), ["city", "ix", "iy"])
+    at = points.join(tiles.select("city", "ox", "oy").distinct(), "city")
+    for axis, c, o in (("ix", "x", "ox"), ("iy", "y", "oy")):
+        n = (F.col(c) - F.col(o)) / s
+        at = at.withColumn(axis, F.explode(F.array_distinct(F.array(F.floor(n - _SLACK), F.floor(n + _SLACK)))))
+    tile = tiles.select("city", "ox", "oy", "ix", "iy", "tile_id", *[F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")])
+    inside = (F.col("x") > F.col("_x0")) & (F.col("x") < F.col("_x1")) & (F.col("y") > F.col("_y0")) & (F.col("y") < F.col("_y1"))
+    return at.join(tile, ["city", "ox", "oy", "ix", "iy"]).where(inside).select(*points.columns, "ix", "iy", "tile_id")
 
 
 def tile_density(points: DataFrame, tiles: DataFrame, size: float) -> DataFrame:

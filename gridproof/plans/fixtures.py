@@ -6,6 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SIDE = 3000.0
+#: Corner of the area of city number c, in metres of a plane projection; quarters are exact in both engines.
+CORNER = ("(350000.25D + 4200.5D * ({c}))", "(5200000.75D - 3900.25D * ({c}))")
+
+
+def corner(axis: int, c: str) -> str:
+    return CORNER[axis].format(c=c)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +23,8 @@ def references(spark: SparkSession, sf_dir: str, min_area: float = 20.0) -> Data
     k = table(spark, sf_dir, "orders").select(
         F.expr("concat('city_', o_orderkey % 4)").alias("city"),
         F.col("o_orderkey").alias("bld_id"),
-        F.expr("cast((o_orderkey * 7919) % 3001 as double)").alias("xmin"),
-        F.expr("cast((o_orderkey * 104729) % 3001 as double)").alias("ymin"),
+        F.expr(f"cast((o_orderkey * 7919) % 3001 as double) + {corner(0, 'o_orderkey % 4')}").alias("xmin"),
+        F.expr(f"cast((o_orderkey * 104729) % 3001 as double) + {corner(1, 'o_orderkey % 4')}").alias("ymin"),
         F.expr("cast(4 + o_orderkey % 23 as double)").alias("w"),
         F.expr("cast(4 + (o_orderkey * 13) % 17 as double)").alias("h"),
     )
@@ -32,8 +38,8 @@ def candidates(spark: SparkSession, sf_dir: str, min_area: float = 20.0) -> Data
         "concat('city_', k % 4) as city",
         "concat('ds_', d) as dataset",
         "k * 3 + d as bld_id",
-        "cast((k * 7919) % 3001 + if(k % 12 = d, 1500, (k * (d + 3)) % 5 - 2) as double) as xmin",
-        "cast((k * 104729) % 3001 + (k * (d + 5)) % 5 - 2 as double) as ymin",
+        f"cast((k * 7919) % 3001 + if(k % 12 = d, 1500, (k * (d + 3)) % 5 - 2) as double) + {corner(0, 'k % 4')} as xmin",
+        f"cast((k * 104729) % 3001 + (k * (d + 5)) % 5 - 2 as double) + {corner(1, 'k % 4')} as ymin",
         "cast(4 + k % 23 + (k + d) % 3 - 1 as double) as w",
         "cast(4 + (k * 13) % 17 + (2 * k + d) % 3 - 1 as double) as h",
     )
@@ -42,26 +48,30 @@ def candidates(spark: SparkSession, sf_dir: str, min_area: float = 20.0) -> Data
 
 def areas(spark: SparkSession) -> DataFrame:
     """One square area of interest for each of four cities."""
-    return spark.range(4).selectExpr("concat('city_', id) as city", "0D as xmin", "0D as ymin", f"{SIDE}D as xmax", f"{SIDE}D as ymax")
+    x, y = corner(0, "id"), corner(1, "id")
+    return spark.range(4).selectExpr("concat('city_', id) as city", f"{x} as xmin", f"{y} as ymin", f"{x} + {SIDE}D as xmax", f"{y} + {SIDE}D as ymax")
 
 
 def sub_areas(spark: SparkSession) -> DataFrame:
     """Three overlapping parts of each area, with gaps."""
+    x, y = corner(0, "id % 4"), corner(1, "id % 4")
     return spark.range(12).selectExpr(
-        "concat('city_', id % 4) as city", "concat('part_', id div 4) as sub_aoi_id", "cast((id div 4) * 900 as double) as xmin", "100D as ymin", "cast((id div 4) * 900 + 950 as double) as xmax", "2500D as ymax"
+        "concat('city_', id % 4) as city", "concat('part_', id div 4) as sub_aoi_id", f"(id div 4) * 900 + {x} as xmin", f"100 + {y} as ymin", f"(id div 4) * 900 + 950 + {x} as xmax", f"2500 + {y} as ymax"
     )
 
 
-def pixels(spark: SparkSession, resolution: int = 20, side: int = 600) -> DataFrame:
+def pixels(spark: SparkSession, resolution: int = 20, side: int = int(SIDE) + 20) -> DataFrame:
     """Native cells of one raster for each city and product: city, dataset, row, col, x, y (lower left), value.
 
+    Cells lie on multiples of the resolution, from the last one before the city's corner, and cover its area.
+
     ``products`` are a share product and a time-code product; every 29th cell is NULL.
     """
     n = side // resolution
     cells = spark.range(4 * 2 * n * n).selectExpr(f"id div {2 * n * n} as c", f"(id div {n * n}) % 2 as p", f"(id div {n}) % {n} as row", f"id % {n} as col")
     key = "c * 31 + p * 17 + row * 7 + col * 3"
     value = f"if(({key}) % 29 = 0, null, if(p = 0, (({key}) % 101) / 100D, cast(({key}) % 25 as double)))"
-    return cells.selectExpr("concat('city_', c) as city", "if(p = 0, 'share', 'codes') as dataset", "row", "col", f"cast(col * {resolution} as double) as x", f"cast(row * {resolution} as double) as y", f"{value} as value")
+    return cells.selectExpr("concat('city_', c) as city", "if(p = 0, 'share', 'codes') as dataset", "row", "col", f"(col + floor({corner(0, 'c')} / {resolution})) * {resolution}D as x", f"(row + floor({corner(1, 'c')} / {resolution})) * {resolution}D as y", f"{value} as value")
 
 
 def tracker(spark: SparkSession, sf_dir: str) -> DataFrame:

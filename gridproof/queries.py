@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridproof.functions import exprs, geometry, names
 from gridproof.operators import charts, extract, inventory, matching, raster, rollup, tiling, vector_metrics
 from gridproof.plans import fixtures as fx
+from gridproof.sources.scratch import written
 
 TILE = 1000.0
 NATIVE, MIN_AREA = 20, 20.0
@@ -30,7 +31,7 @@ def areas_km2(spark: SparkSession) -> DataFrame:
 
 
 def tiled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    t = F.broadcast(tiles(spark))  # 36 rows, whatever the scale
+    t = tiles(spark)
     return tiling.assign_tiles(fx.references(spark, d), t, TILE), tiling.assign_tiles(fx.candidates(spark, d), t, TILE)
 
 
@@ -39,24 +40,24 @@ def matches(spark: SparkSession, d: str) -> DataFrame:
     return matching.with_area_error(matching.greedy_match(matching.candidate_pairs(refs, cands)))
 
 
-def vector_tiles(spark: SparkSession, d: str) -> DataFrame:
+def vector_tiles(spark: SparkSession, d: str, found: DataFrame | None = None) -> DataFrame:
     refs, cands = tiled(spark, d)
-    return vector_metrics.tile_metrics(refs, cands, matches(spark, d))
+    return vector_metrics.tile_metrics(refs, cands, matches(spark, d) if found is None else found)
 
 
 def vector_cities(spark: SparkSession, d: str) -> DataFrame:
-    return vector_metrics.city_summary(vector_tiles(spark, d), matches(spark, d), areas_km2(spark))
+    found = written(matches(spark, d))
+    return vector_metrics.city_summary(vector_tiles(spark, d, found), found, areas_km2(spark))
 
 
 def native(spark: SparkSession, dataset: str) -> DataFrame:
-    return raster.native_cells(fx.pixels(spark, NATIVE, 600).where(F.col("dataset") == dataset), NATIVE, SPECS[dataset], MIN_AREA)
+    return raster.native_cells(fx.pixels(spark, NATIVE).where(F.col("dataset") == dataset), NATIVE, SPECS[dataset], MIN_AREA)
 
 
 def raster_tiles(spark: SparkSession, d: str) -> DataFrame:
-    """Both products at 50 and 100 m over the part of each city that has pixels."""
-    area = fx.areas(spark).withColumns({"xmax": F.lit(600.0), "ymax": F.lit(600.0)})
-    grid = tiling.make_tiles(area, 300.0)
-    refs = fx.references(spark, d).where("xmin < 600 and ymin < 600")
+    """Both products at 50 and 100 m in tiles of 300 m."""
+    grid = tiling.make_tiles(fx.areas(spark), 300.0)
+    refs = fx.references(spark, d)
     out = None
     for dataset in SPECS:
         for size in (50, 100):
@@ -79,7 +80,7 @@ def tile_assignment(spark: SparkSession, d: str) -> DataFrame:
 
 def tile_grid(spark: SparkSession, d: str) -> DataFrame:
     """A grid of 700 m, cut at the area and reduced to its first two parts."""
-    return tiling.make_tiles(fx.areas(spark), 700.0, fx.sub_areas(spark).where("sub_aoi_id <> 'part_2'"), clip=True)
+    return tiling.make_tiles(fx.areas(spark), 700.0, fx.sub_areas(spark).where("sub_aoi_id <> 'part_2'"), clip=True).drop("ox", "oy")
 
 
 def candidate_pairs_iou(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +98,7 @@ def greedy_match(spark: SparkSession, d: str) -> DataFrame:
 
 def unmatched_references(spark: SparkSession, d: str) -> DataFrame:
     refs, cands = tiled(spark, d)
-    per = refs.join(F.broadcast(fx.candidates(spark, d).select("dataset").distinct()))  # three rows
+    per = refs.crossJoin(spark.createDataFrame([(f"ds_{k}",) for k in range(3)], "dataset string"))
     return matching.unmatched(per.select("city", "dataset", "tile_id", "bld_id"), matches(spark, d), "ref_id")
 
 
@@ -110,7 +111,7 @@ def city_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def size_bin_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(vector_metrics.size_bin_metrics(matches(spark, d), fx.references(spark, d), fx.candidates(spark, d)).drop("mean_boundary_f"))
+    return rounded(vector_metrics.size_bin_metrics(written(matches(spark, d)), fx.references(spark, d), fx.candidates(spark, d)).drop("mean_boundary_f"))
 
 
 def density_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -156,10 +157,10 @@ METHODS = (
 
 def predicted_area_methods(spark: SparkSession, d: str) -> DataFrame:
     """Built area and bin of every code under each method."""
-    cells = fx.pixels(spark, NATIVE, 600).where("dataset = 'codes' and city = 'city_0'")
+    cells = fx.pixels(spark, NATIVE).where("dataset = 'codes'")
     out = None
     for k, spec in enumerate(METHODS):
-        part = raster.native_cells(cells, NATIVE, spec, MIN_AREA).select(F.lit(k).alias("method"), "row", "col", "area", "built")
+        part = raster.native_cells(cells, NATIVE, spec, MIN_AREA).select(F.lit(k).alias("method"), "city", "row", "col", "area", "built")
         out = part if out is None else out.unionByName(part)
     return rounded(out)
 
@@ -195,14 +196,14 @@ def native_guard(spark: SparkSession, d: str) -> DataFrame:
 
 def raster_mosaic_clip(spark: SparkSession, d: str) -> DataFrame:
     """Two shifted rasters, the first on top, cut to the parts of each city."""
-    a = fx.pixels(spark, NATIVE, 600).where("dataset = 'share'").select("city", "dataset", "x", "y", "value")
+    a = fx.pixels(spark, NATIVE).where("dataset = 'share'").select("city", "dataset", "x", "y", "value")
     b = a.select("city", "dataset", (F.col("x") + 200).alias("x"), "y", (F.col("value") + 1).alias("value"))
     return rounded(raster.clip_to_areas(raster.mosaic([a, b]), fx.sub_areas(spark), NATIVE))
 
 
 def bilinear_sample(spark: SparkSession, d: str) -> DataFrame:
-    cells = fx.pixels(spark, NATIVE, 600).where("dataset = 'share'")
-    points = fx.references(spark, d).where("xmin < 500 and ymin < 500 and xmin > 20 and ymin > 20").select("city", F.lit("share").alias("dataset"), F.col("xmin").alias("px"), F.col("ymin").alias("py")).distinct()
+    cells = fx.pixels(spark, NATIVE).where("dataset = 'share'")
+    points = fx.references(spark, d).select("city", F.lit("share").alias("dataset"), F.col("xmin").alias("px"), F.col("ymin").alias("py")).distinct()
     return rounded(raster.bilinear(cells, points, NATIVE))
 
 
@@ -295,18 +296,13 @@ def tracker_tiles(spark: SparkSession, d: str) -> DataFrame:
     return rounded(extract.touching_tiles(index, some).select("name", "start", "end", "lon", "lat", "xmin", "ymax"))
 
 
-def _split(refs: DataFrame) -> DataFrame:
-    return extract.split_bounds(refs.select("bld_id", *geometry.BOX), 7.0, 5.0).select("bld_id", "i", "j", "x0", "y0", "x1", "y1")
-
-
 def split_bounds(spark: SparkSession, d: str) -> DataFrame:
-    """Every 50th reference box, as its SQL has it."""
-    return _split(fx.references(spark, d).where("bld_id % 50 = 0"))
+    """All reference boxes in pieces."""
+    return extract.split_bounds(fx.references(spark, d).select("bld_id", *geometry.BOX), 7.0, 5.0).select("bld_id", "i", "j", "x0", "y0", "x1", "y1")
 
 
 def split_bounds_all(spark: SparkSession, d: str) -> DataFrame:
-    """All reference boxes."""
-    return _split(fx.references(spark, d))
+    return split_bounds(spark, d)
 
 
 def select_files(spark: SparkSession, d: str) -> DataFrame:
@@ -325,9 +321,8 @@ def work_list(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _points(spark: SparkSession, d: str) -> DataFrame:
-    """Centres of the reference boxes, thinned out in some parts so that all density classes occur."""
-    r = fx.references(spark, d).where("(xmin < 1500 or ymin < 1000 or bld_id % 20 = 0) and not (xmin between 1000 and 2100 and ymin < 1100)")
-    return r.select("city", ((F.col("xmin") + F.col("xmax")) / 2).alias("x"), ((F.col("ymin") + F.col("ymax")) / 2).alias("y"))
+    """Centres of the reference boxes."""
+    return fx.references(spark, d).select("city", ((F.col("xmin") + F.col("xmax")) / 2).alias("x"), ((F.col("ymin") + F.col("ymax")) / 2).alias("y"))
 
 
 def tile_density(spark: SparkSession, d: str) -> DataFrame:
@@ -339,7 +334,8 @@ def density_class_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def iou_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(charts.iou_histogram(vector_tiles(spark, d), matches(spark, d)))
+    found = written(matches(spark, d))
+    return rounded(charts.iou_histogram(vector_tiles(spark, d, found), found))
 
 
 def boxplot_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -426,15 +422,13 @@ def _customers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def file_tree(spark: SparkSession, d: str) -> DataFrame:
-    """Levels and paths of the first 400 customers, as its SQL has it."""
-    return inventory.file_tree(_customers(spark, d).where("id <= 400"))
-
-
-def file_tree_all(spark: SparkSession, d: str) -> DataFrame:
     """Levels and paths of all customers."""
     return inventory.file_tree(_customers(spark, d))
 
 
+def file_tree_all(spark: SparkSession, d: str) -> DataFrame:
+    return file_tree(spark, d)
+
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {

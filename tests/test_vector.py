@@ -120,3 +120,37 @@ def test_size_bins_are_closed_on_the_right(spark):
 
     df = spark.createDataFrame([(float(v),) for v in (0, 20, 25, 25.01, 100, 1000, 1001)], "a double")
     assert [r[0] for r in df.select(right_closed_bin("a")).collect()] == ["<25", "<25", "<25", "25-50", "50-100", "500-1000", ">1000"]
+
+
+def test_tiles_of_an_area_in_plane_metres(spark):
+    """Wherever the grid starts, a box is in the tiles that it touches and in no other."""
+    rng = random.Random(11)
+    x, y = 512_345.678, 5_123_456.789
+    area = spark.createDataFrame([("c", x, y, x + 3000, y + 3000)], "city string, xmin double, ymin double, xmax double, ymax double")
+    grid = tiling.make_tiles(area, 1000.0)
+    some = [(k, a := x + rng.uniform(-50, 3050), b := y + rng.uniform(-50, 3050), a + rng.uniform(1, 1500), b + rng.uniform(1, 40)) for k in range(60)]
+    some += [(100 + k, x + 1000 * k, y + 1000 * k, x + 1000 * k + 1000, y + 1000 * k + 1) for k in range(3)]
+    sides = [(r.tile_id, r.x0, r.y0, r.x1, r.y1) for r in grid.collect()]
+    want = sorted((k, t) for k, a, b, c, d in some for t, x0, y0, x1, y1 in sides if a <= x1 and c >= x0 and b <= y1 and d >= y0)
+    got = tiling.assign_tiles(boxes(spark, some), grid, 1000.0)
+    assert got.columns == [*boxes(spark, some).columns, "ix", "iy", "tile_id"]
+    assert sorted((r.bld_id, r.tile_id) for r in got.collect()) == want
+    points = spark.createDataFrame([("c", a, b) for _, a, b, _, _ in some], "city string, x double, y double")
+    inside = sorted((a, t) for _, a, b, _, _ in some for t, x0, y0, x1, y1 in sides if x0 < a < x1 and y0 < b < y1)
+    assert sorted((r.x, r.tile_id) for r in tiling.point_tiles(points, grid, 1000.0).collect()) == inside
+
+
+def test_all_density_classes(spark):
+    area = spark.createDataFrame([("c", 70.5, 30.5, 2070.5, 2030.5)], "city string, xmin double, ymin double, xmax double, ymax double")
+    grid = tiling.make_tiles(area, 1000.0)
+    points = [("c", 80 + i * 0.01, 40.0) for i in range(1501)] + [("c", 80 + i * 0.01, 1040.0) for i in range(1500)] + [("c", 1080 + i * 0.01, 40.0) for i in range(99)]
+    got = tiling.tile_density(spark.createDataFrame(points, "city string, x double, y double"), grid, 1000.0)
+    assert {r.tile_id: (r.n_buildings, r.density_class) for r in got.collect()} == {0: (1501, "high"), 1: (1500, "medium"), 2: (99, "low"), 3: (0, "none")}
+
+
+def test_areas_keep_their_digits_far_from_the_origin(spark):
+    from gridproof.functions import geometry
+
+    ring = [{"x": 500000.1 + a, "y": 5200000.3 + b} for a, b in ((0, 0), (10, 0), (10, 4), (4, 4), (4, 10), (0, 10))]
+    r = spark.createDataFrame([(ring,)], "ring array<struct<x:double,y:double>>").select(geometry.ring_area("ring").alias("a"), geometry.ring_centroid("ring").alias("c")).first()
+    assert r.a == pytest.approx(64, abs=1e-6) and r.c.x - 500000.1 == pytest.approx((40 * 5 + 24 * 2) / 64, abs=1e-6)
