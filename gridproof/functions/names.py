@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 from pyspark.sql import Column
@@ -15,27 +16,45 @@ SUFFIXES = (
     "dataset", "datasets", "data", "folder", "folders", "file", "files", "archive", "backup", "copy", "copies", "raw", "processed",
     "proc", "final", "latest", "updated", "update", "export", "exports", "deliverable", "delivery",
 )
-VERSION = r"^((v|ver|version|rev|r)[0-9]+[a-z]*|[0-9]{8}|[0-9]{6}|[0-9]{4}|final|latest|new)$"
+#: A token that names a version, by its form or by itself.
+VERSION_PATTERN = r"^(?:v(?:er(?:sion)?)?|rev|r)\d+[a-z]*$|^\d{8}$|^\d{6}$|^\d{4}$"
+VERSION_WORDS = ("final", "latest", "new")
+#: Texts of a quality column, and of a flag.
 YES = ("yes", "y", "true", "1", "high", "suitable")
 NO = ("no", "n", "false", "0", "low", "unsuitable")
 TRUTHY = ("true", "1", "yes", "y", "t")
 
 
-def _folding() -> tuple[str, str]:
-    """Letters that decompose to one ASCII letter and marks, and that letter."""
-    pairs = []
-    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
-        base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
-        if len(base) == 1 and base.isascii():
-            pairs.append((chr(code), base))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+#: Blocks with letters that decompose to several: Latin, number forms, and ligatures.
+_SPELT = (*range(0x100, 0x250), *range(0x2150, 0x2190), *range(0xFB00, 0xFB07))
+
+
+@functools.cache
+def _folding() -> tuple[str, str, dict[str, str]]:
+    """Characters whose compatibility decomposition without marks is one ASCII character, and those that are several letters."""
+    one, many = {}, {}
+    for code in range(0xA0, 0x10000):
+        base = "".join(x for x in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(x))
+        if base.isascii() and len(base) == 1:
+            one[chr(code)] = base
+        elif base.isascii() and base.isalnum() and code in _SPELT:
+            many[chr(code)] = base
+    return "".join(one), "".join(one.values()), many
 
 
 def ascii_lower(value) -> Column:
-    """Lower case without accents and outer white space; NULL is empty."""
-    old, new = _folding()
-    plain = F.regexp_replace(F.translate(F.coalesce(col(value), F.lit("")), old, new), r"\p{M}", "")
-    return F.trim(F.lower(plain))
+    """Lower case without accents and outer white space, wide letters, signs as digits and ligatures spelt plainly; NULL is empty."""
+    old, new, many = _folding()
+    text = F.translate(F.coalesce(col(value).cast("string"), F.lit("")), old, new)
+    spelt = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
+    rare = F.regexp_like(text, F.lit("[" + "".join(many) + "]"))
+    plain = F.when(rare, F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(spelt, c), c)), "")).otherwise(text)
+    return F.trim(F.lower(F.regexp_replace(plain, r"\p{Mn}", "")))
+
+
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), then), 0)
 
 
 def tokens(value) -> Column:
@@ -43,7 +62,7 @@ def tokens(value) -> Column:
 
 
 def is_version(token: Column) -> Column:
-    return F.regexp_like(token, F.lit(VERSION))
+    return F.regexp_like(token, F.lit(VERSION_PATTERN)) | token.isin(*VERSION_WORDS)
 
 
 def strip_outer(words: Column) -> Column:
@@ -65,9 +84,11 @@ def contains_run(needle: Column, words: Column) -> Column:
 
 def name_parts(value) -> Column:
     """Struct of tokens, core (without wrappers), norm and core_norm (joined; core_norm falls back to norm)."""
-    words = tokens(value)
-    core = strip_outer(words)
-    return F.struct(words.alias("tokens"), core.alias("core"), F.array_join(words, "").alias("norm"), F.when(F.size(core) > 0, F.array_join(core, "")).otherwise(F.array_join(words, "")).alias("core_norm"))
+    def parts(words: Column, core: Column) -> Column:
+        norm = F.array_join(words, "")
+        return F.struct(words.alias("tokens"), core.alias("core"), norm.alias("norm"), F.when(F.size(core) > 0, F.array_join(core, "")).otherwise(norm).alias("core_norm"))
+
+    return _let(tokens(value), lambda words: _let(strip_outer(words), lambda core: parts(words, core)))
 
 
 def match_score(code: Column, folder: Column) -> Column:
@@ -91,10 +112,40 @@ def match_score(code: Column, folder: Column) -> Column:
     return out
 
 
+def code_keys(code: Column) -> Column:
+    """Keys of a code's ``name_parts``: every folder that any rule of ``match_score`` gives it shares one with ``folder_keys``."""
+    def key(kind: str, value: Column) -> Column:
+        return F.concat(F.lit(kind), value)
+
+    firsts = F.array(
+        key("n", code["norm"]), key("c", code["core_norm"]), key("t", F.get(code["core"], 0)), key("t", F.get(code["tokens"], 0)),
+        F.when(F.length(code["core_norm"]) >= 5, key("g", F.substring(code["core_norm"], 1, 5))), F.when(F.length(code["norm"]) >= 6, key("g", F.substring(code["norm"], 1, 5))),
+    )
+    return F.array_distinct(F.filter(F.concat(firsts, F.transform(_grams(code["core_norm"]), lambda g: key("r", g))), lambda k: k.isNotNull()))
+
+
+def folder_keys(folder: Column) -> Column:
+    """Keys of a folder's ``name_parts``, see ``code_keys``."""
+    def key(kind: str, value: Column) -> Column:
+        return F.concat(F.lit(kind), value)
+
+    firsts = F.array(key("n", folder["norm"]), key("c", folder["core_norm"]), F.when(F.length(folder["core_norm"]) >= 5, key("r", F.substring(folder["core_norm"], 1, 5))))
+    grams = F.transform(F.concat(_grams(folder["norm"]), _grams(folder["core_norm"])), lambda g: key("g", g))
+    return F.array_distinct(F.filter(F.concat(firsts, F.transform(folder["tokens"], lambda t: key("t", t)), grams), lambda k: k.isNotNull()))
+
+
+def _grams(text: Column) -> Column:
+    """All parts of five letters."""
+    n = F.length(text)
+    return F.when(n >= 5, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 4)), lambda i: F.substring(text, i, F.lit(5)))).otherwise(F.expr("cast(array() as array<string>)"))
+
+
 def quality_flag(value) -> Column:
     """Exact words first, then any text with "yes", "suitable" or "high"; so "unsuitable for use" is true."""
-    v = ascii_lower(value)
-    return F.when(v.isin(*YES), True).when(v.isin(*NO), False).otherwise(F.contains(v, F.lit("yes")) | F.contains(v, F.lit("suitable")) | F.contains(v, F.lit("high")))
+    def flag(v: Column) -> Column:
+        return F.when(v.isin(*YES), True).when(v.isin(*NO), False).otherwise(F.contains(v, F.lit("yes")) | F.contains(v, F.lit("suitable")) | F.contains(v, F.lit("high")))
+
+    return _let(ascii_lower(value), flag)
 
 
 def truthy(value) -> Column:
@@ -113,7 +164,13 @@ def sub_area_id(file_name) -> Column:
 
 
 def slug(value) -> Column:
-    return F.translate(F.lower(F.trim(col(value))), "- ", "__")
+    """Signs and blanks to underscores; case stays, as file names keep it."""
+    return F.translate(col(value), "- ", "__")
+
+
+def file_dataset(value) -> Column:
+    """A dataset's name as it stands in file names."""
+    return F.translate(col(value), "-", "_")
 
 
 def title(value) -> Column:

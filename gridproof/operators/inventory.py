@@ -5,33 +5,63 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridproof.functions.names import joined_distinct, match_score, name_parts, pipe_values, quality_flag, slug, sub_area_id, truthy
+from gridproof.functions.names import code_keys, folder_keys, joined_distinct, match_score, name_parts, pipe_values, quality_flag, slug, sub_area_id, truthy
 from gridproof.sources.scratch import written
 
 
-def tracked_areas(tracker: DataFrame) -> DataFrame:
-    """One row for each area file of the datasets that have files and aren't unsuitable: dataset, slug, file_name, sub_aoi_id, is_multi_aoi."""
-    kept = tracker.where((F.upper(F.trim("has_aoi_file")) == "TRUE") & (F.lower(F.trim(F.coalesce("suitable", F.lit("")))) != "n") & (F.trim("aoi_file_name") != ""))
-    names = kept.select(F.trim("dataset_folder_name").alias("dataset"), F.explode(pipe_values("aoi_file_name")).alias("file_name"))
+def tracked_areas(tracker: DataFrame, suitable_only: bool = True, high_quality_only: bool = False) -> DataFrame:
+    """One row for each area file of a download tracker: dataset, slug, file_name, path, sub_aoi_id, is_multi_aoi.
+
+    Rows need an area file (has_aoi_file says TRUE), an id, and, where asked for,
+    "yes" as suitable and TRUE as is_high_quality; NULL fails either.
+    """
+    kept = tracker.where((F.upper(F.trim("has_aoi_file")) == "TRUE") & F.col("dataset_folder_name").isNotNull() & (F.trim("aoi_file_name") != ""))
+    if suitable_only:
+        kept = kept.where(F.lower(F.trim("suitable")) == "yes")
+    if high_quality_only:
+        kept = kept.where(F.upper(F.trim("is_high_quality")) == "TRUE")
+    return _area_files(kept)
+
+
+def validation_areas(tracker: DataFrame) -> DataFrame:
+    """The same of a validation tracker, whose rows need an id that isn't blank and "yes" in any case, without blanks, as suitable."""
+    return _area_files(_suitable(tracker))
+
+
+def _suitable(tracker: DataFrame) -> DataFrame:
+    return tracker.where((F.lower("suitable") == "yes") & (F.trim("dataset_folder_name") != ""))
+
+
+def _area_files(tracker: DataFrame) -> DataFrame:
+    """Area files of all rows of a dataset; it has many areas if it has many files."""
+    names = tracker.select(F.col("dataset_folder_name").alias("dataset"), F.explode(pipe_values("aoi_file_name")).alias("file_name"))
     many = F.count("*").over(Window.partitionBy("dataset")) > 1
-    return names.select("dataset", slug("dataset").alias("slug"), "file_name", sub_area_id("file_name").alias("sub_aoi_id"), many.alias("is_multi_aoi"))
+    path = F.concat_ws("/", "dataset", F.lit("aoi"), "file_name")
+    return names.select("dataset", slug("dataset").alias("slug"), "file_name", path.alias("path"), sub_area_id("file_name").alias("sub_aoi_id"), many.alias("is_multi_aoi"))
 
 
 def tracked_references(tracker: DataFrame) -> DataFrame:
-    """Distinct reference files of each dataset in their first order; no files for a NULL list."""
-    return tracker.select(F.trim("dataset_folder_name").alias("dataset"), F.array_distinct(pipe_values("reference_file")).alias("ref_paths"), quality_flag("suitable").alias("suitable"))
+    """Each dataset of a validation tracker with the distinct reference paths of its rows in their first order, and ref_path where there is one only.
+
+    Rows are in order of ``row_id``; a NULL list has no files.
+    """
+    at = F.struct("row_id", F.transform(pipe_values("reference_file"), lambda f: F.concat_ws("/", F.col("dataset_folder_name"), F.lit("vector"), f)).alias("paths"))
+    per = _suitable(tracker).groupBy(F.col("dataset_folder_name").alias("dataset")).agg(F.sort_array(F.collect_list(at)).alias("rows"))
+    out = per.select("dataset", slug("dataset").alias("slug"), F.array_distinct(F.flatten(F.transform("rows", lambda r: r["paths"]))).alias("ref_paths"))
+    return out.withColumn("ref_path", F.when(F.size("ref_paths") == 1, F.get("ref_paths", 0)))
 
 
 def match_candidates(sheet: DataFrame, inventory: DataFrame) -> DataFrame:
     """All codes and top folders whose names match: row_id, folder_id, dataset_folder_name, match_score, match_rule.
 
-    Names have no key to join on, so each code meets each top folder; the
-    analysed folders are the small side.
+    Codes and folders meet on keys that any match shares (a token, five letters
+    or the whole name), and the rules are then tried on what met.
     """
     codes = sheet.where(F.trim(F.coalesce("code", F.lit(""))) != "").select("row_id", name_parts("code").alias("c"))
     folders = inventory.where("level = 1 and is_folder").select(F.col("id").alias("folder_id"), F.col("name").alias("dataset_folder_name"), name_parts("name").alias("f"))
-    scored = codes.crossJoin(folders).withColumn("m", match_score(F.col("c"), F.col("f"))).where("m is not null")
-    return scored.select("row_id", "folder_id", "dataset_folder_name", F.col("m.score").alias("match_score"), F.col("m.rule").alias("match_rule"))
+    met = codes.select("row_id", "c", F.explode(code_keys(F.col("c"))).alias("key")).join(folders.select("folder_id", "dataset_folder_name", "f", F.explode(folder_keys(F.col("f"))).alias("key")), "key")
+    scored = met.withColumn("m", match_score(F.col("c"), F.col("f"))).where("m is not null")
+    return scored.select("row_id", "folder_id", "dataset_folder_name", F.col("m.score").alias("match_score"), F.col("m.rule").alias("match_rule")).distinct()
 
 
 def best_matches(matches: DataFrame) -> DataFrame:
@@ -42,9 +72,8 @@ def best_matches(matches: DataFrame) -> DataFrame:
 
 
 def folder_of_files(inventory: DataFrame) -> DataFrame:
-    """Files with the name of their top folder; files outside any folder go."""
-    folders = inventory.where("level = 1 and is_folder").select(F.col("id").alias("parent"), F.col("name").alias("dataset_folder_name"))
-    return inventory.where("not is_folder").join(folders, "parent")
+    """Files at any depth below a top folder, with dataset_folder_name; those outside any folder go."""
+    return inventory.where(~F.col("is_folder") & F.col("top_folder").isNotNull()).withColumnRenamed("top_folder", "dataset_folder_name")
 
 
 def download_summary(sheet: DataFrame, inventory: DataFrame, matches: DataFrame) -> DataFrame:
@@ -58,29 +87,35 @@ def download_summary(sheet: DataFrame, inventory: DataFrame, matches: DataFrame)
 
 
 def unmatched_codes(summary: DataFrame) -> DataFrame:
-    return summary.where(~F.col("downloaded")).select("row_id", "code", "quality", "is_high_quality", "code_norm")
+    return summary.where(~F.col("downloaded")).select("row_id", "code", "quality", "is_high_quality", "code_norm").orderBy("row_id")
 
 
 def duplicate_codes(summary: DataFrame) -> DataFrame:
     return summary.where("code_norm <> ''").groupBy("code_norm").agg(F.count("*").alias("duplicate_rows"), joined_distinct("code").alias("dataset_codes")).where("duplicate_rows > 1")
 
 
-def duplicate_matches(matches: DataFrame) -> DataFrame:
+def duplicate_matches(matches: DataFrame, sheet: DataFrame) -> DataFrame:
+    """All matches of codes that match several folders, with the code's columns."""
     counts = matches.groupBy("row_id").agg(F.countDistinct("dataset_folder_name").alias("candidate_folder_count")).where("candidate_folder_count > 1")
-    return matches.join(counts, "row_id")
+    codes = sheet.select("row_id", F.trim(F.coalesce("code", F.lit(""))).alias("code"), "quality", quality_flag("quality").alias("is_high_quality"))
+    return listed(matches.join(counts, "row_id").join(codes, "row_id"), "code", "-match_score", "dataset_folder_name")
+
+
+def listed(df: DataFrame, *by: str) -> DataFrame:
+    """In order of columns, NULLs last; a minus makes a column go down."""
+    return df.orderBy(*[F.col(c[1:]).desc_nulls_last() if c[0] == "-" else F.col(c).asc_nulls_last() for c in by])
 
 
 def file_manifest(summary: DataFrame, inventory: DataFrame, high_quality_only: bool = True) -> DataFrame:
-    """Files of matched folders with the code's columns."""
+    """Files of matched folders with the code's columns, in order of code and path."""
     attach = summary.where("downloaded").select("code", "quality", "is_high_quality", "dataset_folder_name", "match_rule", "match_score", "ambiguous_match").distinct()
-    files = folder_of_files(inventory).withColumn("path", F.concat_ws("/", "dataset_folder_name", "name"))
-    out = files.join(attach, "dataset_folder_name").select(*attach.columns, "path", "size_bytes", "id")
-    return out.where(F.coalesce("is_high_quality", F.lit(False))) if high_quality_only else out
+    out = folder_of_files(inventory).join(attach, "dataset_folder_name").select(*attach.columns, "path", "size_bytes", "modified_time", "id", "mime_type")
+    return listed(out.where(F.coalesce("is_high_quality", F.lit(False))) if high_quality_only else out, "code", "path")
 
 
 def file_listing(summary: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Every code with the area and reference files of its folder."""
-    files = folder_of_files(inventory).withColumn("path", F.concat_ws("/", "dataset_folder_name", "name"))
+    """Every row of the summary with the area and reference files of its folder, in order of code and folder."""
+    files = folder_of_files(inventory)
     lower = F.lower("name")
     kinds = {"aoi": F.endswith(lower, F.lit("_aoi.geojson")), "reference": F.endswith(lower, F.lit("_ref.geojson")) | F.endswith(lower, F.lit("_hotosm.geojson"))}
     out = summary.select("row_id", "code", "quality", "is_high_quality", "dataset_folder_name", "match_rule", "match_score", "ambiguous_match")
@@ -88,7 +123,7 @@ def file_listing(summary: DataFrame, inventory: DataFrame) -> DataFrame:
         per = files.where(test).groupBy("dataset_folder_name").agg(joined_distinct("name").alias(f"{kind}_file_name"), joined_distinct("path").alias(f"{kind}_file_path"), F.count("id").alias(f"{kind}_file_count"))
         out = out.join(per, "dataset_folder_name", "left").withColumn(f"{kind}_file_count", F.coalesce(f"{kind}_file_count", F.lit(0)).cast("long"))
         out = out.withColumn(f"has_{kind}_file", F.col(f"{kind}_file_count") > 0)
-    return out
+    return listed(out, "code", "dataset_folder_name")
 
 
 def quality_values(sheet: DataFrame, n: int = 20) -> DataFrame:
@@ -97,28 +132,34 @@ def quality_values(sheet: DataFrame, n: int = 20) -> DataFrame:
     return sheet.where(v != "").groupBy(v.alias("quality_value")).agg(F.count("*").alias("count")).orderBy(F.desc("count"), "quality_value").limit(n)
 
 
-def map_rows(tracker: DataFrame, scores: DataFrame) -> DataFrame:
-    """Rows of the inventory map: any flag, best score, distinct sorted area files, and a marker radius."""
+def map_rows(listing: DataFrame) -> DataFrame:
+    """Rows of the inventory map, one a dataset: any of the flags, the largest of the counts and scores (0 for none), sorted distinct area files and paths, and a marker radius."""
     from gridproof.functions.exprs import marker_radius
 
-    per = tracker.groupBy(F.trim("dataset_folder_name").alias("dataset")).agg(
-        F.bool_or(truthy("has_aoi_file")).alias("has_aoi_file"), F.bool_or(F.size(pipe_values("reference_file")) > 0).alias("has_reference_file"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(pipe_values("aoi_file_name"))))).alias("files")
-    )
-    best = scores.groupBy("dataset").agg(F.max(F.col("match_score").try_cast("double")).alias("match_score"))
-    out = per.join(best, "dataset", "left")
-    return out.select("dataset", "has_aoi_file", "has_reference_file", F.size("files").cast("long").alias("aoi_file_count"), F.array_join("files", " | ").alias("aoi_file_names"), "match_score", marker_radius(F.size("files")).alias("radius"))
+    def most(c: str):
+        return F.coalesce(F.max(F.col(c).try_cast("double")), F.lit(0.0)).alias(c)
+
+    def names(c: str):
+        return F.array_sort(F.array_distinct(F.flatten(F.collect_list(pipe_values(c))))).alias(f"{c}s")
+
+    per = listing.where(F.trim("dataset") != "").groupBy(F.trim("dataset").alias("dataset")).agg(
+        *[F.bool_or(truthy(c)).alias(c) for c in ("has_aoi_file", "has_reference_file")], *[most(c) for c in ("aoi_file_count", "reference_file_count", "match_score")], names("aoi_file_path"), names("aoi_file_name")
+    )
+    return per.withColumn("radius", marker_radius(F.greatest("aoi_file_count", "reference_file_count", F.lit(1.0))))
 
 
 def file_tree(items: DataFrame) -> DataFrame:
-    """Items (id, parent, name) with level, path and top folder; roots have a NULL parent.
+    """Items (id, parent, name, and others) with level, path and the name of their top folder; roots have a NULL parent.
 
-    Levels are joined one at a time until none is left, each written to the checkpoint
-    folder, so a tree of any depth works.
+    A root that is a file, where ``is_folder`` says so, is in no top folder.
+    Levels are joined one at a time until none is left, each written to the
+    checkpoint folder, so a tree of any depth works.
     """
-    level = written(items.where("parent is null").select("id", "name", F.lit(1).alias("level"), F.col("name").alias("path"), F.col("name").alias("top_folder")))
+    top = F.when(F.col("is_folder"), F.col("name")) if "is_folder" in items.columns else F.col("name")
+    level = written(items.where("parent is null").select(*items.columns, F.lit(1).alias("level"), F.col("name").alias("path"), top.alias("top_folder")))
     out = level
     while not level.isEmpty():
         up = level.select(F.col("id").alias("parent"), F.col("level").alias("_l"), F.col("path").alias("_p"), "top_folder")
-        level = written(items.join(up, "parent").select("id", "name", (F.col("_l") + 1).alias("level"), F.concat_ws("/", "_p", "name").alias("path"), "top_folder"))
+        level = written(items.join(up, "parent").select(*items.columns, (F.col("_l") + 1).alias("level"), F.concat_ws("/", "_p", "name").alias("path"), "top_folder"))
         out = out.unionByName(level)
     return out

@@ -94,11 +94,18 @@ PARTS: dict[str, tuple[str, str]] = {
         JOIN (SELECT city, count(*) AS n_ref_buildings, avg(area_m2) AS avg_building_size_m2 FROM ref GROUP BY city) r ON r.city = s.city"""),
     "sheet": ("", """SELECT CAST(n_nationkey AS BIGINT) AS row_id, CASE WHEN n_nationkey % 11 = 10 THEN ' ' WHEN n_nationkey % 8 = 3 THEN 'Data FRANCE final' WHEN n_nationkey % 5 = 4 THEN 'Dataset_' || upper(n_name) || '-v2' ELSE lower(n_name) END AS code,
         CASE n_nationkey % 5 WHEN 0 THEN 'yes' WHEN 1 THEN 'No' WHEN 2 THEN 'high quality' WHEN 3 THEN 'unsuitable' END AS quality FROM nation"""),
-    "folder": ("", """SELECT 'f' || n_nationkey AS id, CASE n_nationkey % 4 WHEN 0 THEN lower(n_name) WHEN 1 THEN 'dataset_' || lower(n_name) || '_final' WHEN 2 THEN lower(n_name) || '_2021' ELSE 'old ' || upper(n_name) || ' copies' END AS name FROM nation WHERE n_nationkey % 6 <> 5
-        UNION ALL SELECT 'g' || n_nationkey, lower(n_name) || '_backup' FROM nation WHERE n_nationkey % 8 = 0"""),
-    "file": ("folder", """SELECT f.id, f.name, f.size_bytes, d.name AS dataset_folder_name, d.name || '/' || f.name AS path FROM (
-        SELECT 'p' || p_partkey AS id, 'tile' || p_partkey || CASE p_partkey % 4 WHEN 0 THEN '_AOI.geojson' WHEN 1 THEN '_ref.geojson' WHEN 2 THEN '_hotosm.geojson' ELSE '.tif' END AS name, CAST(p_size AS BIGINT) * 1000 AS size_bytes,
-               CASE WHEN p_partkey % 3 = 0 THEN 'g' ELSE 'f' END || (p_partkey % 25) AS parent FROM part WHERE p_partkey < 400) f JOIN folder d ON d.id = f.parent"""),
+    "item": ("", """SELECT 'f' || n_nationkey AS id, CASE n_nationkey % 4 WHEN 0 THEN lower(n_name) WHEN 1 THEN 'dataset_' || lower(n_name) || '_final' WHEN 2 THEN lower(n_name) || '_2021' ELSE 'old ' || upper(n_name) || ' copies' END AS name,
+        true AS is_folder, 'folder' AS mime_type, CAST(0 AS BIGINT) AS size_bytes, CAST(NULL AS VARCHAR) AS modified_time, CAST(NULL AS VARCHAR) AS parent FROM nation WHERE n_nationkey % 6 <> 5
+        UNION ALL SELECT 'g' || n_nationkey, lower(n_name) || '_backup', true, 'folder', 0, NULL, NULL FROM nation WHERE n_nationkey % 8 = 0
+        UNION ALL SELECT 's' || n_nationkey, 'Vector', true, 'folder', 0, NULL, 'f' || n_nationkey FROM nation WHERE n_nationkey % 3 = 0
+        UNION ALL SELECT 't' || n_nationkey, 'aoi', true, 'folder', 0, NULL, 's' || n_nationkey FROM nation WHERE n_nationkey % 2 = 0
+        UNION ALL SELECT 'p' || p_partkey, 'tile' || p_partkey || CASE p_partkey % 4 WHEN 0 THEN '_AOI.geojson' WHEN 1 THEN '_ref.geojson' WHEN 2 THEN '_hotosm.geojson' ELSE '.tif' END, false, CASE WHEN p_partkey % 4 = 3 THEN 'image/tiff' ELSE 'application/json' END,
+          CAST(p_size AS BIGINT) * 1000, '2024-01-' || p_size, CASE WHEN p_partkey % 50 <> 7 THEN ['f', 's', 't', 'g', 'f'][p_partkey % 5 + 1] || (p_partkey % 24) END FROM part"""),
+    # the top folder goes down all levels; a file at the root has none
+    "tree": ("item", """SELECT id, name, is_folder, mime_type, size_bytes, modified_time, 1 AS level, name AS path, CASE WHEN is_folder THEN name END AS top FROM item WHERE parent IS NULL
+        UNION ALL SELECT i.id, i.name, i.is_folder, i.mime_type, i.size_bytes, i.modified_time, t.level + 1, t.path || '/' || i.name, t.top FROM item i JOIN tree t ON i.parent = t.id"""),
+    "folder": ("tree", "SELECT id, name FROM tree WHERE level = 1 AND is_folder"),
+    "file": ("tree", "SELECT id, name, size_bytes, modified_time, mime_type, path, top AS dataset_folder_name FROM tree WHERE NOT is_folder AND top IS NOT NULL"),
     "named": ("sheet folder", """SELECT *, coalesce(nullif(array_to_string(core, ''), ''), norm) AS core_norm FROM (SELECT *, array_to_string(tokens, '') AS norm, CASE WHEN lo IS NULL THEN [] ELSE
           (CASE WHEN len(list_filter(range(lo, len(tokens) + 1), lambda i: NOT regexp_matches(tokens[i], '^((v|ver|version|rev|r)[0-9]+[a-z]*|[0-9]{8}|[0-9]{6}|[0-9]{4}|new)$') AND NOT list_contains(['dataset','datasets','data','folder','folders','file','files','archive','backup','copy','copies','raw','processed','proc','final','latest','updated','update','export','exports','deliverable','delivery'], tokens[i]))) = 0 THEN []
            ELSE tokens[lo:list_max(list_filter(range(lo, len(tokens) + 1), lambda i: NOT regexp_matches(tokens[i], '^((v|ver|version|rev|r)[0-9]+[a-z]*|[0-9]{8}|[0-9]{6}|[0-9]{4}|new)$') AND NOT list_contains(['dataset','datasets','data','folder','folders','file','files','archive','backup','copy','copies','raw','processed','proc','final','latest','updated','update','export','exports','deliverable','delivery'], tokens[i])))] END) END AS core FROM (
@@ -119,11 +126,18 @@ PARTS: dict[str, tuple[str, str]] = {
         CASE WHEN lower(trim(quality)) IN ('yes', 'y', 'true', '1', 'high', 'suitable') THEN true WHEN lower(trim(quality)) IN ('no', 'n', 'false', '0', 'low', 'unsuitable') THEN false ELSE coalesce(lower(quality) LIKE '%yes%' OR lower(quality) LIKE '%suitable%' OR lower(quality) LIKE '%high%', false) END AS is_high_quality,
         b.dataset_folder_name, b.match_score, b.match_rule, coalesce(b.match_count, 0) AS match_count, coalesce(b.match_count, 0) > 1 AS ambiguous_match, b.dataset_folder_name IS NOT NULL AS downloaded, coalesce(f.n, 0) AS downloaded_files, CAST(coalesce(f.size, 0) AS BIGINT) AS total_size_bytes
         FROM sheet s JOIN named n ON n.side = 'code' AND n.id = CAST(s.row_id AS VARCHAR) LEFT JOIN bm b ON b.row_id = s.row_id LEFT JOIN (SELECT dataset_folder_name, count(id) AS n, sum(size_bytes) AS size FROM file GROUP BY 1) f ON f.dataset_folder_name = b.dataset_folder_name"""),
-    "track": ("", """SELECT n_nationkey AS k, lower(n_name) AS dataset_folder_name, lower(n_name) || '_1_aoi.geojson|' || CASE WHEN n_nationkey % 3 = 0 THEN ' ' || lower(n_name) || '_2_AOI.geojson |' ELSE '' END AS aoi_file_name,
-        CASE WHEN n_nationkey % 7 = 6 THEN NULL ELSE lower(n_name) || '_ref.geojson|' || lower(n_name) || '_ref.geojson' || CASE WHEN n_nationkey % 4 = 0 THEN '|extra_ref.geojson' ELSE '' END END AS reference_file,
-        CASE n_nationkey % 5 WHEN 0 THEN 'TRUE' WHEN 1 THEN 'True' WHEN 2 THEN ' true ' WHEN 3 THEN 'FALSE' ELSE '' END AS has_aoi_file,
-        CASE n_nationkey % 7 WHEN 0 THEN 'yes' WHEN 1 THEN 'Yes ' WHEN 2 THEN 'N' WHEN 3 THEN 'unsuitable' WHEN 4 THEN 'unsuitable for use' WHEN 5 THEN 'high' END AS suitable FROM nation"""),
-    "aoi_file": ("track", "SELECT dataset_folder_name AS dataset, has_aoi_file, suitable, trim(u.f) AS file_name FROM track, LATERAL (SELECT unnest(string_split(aoi_file_name, '|')) AS f) u WHERE trim(u.f) <> ''"),
+    "track": ("", """SELECT k * 2 + again AS row_id, k, again, CASE WHEN k = 24 THEN CASE WHEN again = 0 THEN ' ' END ELSE name END AS dataset_folder_name,
+        CASE WHEN again = 1 THEN [name || '_2_AOI.geojson'] WHEN k % 6 = 1 THEN [name || '_1_aoi.geojson', 'Part_b.gpkg'] ELSE [name || '_1_aoi.geojson'] END AS aoi,
+        CASE WHEN k % 7 = 6 THEN [] WHEN k % 4 = 0 OR again = 1 THEN [name || '_ref.geojson', 'extra_ref.geojson'] ELSE [name || '_ref.geojson'] END AS refs,
+        ['TRUE', 'True', ' true ', 'FALSE', ''][k % 5 + 1] AS has_aoi_file, ['yes', 'Yes ', 'YES', 'unsuitable', 'unsuitable for use', 'high', NULL, 'no'][k % 8 + 1] AS suitable, ['TRUE', ' true', 'no', NULL][k % 4 + 1] AS is_high_quality
+        FROM (SELECT CAST(n_nationkey AS BIGINT) AS k, CAST(again AS BIGINT) AS again, CASE WHEN n_nationkey % 4 < 2 THEN lower(n_name) ELSE upper(n_name[1]) || lower(n_name[2:]) || '-City ' || n_nationkey END AS name
+        FROM nation JOIN (VALUES (0), (1)) a(again) ON again = 0 OR n_nationkey % 3 = 0)"""),
+    # one row an area file; ids keep their case, and only "-" and blanks of the slug change
+    "aoi_file": ("track", """SELECT dataset_folder_name AS dataset, replace(replace(dataset_folder_name, '-', '_'), ' ', '_') AS slug, has_aoi_file, suitable, is_high_quality, f AS file_name, dataset_folder_name || '/aoi/' || f AS path,
+        regexp_replace(regexp_replace(f, '\\.[^./]*$', ''), '_aoi$', '', 'i') AS sub_aoi_id FROM track, LATERAL (SELECT unnest(aoi) AS f) u WHERE dataset_folder_name IS NOT NULL"""),
+    "map_row": ("", """SELECT n_name AS dataset, (k + again) % 5 IN (0, 2) AS a, (k + again) % 3 = 1 AS r, coalesce(try_cast(['3', 'n/a', '40', NULL][(k + again) % 4 + 1] AS DOUBLE), 0) AS n, coalesce(try_cast(['x', '12', NULL, '2.5', '0'][(k + 2 * again) % 5 + 1] AS DOUBLE), 0) AS m,
+        CASE WHEN k % 2 = 0 THEN CAST(80 + k + again AS DOUBLE) ELSE 0 END AS score, 'a/' || n_name || '_' || again || '.geojson' AS path, n_name || '_' || again || '.geojson' AS file
+        FROM (SELECT n_name, n_nationkey AS k, again FROM nation JOIN (VALUES (0), (1)) a(again) ON again = 0 OR n_nationkey % 3 = 0)"""),
     "metric": ("", """SELECT p_brand AS grp, CASE WHEN p_partkey % 7 = 0 OR p_partkey % 11 = 0 OR p_partkey % 13 = 0 THEN NULL ELSE p_retailprice END AS value,
         CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 17 = 0 THEN 0.0 ELSE CAST(p_size AS DOUBLE) END AS weight FROM part"""),
     "point": ("ref", "SELECT city, (xmin + xmax) / 2 AS x, (ymin + ymax) / 2 AS y FROM ref"),
@@ -217,20 +231,24 @@ ORACLE_SQL: dict[str, str] = {
     "download_summary": query("sum", "SELECT * FROM sum"),
     "unmatched_codes": query("sum", "SELECT row_id, code, quality, is_high_quality, code_norm FROM sum WHERE NOT downloaded"),
     "duplicate_codes": query("sum", "SELECT code_norm, count(*) AS duplicate_rows, string_agg(DISTINCT code, ' | ' ORDER BY code) AS dataset_codes FROM sum WHERE code_norm <> '' GROUP BY code_norm HAVING count(*) > 1"),
-    "duplicate_matches": query("nm", "SELECT nm.*, candidate_folder_count FROM nm JOIN (SELECT row_id, count(DISTINCT dataset_folder_name) AS candidate_folder_count FROM nm GROUP BY row_id) USING (row_id) WHERE candidate_folder_count > 1"),
-    "file_manifest": query("sum file", "SELECT code, quality, is_high_quality, dataset_folder_name, match_rule, match_score, ambiguous_match, path, size_bytes, id FROM file JOIN (SELECT DISTINCT code, quality, is_high_quality, dataset_folder_name, match_rule, match_score, ambiguous_match FROM sum WHERE downloaded) s USING (dataset_folder_name) WHERE is_high_quality"),
+    "duplicate_matches": query("nm sum", "SELECT nm.*, candidate_folder_count, code, quality, is_high_quality FROM nm JOIN (SELECT row_id, count(DISTINCT dataset_folder_name) AS candidate_folder_count FROM nm GROUP BY row_id) USING (row_id) JOIN (SELECT row_id, code, quality, is_high_quality FROM sum) USING (row_id) WHERE candidate_folder_count > 1"),
+    "file_manifest": query("sum file", "SELECT code, quality, is_high_quality, dataset_folder_name, match_rule, match_score, ambiguous_match, path, size_bytes, modified_time, id, mime_type FROM file JOIN (SELECT DISTINCT code, quality, is_high_quality, dataset_folder_name, match_rule, match_score, ambiguous_match FROM sum WHERE downloaded) s USING (dataset_folder_name) WHERE is_high_quality"),
     "aoi_ref_listing": query("sum file", """SELECT s.row_id, s.code, s.quality, s.is_high_quality, s.dataset_folder_name, s.match_rule, s.match_score, s.ambiguous_match, a.names AS aoi_file_name, a.paths AS aoi_file_path, coalesce(a.n, 0) AS aoi_file_count, coalesce(a.n, 0) > 0 AS has_aoi_file,
         b.names AS reference_file_name, b.paths AS reference_file_path, coalesce(b.n, 0) AS reference_file_count, coalesce(b.n, 0) > 0 AS has_reference_file FROM sum s
         LEFT JOIN (SELECT dataset_folder_name, string_agg(DISTINCT name, ' | ' ORDER BY name) AS names, string_agg(DISTINCT path, ' | ' ORDER BY path) AS paths, count(id) AS n FROM file WHERE lower(name) LIKE '%\\_aoi.geojson' ESCAPE '\\' GROUP BY 1) a ON a.dataset_folder_name = s.dataset_folder_name
         LEFT JOIN (SELECT dataset_folder_name, string_agg(DISTINCT name, ' | ' ORDER BY name) AS names, string_agg(DISTINCT path, ' | ' ORDER BY path) AS paths, count(id) AS n FROM file WHERE lower(name) LIKE '%\\_ref.geojson' ESCAPE '\\' OR lower(name) LIKE '%\\_hotosm.geojson' ESCAPE '\\' GROUP BY 1) b ON b.dataset_folder_name = s.dataset_folder_name"""),
     "quality_value_counts": query("sheet", "SELECT trim(quality) AS quality_value, count(*) AS count FROM sheet WHERE trim(quality) <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3"),
-    "tracker_explode": query("aoi_file", """SELECT dataset, replace(replace(lower(dataset), '-', '_'), ' ', '_') AS slug, file_name, regexp_replace(regexp_replace(file_name, '\\.[^./]*$', ''), '_aoi$', '', 'i') AS sub_aoi_id, count(*) OVER (PARTITION BY dataset) > 1 AS is_multi_aoi
-        FROM aoi_file WHERE upper(trim(has_aoi_file)) = 'TRUE' AND lower(trim(coalesce(suitable, ''))) <> 'n'"""),
-    "tracker_references": query("track", "SELECT dataset_folder_name AS dataset, CASE WHEN reference_file IS NULL THEN '' ELSE dataset_folder_name || '_ref.geojson' || CASE WHEN k % 4 = 0 THEN '|extra_ref.geojson' ELSE '' END END AS ref_paths, CASE WHEN reference_file IS NOT NULL THEN dataset_folder_name || '_ref.geojson' END AS ref_path FROM track"),
-    "quality_flag": query("track", """SELECT dataset_folder_name, CASE WHEN lower(trim(suitable)) IN ('yes', 'high') THEN true WHEN lower(trim(suitable)) IN ('n', 'unsuitable') THEN false ELSE coalesce(suitable LIKE '%suitable%', false) END AS is_high_quality, lower(trim(has_aoi_file)) = 'true' AS has_file,
-        replace(dataset_folder_name, ' ', '_') AS slug, upper(dataset_folder_name[1]) || dataset_folder_name[2:] AS label FROM track"""),
-    "inventory_rows": query("track", """SELECT dataset_folder_name AS dataset, lower(trim(has_aoi_file)) = 'true' AS has_aoi_file, reference_file IS NOT NULL AS has_reference_file, CAST(1 + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS aoi_file_count,
-        dataset_folder_name || '_1_aoi.geojson' || CASE WHEN k % 3 = 0 THEN ' | ' || dataset_folder_name || '_2_AOI.geojson' ELSE '' END AS aoi_file_names, CASE WHEN length(dataset_folder_name) % 2 = 0 THEN CAST(length(dataset_folder_name) * 10 AS DOUBLE) END AS match_score, round(6 + sqrt(1 + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END) * 3.5, 6) AS radius FROM track"""),
+    "tracker_explode": query("aoi_file", "SELECT dataset, slug, file_name, path, sub_aoi_id, count(*) OVER (PARTITION BY dataset) > 1 AS is_multi_aoi FROM aoi_file WHERE upper(trim(has_aoi_file)) = 'TRUE' AND lower(trim(suitable)) = 'yes'"),
+    "tracker_high_quality": query("aoi_file", "SELECT dataset, slug, file_name, path, sub_aoi_id, count(*) OVER (PARTITION BY dataset) > 1 AS is_multi_aoi FROM aoi_file WHERE upper(trim(has_aoi_file)) = 'TRUE' AND upper(trim(is_high_quality)) = 'TRUE'"),
+    "validation_areas": query("aoi_file", "SELECT dataset, slug, file_name, path, sub_aoi_id, count(*) OVER (PARTITION BY dataset) > 1 AS is_multi_aoi FROM aoi_file WHERE lower(suitable) = 'yes' AND trim(dataset) <> ''"),
+    "tracker_references": query("track", """SELECT dataset, replace(replace(dataset, '-', '_'), ' ', '_') AS slug, coalesce(string_agg(p, '|' ORDER BY first_at), '') AS ref_paths, CASE WHEN count(p) = 1 THEN min(p) END AS ref_path FROM (
+        SELECT t.dataset_folder_name AS dataset, t.dataset_folder_name || '/vector/' || u.f AS p, min(t.row_id * 100 + u.j) AS first_at FROM track t LEFT JOIN LATERAL (SELECT unnest(t.refs) AS f, generate_subscripts(t.refs, 1) AS j) u ON true
+        WHERE lower(t.suitable) = 'yes' AND trim(t.dataset_folder_name) <> '' GROUP BY 1, 2) GROUP BY dataset"""),
+    "quality_flag": query("track", """SELECT row_id, dataset_folder_name, CASE WHEN lower(trim(suitable)) IN ('yes', 'high') THEN true WHEN lower(trim(suitable)) IN ('no', 'unsuitable') THEN false ELSE coalesce(suitable LIKE '%suitable%', false) END AS is_high_quality, lower(trim(has_aoi_file)) = 'true' AS has_file,
+        replace(replace(dataset_folder_name, '-', '_'), ' ', '_') AS slug, replace(upper(dataset_folder_name[1]) || dataset_folder_name[2:], '-', ' ') AS label FROM track"""),
+    "inventory_rows": query("map_row", """SELECT dataset, bool_or(a) AS has_aoi_file, bool_or(r) AS has_reference_file, max(n) AS aoi_file_count, max(m) AS reference_file_count, max(score) AS match_score,
+        string_agg(DISTINCT path, ' | ' ORDER BY path) FILTER (WHERE f = 1) || ' | b/x.geojson' AS aoi_file_paths, string_agg(DISTINCT file, ' | ' ORDER BY file) FILTER (WHERE f = 1) || ' | x.geojson' AS aoi_file_names,
+        round(least(6 + sqrt(greatest(max(n), max(m), 1)) * 3.5, 28), 6) + 0.0 AS radius FROM (SELECT *, 1 AS f FROM map_row) GROUP BY dataset"""),
     "bbox_extract": query("cand part", "SELECT c.city, c.dataset, c.bld_id FROM cand c JOIN part p ON p.city = c.city AND p.sub_aoi_id = 'part_1' WHERE c.xmin <= p.xmax AND c.xmax >= p.xmin AND c.ymin <= p.ymax AND c.ymax >= p.ymin"),
     "sub_aoi_tagging": query("ref part", "SELECT c.city, c.bld_id, p.sub_aoi_id FROM ref c JOIN part p ON p.city = c.city WHERE c.xmin <= p.xmax AND c.xmax >= p.xmin AND c.ymin <= p.ymax AND c.ymax >= p.ymin"),
     "range_lookup": "SELECT p_partkey, 900 + k AS article_id FROM part, (SELECT unnest(range(10)) AS k) WHERE p_partkey BETWEEN k * 173 AND k * 173 + 150",

@@ -75,13 +75,17 @@ def pixels(spark: SparkSession, resolution: int = 20, side: int = int(SIDE) + 20
 
 
 def tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One string row for each nation, with lists in bars and flags of several spellings."""
-    return table(spark, sf_dir, "nation").selectExpr(
-        "lower(n_name) as dataset_folder_name",
-        "concat_ws('|', concat(lower(n_name), '_1_aoi.geojson'), if(n_nationkey % 3 = 0, concat(' ', lower(n_name), '_2_AOI.geojson '), null), '') as aoi_file_name",
-        "if(n_nationkey % 7 = 6, null, concat_ws('|', concat(lower(n_name), '_ref.geojson'), concat(lower(n_name), '_ref.geojson'), if(n_nationkey % 4 = 0, 'extra_ref.geojson', null))) as reference_file",
+    """String rows for each nation, some for two rows of one dataset, with lists in bars, flags of several spellings and names in mixed case."""
+    name = "if(n_nationkey % 4 < 2, lower(n_name), concat(initcap(n_name), '-City ', n_nationkey))"
+    rows = table(spark, sf_dir, "nation").selectExpr("*", f"{name} as name", "explode(if(n_nationkey % 3 = 0, array(0, 1), array(0))) as again")
+    return rows.selectExpr(
+        "cast(n_nationkey * 2 + again as bigint) as row_id",
+        "if(n_nationkey = 24, if(again = 0, ' ', null), name) as dataset_folder_name",
+        "if(again = 1, concat(' ', name, '_2_AOI.geojson '), concat_ws('|', concat(name, '_1_aoi.geojson'), if(n_nationkey % 6 = 1, 'Part_b.gpkg', null), '')) as aoi_file_name",
+        "if(n_nationkey % 7 = 6, null, concat_ws('|', concat(name, '_ref.geojson'), concat(name, '_ref.geojson'), if(n_nationkey % 4 = 0 or again = 1, 'extra_ref.geojson', null))) as reference_file",
         "element_at(array('TRUE', 'True', ' true ', 'FALSE', ''), cast(n_nationkey % 5 + 1 as int)) as has_aoi_file",
-        "element_at(array('yes', 'Yes ', 'N', 'unsuitable', 'unsuitable for use', 'high', null), cast(n_nationkey % 7 + 1 as int)) as suitable",
+        "element_at(array('yes', 'Yes ', 'YES', 'unsuitable', 'unsuitable for use', 'high', null, 'no'), cast(n_nationkey % 8 + 1 as int)) as suitable",
+        "element_at(array('TRUE', ' true', 'no', null), cast(n_nationkey % 4 + 1 as int)) as is_high_quality",
     )
 
 
@@ -94,18 +98,34 @@ def sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file tree: folders of level 1 for most nations and parts as files in them."""
-    folders = table(spark, sf_dir, "nation").where("n_nationkey % 6 <> 5").selectExpr(
-        "concat('f', n_nationkey) as id",
-        "case n_nationkey % 4 when 0 then lower(n_name) when 1 then concat('dataset_', lower(n_name), '_final') when 2 then concat(lower(n_name), '_2021') else concat('old ', upper(n_name), ' copies') end as name",
-        "true as is_folder", "cast(null as bigint) as size_bytes", "1 as level", "cast(null as string) as parent",
-    )
-    more = table(spark, sf_dir, "nation").where("n_nationkey % 8 = 0").selectExpr("concat('g', n_nationkey) as id", "concat(lower(n_name), '_backup') as name", "true as is_folder", "cast(null as bigint) as size_bytes", "1 as level", "cast(null as string) as parent")
-    top = folders.unionByName(more)
-    files = table(spark, sf_dir, "part").where("p_partkey < 400").selectExpr(
+def drive_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of a drive: top folders for most nations, folders below some to the third level, and parts as files at every level."""
+    none = "cast(null as string)"
+    folder = "true as is_folder", "'folder' as mime_type", "cast(0 as bigint) as size_bytes", f"{none} as modified_time"
+    nation = table(spark, sf_dir, "nation")
+    named = "case n_nationkey % 4 when 0 then lower(n_name) when 1 then concat('dataset_', lower(n_name), '_final') when 2 then concat(lower(n_name), '_2021') else concat('old ', upper(n_name), ' copies') end as name"
+    out = nation.where("n_nationkey % 6 <> 5").selectExpr("concat('f', n_nationkey) as id", named, *folder, f"{none} as parent")
+    out = out.unionByName(nation.where("n_nationkey % 8 = 0").selectExpr("concat('g', n_nationkey) as id", "concat(lower(n_name), '_backup') as name", *folder, f"{none} as parent"))
+    out = out.unionByName(nation.where("n_nationkey % 3 = 0").selectExpr("concat('s', n_nationkey) as id", "'Vector' as name", *folder, "concat('f', n_nationkey) as parent"))
+    out = out.unionByName(nation.where("n_nationkey % 2 = 0").selectExpr("concat('t', n_nationkey) as id", "'aoi' as name", *folder, "concat('s', n_nationkey) as parent"))
+    files = table(spark, sf_dir, "part").selectExpr(
         "concat('p', p_partkey) as id",
         "concat('tile', p_partkey, case p_partkey % 4 when 0 then '_AOI.geojson' when 1 then '_ref.geojson' when 2 then '_hotosm.geojson' else '.tif' end) as name",
-        "false as is_folder", "cast(p_size as bigint) * 1000 as size_bytes", "2 as level", "concat(if(p_partkey % 3 = 0, 'g', 'f'), p_partkey % 25) as parent",
+        "false as is_folder", "if(p_partkey % 4 = 3, 'image/tiff', 'application/json') as mime_type", "cast(p_size as bigint) * 1000 as size_bytes", "concat('2024-01-', p_size) as modified_time",
+        "if(p_partkey % 50 = 7, null, concat(element_at(array('f', 's', 't', 'g', 'f'), cast(p_partkey % 5 + 1 as int)), p_partkey % 24)) as parent",
     )
-    return top.unionByName(files)
+    return out.unionByName(files)
+
+
+def map_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listing of area and reference files, a row or two for each nation, with flags, counts and scores as texts."""
+    return table(spark, sf_dir, "nation").selectExpr("*", "explode(array(0, 1)) as again").where("again = 0 or n_nationkey % 3 = 0").selectExpr(
+        "concat(' ', n_name, if(again = 1, ' ', '')) as dataset",
+        "element_at(array('TRUE', '0', 'y', '', null), cast((n_nationkey + again) % 5 + 1 as int)) as has_aoi_file",
+        "element_at(array('False', '1', null), cast((n_nationkey + again) % 3 + 1 as int)) as has_reference_file",
+        "element_at(array('3', 'n/a', '40', null), cast((n_nationkey + again) % 4 + 1 as int)) as aoi_file_count",
+        "element_at(array('x', '12', null, '2.5', '0'), cast((n_nationkey + 2 * again) % 5 + 1 as int)) as reference_file_count",
+        "if(n_nationkey % 2 = 0, cast(80 + n_nationkey + again as string), 'none') as match_score",
+        "concat('a/', n_name, '_', again, '.geojson | b/x.geojson') as aoi_file_path",
+        "concat(n_name, '_', again, '.geojson|x.geojson| ') as aoi_file_name",
+    )

@@ -215,8 +215,12 @@ def best_raster_per_city_grid(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rollup.best_raster_per_city_grid(raster_cities(spark, d)))
 
 
+def _drive(spark: SparkSession, d: str) -> DataFrame:
+    return inventory.file_tree(fx.drive_items(spark, d))
+
+
 def name_match_scores(spark: SparkSession, d: str) -> DataFrame:
-    return inventory.match_candidates(fx.sheet(spark, d), fx.inventory(spark, d))
+    return inventory.match_candidates(fx.sheet(spark, d), _drive(spark, d))
 
 
 def best_folder_match(spark: SparkSession, d: str) -> DataFrame:
@@ -224,7 +228,8 @@ def best_folder_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _summary(spark: SparkSession, d: str) -> DataFrame:
-    return inventory.download_summary(fx.sheet(spark, d), fx.inventory(spark, d), name_match_scores(spark, d))
+    drive = _drive(spark, d)
+    return inventory.download_summary(fx.sheet(spark, d), drive, inventory.match_candidates(fx.sheet(spark, d), drive))
 
 
 def download_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -240,15 +245,15 @@ def duplicate_codes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def duplicate_matches(spark: SparkSession, d: str) -> DataFrame:
-    return inventory.duplicate_matches(name_match_scores(spark, d))
+    return inventory.duplicate_matches(name_match_scores(spark, d), fx.sheet(spark, d))
 
 
 def file_manifest(spark: SparkSession, d: str) -> DataFrame:
-    return inventory.file_manifest(_summary(spark, d), fx.inventory(spark, d))
+    return inventory.file_manifest(_summary(spark, d), _drive(spark, d))
 
 
 def aoi_ref_listing(spark: SparkSession, d: str) -> DataFrame:
-    return inventory.file_listing(_summary(spark, d), fx.inventory(spark, d))
+    return inventory.file_listing(_summary(spark, d), _drive(spark, d))
 
 
 def quality_value_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -261,16 +266,24 @@ def tracker_explode(spark: SparkSession, d: str) -> DataFrame:
 
 def tracker_references(spark: SparkSession, d: str) -> DataFrame:
     r = inventory.tracked_references(fx.tracker(spark, d))
-    return r.select("dataset", F.array_join("ref_paths", "|").alias("ref_paths"), F.element_at(F.concat("ref_paths", F.array(F.lit(None).cast("string"))), 1).alias("ref_path"))
+    return r.select("dataset", "slug", F.array_join("ref_paths", "|").alias("ref_paths"), "ref_path")
+
+
+def validation_areas(spark: SparkSession, d: str) -> DataFrame:
+    return inventory.validation_areas(fx.tracker(spark, d))
+
+
+def tracker_high_quality(spark: SparkSession, d: str) -> DataFrame:
+    return inventory.tracked_areas(fx.tracker(spark, d), suitable_only=False, high_quality_only=True)
 
 
 def quality_flag(spark: SparkSession, d: str) -> DataFrame:
-    return fx.tracker(spark, d).select("dataset_folder_name", names.quality_flag("suitable").alias("is_high_quality"), names.truthy("has_aoi_file").alias("has_file"), names.slug("dataset_folder_name").alias("slug"), names.title("dataset_folder_name").alias("label"))
+    return fx.tracker(spark, d).select("row_id", "dataset_folder_name", names.quality_flag("suitable").alias("is_high_quality"), names.truthy("has_aoi_file").alias("has_file"), names.slug("dataset_folder_name").alias("slug"), names.title("dataset_folder_name").alias("label"))
 
 
 def inventory_rows(spark: SparkSession, d: str) -> DataFrame:
-    scores = fx.tracker(spark, d).select(F.trim("dataset_folder_name").alias("dataset"), F.expr("if(length(dataset_folder_name) % 2 = 0, cast(length(dataset_folder_name) * 10 as string), 'n/a')").alias("match_score"))
-    return rounded(inventory.map_rows(fx.tracker(spark, d), scores))
+    rows = inventory.map_rows(fx.map_listing(spark, d))
+    return rounded(rows.withColumns({c: F.array_join(c, " | ") for c in ("aoi_file_paths", "aoi_file_names")}))
 
 
 def bbox_extract(spark: SparkSession, d: str) -> DataFrame:
@@ -423,7 +436,7 @@ def _customers(spark: SparkSession, d: str) -> DataFrame:
 
 def file_tree(spark: SparkSession, d: str) -> DataFrame:
     """Levels and paths of all customers."""
-    return inventory.file_tree(_customers(spark, d))
+    return inventory.file_tree(_customers(spark, d)).drop("parent")
 
 
 def file_tree_all(spark: SparkSession, d: str) -> DataFrame:
@@ -437,7 +450,7 @@ QUERIES: dict[str, Query] = {
         tile_assignment, tile_grid, candidate_pairs_iou, buffered_pairs_iou, greedy_match, unmatched_references, tile_metrics, city_summary, size_bin_metrics, density_summary, weighted_mean_skipna, weighted_mean_zero,
         vector_global_rollup, best_dataset_per_city, pixel_binarize, predicted_area_methods, regrid_block_average, ref_fraction, raster_tile_metrics, raster_city_summary, qa_disagreement, native_guard, raster_mosaic_clip, bilinear_sample,
         raster_global_rollup, best_raster_per_city_grid, name_match_scores, best_folder_match, download_summary, unmatched_codes, duplicate_codes, duplicate_matches, file_manifest, aoi_ref_listing, quality_value_counts, tracker_explode,
-        tracker_references, quality_flag, inventory_rows, bbox_extract, sub_aoi_tagging, range_lookup, tracker_tiles, split_bounds, split_bounds_all, select_files, first_file, work_list, tile_density, density_class_summary, iou_histogram, boxplot_stats,
+        tracker_references, validation_areas, tracker_high_quality, quality_flag, inventory_rows, bbox_extract, sub_aoi_tagging, range_lookup, tracker_tiles, split_bounds, split_bounds_all, select_files, first_file, work_list, tile_density, density_class_summary, iou_histogram, boxplot_stats,
         iou_by_size_quantile, f1_pivot, tile_f1_map, polygon_area, point_in_polygon, size_bins, utm_projection, polygon_iou_buffered, boundary_f_pair, boundary_f_tile, dissolved_area, file_tree, file_tree_all,
     )
 }

@@ -19,12 +19,15 @@ from gridproof.functions import names
         ("", "x", None),
         ("São-Tomé", "sao tome", 100),
         ("lagos_v2", "lagos_2021", 96),
+        ("ﬁle Ｄelta Ⅳ", "file delta iv", 100),
+        ("zone²", "zone2", 100),
     ],
 )
 def test_ladder(spark, code, folder, score):
     df = spark.createDataFrame([(code, folder)], "c string, f string")
-    got = df.select(names.match_score(names.name_parts("c"), names.name_parts("f"))["score"]).first()[0]
-    assert got == score
+    parts = df.select(names.name_parts("c").alias("c"), names.name_parts("f").alias("f")).repartition(1)
+    got, met = parts.select(names.match_score(F.col("c"), F.col("f"))["score"], F.arrays_overlap(names.code_keys(F.col("c")), names.folder_keys(F.col("f")))).first()
+    assert got == score and (met or score is None)
 
 
 def test_wrappers_alone_keep_the_whole_name(spark):
@@ -53,3 +56,16 @@ def test_columns():
     assert names.url_column(["a", "tile_href"]) == "tile_href"
     with pytest.raises(KeyError):
         names.column_like(["x"], "y")
+
+
+def test_all_matches_share_a_key(spark):
+    """Names that any rule matches meet on a key, for random short names."""
+    import random
+
+    rng = random.Random(2)
+    words = ["ab", "abc", "nairobi", "data", "v2", "2021", "lagosport", "c", "final", "é"]
+    rows = [("".join(rng.choice(words) + rng.choice(["", "_", " "]) for _ in range(rng.randrange(1, 4))), "".join(rng.choice(words) + rng.choice(["", "_", " "]) for _ in range(rng.randrange(1, 5)))) for _ in range(400)]
+    parts = spark.createDataFrame(rows, "c string, f string").select(names.name_parts("c").alias("c"), names.name_parts("f").alias("f")).repartition(2)
+    scored = parts.select(names.match_score(F.col("c"), F.col("f")).alias("m"), F.arrays_overlap(names.code_keys(F.col("c")), names.folder_keys(F.col("f"))).alias("met")).collect()
+    assert sum(r.m is not None for r in scored) > 40
+    assert all(r.met for r in scored if r.m is not None)
