@@ -1,16 +1,26 @@
 """Hashed maximum-entropy language model with a class-factored softmax.
 
-P(word | context) = P(class | context) * P(word | class).  The class softmax
-has a bias and three hashed features: the previous word, the word before it
-(skip), and both (n-gram).  Frequent words are classes of their own or share
-one with words as frequent; all others fall into classes by ending and length,
-where a word has the share (count + 1) / (counts + words + 1) and one slot is
-left for the unknown.  So the shares of all words sum to one.
-
-Counts and gradients cover every training token.  Each task makes Adagrad
-steps over its packs from common weights; the weights are then averaged by
-tokens, in two levels so that no group holds all tasks.  Scoring gathers
-weights for batches of tokens in numpy.
+P(word | context) = P(class | context) * P(word | class, context).
+
+The class softmax has a bias and three hashed features: the previous word, the
+word before it (skip), and both (n-gram).  Frequent words are classes of their
+own or share one with words as frequent; all others fall into classes by their
+last two bytes.  Its weights are few and of a fixed size.
+
+Within a class the softmax has a base share for each word, (count + 1) / (counts +
+words + 1) in a tail class with one slot for the unknown, and one feature for
+each pair of previous word and word that the corpus holds.  Their number grows
+with the corpus; their weights live in the buckets of ``packs``, never in one
+place.  The constraint of such a feature is its count, smoothed by the base share
+as often as the context has different successors in the class; as a pair touches
+no other context, the weight that meets it is in closed form,
+``log((n(prev, word) + t * share) / ((n(prev) + t) * share))``, and the normaliser is 1.
+
+Counts and gradients cover every training token.  Documents are dealt to training
+parts by a hash, so the model does not depend on the input's partitions.  Each
+part makes Adagrad steps over its packs from common weights; the weights are then
+averaged by tokens, in two levels so that no group holds all parts.  Scoring
+gathers weights for batches of tokens in numpy.
 """
 
 from __future__ import annotations
@@ -31,11 +41,15 @@ from gridproof.sources.scratch import written
 TAILS = 16
 END = np.uint64(0xE0D0_E0D0_E0D0_E0D0 | (TAILS - 1))
 _NONE = np.uint64(0x5EED)
+#: Bits of a pair's key that tell the word; the others tell the previous word and the class.
+WORD_BITS = 28
+#: Bytes of text whose documents train together.
+PART_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
 class Shape:
-    """Sizes of the model; none grows with the data."""
+    """Sizes of the class softmax; none grows with the data."""
 
     singles: int = 20
     shared: int = 4
@@ -80,11 +94,29 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys, owner
 
 
+def before(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The previous token of each, within its text."""
+    out = np.full(len(keys), _NONE, np.uint64)
+    same = owner[1:] == owner[:-1]
+    out[1:][same] = keys[:-1][same]
+    return out
+
+
+def pairs(keys: np.ndarray, owner: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Keys of (previous word, class) in the high bits and of the word in the low ones."""
+    context = textops.mix(before(keys, owner) + target.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 15)
+    return (context >> np.uint64(WORD_BITS) << np.uint64(WORD_BITS)) | (textops.mix(keys, 16) >> np.uint64(64 - WORD_BITS))
+
+
+def within(share: np.ndarray, met: np.ndarray) -> np.ndarray:
+    """Log probability of words in their class, from their base share and rows (pair's count, context's count, context's successors)."""
+    n, total, kinds = met.astype(np.float64).T
+    return np.log(np.where(total > 0, (n + kinds * share) / np.maximum(1, total + kinds), share))
+
+
 def features(keys: np.ndarray, owner: np.ndarray, shape: Shape) -> np.ndarray:
     """Rows of the weight matrix for each token: previous word, skip, and both."""
-    one, two = np.full(len(keys), _NONE, np.uint64), np.full(len(keys), _NONE, np.uint64)
-    same = owner[1:] == owner[:-1]
-    one[1:][same] = keys[:-1][same]
+    one, two = before(keys, owner), np.full(len(keys), _NONE, np.uint64)
     same = owner[2:] == owner[:-2]
     two[2:][same] = keys[:-2][same]
     size = np.uint64(shape.buckets)
@@ -124,6 +156,12 @@ class Head:
         return (np.where(rank >= 0, self.group[rank], tail) if len(self.keys) else tail), rank
 
 
+    def shares(self, counts: np.ndarray, target: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """Base share of each word, of the given count, class and rank, in its class."""
+        out = (counts + 1) / self.tail_size[np.maximum(0, target - self.first_tail)]
+        return np.where(rank >= 0, self.share[rank], out) if len(self.keys) else out
+
+
 def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
     z = weights[rows[0]]
     z += weights[rows[1]]
@@ -215,7 +253,7 @@ def score_texts(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     and its text is trained on.  Repeated rows each count.  Empty input gives no
     rows; other columns are ignored.
     """
-    packs = pk.packed(docs)
+    packs = pk.packed(docs, part_bytes=PART_BYTES)
     size = pk.sizes(packs)
 
     def keys(pack):
@@ -250,24 +288,42 @@ def score_texts(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     head = Head(np.array([k for k, _ in top], np.uint64), np.array([c for _, c in top], np.float64), tails[0], tails[1], shape)
     weights, bias = train(packs, head, shape)
     pk.release(docs.sparkSession)
+    answers = answers.select("pack_id", "bucket", "found")
+
+    def pair_keys(pack):
+        used = np.array([not held_out(x) for x in pack.ids])
+        found, counts = [], []
+        for first, data, offsets in pack.slices():
+            k, owner = tokens(data, offsets)
+            names, index = np.unique(pairs(k, owner, head.find(k)[0]), return_inverse=True)
+            found.append(names)
+            counts.append(np.bincount(index, used[first : first + len(offsets) - 1][owner], minlength=len(names)))
+        names, index = np.unique(np.concatenate(found), return_inverse=True)
+        return names, np.bincount(index, np.concatenate(counts)).astype(np.int64)
+
+    parts = pk.buckets(docs.sparkSession, size.words)
+    met = pk.ask(packs, pair_keys, 64, lambda rows: rows.astype(np.uint32), parts=parts, low=WORD_BITS)
+    # counts of words come before those of pairs
+    answers = answers.unionByName(met.select("pack_id", (F.col("bucket") + parts).cast("int").alias("bucket"), "found"))
 
     def score(pack, counts):
         parts = [(first, *tokens(data, offsets), len(offsets) - 1) for first, data, offsets in pack.slices()]
         names = np.unique(np.concatenate([np.unique(k) for _, k, _, _ in parts]))
-        for first, k, owner, n_docs in parts:
+        pair_of = [pairs(k, owner, head.find(k)[0]) for _, k, owner, _ in parts]
+        pair_names = np.unique(np.concatenate([np.unique(p) for p in pair_of]))
+        counts, met = counts[: len(names)], counts[len(names) :].reshape(-1, 3)
+        for (first, k, owner, n_docs), pair in zip(parts, pair_of, strict=True):
             c = counts[np.searchsorted(names, k)].astype(np.float64)
             target, rank = head.find(k)
-            tail = np.maximum(0, target - head.first_tail)
-            within = np.log((c + 1) / head.tail_size[tail])
-            if len(head.keys):
-                within = np.where(rank >= 0, np.log(head.share[rank]), within)
+            share = head.shares(c, target, rank)
+            inner = within(share, met[np.searchsorted(pair_names, pair)])
             rows = features(k, owner, shape)
             chosen = np.empty(len(k))
             for at in range(0, len(k), shape.batch):
                 part = slice(at, at + shape.batch)
                 z = log_softmax(weights, bias, rows[:, part])
                 chosen[part] = z[np.arange(len(z)), target[part]]
-            total = np.bincount(owner, (chosen + within) / np.log(10), minlength=n_docs)
+            total = np.bincount(owner, (chosen + inner) / np.log(10), minlength=n_docs)
             base = np.bincount(owner, np.log10((c + 1) / (n + v + 1)), minlength=n_docs)
             size, known = np.bincount(owner, minlength=n_docs), np.bincount(owner, c > 0, minlength=n_docs)
             for d in range(n_docs):

@@ -121,15 +121,25 @@ def _parts(data: bytes, sizes: list[int]):
         yield whole[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
-def packed(docs: DataFrame, size: int = PACK_BYTES) -> DataFrame:
-    """All documents in written packs of about ``size`` bytes; a null text is empty."""
+def packed(docs: DataFrame, size: int = PACK_BYTES, part_bytes: int | None = None) -> DataFrame:
+    """All documents in written packs of about ``size`` bytes; a null text is empty.
+
+    With ``part_bytes`` documents are first dealt to parts of about that size by a
+    hash of id and text, in order of it, so packs depend on the documents alone
+    and not on how the input is partitioned.
+    """
+    if part_bytes:
+        total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        rows = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t"), F.xxhash64("text").alias("k"), F.xxhash64("doc_id", "text").alias("h"))
+        rows = rows.repartition(max(1, -(-int(total) // part_bytes)), "h").sortWithinPartitions("h", "i", "k").drop("h")
+        return written(rows.mapInArrow(lambda batches: _build(batches, size), PACK), "none")
     rows = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t"), F.xxhash64("text").alias("k"))
     return written(rows.mapInArrow(lambda batches: _build(batches, size), PACK), "none")
 
 
-def cut(pack_id: int, keys: np.ndarray, counts: np.ndarray | None, bits: int, parts: int) -> Iterator[dict]:
-    """Rows of ASKED for sorted distinct keys of ``bits`` bits."""
-    first = (np.arange(parts + 1, dtype=object) << bits) // parts
+def cut(pack_id: int, keys: np.ndarray, counts: np.ndarray | None, bits: int, parts: int, low: int = 0) -> Iterator[dict]:
+    """Rows of ASKED for sorted distinct keys of ``bits`` bits; keys equal but for their ``low`` last bits share a bucket."""
+    first = (np.arange(parts + 1, dtype=object) << bits) // parts >> low << low
     at = np.searchsorted(keys, np.array([min(int(x), 2**64 - 1) for x in first], np.uint64), "left")
     at[0], at[-1] = 0, len(keys)
     for b in np.flatnonzero(at[1:] > at[:-1]):
@@ -151,8 +161,16 @@ def join_keys(row: dict, bits: int, parts: int) -> np.ndarray:
 Finding = Callable[[np.ndarray], np.ndarray]
 
 
-def counted(asked: DataFrame, bits: int, parts: int, found: Finding, stats: Callable[[int, np.ndarray, np.ndarray], bytes] | None = None) -> DataFrame:
-    """Answers for rows of ASKED: ``found`` maps the total counts to a small array; sent zipped.
+def grouped(keys: np.ndarray, sums: np.ndarray, low: int) -> np.ndarray:
+    """For sorted distinct keys: count, sum of the counts of all keys equal but for their ``low`` last bits, and how many of these are counted."""
+    group = keys >> np.uint64(low)
+    new = np.concatenate([[True], group[1:] != group[:-1]])
+    first, of = np.flatnonzero(new), np.cumsum(new) - 1
+    return np.stack([sums, np.add.reduceat(sums, first)[of], np.add.reduceat((sums > 0).astype(np.int64), first)[of]], 1)
+
+
+def counted(asked: DataFrame, bits: int, parts: int, found: Finding, stats: Callable[[int, np.ndarray, np.ndarray], bytes] | None = None, low: int = 0) -> DataFrame:
+    """Answers for rows of ASKED: ``found`` maps the total counts, or with ``low`` the rows of ``grouped``, to a small array; sent zipped.
 
     held and total are the bucket's number of distinct keys with a count and
     the sum of counts, told in the bucket's first row only.
@@ -168,11 +186,12 @@ def counted(asked: DataFrame, bits: int, parts: int, found: Finding, stats: Call
         new = np.ones(len(ranked), bool)
         new[1:] = ranked[1:] != ranked[:-1]
         sums = np.add.reduceat(np.concatenate(counts)[order], np.flatnonzero(new))
-        total = np.empty(len(every), np.int64)
-        total[order] = sums[np.cumsum(new) - 1]
+        told = grouped(ranked[new], sums, low) if low else sums
+        total = np.empty((len(every), *told.shape[1:]), np.int64)
+        total[order] = told[np.cumsum(new) - 1]
         at = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
         firsts = {"held": int((sums > 0).sum()), "total": float(sums.sum())}
-        base = np.uint64((rows[0]["bucket"] << bits) // parts)
+        base = np.uint64((rows[0]["bucket"] << bits) // parts >> low << low)
         more = stats(rows[0]["bucket"], ranked[new] + base, sums) if stats else None
         out = [{"pack_id": r["pack_id"], "bucket": r["bucket"], "found": squeeze(found(total[at[i] : at[i + 1]]).tobytes()), "held": firsts["held"] if not i else 0, "total": firsts["total"] if not i else 0.0, "stats": more if not i else None} for i, r in enumerate(rows)]
         return pa.Table.from_pylist(out, pa.schema([("pack_id", pa.int64()), ("bucket", pa.int32()), ("found", pa.binary()), ("held", pa.int64()), ("total", pa.float64()), ("stats", pa.binary())]))
@@ -180,7 +199,7 @@ def counted(asked: DataFrame, bits: int, parts: int, found: Finding, stats: Call
     return asked.repartition(parts, "bucket").groupBy("bucket").applyInArrow(bucket, ANSWER)
 
 
-def ask(packs: DataFrame, keys: Callable[[Pack], tuple[np.ndarray, np.ndarray | None]], bits: int, found: Finding, stats=None, *, parts: int) -> DataFrame:
+def ask(packs: DataFrame, keys: Callable[[Pack], tuple[np.ndarray, np.ndarray | None]], bits: int, found: Finding, stats=None, *, parts: int, low: int = 0) -> DataFrame:
     """Rows of ANSWER, for ``keys(pack)``: sorted distinct keys and their counts in the pack."""
     schema = pa.schema([("pack_id", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("width", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
@@ -188,11 +207,11 @@ def ask(packs: DataFrame, keys: Callable[[Pack], tuple[np.ndarray, np.ndarray |
         for batch in batches:
             for i in range(batch.num_rows):
                 pack = Pack(batch.slice(i, 1).to_pylist()[0])
-                rows = list(cut(pack.pack_id, *keys(pack), bits, parts))
+                rows = list(cut(pack.pack_id, *keys(pack), bits, parts, low))
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return counted(packs.mapInArrow(send, ASKED), bits, parts, found, stats)
+    return counted(packs.mapInArrow(send, ASKED), bits, parts, found, stats, low)
 
 
 def met(packs: DataFrame, answers: DataFrame, then: Callable[[dict, np.ndarray], Iterator[dict]], schema: str, arrow: pa.Schema, dtype=np.uint8, *, tasks: int) -> DataFrame:

@@ -209,7 +209,9 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray]], rounds: int = 120, rate: f
 def train(docs: DataFrame, labels: DataFrame, most: int = 1000) -> Crf:
     """A CRF from at most ``most`` documents of either quality, picked by a hash of doc_id.
 
-    Labels with a null doc_id or quality are ignored; of contradicting labels the lower counts.
+    Labels with a null doc_id or quality are ignored; of contradicting labels the
+    lower counts, and of rows that share a doc_id the text with the least hash, so
+    twice ``most`` texts are collected at most.  Without labels all is content.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     ids: dict[int, int] = {}
@@ -224,9 +226,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 1000) -> Crf:
                     if i in ids:
                         yield pa.RecordBatch.from_pydict({"doc_id": [i], "f": [b.features[b.line_at[k] : b.line_at[k + 1]].ravel().tobytes()]}, pa.schema([("doc_id", pa.int64()), ("f", pa.binary())]))
 
-    picked = docs.where(F.col("doc_id").isin(list(ids))) if ids else docs.limit(0)
-    found = picked.select(F.col("doc_id").cast("long"), "text").mapInArrow(lines, "doc_id long, f binary").collect()
-    # rows that repeat a doc_id are each a sample; order by id and content so that reruns agree
+    picked = docs.where(F.col("doc_id").isin(list(ids)) & F.col("text").isNotNull()) if ids else docs.limit(0)
+    one = picked.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    found = one.mapInArrow(lines, "doc_id long, f binary").collect()
+    # in order, so that reruns agree
     samples = []
     for r in sorted(found, key=lambda r: (r["doc_id"], bytes(r["f"]))):
         f = np.frombuffer(r["f"], np.int32).reshape(-1, len(_BINS))
@@ -283,7 +286,11 @@ def judge(docs: DataFrame, model: Crf, share: float = 0.5) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Crf, share: float = 0.5) -> DataFrame:
-    """Rows of ``docs`` that ``judge`` keeps, with all their columns, in one pass without a shuffle."""
+    """Rows of ``docs`` that ``judge`` keeps, with all their columns, in one pass without a shuffle.
+
+    Nulls: rows with a null text go, as they have no words; a null doc_id plays no
+    part.  Repeated rows stay or go together.  Empty input gives no rows.
+    """
     at = [docs.columns.index("doc_id"), docs.columns.index("text")]
 
     def run(batches):

@@ -37,6 +37,84 @@ def test_model_beats_the_base_on_held_out_texts(spark):
     assert r.s > r.b + 0.03
 
 
+def bigrams(rows):
+    """Log10 probability a held-out token of a bigram count model with as many smoothing counts as successors."""
+    texts = [((t or "").encode().lower().split() + [None], zlib.crc32(str(i).encode()) % 7 == 2) for i, t in rows]
+    one = Counter(x for w, h in texts if not h for x in w)
+    n, v = sum(one.values()), len(one)
+    two = Counter(p for w, h in texts if not h for p in zip([0, *w], w, strict=False))
+    context, kinds = Counter(), Counter(a for a, _ in two)
+    for (a, _), c in two.items():
+        context[a] += c
+    total, size = 0.0, 0
+    for w, h in texts:
+        for a, b in zip([0, *w], w, strict=False) if h else ():
+            base = (one[b] + 1) / (n + v + 1)
+            total += math.log10((two[a, b] + kinds[a] * base) / (context[a] + kinds[a]) if a in context else base)
+            size += 1
+    return total / size
+
+
+def test_model_beats_bigram_counts_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    r = maxent_lm.score_texts(docs).where("held_out").selectExpr("sum(score) / sum(n_tokens) s").first()
+    assert r.s > bigrams(docs.select("doc_id", "text").collect()) + 0.01
+
+
+def test_scores_do_not_depend_on_the_partitions(sample):
+    docs = sample.select("doc_id", "text")
+    one, other = (sorted((r.doc_id, round(r.score, 6)) for r in maxent_lm.score_texts(docs.repartition(n)).collect()) for n in (1, 7))
+    assert one == other
+
+
+def test_scores_of_odd_rows_in_plain_python(documents, odd, monkeypatch):
+    """Every score from counted words and pairs, where training leaves the class softmax at its bias."""
+    shape = maxent_lm.Shape(singles=2, shared=1, shared_words=3, buckets=8)
+    monkeypatch.setattr(maxent_lm, "train", lambda packs, head, s: (np.zeros((3 * s.buckets, s.classes), np.float32), head.bias))
+    rows = [*odd[:6], (20, "a b a b c"), (21, "a b d"), (22, "b b a x9"), (30, "unseen a b")]
+    texts = []
+    for i, t in rows:
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        texts.append((i, maxent_lm.tokens(data, np.array([0, len(data)]))[0].tolist(), maxent_lm.held_out(i)))
+    count = Counter(k for _, w, h in texts if not h for k in w)
+    top = sorted(count, key=lambda k: (-count[k], k))[: shape.head]
+    group = {k: r if r < shape.singles else shape.singles for r, k in enumerate(top)}
+
+    def class_of(k):
+        return group.get(k, shape.singles + shape.shared + k % 16)
+
+    sums = Counter()
+    for k in top:
+        sums[group[k]] += count[k]
+    tail = {c: (sum(n for k, n in count.items() if k not in group and k % 16 == c), sum(k not in group and k % 16 == c for k in count)) for c in range(16)}
+    prior = [sums[c] for c in range(shape.singles + shape.shared)] + [tail[c][0] + 1 for c in range(16)]
+    pair, context, kinds = Counter(), Counter(), Counter()
+    for _, w, h in texts:
+        for a, b in zip([None, *w], w, strict=False) if not h else ():
+            pair[a, b] += 1
+    for (a, b), n in pair.items():
+        context[a, class_of(b)] += n
+        kinds[a, class_of(b)] += 1
+    want = []
+    for i, w, _ in texts:
+        total = 0.0
+        for a, b in zip([None, *w], w, strict=False):
+            c = class_of(b)
+            share = count[b] / sums[c] if b in group else (count[b] + 1) / (sum(tail[b % 16]) + 1)
+            n, t = context[a, c], kinds[a, c]
+            total += math.log10((prior[c] + 0.5) / sum(p + 0.5 for p in prior)) + math.log10((pair[a, b] + t * share) / (n + t) if n else share)
+        want.append((i, round(total, 3)))
+    got = sorted(((r.doc_id, round(r.score, 3)) for r in maxent_lm.score_texts(documents(rows), shape).collect()), key=str)
+    assert [(i, pytest.approx(s, abs=2e-3)) for i, s in sorted(want, key=str)] == got
+
+
+def test_words_of_a_class_sum_to_one():
+    share = np.array([0.5, 0.3, 0.2])
+    met = np.array([[4, 6, 2], [2, 6, 2], [0, 6, 2]])
+    assert np.exp(maxent_lm.within(share, met)).sum() == pytest.approx(1)
+    assert np.exp(maxent_lm.within(share, met * 0)) == pytest.approx(share)
+
+
 def test_shares_sum_to_one():
     shape = maxent_lm.Shape(singles=2, shared=1, shared_words=2, buckets=8)
     keys = np.array([16, 33, 50, 67], np.uint64)
