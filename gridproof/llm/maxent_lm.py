@@ -94,6 +94,23 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys, owner
 
 
+def pack_tokens(pack: pk.Pack) -> tuple[np.ndarray, np.ndarray]:
+    """``tokens`` of all documents of a pack."""
+    parts = [(first, *tokens(data, offsets)) for first, data, offsets in pack.slices()]
+    return np.concatenate([k for _, k, _ in parts]), np.concatenate([first + owner for first, _, owner in parts])
+
+
+def used_tokens(pack: pk.Pack, owner: np.ndarray) -> np.ndarray:
+    """Which tokens are trained on."""
+    return np.array([not held_out(x) for x in pack.ids])[owner]
+
+
+def key_counts(keys: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and how often each is trained on."""
+    names, index = np.unique(keys, return_inverse=True)
+    return names, np.bincount(index, used, minlength=len(names)).astype(np.int64)
+
+
 def before(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """The previous token of each, within its text."""
     out = np.full(len(keys), _NONE, np.uint64)
@@ -163,9 +180,9 @@ class Head:
 
 
 def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights[rows[0]]
-    z += weights[rows[1]]
-    z += weights[rows[2]]
+    z = weights.take(rows[0], 0)
+    z += weights.take(rows[1], 0)
+    z += weights.take(rows[2], 0)
     z += bias
     z -= z.max(1, keepdims=True)
     z -= np.log(np.exp(z).sum(1, keepdims=True))
@@ -214,15 +231,12 @@ def train(packs: DataFrame, head: Head, shape: Shape) -> tuple[np.ndarray, np.nd
             for batch in batches:
                 for i in range(batch.num_rows):
                     pack = pk.Pack(batch.slice(i, 1).to_pylist()[0])
-                    used = np.array([not held_out(x) for x in pack.ids])
-                    for first, data, offsets in pack.slices():
-                        keys, owner = tokens(data, offsets)
-                        rows, (target, _) = features(keys, owner, shape), head.find(keys)
-                        own = np.flatnonzero(used[first : first + len(offsets) - 1][owner])
-                        rows, target = rows[:, own], target[own]
-                        for at in range(0, len(target), shape.batch):
-                            _step(w, b, power, power_bias, rows[:, at : at + shape.batch], target[at : at + shape.batch], shape.rate)
-                        n += len(target)
+                    keys, owner = pack_tokens(pack)
+                    used = np.flatnonzero(used_tokens(pack, owner))
+                    rows, target = features(keys, owner, shape)[:, used], head.find(keys[used])[0]
+                    for at in range(0, len(target), shape.batch):
+                        _step(w, b, power, power_bias, rows[:, at : at + shape.batch], target[at : at + shape.batch], shape.rate)
+                    n += len(target)
             if n:
                 salt = TaskContext.get().partitionId() % 64
                 every = np.concatenate([w, b[None]])
@@ -257,15 +271,8 @@ def score_texts(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     size = pk.sizes(packs)
 
     def keys(pack):
-        used = np.array([not held_out(x) for x in pack.ids])
-        found, counts = [], []
-        for first, data, offsets in pack.slices():
-            k, owner = tokens(data, offsets)
-            names, index = np.unique(k, return_inverse=True)
-            found.append(names)
-            counts.append(np.bincount(index, used[first : first + len(offsets) - 1][owner], minlength=len(names)))
-        names, index = np.unique(np.concatenate(found), return_inverse=True)
-        return names, np.bincount(index, np.concatenate(counts)).astype(np.int64)
+        k, owner = pack_tokens(pack)
+        return key_counts(k, used_tokens(pack, owner))
 
     def stats(bucket, names, sums):
         held = sums > 0
@@ -291,15 +298,8 @@ def score_texts(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     answers = answers.select("pack_id", "bucket", "found")
 
     def pair_keys(pack):
-        used = np.array([not held_out(x) for x in pack.ids])
-        found, counts = [], []
-        for first, data, offsets in pack.slices():
-            k, owner = tokens(data, offsets)
-            names, index = np.unique(pairs(k, owner, head.find(k)[0]), return_inverse=True)
-            found.append(names)
-            counts.append(np.bincount(index, used[first : first + len(offsets) - 1][owner], minlength=len(names)))
-        names, index = np.unique(np.concatenate(found), return_inverse=True)
-        return names, np.bincount(index, np.concatenate(counts)).astype(np.int64)
+        k, owner = pack_tokens(pack)
+        return key_counts(pairs(k, owner, head.find(k)[0]), used_tokens(pack, owner))
 
     parts = pk.buckets(docs.sparkSession, size.words)
     met = pk.ask(packs, pair_keys, 64, lambda rows: rows.astype(np.uint32), parts=parts, low=WORD_BITS)
@@ -307,28 +307,23 @@ def score_texts(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     answers = answers.unionByName(met.select("pack_id", (F.col("bucket") + parts).cast("int").alias("bucket"), "found"))
 
     def score(pack, counts):
-        parts = [(first, *tokens(data, offsets), len(offsets) - 1) for first, data, offsets in pack.slices()]
-        names = np.unique(np.concatenate([np.unique(k) for _, k, _, _ in parts]))
-        pair_of = [pairs(k, owner, head.find(k)[0]) for _, k, owner, _ in parts]
-        pair_names = np.unique(np.concatenate([np.unique(p) for p in pair_of]))
-        counts, met = counts[: len(names)], counts[len(names) :].reshape(-1, 3)
-        for (first, k, owner, n_docs), pair in zip(parts, pair_of, strict=True):
-            c = counts[np.searchsorted(names, k)].astype(np.float64)
-            target, rank = head.find(k)
-            share = head.shares(c, target, rank)
-            inner = within(share, met[np.searchsorted(pair_names, pair)])
-            rows = features(k, owner, shape)
-            chosen = np.empty(len(k))
-            for at in range(0, len(k), shape.batch):
-                part = slice(at, at + shape.batch)
-                z = log_softmax(weights, bias, rows[:, part])
-                chosen[part] = z[np.arange(len(z)), target[part]]
-            total = np.bincount(owner, (chosen + inner) / np.log(10), minlength=n_docs)
-            base = np.bincount(owner, np.log10((c + 1) / (n + v + 1)), minlength=n_docs)
-            size, known = np.bincount(owner, minlength=n_docs), np.bincount(owner, c > 0, minlength=n_docs)
-            for d in range(n_docs):
-                i = pack.ids[first + d]
-                yield {"doc_id": i, "held_out": held_out(i), "n_tokens": int(size[d]), "n_known": int(known[d]), "base_sum": float(base[d]), "score": float(total[d])}
+        k, owner = pack_tokens(pack)
+        n_docs = len(pack.ids)
+        names, index = np.unique(k, return_inverse=True)
+        c = counts[: len(names)][index].astype(np.float64)
+        target, rank = head.find(k)
+        pair = np.unique(pairs(k, owner, target), return_inverse=True)[1]
+        chosen = within(head.shares(c, target, rank), counts[len(names) :].reshape(-1, 3)[pair])
+        rows = features(k, owner, shape)
+        for at in range(0, len(k), shape.batch):
+            part = slice(at, at + shape.batch)
+            z = log_softmax(weights, bias, rows[:, part])
+            chosen[part] += z[np.arange(len(z)), target[part]]
+        total = np.bincount(owner, chosen / np.log(10), minlength=n_docs)
+        base = np.bincount(owner, np.log10((c + 1) / (n + v + 1)), minlength=n_docs)
+        length, known = np.bincount(owner, minlength=n_docs), np.bincount(owner, c > 0, minlength=n_docs)
+        for d, i in enumerate(pack.ids):
+            yield {"doc_id": i, "held_out": held_out(i), "n_tokens": int(length[d]), "n_known": int(known[d]), "base_sum": float(base[d]), "score": float(total[d])}
 
     rows = pk.answered(packs, answers, score, SCORES, _SCORES, np.uint32, tasks=pk.buckets(docs.sparkSession, size.packs, pk.PACKS))
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base_sum").alias("base_score"), "score")
