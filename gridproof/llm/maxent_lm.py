@@ -197,10 +197,11 @@ def _step(weights, bias, power, power_bias, rows, target, rate):
     power_bias += g * g
     bias -= rate * g / np.sqrt(power_bias + 1)
     for row in rows:
-        order = np.argsort(row, kind="stable")
+        # numbers of 16 bits are sorted by digits
+        order = np.argsort(row.astype(np.uint16) if len(weights) <= 1 << 16 else row, kind="stable")
         ranked = row[order]
         new = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        g, at = np.add.reduceat(grad[order], new, 0), ranked[new]
+        g, at = np.add.reduceat(grad.take(order, 0), new, 0), ranked[new]
         power[at] += g * g
         weights[at] -= rate * g / np.sqrt(power[at] + 1)
 
