@@ -17,11 +17,11 @@ from gridproof.sources.scratch import written
 KEYS = ("city", "dataset", "tile_id")
 
 
-def candidate_pairs(refs: DataFrame, cands: DataFrame, buffer: float = 0.0, cell: float = 50.0) -> DataFrame:
+def candidate_pairs(refs: DataFrame, cands: DataFrame, buffer: float = 0.0, cell: float = 50.0, touching: bool = False) -> DataFrame:
     """Pairs of boxes of one tile that touch, with their IoU above 0: KEYS, ref_id, cand_id, iou, area_ref, area_cand.
 
     Both sides come from ``assign_tiles``.  Pairs are found on the unbuffered
-    boxes; the buffer only enters the IoU.
+    boxes; the buffer only enters the IoU.  With ``touching`` pairs without IoU stay.
     """
     def cells(df: DataFrame) -> DataFrame:
         for axis, lo, hi in (("cx", "xmin", "xmax"), ("cy", "ymin", "ymax")):
@@ -34,7 +34,7 @@ def candidate_pairs(refs: DataFrame, cands: DataFrame, buffer: float = 0.0, cell
     # a pair that shares several cells counts in the one where both are first
     first = (F.col("cx") == F.greatest(F.floor(a["xmin"] / cell), F.floor(b["xmin"] / cell))) & (F.col("cy") == F.greatest(F.floor(a["ymin"] / cell), F.floor(b["ymin"] / cell)))
     pairs = r.join(c, ["city", "tile_id", "cx", "cy"]).where(boxes_touch(a, b) & first)
-    return pairs.select(*KEYS, "ref_id", "cand_id", box_iou(a, b, buffer).alias("iou"), "area_ref", "area_cand").where("iou > 0")
+    return pairs.select(*KEYS, "ref_id", "cand_id", box_iou(a, b, buffer).alias("iou"), "area_ref", "area_cand").where(F.lit(touching) | (F.col("iou") > 0))
 
 
 def greedy_match(pairs: DataFrame, tau: float = 0.5) -> DataFrame:

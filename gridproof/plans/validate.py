@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridproof.operators import charts, matching, raster, rollup, tiling, vector_metrics
+from gridproof.operators import charts, matching, polygon_metrics, raster, rollup, tiling, vector_metrics
 from gridproof.sources.config import Settings
+from gridproof.sources.scratch import written
 from gridproof.sources.sinks import write_table
 
 
@@ -17,6 +18,9 @@ def areas_km2(areas: DataFrame) -> DataFrame:
 def validate_vector(refs: DataFrame, cands: DataFrame, areas: DataFrame, settings: Settings) -> dict[str, bool]:
     """Writes matches, tile, city, size and density tables and the global roll-up; says which were written.
 
+    Footprints with a ``ring`` are compared as polygons: their boxes find pairs,
+    the rings decide, and boundary scores are added.  Others are boxes.
+
     Later tables read the written earlier ones, so nothing is worked out twice.
     A table that is complete stays unless overwriting is asked for.
     """
@@ -30,9 +34,16 @@ def validate_vector(refs: DataFrame, cands: DataFrame, areas: DataFrame, setting
     tiles = table("tiles", tiling.make_tiles(areas, v.tile_size_m))
     refs, cands = refs.where(F.col("area_m2") >= v.min_area_m2), cands.where(F.col("area_m2") >= v.min_area_m2)
     tiled_refs, tiled_cands = tiling.assign_tiles(refs, tiles, v.tile_size_m), tiling.assign_tiles(cands, tiles, v.tile_size_m)
-    pairs = matching.candidate_pairs(tiled_refs, tiled_cands, v.tau_buffer_m)
-    matches = table("matches", matching.with_area_error(matching.greedy_match(pairs, v.tau_overlap)), by=("city", "dataset"))
-    per_tile = table("tile_metrics", vector_metrics.tile_metrics(tiled_refs, tiled_cands, matches, tau_overlap=v.tau_overlap, tau_buffer=v.tau_buffer_m), True)
+    rings = "ring" in refs.columns and "ring" in cands.columns
+    pairs = matching.candidate_pairs(tiled_refs.drop("ring"), tiled_cands.drop("ring"), v.tau_buffer_m, touching=rings)
+    if rings:
+        pairs = polygon_metrics.exact_pairs(written(pairs), refs, cands, v.tau_buffer_m)
+    found = matching.with_area_error(matching.greedy_match(pairs, v.tau_overlap))
+    if rings:
+        found = polygon_metrics.pair_boundary_f(polygon_metrics.with_rings(found, refs, cands), v.tau_boundary).drop("a", "b")
+    matches = table("matches", found, by=("city", "dataset"))
+    union = polygon_metrics.tile_boundary_f(polygon_metrics.with_rings(matches, refs, cands), v.tau_boundary) if rings else None
+    per_tile = table("tile_metrics", vector_metrics.tile_metrics(tiled_refs, tiled_cands, matches, tau_overlap=v.tau_overlap, tau_buffer=v.tau_buffer_m, boundaries=union, tau_boundary=v.tau_boundary), True)
     km2 = areas_km2(areas)
     cities = table("city_summary", vector_metrics.city_summary(per_tile, matches, km2), True)
     table("size_bins", vector_metrics.size_bin_metrics(matches, refs, cands), True)

@@ -72,7 +72,7 @@ def test_whole_run_is_idempotent(spark, tmp_path):
     assert not any(validate_vector(refs, cands, areas, s).values())
     cities = spark.read.parquet(f"{tmp_path}/city_summary")
     assert cities.count() == 12
-    small = areas.withColumns({"xmax": F.lit(600.0), "ymax": F.lit(600.0)})
+    small = areas.withColumns({"xmax": F.col("xmin") + 600, "ymax": F.col("ymin") + 600})
     assert all(validate_raster(refs, fx.pixels(spark), small, s).values())
     # 10 m is finer than three quarters of the native 20 m
     assert {r.grid for r in spark.read.parquet(f"{tmp_path}/raster_city_summary").select("grid").distinct().collect()} == {"100m"}
