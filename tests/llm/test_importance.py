@@ -38,3 +38,32 @@ def test_odd_rows(documents, odd, spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert all(r.kept for r in importance.resample(documents(odd), none).collect())
     assert importance.resample(documents([]), labels).count() == 0
+
+
+def test_weights_against_plain_python(spark, documents):
+    """Log weights from n-grams counted in dictionaries; buckets so many that none is shared."""
+    import math
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+    import pytest
+
+    from gridproof.llm import textops
+
+    buckets = 1 << 16
+    rows = [(k, " ".join(f"{'good' if k % 3 else 'Bad'}{j * k % 7}" for j in range(k % 11))) for k in range(40)]
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(0, 40, 2)], "doc_id long, quality int")
+
+    def grams(text):
+        w = text.lower().split()
+        return [(x,) for x in w] + list(zip(w, w[1:], strict=False))
+
+    raw = Counter(g for _, t in rows for g in grams(t))
+    good = Counter(g for k, t in rows if k % 2 == 0 and k % 3 for g in grams(t))
+    bucket, _ = importance._grams(*textops.column_bytes(pa.array([" ".join(g) for g in raw if len(g) == 1], pa.large_string())), buckets)
+    assert len(np.unique(bucket)) == sum(len(g) == 1 for g in raw)
+    n, m = sum(raw.values()), sum(good.values())
+    got = {r.doc_id: r.log_weight for r in importance.resample(documents(rows), labels, buckets=buckets).collect()}
+    for k, t in rows:
+        assert got[k] == pytest.approx(sum(math.log((good[g] + 1) / (m + buckets)) - math.log((raw[g] + 1) / (n + buckets)) for g in grams(t)), abs=1e-6)
