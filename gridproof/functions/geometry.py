@@ -114,6 +114,88 @@ def point_in_ring(x, y, ring) -> Column:
     return F.aggregate(_edges(col(ring)), F.lit(0), lambda a, e: a + crosses(e)) % 2 == 1
 
 
+def polygon_edges(ring, holes=None) -> Column:
+    """Edges of an outer ring and of its holes, as one array."""
+    outer = _edges(col(ring))
+    if holes is None:
+        return outer
+    inner = F.coalesce(F.flatten(F.transform(col(holes), _edges)), F.slice(outer, 1, 0))
+    return F.concat(outer, inner)
+
+
+def polygon_area(ring, holes=None) -> Column:
+    """Area of the outer ring less that of its holes."""
+    if holes is None:
+        return ring_area(ring)
+    return ring_area(ring) - F.coalesce(F.aggregate(col(holes), F.lit(0.0), lambda a, h: a + ring_area(h)), F.lit(0.0))
+
+
+def _crosses_ray(x: Column, y: Column, e: Column) -> Column:
+    p, q = e["p"], e["q"]
+    at = p["x"] + (y - p["y"]) * (q["x"] - p["x"]) / F.when(q["y"] == p["y"], F.lit(1.0)).otherwise(q["y"] - p["y"])
+    return F.when(((p["y"] > y) != (q["y"] > y)) & (x < at), 1).otherwise(0)
+
+
+def point_in_edges(x, y, edges) -> Column:
+    """``point_in_ring`` for the edges of a polygon with holes."""
+    x, y = col(x), col(y)
+    return F.aggregate(col(edges), F.lit(0), lambda a, e: a + _crosses_ray(x, y, e)) % 2 == 1
+
+
+def _turn(a: Column, b: Column, c: Column) -> Column:
+    """Side of line ab on which c lies: -1, 0 or 1."""
+    return F.signum((b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"]))
+
+
+def _segments_meet(e: Column, f: Column) -> Column:
+    a, b, c, d = e["p"], e["q"], f["p"], f["q"]
+    boxes = [(F.greatest(a[k], b[k]) >= F.least(c[k], d[k])) & (F.greatest(c[k], d[k]) >= F.least(a[k], b[k])) for k in ("x", "y")]
+    return boxes[0] & boxes[1] & (_turn(a, b, c) * _turn(a, b, d) <= 0) & (_turn(c, d, a) * _turn(c, d, b) <= 0)
+
+
+def edges_intersect(mine, others) -> Column:
+    """Closed polygons, given by their edges, share a point: edges meet, or one holds the other outside its holes."""
+    a, b = col(mine), col(others)
+    first, second = F.element_at(a, 1)["p"], F.element_at(b, 1)["p"]
+    met = F.exists(a, lambda e: F.exists(b, lambda f: _segments_meet(e, f)))
+    return F.coalesce((F.size(a) > 0) & (F.size(b) > 0), F.lit(False)) & (met | point_in_edges(first["x"], first["y"], b) | point_in_edges(second["x"], second["y"], a))
+
+
+def _point_segment(p: Column, e: Column) -> Column:
+    """Square of the distance between a point and a segment."""
+    a, b = e["p"], e["q"]
+    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+    t = F.coalesce(F.try_divide((p["x"] - a["x"]) * dx + (p["y"] - a["y"]) * dy, dx * dx + dy * dy), F.lit(0.0))
+    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), t))
+    return F.pow(p["x"] - a["x"] - t * dx, 2) + F.pow(p["y"] - a["y"] - t * dy, 2)
+
+
+def edges_within(mine, others, distance: float) -> Column:
+    """Polygons come within a distance of each other, which is to meet one of them after a round buffer."""
+    a, b, limit = col(mine), col(others), float(distance) ** 2
+
+    def near(e: Column, f: Column) -> Column:
+        return F.least(_point_segment(e["p"], f), _point_segment(e["q"], f), _point_segment(f["p"], e), _point_segment(f["q"], e)) <= limit
+
+    return edges_intersect(a, b) | F.coalesce(F.exists(a, lambda e: F.exists(b, lambda f: near(e, f))), F.lit(False))
+
+
+def web_mercator(lon, lat) -> Column:
+    """Struct (x, y) in metres of the spherical Mercator projection (EPSG:3857)."""
+    half = math.pi / 4
+    return F.struct((F.radians(col(lon)) * 6378137.0).alias("x"), (F.log(F.tan(half + F.radians(col(lat)) / 2)) * 6378137.0).alias("y"))
+
+
+def ring_to_utm(ring, zone) -> Column:
+    """A ring of degrees (x is the longitude) in metres of a UTM zone."""
+    zone = col(zone)
+    return F.transform(col(ring), lambda p: utm(p["x"], p["y"], zone))
+
+
+def ring_to_mercator(ring) -> Column:
+    return F.transform(col(ring), lambda p: web_mercator(p["x"], p["y"]))
+
+
 def utm_zone(lon) -> Column:
     return F.least(F.lit(60), F.greatest(F.lit(1), F.floor((col(lon) + 180) / 6).cast("int") + 1))
 

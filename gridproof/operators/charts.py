@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridproof.functions.exprs import quantile
+from gridproof.functions.exprs import SIZE_EDGES, SIZE_LABELS, quantile, right_closed_bin
 
 
 def iou_histogram(tiles: DataFrame, matches: DataFrame, bins: int = 30) -> DataFrame:
@@ -22,6 +22,20 @@ def iou_histogram(tiles: DataFrame, matches: DataFrame, bins: int = 30) -> DataF
     return out.select("dataset", "bin", (F.col("bin") / bins).alias("lo"), ((F.col("bin") + 1) / bins).alias("hi"), "n")
 
 
+def mean_iou(tiles: DataFrame, matches: DataFrame) -> DataFrame:
+    """Mean of what ``iou_histogram`` counts, by dataset: IoU of all matches, and 0 for each false positive and negative."""
+    found = matches.groupBy("dataset").agg(F.sum("iou").alias("s"), F.count("iou").alias("n"))
+    zeros = tiles.groupBy("dataset").agg(F.sum(F.col("fp") + F.col("fn")).alias("z"))
+    total = F.coalesce("n", F.lit(0)) + F.coalesce("z", F.lit(0))
+    return found.join(zeros, "dataset", "full").select("dataset", total.alias("n"), F.try_divide(F.coalesce("s", F.lit(0.0)), total).alias("mean_iou"))
+
+
+def iou_by_class(matches: DataFrame, edges: Sequence[float] = SIZE_EDGES, labels: Sequence[str] = SIZE_LABELS) -> DataFrame:
+    """IoU and area error by stated classes of reference area, of each dataset; empty classes have no row."""
+    size = right_closed_bin("area_ref", edges, labels).alias("size_bin")
+    return matches.groupBy("dataset", size).agg(F.count("*").alias("n"), F.avg("iou").alias("mean_iou"), F.median("iou").alias("median_iou"), F.median("rel_area_error").alias("median_rel_area_error")).where("size_bin is not null")
+
+
 def box_plot(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Quartiles, and the extreme values within 1.5 quartile ranges, of each group."""
     q = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), quantile(value, 0.25).alias("q1"), F.median(value).alias("median"), quantile(value, 0.75).alias("q3"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridproof.functions.geometry import BOX, boxes_touch
+from gridproof.functions.geometry import BOX, box, box_ring, boxes_touch, edges_intersect, edges_within, grown, polygon_area, polygon_edges, ring_bounds, ring_to_utm, utm_zone
 
 
 def bbox_filter(bounds: tuple[float, float, float, float], column: str | None = "bbox") -> Column:
@@ -17,18 +17,69 @@ def bbox_filter(bounds: tuple[float, float, float, float], column: str | None =
     return (c["xmin"] <= x1) & (c["xmax"] >= x0) & (c["ymin"] <= y1) & (c["ymax"] >= y0)
 
 
-def extract(footprints: DataFrame, areas: DataFrame) -> DataFrame:
-    """Footprints that touch an area box of their city."""
-    a = areas.select(F.col("city").alias("_c"), *[F.col(k).alias(f"_{k}") for k in BOX])
-    touch = boxes_touch({k: F.col(k) for k in BOX}, {k: F.col(f"_{k}") for k in BOX})
-    return footprints.join(a, (F.col("city") == F.col("_c")) & touch, "left_semi")
+def _outline(df: DataFrame) -> Column:
+    """Edges of a row's polygon: its ring and holes where it has them, else its box."""
+    return polygon_edges("ring", "holes" if "holes" in df.columns else None) if "ring" in df.columns else polygon_edges(box_ring(box()))
+
+
+def _touching(footprints: DataFrame, areas: DataFrame, buffer: float) -> tuple[DataFrame, Column, list[str]]:
+    """Areas with columns renamed, the test whether a footprint meets one, and the names to drop.
+
+    Boxes decide first; where a side has a ``ring`` the outlines decide.
+    """
+    names = ["_c", *[f"_{k}" for k in BOX]]
+    columns = [F.col("city").alias("_c"), *[F.col(k).alias(f"_{k}") for k in BOX]]
+    exact = "ring" in footprints.columns or "ring" in areas.columns or buffer > 0
+    if exact:
+        columns, names = [*columns, _outline(areas).alias("_edges")], [*names, "_edges"]
+    if "sub_aoi_id" in areas.columns:
+        columns.append(F.col("sub_aoi_id"))
+    other = {k: F.col(f"_{k}") for k in BOX}
+    test = (F.col("city") == F.col("_c")) & boxes_touch(box(), grown(other, buffer) if buffer > 0 else other)
+    if exact:
+        mine = _outline(footprints)
+        test = test & (edges_within(mine, "_edges", buffer) if buffer > 0 else edges_intersect(mine, "_edges"))
+    return areas.select(*columns), test, names
+
+
+def extract(footprints: DataFrame, areas: DataFrame, buffer: float = 0.0) -> DataFrame:
+    """Footprints that touch an area of their city, grown by a round buffer.
+
+    Rows have a box, and may have a ring and holes: then outlines decide, so a
+    footprint in a hole or in the corner of an area's box goes.  Areas of one
+    city count as one, overlapping or not.
+    """
+    a, test, _ = _touching(footprints, areas, buffer)
+    return footprints.join(a.drop("sub_aoi_id"), test, "left_semi")
 
 
 def tag_sub_areas(footprints: DataFrame, sub_areas: DataFrame) -> DataFrame:
-    """Footprints with sub_aoi_id, a row for each part that they touch; those in a gap go."""
-    s = sub_areas.select(F.col("city").alias("_c"), "sub_aoi_id", *[F.col(k).alias(f"_{k}") for k in BOX])
-    touch = boxes_touch({k: F.col(k) for k in BOX}, {k: F.col(f"_{k}") for k in BOX})
-    return footprints.drop("sub_aoi_id").join(s, (F.col("city") == F.col("_c")) & touch).drop("_c", *[f"_{k}" for k in BOX])
+    """Footprints with sub_aoi_id, a row for each part that they touch, by outlines as in ``extract``; those in a gap go.
+
+    Columns that an earlier tag or spatial join left go too.
+    """
+    left = {"index_left", "index_right", "sub_aoi_id"}
+    clean = footprints.drop(*[c for c in footprints.columns if c in left or c.startswith("sub_aoi_id_")])
+    s, test, names = _touching(clean, sub_areas, 0.0)
+    return clean.join(s, test).drop(*names)
+
+
+def load_areas(areas: DataFrame, geographic: bool = True) -> DataFrame:
+    """Areas (city, ring, perhaps holes and more) in metres, with box and area_m2; rows without a ring of three points go.
+
+    Degrees are projected to the UTM zone in the middle of the city's bounds, so
+    that all parts of a city lie in one plane.  ``zone`` is then added.
+    """
+    out = areas.where(F.col("ring").isNotNull() & (F.size("ring") >= 3))
+    holes = "holes" if "holes" in out.columns else None
+    if geographic:
+        b = ring_bounds("ring")
+        middle = out.groupBy("city").agg(((F.min(b["xmin"]) + F.max(b["xmax"])) / 2).alias("_m")).select("city", utm_zone("_m").alias("zone"))
+        out = out.join(middle, "city").withColumn("ring", ring_to_utm("ring", "zone"))
+        if holes:
+            out = out.withColumn("holes", F.transform("holes", lambda h: ring_to_utm(h, "zone")))
+    b = ring_bounds("ring")
+    return out.withColumns({k: b[k] for k in BOX} | {"area_m2": polygon_area("ring", holes)})
 
 
 def range_lookup(df: DataFrame, ranges: DataFrame, value: str) -> DataFrame:

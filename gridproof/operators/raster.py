@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridproof.functions.exprs import col, mean_dropping_missing, precision_recall_f1, ratio
-from gridproof.functions.geometry import BOX, overlap_length
+from gridproof.functions.geometry import BOX, box_ring, boxes_touch, edges_intersect, grown, overlap_length, point_in_edges, polygon_edges
 from gridproof.operators.tiling import assign_tiles
 
 CATEGORICAL = ("wsf_tracker", "binary", "nonzero", "value_in")
@@ -98,30 +98,66 @@ def regrid(cells: DataFrame, native: float, target: float, keys: Sequence[str] =
     )
 
 
-def reference_fraction(refs: DataFrame, resolution: float, oversample: int = 4) -> DataFrame:
+def reference_fraction(refs: DataFrame, resolution: float, oversample: int = 4, all_touched: bool = False) -> DataFrame:
     """Share of each cell's sub-cells whose centre lies in a box: city, gx, gy, ref_share.  Overlapping boxes count once.
 
     A box has a row in each cell that it covers a sub-cell of, with one mask of
     the covered sub-cells for each row of them; masks meet by bit_or, so nothing
-    is kept for single sub-cells.
+    is kept for single sub-cells.  ``all_touched`` takes every sub-cell that a
+    box shares area with.  Where refs have a ``ring`` (and ``holes``) it decides
+    on the sub-cells of its box in place of the box.
     """
     s = resolution / oversample
     for axis, lo, hi in (("gx", "xmin", "xmax"), ("gy", "ymin", "ymax")):
-        first, last = F.ceil(F.col(lo) / s - 0.5), F.ceil(F.col(hi) / s - 0.5) - 1
+        first, last = (F.floor(F.col(lo) / s), F.ceil(F.col(hi) / s) - 1) if all_touched else (F.ceil(F.col(lo) / s - 0.5), F.ceil(F.col(hi) / s - 0.5) - 1)
         cells = F.when(first <= last, F.sequence(F.floor(first / oversample), F.floor(last / oversample)))
         refs = refs.withColumn(axis, F.explode(cells)).withColumns({f"_{axis}0": F.greatest(F.lit(0), first - F.col(axis) * oversample), f"_{axis}1": F.least(F.lit(oversample - 1), last - F.col(axis) * oversample)})
-    masks = {f"m{k}": F.bit_or(F.when(F.lit(k).between(F.col("_gy0"), F.col("_gy1")), F.expr("(shiftleft(1L, cast(_gx1 - _gx0 + 1 as int)) - 1) * shiftleft(1L, cast(_gx0 as int))")).otherwise(F.lit(0).cast("long"))) for k in range(oversample)}
+    if "ring" in refs.columns:
+        refs = refs.withColumn("_edges", polygon_edges("ring", "holes" if "holes" in refs.columns else None))
+
+    def in_row(k: int) -> Column:
+        if "ring" not in refs.columns:
+            return F.expr("(shiftleft(1L, cast(_gx1 - _gx0 + 1 as int)) - 1) * shiftleft(1L, cast(_gx0 as int))")
+        y = (F.col("gy") * oversample + k) * s
+        bits = F.lit(0).cast("long")
+        for i in range(oversample):
+            x = (F.col("gx") * oversample + i) * s
+            hit = edges_intersect(polygon_edges(box_ring({"xmin": x, "ymin": y, "xmax": x + s, "ymax": y + s})), "_edges") if all_touched else point_in_edges(x + s / 2, y + s / 2, "_edges")
+            bits = bits + F.when(hit & F.lit(i).between(F.col("_gx0"), F.col("_gx1")), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
+        return bits
+
+    masks = {f"m{k}": F.bit_or(F.when(F.lit(k).between(F.col("_gy0"), F.col("_gy1")), in_row(k)).otherwise(F.lit(0).cast("long"))) for k in range(oversample)}
     cells = refs.groupBy("city", "gx", "gy").agg(*[m.alias(k) for k, m in masks.items()])
     count = sum((F.bit_count(k) for k in masks), F.lit(0))
     return cells.select("city", "gx", "gy", (count / float(oversample**2)).alias("ref_share"))
 
 
-def tile_cells(tiles: DataFrame, resolution: float) -> DataFrame:
-    """Cells of a resolution by their centre's tile: each is in one tile at most, so totals don't count twice."""
+def tile_cells(tiles: DataFrame, resolution: float, areas: DataFrame | None = None, all_touched: bool = False) -> DataFrame:
+    """Cells of a resolution by their centre's tile: each is in one tile at most, so totals don't count twice.
+
+    With ``areas`` (city, ring, perhaps holes, box) there is in_area: the centre
+    lies in an area of the city, or with ``all_touched`` the cell meets one.  A
+    tile carries the outlines that meet it, so cells meet no other areas.
+    """
+    if areas is not None:
+        holes = "holes" if "holes" in areas.columns else None
+        part = areas.select(F.col("city").alias("_c"), polygon_edges("ring", holes).alias("_edges"), *[F.col(k).alias(f"_{k}") for k in BOX])
+        square = {"xmin": F.col("x0"), "ymin": F.col("y0"), "xmax": F.col("x1"), "ymax": F.col("y1")}
+        near = (F.col("city") == F.col("_c")) & boxes_touch(grown(square, float(resolution)), {k: F.col(f"_{k}") for k in BOX})
+        met = tiles.join(part, near).groupBy("city", "tile_id").agg(F.collect_list("_edges").alias("_areas"))
+        tiles = tiles.join(met, ["city", "tile_id"], "left")
     for axis, lo, hi in (("gx", "x0", "x1"), ("gy", "y0", "y1")):
         first, last = F.ceil(F.col(lo) / resolution - 0.5), F.ceil(F.col(hi) / resolution - 0.5) - 1
         tiles = tiles.withColumn(axis, F.explode(F.sequence(first.cast("long"), last.cast("long"))))
-    return tiles.select("city", "tile_id", "gx", "gy")
+    if areas is None:
+        return tiles.select("city", "tile_id", "gx", "gy")
+    if all_touched:
+        cell = {"xmin": F.col("gx") * resolution, "ymin": F.col("gy") * resolution, "xmax": (F.col("gx") + 1) * resolution, "ymax": (F.col("gy") + 1) * resolution}
+        outline = polygon_edges(box_ring(cell))
+        inside = F.exists("_areas", lambda a: edges_intersect(outline, a))
+    else:
+        inside = F.exists("_areas", lambda a: point_in_edges((F.col("gx") + 0.5) * resolution, (F.col("gy") + 0.5) * resolution, a))
+    return tiles.select("city", "tile_id", "gx", "gy", F.coalesce(inside, F.lit(False)).alias("in_area"))
 
 
 def clip_to_areas(cells: DataFrame, areas: DataFrame, resolution: float) -> DataFrame:
@@ -163,18 +199,21 @@ def guard(grids: DataFrame, datasets: DataFrame, tolerance: float = 0.75, mode:
     raise ValueError(f"unknown mode {mode!r}")
 
 
-def tile_metrics(tiles: DataFrame, refs: DataFrame, native: DataFrame, native_resolution: float, resolution: float, grid: str, ref_min_area: float = 20.0, oversample: int = 4, tile_size: float = 1000.0) -> DataFrame:
+def tile_metrics(tiles: DataFrame, refs: DataFrame, native: DataFrame, native_resolution: float, resolution: float, grid: str, ref_min_area: float = 20.0, oversample: int = 4, tile_size: float = 1000.0, areas: DataFrame | None = None, all_touched: bool = False) -> DataFrame:
     """Confusion and area metrics of each dataset and tile at one grid.
 
     ``native`` comes from ``native_cells``.  Undefined P, R and errors are NULL, and
     so is F1 where P + R = 0.  A tile without a valid cell has zeros and NULLs.
+    With ``areas`` only cells in an area of the city are valid, as in ``tile_cells``.
     """
     px = float(resolution) ** 2
     tau = min(1.0, ref_min_area / px)
     datasets = native.select("city", "dataset").distinct()
-    cells = tile_cells(tiles, resolution).join(datasets, "city")
-    cells = cells.join(regrid(native, native_resolution, resolution), ["city", "dataset", "gx", "gy"], "left").join(reference_fraction(refs, resolution, oversample), ["city", "gx", "gy"], "left")
+    cells = tile_cells(tiles, resolution, areas, all_touched).join(datasets, "city")
+    cells = cells.join(regrid(native, native_resolution, resolution), ["city", "dataset", "gx", "gy"], "left").join(reference_fraction(refs, resolution, oversample, all_touched), ["city", "gx", "gy"], "left")
     valid, share = F.coalesce("valid", F.lit(False)), F.coalesce("ref_share", F.lit(0.0))
+    if areas is not None:
+        valid = valid & F.col("in_area")
     ref, pred = share >= tau, F.coalesce(F.col("built_share") >= tau, F.lit(False))
 
     def count(*on: Column) -> Column:

@@ -16,6 +16,7 @@ def weighted(df: DataFrame, values: Sequence[str], weight: str, by: Sequence[str
     return df.groupBy(*by).agg(*[mean(v, weight).alias(f"{v}_wavg" if zero else f"{v}_weighted_mean") for v in values])
 
 
+#: Names of the columns that are summed and averaged, in this and the raster roll-up.
 VECTOR_SUMS = ("n_tiles", "n_ref_total", "n_cand_total", "tp_total", "fp_total", "fn_total")
 VECTOR_MEANS = ("precision_city", "recall_city", "f1_city", "iou_mean_tp", "iou_median_tp", "iou_p25_tp", "iou_p75_tp", "rel_area_error_mean_tp", "rel_area_error_median_tp", "signed_area_bias_tp")
 
@@ -33,7 +34,7 @@ def vector_by_dataset(cities: DataFrame) -> DataFrame:
 
 
 RASTER_SUMS = ("n_tiles", "valid_area_total_m2", "ref_area_total_m2", "pred_area_total_m2", "tp_total", "fp_total", "fn_total")
-RASTER_MEANS = ("precision_area", "recall_area", "f1_area", "f1_tile_mean", "rel_area_error_mean", "signed_area_bias", "quantity_disagreement_mean", "allocation_disagreement_mean")
+RASTER_MEANS = ("f1_area", "precision_area", "recall_area", "f1_tile_mean", "f1_tile_median", "rel_area_error_mean", "rel_area_error_median", "signed_area_bias", "quantity_disagreement_mean", "allocation_disagreement_mean")
 
 
 def raster_by_dataset_grid(cities: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ PARTS: dict[str, tuple[str, str]] = {
         LEFT JOIN (SELECT city, dataset, tile_id, count(*) AS n FROM cand_t GROUP BY ALL) c ON c.city = k.city AND c.dataset = k.dataset AND c.tile_id = k.tile_id
         LEFT JOIN (SELECT city, dataset, tile_id, count(*) AS tp, avg(iou) AS mean_iou, median(iou) AS median_iou, quantile_cont(iou, 0.25) AS p25, quantile_cont(iou, 0.75) AS p75, avg(rel_area_error) AS mean_rel_area_error, sum(area_ref) AS sr, sum(area_cand) AS sc
           FROM m GROUP BY city, dataset, tile_id) x ON x.city = k.city AND x.dataset = k.dataset AND x.tile_id = k.tile_id)"""),
-    "vc": ("tm m", """SELECT s.city, s.dataset, n_tiles, n_ref AS n_ref_total, n_cand AS n_cand_total, n_cand - n_ref AS count_delta_total, n_cand / n_ref AS count_ratio_total, (n_cand - n_ref) / n_ref AS rel_count_delta_total,
+    "vc": ("tm m", """SELECT s.city, s.dataset, CAST(1 AS BIGINT) AS n_sub_areas, n_tiles, n_ref AS n_ref_total, n_cand AS n_cand_total, n_cand - n_ref AS count_delta_total, n_cand / n_ref AS count_ratio_total, (n_cand - n_ref) / n_ref AS rel_count_delta_total,
         n_ref / 9.0 AS ref_density_per_km2, n_cand / 9.0 AS cand_density_per_km2, n_cand / 9.0 - n_ref / 9.0 AS density_delta_per_km2, (n_cand / 9.0) / (n_ref / 9.0) AS density_ratio_per_km2, tp AS tp_total, fp AS fp_total, fn AS fn_total,
         round(tp / (tp + fp), 4) AS precision_city, round(tp / (tp + fn), 4) AS recall_city, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 4) AS f1_city,
         round(a, 4) AS iou_mean_tp, round(b, 4) AS iou_median_tp, round(c, 4) AS iou_p25_tp, round(d, 4) AS iou_p75_tp, round(e, 4) AS rel_area_error_mean_tp, round(f, 4) AS rel_area_error_median_tp, round(g, 4) AS signed_area_bias_tp FROM (
@@ -188,7 +188,7 @@ ORACLE_SQL: dict[str, str] = {
     "greedy_match": query("m", f"SELECT city, dataset, tile_id, ref_id, cand_id, {r('iou area_ref area_cand rel_area_error')} FROM m"),
     "unmatched_references": query("ref_t m", "SELECT r.city, d.dataset, r.tile_id, r.bld_id FROM ref_t r, (VALUES ('ds_0'), ('ds_1'), ('ds_2')) d(dataset) WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.city = r.city AND m.dataset = d.dataset AND m.tile_id = r.tile_id AND m.ref_id = r.bld_id)"),
     "tile_metrics": query("tm", f"SELECT city, dataset, tile_id, n_ref, n_cand, tp, fp, fn, {r('precision recall f1 mean_iou median_iou iou_p25 iou_p75 mean_rel_area_error signed_area_bias tau_overlap tau_buffer_m')} FROM tm"),
-    "city_summary": query("vc", "SELECT city, dataset, n_tiles, n_ref_total, n_cand_total, count_delta_total, " + r("count_ratio_total rel_count_delta_total ref_density_per_km2 cand_density_per_km2 density_delta_per_km2 density_ratio_per_km2") + ", tp_total, fp_total, fn_total, " + r(" ".join(_VM)) + " FROM vc"),
+    "city_summary": query("vc", "SELECT city, dataset, n_sub_areas, n_tiles, n_ref_total, n_cand_total, count_delta_total, " + r("count_ratio_total rel_count_delta_total ref_density_per_km2 cand_density_per_km2 density_delta_per_km2 density_ratio_per_km2") + ", tp_total, fp_total, fn_total, " + r(" ".join(_VM)) + " FROM vc"),
     "size_bin_metrics": query("sized ref cand", f"""SELECT d.city, d.dataset, l.b AS size_bin, coalesce(x.n, 0) AS n_matches, round(x.mi, 6) + 0.0 AS mean_iou, round(x.md, 6) + 0.0 AS median_iou, round(x.me, 6) + 0.0 AS mean_rel_area_error, coalesce(p.n, 0) AS n_ref_in_bin, coalesce(q.n, 0) AS n_cand_in_bin,
         round(coalesce(x.n, 0) / nullif(coalesce(p.n, 0), 0), 6) + 0.0 AS recall_in_bin, round(coalesce(y.n, 0) / nullif(coalesce(q.n, 0), 0), 6) + 0.0 AS precision_in_bin
         FROM (SELECT DISTINCT city, dataset FROM cand) d CROSS JOIN (VALUES ('<25'), ('25-50'), ('50-100'), ('100-500'), ('500-1000'), ('>1000')) l(b)
@@ -224,7 +224,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT DISTINCT city, xmin AS px, ymin AS py, xmin / 20 - 0.5 AS u, ymin / 20 - 0.5 AS v FROM ref), (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j)) p
         LEFT JOIN px ON px.city = p.city AND px.dataset = 'share' AND px.x = gx * 20 AND px.y = gy * 20 GROUP BY p.city, p.px, p.py"""),
     "raster_global_rollup": query("rc", "SELECT dataset, grid, resolution_m, count(DISTINCT city) AS n_cities, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("n_tiles", "tp_total", "fp_total", "fn_total")) + ", " + ", ".join(f"round(sum({c}), 6) + 0.0 AS {c}" for c in ("valid_area_total_m2", "ref_area_total_m2", "pred_area_total_m2")) + ", "
-        + ", ".join(f"round(median({c}_area), 6) + 0.0 AS {c}_area_median" for c in ("precision", "recall", "f1")) + ", " + ", ".join(f"round({_WAVG.format(c=c, w='valid_area_total_m2')}, 6) + 0.0 AS {c}_wavg" for c in _RM) + f", {_GLOBAL} FROM rc GROUP BY dataset, grid, resolution_m"),
+        + ", ".join(f"round(median({c}_area), 6) + 0.0 AS {c}_area_median" for c in ("precision", "recall", "f1")) + ", " + ", ".join(f"round({_WAVG.format(c=c, w='valid_area_total_m2')}, 6) + 0.0 AS {c}_wavg" for c in (*_RM, "f1_tile_median", "rel_area_error_median")) + f", {_GLOBAL} FROM rc GROUP BY dataset, grid, resolution_m"),
     "best_raster_per_city_grid": query("rc", f"SELECT city, grid, resolution_m, dataset, {r('f1_area precision_area recall_area f1_tile_mean')} FROM (SELECT *, row_number() OVER (PARTITION BY city, grid, resolution_m ORDER BY f1_area DESC, dataset) AS k FROM rc) WHERE k = 1"),
     "name_match_scores": query("nm", "SELECT * FROM nm"),
     "best_folder_match": query("bm", "SELECT * FROM bm"),
@@ -273,6 +273,21 @@ ORACLE_SQL: dict[str, str] = {
     "polygon_area": query("ref", f"""SELECT bld_id, round(w * h * 0.75, 6) + 0.0 AS area, round(2 * (w + h), 6) + 0.0 AS length, round(x + (w * h * w / 2 - w * h / 4 * w * 0.75) / (w * h * 0.75), 6) + 0.0 AS cx, round(y + (w * h * h / 2 - w * h / 4 * h * 0.75) / (w * h * 0.75), 6) + 0.0 AS cy FROM ({_HEX})"""),
     "point_in_polygon": query("ref", "SELECT bld_id, NOT (bld_id % 10 / 10.0 >= 0.5 AND bld_id % 7 / 7.0 >= 0.5) AS inside FROM ref"),
     "size_bins": f"SELECT {BIN.format('p_size * p_size')} AS size_bin, count(*) AS n FROM part GROUP BY 1",
+    "iou_mean": query("tm m", "SELECT x.dataset, CAST(n + z AS BIGINT) AS n, round(s / (n + z), 6) + 0.0 AS mean_iou FROM (SELECT dataset, sum(iou) AS s, count(*) AS n FROM m GROUP BY dataset) x JOIN (SELECT dataset, sum(fp + fn) AS z FROM tm GROUP BY dataset) y ON x.dataset = y.dataset"),
+    "iou_by_size_class": query("sized", "SELECT dataset, rb AS size_bin, count(*) AS n, round(avg(iou), 6) + 0.0 AS mean_iou, round(median(iou), 6) + 0.0 AS median_iou, round(median(rel_area_error), 6) + 0.0 AS median_rel_area_error FROM sized GROUP BY dataset, rb"),
+    "outline_extract": query("cand four", f"""SELECT city, dataset, bld_id FROM cand JOIN (SELECT 'city_' || c AS k, {X('c')} AS x, {Y('c')} AS y FROM four) ON city = k
+        WHERE xmin <= x + 3000 AND ymin <= y + 3000 AND xmax >= x AND ymax >= y AND greatest(xmin - x, 0) + greatest(ymin - y, 0) <= 3000"""),
+    "buffered_extract": query("cand part", """SELECT c.city, c.dataset, c.bld_id FROM cand c JOIN part p ON p.city = c.city AND p.sub_aoi_id = 'part_2'
+        WHERE pow(greatest(0, p.xmin - c.xmax, c.xmin - p.xmax), 2) + pow(greatest(0, p.ymin - c.ymax, c.ymin - p.ymax), 2) <= 625"""),
+    "area_mask": query("four", f"""SELECT city, CAST(gx AS BIGINT) AS gx, CAST(gy AS BIGINT) AS gy, (gx + 0.5) * 50 - x + (gy + 0.5) * 50 - y < 3000 AS in_area FROM (
+        SELECT 'city_' || c AS city, x, y, unnest(range(CAST(ceil(x / 50 - 0.5) AS BIGINT), CAST(ceil((x + 3000) / 50 - 0.5) AS BIGINT))) AS gx, gy FROM (
+        SELECT c, x, y, unnest(range(CAST(ceil(y / 50 - 0.5) AS BIGINT), CAST(ceil((y + 3000) / 50 - 0.5) AS BIGINT))) AS gy FROM (SELECT c, {X('c')} AS x, {Y('c')} AS y FROM four)))"""),
+    "utm_projection": """WITH p AS (SELECT s_suppkey, CAST((s_suppkey * 37) % 359 AS DOUBLE) - 179.5 AS lon, CAST((s_suppkey * 53) % 159 AS DOUBLE) - 79.5 AS lat FROM supplier),
+        z AS (SELECT *, CAST(floor((lon + 180) / 6) AS INTEGER) + 1 AS zone, sqrt((2 - 1 / 298.257223563) / 298.257223563) AS e, 1 / (2 * 298.257223563 - 1) AS n FROM p),
+        t AS (SELECT *, radians(lon - (6 * zone - 183)) AS lam, sinh(atanh(sin(radians(lat))) - e * atanh(e * sin(radians(lat)))) AS t FROM z),
+        u AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta, 0.9996 * 6378137.0 / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) AS k, n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 AS a1, 13 * n ** 2 / 48 - 3 * n ** 3 / 5 AS a2, 61 * n ** 3 / 240 AS a3 FROM t)
+        SELECT s_suppkey, CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + zone AS epsg, round(500000 + k * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)), 3) AS x,
+        round(CASE WHEN lat < 0 THEN 10000000.0 ELSE 0.0 END + k * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)), 3) AS y FROM u""",
     "dissolved_area": "SELECT 'city_' || c AS city, CAST(2750 * 2400 AS DOUBLE) AS union_area FROM (VALUES (0), (1), (2), (3)) t(c)",
     "file_tree": """WITH RECURSIVE i AS (SELECT c_custkey AS id, CASE WHEN c_custkey <= 3 THEN NULL ELSE c_custkey // 3 END AS parent, 'n' || c_custkey AS name FROM customer WHERE c_custkey > 0),
         t AS (SELECT id, name, 1 AS level, name AS path, name AS top_folder FROM i WHERE parent IS NULL UNION ALL SELECT i.id, i.name, t.level + 1, t.path || '/' || i.name, t.top_folder FROM i JOIN t ON i.parent = t.id) SELECT * FROM t""",

@@ -5,14 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridproof.operators import charts, matching, polygon_metrics, raster, rollup, tiling, vector_metrics
+from gridproof.functions import geometry
+from gridproof.operators import charts, extract, matching, polygon_metrics, raster, rollup, tiling, vector_metrics
 from gridproof.sources.config import Settings
 from gridproof.sources.scratch import written
 from gridproof.sources.sinks import write_table
 
 
 def areas_km2(areas: DataFrame) -> DataFrame:
-    return areas.groupBy("city").agg((F.sum((F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))) / 1e6).alias("aoi_area_km2"))
+    """Area of each city: that of its rows' outlines, or boxes, in all; overlaps count for each row."""
+    size = geometry.polygon_area("ring", "holes" if "holes" in areas.columns else None) if "ring" in areas.columns else geometry.box_area(geometry.box())
+    return areas.groupBy("city").agg((F.sum(size) / 1e6).alias("aoi_area_km2"))
+
+
+def city_tiles(areas: DataFrame, size: float) -> DataFrame:
+    """Tiles over the bounds of each city's areas; with several areas or outlines only those that meet one."""
+    bounds = areas.groupBy("city").agg(*[f(c).alias(c) for f, c in ((F.min, "xmin"), (F.min, "ymin"), (F.max, "xmax"), (F.max, "ymax"))])
+    tiles = tiling.make_tiles(bounds, size)
+    square = tiles.select("city", "tile_id", *[F.col(a).alias(b) for a, b in (("x0", "xmin"), ("y0", "ymin"), ("x1", "xmax"), ("y1", "ymax"))])
+    kept = tiles.join(extract.extract(square, areas).select("city", "tile_id"), ["city", "tile_id"], "left_semi")
+    number = F.expr("row_number() over (partition by city order by ix, iy) - 1").cast("long")
+    return kept.withColumn("tile_id", number).select(*tiles.columns)
 
 
 def validate_vector(refs: DataFrame, cands: DataFrame, areas: DataFrame, settings: Settings) -> dict[str, bool]:
@@ -31,7 +44,7 @@ def validate_vector(refs: DataFrame, cands: DataFrame, areas: DataFrame, setting
         done[name] = write_table(df, f"{root}/{name}", settings.output.overwrite, by, csv)
         return spark.read.schema(df.schema).parquet(f"{root}/{name}")
 
-    tiles = table("tiles", tiling.make_tiles(areas, v.tile_size_m))
+    tiles = table("tiles", city_tiles(areas, v.tile_size_m))
     refs, cands = refs.where(F.col("area_m2") >= v.min_area_m2), cands.where(F.col("area_m2") >= v.min_area_m2)
     tiled_refs, tiled_cands = tiling.assign_tiles(refs, tiles, v.tile_size_m), tiling.assign_tiles(cands, tiles, v.tile_size_m)
     rings = "ring" in refs.columns and "ring" in cands.columns
@@ -55,10 +68,14 @@ def validate_vector(refs: DataFrame, cands: DataFrame, areas: DataFrame, setting
 
 
 def validate_raster(refs: DataFrame, pixels: DataFrame, areas: DataFrame, settings: Settings) -> dict[str, bool]:
-    """Writes raster tile and city tables of all enabled products and allowed grids, and the roll-up."""
+    """Writes raster tile and city tables of all enabled products and allowed grids, and the roll-up.
+
+    Where areas have a ``ring``, only cells in an area of the city are valid.
+    """
     spark, s, root = refs.sparkSession, settings.raster, settings.output.root_dir.rstrip("/")
     size = settings.vector.tile_size_m
-    tiles = tiling.make_tiles(areas, size)
+    tiles = written(city_tiles(areas, size))
+    outlines = areas if "ring" in areas.columns else None
     guard = s.native_resolution_guard
     out = None
     for product in s.products:
@@ -72,7 +89,7 @@ def validate_raster(refs: DataFrame, pixels: DataFrame, areas: DataFrame, settin
                 raise ValueError(f"{grid.name} is finer than {product.name}")
             if finer and guard.mode == "skip_finer":
                 continue
-            part = raster.tile_metrics(tiles, refs, native, resolution, grid.resolution, grid.name, s.min_building_m2, product.oversample_factor or s.oversample_factor, size)
+            part = raster.tile_metrics(tiles, refs, native, resolution, grid.resolution, grid.name, s.min_building_m2, product.oversample_factor or s.oversample_factor, size, outlines, product.all_touched)
             out = part if out is None else out.unionByName(part)
     if out is None:
         return {}

@@ -351,6 +351,36 @@ def iou_histogram(spark: SparkSession, d: str) -> DataFrame:
     return rounded(charts.iou_histogram(vector_tiles(spark, d, found), found))
 
 
+def iou_mean(spark: SparkSession, d: str) -> DataFrame:
+    found = written(matches(spark, d))
+    return rounded(charts.mean_iou(vector_tiles(spark, d, found), found))
+
+
+def iou_by_size_class(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(charts.iou_by_class(matches(spark, d)))
+
+
+def _triangles(spark: SparkSession) -> DataFrame:
+    """The lower left half of each area."""
+    corners = (("xmin", "ymin"), ("xmax", "ymin"), ("xmin", "ymax"))
+    return fx.areas(spark).withColumn("ring", F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in corners]))
+
+
+def outline_extract(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates that touch a triangle."""
+    return extract.extract(fx.candidates(spark, d), _triangles(spark)).select("city", "dataset", "bld_id")
+
+
+def buffered_extract(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates within 25 m of a part."""
+    return extract.extract(fx.candidates(spark, d), fx.sub_areas(spark).where("sub_aoi_id = 'part_2'"), 25.0).select("city", "dataset", "bld_id")
+
+
+def area_mask(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of 50 m of all tiles, and whether their centre is in the triangle."""
+    return raster.tile_cells(tiles(spark), 50.0, _triangles(spark)).drop("tile_id")
+
+
 def boxplot_stats(spark: SparkSession, d: str) -> DataFrame:
     return rounded(charts.box_plot(vector_tiles(spark, d), ["dataset"], "f1"))
 
@@ -452,5 +482,6 @@ QUERIES: dict[str, Query] = {
         raster_global_rollup, best_raster_per_city_grid, name_match_scores, best_folder_match, download_summary, unmatched_codes, duplicate_codes, duplicate_matches, file_manifest, aoi_ref_listing, quality_value_counts, tracker_explode,
         tracker_references, validation_areas, tracker_high_quality, quality_flag, inventory_rows, bbox_extract, sub_aoi_tagging, range_lookup, tracker_tiles, split_bounds, split_bounds_all, select_files, first_file, work_list, tile_density, density_class_summary, iou_histogram, boxplot_stats,
         iou_by_size_quantile, f1_pivot, tile_f1_map, polygon_area, point_in_polygon, size_bins, utm_projection, polygon_iou_buffered, boundary_f_pair, boundary_f_tile, dissolved_area, file_tree, file_tree_all,
+        iou_mean, iou_by_size_class, outline_extract, buffered_extract, area_mask,
     )
 }

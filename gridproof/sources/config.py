@@ -44,6 +44,7 @@ class RasterProduct:
     year: str | None = None
     allow_finer_than_native: bool = False
     oversample_factor: int | None = None
+    all_touched: bool = False
     binarize: dict = field(default_factory=lambda: {"method": "fraction"})
 
     @property

@@ -26,12 +26,17 @@ def write_table(df: DataFrame, path: str, overwrite: bool = False, partition_by:
 
 
 def write_geojson(df: DataFrame, path: str, ring: str = "ring", overwrite: bool = False) -> bool:
-    """A feature to a line, with all other columns as properties."""
+    """A feature to a line, with all columns but the ring and ``holes`` as properties."""
     if not overwrite and exists(df.sparkSession, path):
         return False
-    closed = F.concat(F.col(ring), F.slice(ring, 1, 1))
-    points = F.transform(closed, lambda p: F.array(p["x"], p["y"]))
-    others = [c for c in df.columns if c != ring]
-    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), F.array(points).alias("coordinates")).alias("geometry"), F.struct(*others).alias("properties"))
+
+    def points(r):
+        return F.transform(F.concat(r, F.slice(r, 1, 1)), lambda p: F.array(p["x"], p["y"]))
+
+    rings = F.array(points(F.col(ring)))
+    if "holes" in df.columns:
+        rings = F.concat(rings, F.coalesce(F.transform("holes", points), F.array().cast("array<array<array<double>>>")))
+    others = [c for c in df.columns if c not in (ring, "holes")]
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), rings.alias("coordinates")).alias("geometry"), F.struct(*others).alias("properties"))
     df.select(F.to_json(feature).alias("value")).write.mode("overwrite").text(path)
     return True

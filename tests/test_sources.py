@@ -31,6 +31,27 @@ def test_geojson(spark, tmp_path):
     assert not sinks.write_geojson(loaded, str(tmp_path / "out"))
 
 
+def test_holes_are_read_and_written(spark, tmp_path):
+    ring, hole = ([[a, a], [b, a], [b, b], [a, b], [a, a]] for a, b in ((0, 10), (4, 6)))
+    feature = {"type": "Feature", "properties": {}, "geometry": {"type": "Polygon", "coordinates": [ring, hole, [[1, 1], [2, 2]]]}}
+    path = tmp_path / "a.geojson"
+    path.write_text(json.dumps({"type": "FeatureCollection", "features": [feature]}))
+    loaded = readers.load_buildings(readers.read_geojson(spark, str(path)), 20.0)
+    assert [(r.area_m2, len(r.holes)) for r in loaded.collect()] == [(96.0, 1)]
+    sinks.write_geojson(loaded, str(tmp_path / "out"))
+    line = json.loads(spark.read.text(str(tmp_path / "out")).first().value)
+    assert [len(r) for r in line["geometry"]["coordinates"]] == [6, 6] and "holes" not in line["properties"]
+
+
+def test_footprints_of_degrees(spark):
+    d = 1e-4
+    ring = [(3.0, 50.0), (3.0 + d, 50.0), (3.0 + d, 50.0 + d), (3.0, 50.0 + d)]
+    df = spark.createDataFrame([(1, ring), (2, None), (3, [(3.0, 50.0)])], "bld_id int, ring array<struct<x:double,y:double>>")
+    got = readers.load_buildings(df, 20.0, zone=31).collect()
+    assert [r.bld_id for r in got] == [1]
+    assert abs(got[0].area_m2 - 7.169 * 11.123) < 0.2 and abs(got[0].xmin - 500000) < 1e-6
+
+
 def test_hive_extract_prunes_and_pushes(spark, tmp_path):
     base = str(tmp_path / "hive")
     df = spark.range(10).select(F.lit("buildings").alias("theme"), F.when(F.col("id") < 5, "building").otherwise("part").alias("type"), F.struct(*[(F.col("id") * 10.0 + d).alias(k) for k, d in (("xmin", 0), ("xmax", 5), ("ymin", 0), ("ymax", 5))]).alias("bbox"))
@@ -53,6 +74,12 @@ def test_city_summaries_take_the_folder(spark, tmp_path):
     assert {r.city for r in readers.read_city_summaries(spark, str(tmp_path), "s").collect()} == {"x", "y"}
     assert {r.city for r in readers.read_city_summaries(spark, str(tmp_path), "s", False).collect()} == {"wrong"}
     assert readers.list_files(spark, str(tmp_path), "*.parquet").count() >= 2
+    for city in ("x", "z"):
+        (tmp_path / city).mkdir(exist_ok=True)
+        (tmp_path / city / "s.csv").write_text("city,v\nwrong,7\n")
+    assert sorted((r.city, r.v) for r in readers.read_city_summaries(spark, str(tmp_path), "s").collect()) == [("x", 1), ("y", 1), ("z", 7)]
+    with pytest.raises(FileNotFoundError):
+        readers.read_city_summaries(spark, str(tmp_path), "none")
 
 
 def test_settings():
@@ -78,6 +105,21 @@ def test_whole_run_is_idempotent(spark, tmp_path):
     assert {r.grid for r in spark.read.parquet(f"{tmp_path}/raster_city_summary").select("grid").distinct().collect()} == {"100m"}
 
 
+def test_raster_run_inside_an_outline(spark, tmp_path):
+    s = config.Settings(output=config.Output(str(tmp_path)))
+    s.raster.products = [config.RasterProduct("share", 20.0)]
+    s.raster.evaluation_grids = [config.Grid(100.0)]
+    corners = (("xmin", "ymin"), ("xmax", "ymin"), ("xmin", "ymax"))
+    areas = fx.areas(spark).where("city = 'city_0'").withColumns({"xmax": F.col("xmin") + 1500, "ymax": F.col("ymin") + 1500}).withColumn("ring", F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in corners]))
+    assert all(validate_raster(fx.references(spark, SF), fx.pixels(spark).where("city = 'city_0'"), areas, s).values())
+    tiles = spark.read.parquet(f"{tmp_path}/raster_tile_metrics").collect()
+    # of the four tiles of 1000 m the one beyond the slope goes
+    assert sorted(r.tile_id for r in tiles) == [0, 1, 2]
+    valid = sum(r.n_valid for r in tiles)
+    assert 0.85 * 112.5 < valid < 1.1 * 112.5
+    assert abs(spark.read.parquet(f"{tmp_path}/raster_city_summary").first().aoi_area_km2 - 1.125) < 1e-9
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from gridproof.streaming import updates
 
