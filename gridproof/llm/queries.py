@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridproof.llm import line_dedup, ngram_join
+from gridproof.llm import line_dedup, ngram_join, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +86,27 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_personal_data(table(spark, sf_dir, "documents")))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridproof.llm import conversation_repair
+
+    return conversation_repair.digest(conversation_repair.repair(conversation_repair.with_damage(table(spark, sf_dir, "conversations"))))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_words",
+        F.expr("aggregate(spans, 0L, (n, x) -> n + x.stop - x.start)").alias("n_removed"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridproof.llm import periodic_runs
+
+    return periodic_runs.digest(periodic_runs.periodic_runs(periodic_runs.with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
@@ -98,10 +119,14 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op9_long_line_dedup": op9_long_line_dedup,
     "op10_pii": op10_pii,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_substring_dedup": op12_substring_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_ngram_join": ngram_join.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
     "op9_long_line_dedup": line_dedup.ORACLE_LONG_LINES,
+    "op12_substring_dedup": substring_dedup.ORACLE,
 }
