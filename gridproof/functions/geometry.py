@@ -196,6 +196,11 @@ def ring_to_mercator(ring) -> Column:
     return F.transform(col(ring), lambda p: web_mercator(p["x"], p["y"]))
 
 
+def inverse_mercator(x, y) -> Column:
+    """Struct (x, y) in degrees of spherical Mercator metres."""
+    return F.struct(F.degrees(col(x) / 6378137.0).alias("x"), F.degrees(2 * F.atan(F.exp(col(y) / 6378137.0)) - math.pi / 2).alias("y"))
+
+
 def utm_zone(lon) -> Column:
     return F.least(F.lit(60), F.greatest(F.lit(1), F.floor((col(lon) + 180) / 6).cast("int") + 1))
 
@@ -209,6 +214,8 @@ def utm_epsg(lon, lat) -> Column:
 _A, _F = 6378137.0, 1 / 298.257223563
 _N = _F / (2 - _F)
 _RADIUS = _A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+_BETA = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96, _N**2 / 48 + _N**3 / 15, 17 * _N**3 / 480)
+_DELTA = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56 * _N**3 / 15)
 _ALPHA = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240)
 
 
@@ -226,3 +233,19 @@ def utm(lon, lat, zone=None) -> Column:
         x = x + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         y = y + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
     return F.struct((500000 + 0.9996 * _RADIUS * x).alias("x"), (F.when(lat < 0, 10000000.0).otherwise(0.0) + 0.9996 * _RADIUS * y).alias("y"))
+
+
+def inverse_utm(x, y, zone, south=False) -> Column:
+    """Struct (x, y) in degrees of metres in a UTM zone, north of the equator or ``south``."""
+    north = F.when(col(south) if not isinstance(south, bool) else F.lit(south), 10000000.0).otherwise(0.0)
+    k = 0.9996 * _RADIUS
+    xi, eta = (col(y) - north) / k, (col(x) - 500000) / k
+    p, q = xi, eta
+    for j, b in enumerate(_BETA, 1):
+        p = p - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        q = q - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(p) / F.cosh(q))
+    lat = chi
+    for j, d in enumerate(_DELTA, 1):
+        lat = lat + d * F.sin(2 * j * chi)
+    return F.struct((col(zone) * 6 - 183 + F.degrees(F.atan2(F.sinh(q), F.cos(p)))).alias("x"), F.degrees(lat).alias("y"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridproof.functions.geometry import BOX, box, box_ring, boxes_touch, edges_intersect, edges_within, grown, polygon_area, polygon_edges, ring_bounds, ring_to_utm, utm_zone
+from gridproof.functions.geometry import BOX, box, box_ring, boxes_touch, edges_intersect, edges_within, grown, inverse_mercator, polygon_area, polygon_edges, ring_bounds, utm, utm_zone, web_mercator
+from gridproof.operators import dissolve
 
 
 def bbox_filter(bounds: tuple[float, float, float, float], column: str | None = "bbox") -> Column:
@@ -64,22 +65,36 @@ def tag_sub_areas(footprints: DataFrame, sub_areas: DataFrame) -> DataFrame:
     return clean.join(s, test).drop(*names)
 
 
-def load_areas(areas: DataFrame, geographic: bool = True) -> DataFrame:
+def load_areas(areas: DataFrame, geographic: bool = True, fix: bool = True, dissolved: bool = False, buffer: float = 0.0) -> DataFrame:
     """Areas (city, ring, perhaps holes and more) in metres, with box and area_m2; rows without a ring of three points go.
 
-    Degrees are projected to the UTM zone in the middle of the city's bounds, so
-    that all parts of a city lie in one plane.  ``zone`` is then added.
+    With ``fix`` rings become valid (``dissolve.repair``), so a row can become several or
+    none.  ``dissolved`` unites the areas of each city, then only city, ring, holes,
+    box and area_m2 are left; so does a ``buffer``, as grown areas overlap.  Degrees
+    are grown in spherical Mercator metres and projected to the UTM zone in the
+    middle of the city's bounds, so that all parts of a city lie in one plane;
+    ``zone`` is then added.
     """
     out = areas.where(F.col("ring").isNotNull() & (F.size("ring") >= 3))
-    holes = "holes" if "holes" in out.columns else None
+    if fix:
+        out = dissolve.repair(out)
+    if buffer > 0:
+        out = dissolve.buffered(_moved(out, lambda p: web_mercator(p["x"], p["y"])) if geographic else out, buffer)
+        out = _moved(out, lambda p: inverse_mercator(p["x"], p["y"])) if geographic else out
+    elif dissolved:
+        out = dissolve.dissolve(out)
     if geographic:
         b = ring_bounds("ring")
         middle = out.groupBy("city").agg(((F.min(b["xmin"]) + F.max(b["xmax"])) / 2).alias("_m")).select("city", utm_zone("_m").alias("zone"))
-        out = out.join(middle, "city").withColumn("ring", ring_to_utm("ring", "zone"))
-        if holes:
-            out = out.withColumn("holes", F.transform("holes", lambda h: ring_to_utm(h, "zone")))
+        out = _moved(out.join(middle, "city"), lambda p: utm(p["x"], p["y"], "zone"))
     b = ring_bounds("ring")
-    return out.withColumns({k: b[k] for k in BOX} | {"area_m2": polygon_area("ring", holes)})
+    return out.withColumns({k: b[k] for k in BOX} | {"area_m2": polygon_area("ring", "holes" if "holes" in out.columns else None)})
+
+
+def _moved(areas: DataFrame, to: Callable[[Column], Column]) -> DataFrame:
+    """Areas with all points of rings and holes mapped."""
+    out = areas.withColumn("ring", F.transform("ring", to))
+    return out.withColumn("holes", F.transform("holes", lambda h: F.transform(h, to))) if "holes" in out.columns else out
 
 
 def range_lookup(df: DataFrame, ranges: DataFrame, value: str) -> DataFrame:

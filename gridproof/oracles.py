@@ -289,6 +289,12 @@ ORACLE_SQL: dict[str, str] = {
         SELECT s_suppkey, CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + zone AS epsg, round(500000 + k * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)), 3) AS x,
         round(CASE WHEN lat < 0 THEN 10000000.0 ELSE 0.0 END + k * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)), 3) AS y FROM u""",
     "dissolved_area": "SELECT 'city_' || c AS city, CAST(2750 * 2400 AS DOUBLE) AS union_area FROM (VALUES (0), (1), (2), (3)) t(c)",
+    # quarters of unit squares by both diagonals: each is in a diamond or out of it as a whole
+    "dissolved_outlines": f"""WITH o AS (SELECT o_orderkey % 4 AS c, (o_orderkey * 7919) % 3001 AS x, (o_orderkey * 104729) % 3001 AS y, 3 + o_orderkey % 5 AS r FROM orders),
+        q AS (SELECT DISTINCT c, i, j, a FROM (SELECT c, x + dx AS i, y + dy AS j, a, abs(dx + a1) + abs(dy + a2) AS far, r FROM o, (SELECT unnest(range(-7, 7)) AS dx), (SELECT unnest(range(-7, 7)) AS dy), (VALUES (0, 0.5, 0.2), (1, 0.5, 0.8), (2, 0.2, 0.5), (3, 0.8, 0.5)) t(a, a1, a2)) WHERE far < r AND (r < 5 OR far > r - 3))
+        SELECT * FROM (SELECT 'city_' || c AS city, CAST(count(*) / 4 AS DOUBLE) AS area_m2 FROM q GROUP BY c) JOIN (SELECT 'city_' || c AS city, min(x - r) + {X('c')} AS xmin, min(y - r) + {Y('c')} AS ymin, max(x + r) + {X('c')} AS xmax, max(y + r) + {Y('c')} AS ymax FROM o GROUP BY c) USING (city)""",
+    "repaired_outlines": query("ref", "SELECT bld_id, CAST(CASE WHEN bld_id % 3 = 2 THEN 1 ELSE 2 END AS BIGINT) AS n_parts, CAST(CASE bld_id % 3 WHEN 0 THEN 2 ELSE 4 END * pow(1 + bld_id % 9, 2) AS DOUBLE) AS area_m2 FROM ref"),
+    "buffered_outlines": "SELECT 'city_' || (o_orderkey % 4) AS city, count(*) AS n_parts, round(sum(pow(4 + o_orderkey % 23, 2) + 24 * (4 + o_orderkey % 23) + 32 * 36 * sin(pi() / 32)), 2) + 0.0 AS area_m2 FROM orders GROUP BY 1",
     "file_tree": """WITH RECURSIVE i AS (SELECT c_custkey AS id, CASE WHEN c_custkey <= 3 THEN NULL ELSE c_custkey // 3 END AS parent, 'n' || c_custkey AS name FROM customer WHERE c_custkey > 0),
         t AS (SELECT id, name, 1 AS level, name AS path, name AS top_folder FROM i WHERE parent IS NULL UNION ALL SELECT i.id, i.name, t.level + 1, t.path || '/' || i.name, t.top_folder FROM i JOIN t ON i.parent = t.id) SELECT * FROM t""",
 }

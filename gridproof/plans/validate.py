@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridproof.functions import geometry
-from gridproof.operators import charts, extract, matching, polygon_metrics, raster, rollup, tiling, vector_metrics
+from gridproof.operators import charts, dissolve, extract, matching, polygon_metrics, raster, rollup, tiling, vector_metrics
 from gridproof.sources.config import Settings
 from gridproof.sources.scratch import written
 from gridproof.sources.sinks import write_table
 
 
 def areas_km2(areas: DataFrame) -> DataFrame:
-    """Area of each city: that of its rows' outlines, or boxes, in all; overlaps count for each row."""
-    size = geometry.polygon_area("ring", "holes" if "holes" in areas.columns else None) if "ring" in areas.columns else geometry.box_area(geometry.box())
-    return areas.groupBy("city").agg((F.sum(size) / 1e6).alias("aoi_area_km2"))
+    """Area of the union of each city's areas, as outlines or boxes: what several cover counts once."""
+    rings = areas if "ring" in areas.columns else areas.select("city", geometry.box_ring(geometry.box()).alias("ring"))
+    return dissolve.dissolve(rings).groupBy("city").agg((F.sum("area_m2") / 1e6).alias("aoi_area_km2"))
 
 
 def city_tiles(areas: DataFrame, size: float) -> DataFrame:
@@ -57,7 +57,7 @@ def validate_vector(refs: DataFrame, cands: DataFrame, areas: DataFrame, setting
     matches = table("matches", found, by=("city", "dataset"))
     union = polygon_metrics.tile_boundary_f(polygon_metrics.with_rings(matches, refs, cands), v.tau_boundary) if rings else None
     per_tile = table("tile_metrics", vector_metrics.tile_metrics(tiled_refs, tiled_cands, matches, tau_overlap=v.tau_overlap, tau_buffer=v.tau_buffer_m, boundaries=union, tau_boundary=v.tau_boundary), True)
-    km2 = areas_km2(areas)
+    km2 = written(areas_km2(areas))
     cities = table("city_summary", vector_metrics.city_summary(per_tile, matches, km2), True)
     table("size_bins", vector_metrics.size_bin_metrics(matches, refs, cands), True)
     table("density", vector_metrics.density_summary(refs, cands, km2), True)
