@@ -153,11 +153,16 @@ def _segments_meet(e: Column, f: Column) -> Column:
     return boxes[0] & boxes[1] & (_turn(a, b, c) * _turn(a, b, d) <= 0) & (_turn(c, d, a) * _turn(c, d, b) <= 0)
 
 
+def edges_meet(mine, others) -> Column:
+    """Any two edges share a point."""
+    return F.exists(col(mine), lambda e: F.exists(col(others), lambda f: _segments_meet(e, f)))
+
+
 def edges_intersect(mine, others) -> Column:
     """Closed polygons, given by their edges, share a point: edges meet, or one holds the other outside its holes."""
     a, b = col(mine), col(others)
     first, second = F.element_at(a, 1)["p"], F.element_at(b, 1)["p"]
-    met = F.exists(a, lambda e: F.exists(b, lambda f: _segments_meet(e, f)))
+    met = edges_meet(a, b)
     return F.coalesce((F.size(a) > 0) & (F.size(b) > 0), F.lit(False)) & (met | point_in_edges(first["x"], first["y"], b) | point_in_edges(second["x"], second["y"], a))
 
 
@@ -170,14 +175,19 @@ def _point_segment(p: Column, e: Column) -> Column:
     return F.pow(p["x"] - a["x"] - t * dx, 2) + F.pow(p["y"] - a["y"] - t * dy, 2)
 
 
-def edges_within(mine, others, distance: float) -> Column:
-    """Polygons come within a distance of each other, which is to meet one of them after a round buffer."""
-    a, b, limit = col(mine), col(others), float(distance) ** 2
+def edges_near(mine, others, distance: float) -> Column:
+    """Any two edges come within a distance of each other."""
+    limit = float(distance) ** 2
 
     def near(e: Column, f: Column) -> Column:
-        return F.least(_point_segment(e["p"], f), _point_segment(e["q"], f), _point_segment(f["p"], e), _point_segment(f["q"], e)) <= limit
+        return _segments_meet(e, f) | (F.least(_point_segment(e["p"], f), _point_segment(e["q"], f), _point_segment(f["p"], e), _point_segment(f["q"], e)) <= limit)
 
-    return edges_intersect(a, b) | F.coalesce(F.exists(a, lambda e: F.exists(b, lambda f: near(e, f))), F.lit(False))
+    return F.coalesce(F.exists(col(mine), lambda e: F.exists(col(others), lambda f: near(e, f))), F.lit(False))
+
+
+def edges_within(mine, others, distance: float) -> Column:
+    """Polygons come within a distance of each other, which is to meet one of them after a round buffer."""
+    return edges_intersect(mine, others) | edges_near(mine, others, distance)
 
 
 def web_mercator(lon, lat) -> Column:

@@ -7,8 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridproof.functions.geometry import BOX, box, box_ring, boxes_touch, edges_intersect, edges_within, grown, inverse_mercator, polygon_area, polygon_edges, ring_bounds, utm, utm_zone, web_mercator
-from gridproof.operators import dissolve
+from gridproof.functions.geometry import BOX, box, boxes_touch, inverse_mercator, polygon_area, ring_bounds, utm, utm_zone, web_mercator
+from gridproof.operators import cover, dissolve
+from gridproof.sources.scratch import written
 
 
 def bbox_filter(bounds: tuple[float, float, float, float], column: str | None = "bbox") -> Column:
@@ -18,29 +19,28 @@ def bbox_filter(bounds: tuple[float, float, float, float], column: str | None =
     return (c["xmin"] <= x1) & (c["xmax"] >= x0) & (c["ymin"] <= y1) & (c["ymax"] >= y0)
 
 
-def _outline(df: DataFrame) -> Column:
-    """Edges of a row's polygon: its ring and holes where it has them, else its box."""
-    return polygon_edges("ring", "holes" if "holes" in df.columns else None) if "ring" in df.columns else polygon_edges(box_ring(box()))
+#: Side of the cells by which boxes, and by which outlines meet.
+BOX_CELL, OUTLINE_CELL = 1000.0, 100.0
 
 
-def _touching(footprints: DataFrame, areas: DataFrame, buffer: float) -> tuple[DataFrame, Column, list[str]]:
-    """Areas with columns renamed, the test whether a footprint meets one, and the names to drop.
+def _boxes_meet(footprints: DataFrame, areas: DataFrame) -> DataFrame:
+    """Footprints with _id and sub_aoi_id (where areas have it), a row for each cell and area in which boxes touch."""
+    def cells(df: DataFrame, prefix: str) -> DataFrame:
+        for axis, c in (("_cx", "x"), ("_cy", "y")):
+            df = df.withColumn(axis, F.explode(F.sequence(F.floor(F.col(f"{prefix}{c}min") / BOX_CELL).cast("long"), F.floor(F.col(f"{prefix}{c}max") / BOX_CELL).cast("long"))))
+        return df
 
-    Boxes decide first; where a side has a ``ring`` the outlines decide.
-    """
-    names = ["_c", *[f"_{k}" for k in BOX]]
-    columns = [F.col("city").alias("_c"), *[F.col(k).alias(f"_{k}") for k in BOX]]
-    exact = "ring" in footprints.columns or "ring" in areas.columns or buffer > 0
-    if exact:
-        columns, names = [*columns, _outline(areas).alias("_edges")], [*names, "_edges"]
-    if "sub_aoi_id" in areas.columns:
-        columns.append(F.col("sub_aoi_id"))
-    other = {k: F.col(f"_{k}") for k in BOX}
-    test = (F.col("city") == F.col("_c")) & boxes_touch(box(), grown(other, buffer) if buffer > 0 else other)
-    if exact:
-        mine = _outline(footprints)
-        test = test & (edges_within(mine, "_edges", buffer) if buffer > 0 else edges_intersect(mine, "_edges"))
-    return areas.select(*columns), test, names
+    names = [c for c in ("sub_aoi_id",) if c in areas.columns]
+    other = cells(areas.select("city", *[F.col(k).alias(f"_{k}") for k in BOX], *names), "_")
+    met = cells(footprints.withColumn("_id", F.monotonically_increasing_id()), "").join(other, ["city", "_cx", "_cy"])
+    return met.where(boxes_touch(box(), {k: F.col(f"_{k}") for k in BOX})).drop("_cx", "_cy", *[f"_{k}" for k in BOX])
+
+
+def _outlines_meet(footprints: DataFrame, areas: DataFrame, buffer: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(footprints with _id, areas with _area, distinct pairs of them), the first two written so that numbers stay."""
+    own = written(footprints.withColumn("_id", F.monotonically_increasing_id()))
+    other = written(areas.withColumn("_area", F.monotonically_increasing_id()))
+    return own, other, cover.meeting(own, other, OUTLINE_CELL, buffer)
 
 
 def extract(footprints: DataFrame, areas: DataFrame, buffer: float = 0.0) -> DataFrame:
@@ -48,10 +48,12 @@ def extract(footprints: DataFrame, areas: DataFrame, buffer: float = 0.0) -> Dat
 
     Rows have a box, and may have a ring and holes: then outlines decide, so a
     footprint in a hole or in the corner of an area's box goes.  Areas of one
-    city count as one, overlapping or not.
+    city count as one, overlapping or not.  Both sides meet by city and cell.
     """
-    a, test, _ = _touching(footprints, areas, buffer)
-    return footprints.join(a.drop("sub_aoi_id"), test, "left_semi")
+    if "ring" not in footprints.columns and "ring" not in areas.columns and buffer <= 0:
+        return _boxes_meet(footprints, areas.drop("sub_aoi_id")).dropDuplicates(["_id"]).select(*footprints.columns)
+    own, _, pairs = _outlines_meet(footprints, areas, buffer)
+    return own.join(pairs.select("_id").distinct(), "_id", "left_semi").select(*footprints.columns)
 
 
 def tag_sub_areas(footprints: DataFrame, sub_areas: DataFrame) -> DataFrame:
@@ -61,8 +63,13 @@ def tag_sub_areas(footprints: DataFrame, sub_areas: DataFrame) -> DataFrame:
     """
     left = {"index_left", "index_right", "sub_aoi_id"}
     clean = footprints.drop(*[c for c in footprints.columns if c in left or c.startswith("sub_aoi_id_")])
-    s, test, names = _touching(clean, sub_areas, 0.0)
-    return clean.join(s, test).drop(*names)
+    if "ring" not in clean.columns and "ring" not in sub_areas.columns:
+        tagged = _boxes_meet(clean, sub_areas).dropDuplicates(["_id", "sub_aoi_id"])
+    else:
+        own, other, pairs = _outlines_meet(clean, sub_areas, 0.0)
+        names = pairs.join(other.select("_area", "sub_aoi_id"), "_area").select("_id", "sub_aoi_id").distinct()
+        tagged = own.join(names, "_id")
+    return tagged.select(*clean.columns, "sub_aoi_id")
 
 
 def load_areas(areas: DataFrame, geographic: bool = True, fix: bool = True, dissolved: bool = False, buffer: float = 0.0) -> DataFrame:

@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridproof.functions.exprs import col, mean_dropping_missing, precision_recall_f1, ratio
-from gridproof.functions.geometry import BOX, box_ring, boxes_touch, edges_intersect, grown, overlap_length, point_in_edges, polygon_edges
+from gridproof.functions.geometry import overlap_length
+from gridproof.operators import cover
 from gridproof.operators.tiling import assign_tiles
+from gridproof.sources.scratch import written
 
 CATEGORICAL = ("wsf_tracker", "binary", "nonzero", "value_in")
 
@@ -104,30 +106,35 @@ def reference_fraction(refs: DataFrame, resolution: float, oversample: int = 4,
     A box has a row in each cell that it covers a sub-cell of, with one mask of
     the covered sub-cells for each row of them; masks meet by bit_or, so nothing
     is kept for single sub-cells.  ``all_touched`` takes every sub-cell that a
-    box shares area with.  Where refs have a ``ring`` (and ``holes``) it decides
-    on the sub-cells of its box in place of the box.
+    box shares area with.  Where refs have a ``ring`` (and ``holes``) it decides:
+    by runs of sub-cells in each row of them, and with ``all_touched`` also by those
+    that an edge touches.
     """
     s = resolution / oversample
-    for axis, lo, hi in (("gx", "xmin", "xmax"), ("gy", "ymin", "ymax")):
-        first, last = (F.floor(F.col(lo) / s), F.ceil(F.col(hi) / s) - 1) if all_touched else (F.ceil(F.col(lo) / s - 0.5), F.ceil(F.col(hi) / s - 0.5) - 1)
-        cells = F.when(first <= last, F.sequence(F.floor(first / oversample), F.floor(last / oversample)))
-        refs = refs.withColumn(axis, F.explode(cells)).withColumns({f"_{axis}0": F.greatest(F.lit(0), first - F.col(axis) * oversample), f"_{axis}1": F.least(F.lit(oversample - 1), last - F.col(axis) * oversample)})
+    none = F.lit(0).cast("long")
+
+    def bits(first: Column, last: Column) -> Column:
+        """Mask of the sub-cells first to last of a cell."""
+        return F.call_function("shiftleft", F.call_function("shiftleft", F.lit(1).cast("long"), (last - first + 1).cast("int")) - 1, first.cast("int"))
+
     if "ring" in refs.columns:
-        refs = refs.withColumn("_edges", polygon_edges("ring", "holes" if "holes" in refs.columns else None))
-
-    def in_row(k: int) -> Column:
-        if "ring" not in refs.columns:
-            return F.expr("(shiftleft(1L, cast(_gx1 - _gx0 + 1 as int)) - 1) * shiftleft(1L, cast(_gx0 as int))")
-        y = (F.col("gy") * oversample + k) * s
-        bits = F.lit(0).cast("long")
-        for i in range(oversample):
-            x = (F.col("gx") * oversample + i) * s
-            hit = edges_intersect(polygon_edges(box_ring({"xmin": x, "ymin": y, "xmax": x + s, "ymax": y + s})), "_edges") if all_touched else point_in_edges(x + s / 2, y + s / 2, "_edges")
-            bits = bits + F.when(hit & F.lit(i).between(F.col("_gx0"), F.col("_gx1")), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
-        return bits
-
-    masks = {f"m{k}": F.bit_or(F.when(F.lit(k).between(F.col("_gy0"), F.col("_gy1")), in_row(k)).otherwise(F.lit(0).cast("long"))) for k in range(oversample)}
-    cells = refs.groupBy("city", "gx", "gy").agg(*[m.alias(k) for k, m in masks.items()])
+        # numbers stay, as runs need all edges of a ring
+        edges = cover.edges_of(written(refs.withColumn("_o", F.monotonically_increasing_id())), ["city", "_o"])
+        rows = cover.inside_runs(edges, ["city", "_o"], s).select("city", "cy", "c0", (F.col("c1") - 1).alias("c1"))
+        if all_touched:
+            rows = rows.unionByName(cover.edge_cells(edges, ["city"], s).select("city", "cy", F.col("cx").alias("c0"), F.col("cx").alias("c1")))
+        rows = rows.withColumn("gx", F.explode(F.sequence(F.floor(F.col("c0") / oversample), F.floor(F.col("c1") / oversample))))
+        low, high = F.greatest(F.lit(0), F.col("c0") - F.col("gx") * oversample), F.least(F.lit(oversample - 1), F.col("c1") - F.col("gx") * oversample)
+        rows = rows.select("city", "gx", F.floor(F.col("cy") / oversample).alias("gy"), F.pmod("cy", F.lit(oversample)).alias("_k"), bits(low, high).alias("_m"))
+        masks = {f"m{k}": F.bit_or(F.when(F.col("_k") == k, F.col("_m")).otherwise(none)) for k in range(oversample)}
+    else:
+        for axis, lo, hi in (("gx", "xmin", "xmax"), ("gy", "ymin", "ymax")):
+            first, last = (F.floor(F.col(lo) / s), F.ceil(F.col(hi) / s) - 1) if all_touched else (F.ceil(F.col(lo) / s - 0.5), F.ceil(F.col(hi) / s - 0.5) - 1)
+            cells = F.when(first <= last, F.sequence(F.floor(first / oversample), F.floor(last / oversample)))
+            refs = refs.withColumn(axis, F.explode(cells)).withColumns({f"_{axis}0": F.greatest(F.lit(0), first - F.col(axis) * oversample), f"_{axis}1": F.least(F.lit(oversample - 1), last - F.col(axis) * oversample)})
+        rows = refs
+        masks = {f"m{k}": F.bit_or(F.when(F.lit(k).between(F.col("_gy0"), F.col("_gy1")), bits(F.col("_gx0"), F.col("_gx1"))).otherwise(none)) for k in range(oversample)}
+    cells = rows.groupBy("city", "gx", "gy").agg(*[m.alias(k) for k, m in masks.items()])
     count = sum((F.bit_count(k) for k in masks), F.lit(0))
     return cells.select("city", "gx", "gy", (count / float(oversample**2)).alias("ref_share"))
 
@@ -135,37 +142,30 @@ def reference_fraction(refs: DataFrame, resolution: float, oversample: int = 4,
 def tile_cells(tiles: DataFrame, resolution: float, areas: DataFrame | None = None, all_touched: bool = False) -> DataFrame:
     """Cells of a resolution by their centre's tile: each is in one tile at most, so totals don't count twice.
 
-    With ``areas`` (city, ring, perhaps holes, box) there is in_area: the centre
-    lies in an area of the city, or with ``all_touched`` the cell meets one.  A
-    tile carries the outlines that meet it, so cells meet no other areas.
+    With ``areas`` (city, and a ring, perhaps holes, or a box) there is in_area: the
+    centre lies in an area of the city, or with ``all_touched`` the cell shares a
+    point with one.
     """
-    if areas is not None:
-        holes = "holes" if "holes" in areas.columns else None
-        part = areas.select(F.col("city").alias("_c"), polygon_edges("ring", holes).alias("_edges"), *[F.col(k).alias(f"_{k}") for k in BOX])
-        square = {"xmin": F.col("x0"), "ymin": F.col("y0"), "xmax": F.col("x1"), "ymax": F.col("y1")}
-        near = (F.col("city") == F.col("_c")) & boxes_touch(grown(square, float(resolution)), {k: F.col(f"_{k}") for k in BOX})
-        met = tiles.join(part, near).groupBy("city", "tile_id").agg(F.collect_list("_edges").alias("_areas"))
-        tiles = tiles.join(met, ["city", "tile_id"], "left")
     for axis, lo, hi in (("gx", "x0", "x1"), ("gy", "y0", "y1")):
         first, last = F.ceil(F.col(lo) / resolution - 0.5), F.ceil(F.col(hi) / resolution - 0.5) - 1
         tiles = tiles.withColumn(axis, F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+    cells = tiles.select("city", "tile_id", "gx", "gy")
     if areas is None:
-        return tiles.select("city", "tile_id", "gx", "gy")
-    if all_touched:
-        cell = {"xmin": F.col("gx") * resolution, "ymin": F.col("gy") * resolution, "xmax": (F.col("gx") + 1) * resolution, "ymax": (F.col("gy") + 1) * resolution}
-        outline = polygon_edges(box_ring(cell))
-        inside = F.exists("_areas", lambda a: edges_intersect(outline, a))
-    else:
-        inside = F.exists("_areas", lambda a: point_in_edges((F.col("gx") + 0.5) * resolution, (F.col("gy") + 0.5) * resolution, a))
-    return tiles.select("city", "tile_id", "gx", "gy", F.coalesce(inside, F.lit(False)).alias("in_area"))
+        return cells
+    inside = cover.covered_cells(areas, ["city"], resolution, all_touched).select("city", F.col("cx").alias("gx"), F.col("cy").alias("gy"), F.lit(True).alias("_in"))
+    return cells.join(inside, ["city", "gx", "gy"], "left").select("city", "tile_id", "gx", "gy", F.coalesce("_in", F.lit(False)).alias("in_area"))
+
 
+def clip_to_areas(cells: DataFrame, areas: DataFrame, resolution: float, all_touched: bool = False) -> DataFrame:
+    """Native cells, with a NULL value outside the areas of their city: where the centre isn't in one, or with ``all_touched`` the cell shares no point with one.
 
-def clip_to_areas(cells: DataFrame, areas: DataFrame, resolution: float) -> DataFrame:
-    """cells with their value NULL where the centre is in none of the city's boxes."""
-    cx, cy = F.col("x") + resolution / 2, F.col("y") + resolution / 2
-    part = areas.select(F.col("city").alias("_c"), *[F.col(k).alias(f"_{k}") for k in BOX])
-    inside = cells.join(part, (F.col("city") == F.col("_c")) & (cx >= F.col("_xmin")) & (cx < F.col("_xmax")) & (cy >= F.col("_ymin")) & (cy < F.col("_ymax")), "left_semi").select("city", "dataset", "x", "y", F.lit(True).alias("_in"))
-    return cells.join(inside.distinct(), ["city", "dataset", "x", "y"], "left").withColumn("value", F.when(F.col("_in"), F.col("value"))).drop("_in")
+    Areas have a ring, perhaps holes, or a box.  x and y, the lower left corners, may be off the multiples of the resolution: then
+    a cell is taken to be the one that holds its centre.
+    """
+    inside = cover.covered_cells(areas, ["city"], resolution, all_touched).select("city", F.col("cx").alias("_gx"), F.col("cy").alias("_gy"), F.lit(True).alias("_in"))
+    at = {f"_g{c}": F.floor((F.col(c) + resolution / 2) / resolution).cast("long") for c in "xy"}
+    out = cells.withColumns(at).join(inside, ["city", "_gx", "_gy"], "left")
+    return out.withColumn("value", F.when(F.col("_in"), F.col("value"))).select(*cells.columns)
 
 
 def mosaic(parts: Sequence[DataFrame], keys: Sequence[str] = ("city", "dataset", "x", "y")) -> DataFrame:
