@@ -253,6 +253,45 @@ def train(packs: DataFrame, head: Head, shape: Shape) -> tuple[np.ndarray, np.nd
     return weights, bias
 
 
+def told(tails: np.ndarray, names: np.ndarray, sums: np.ndarray, most: int) -> bytes:
+    """Counts of tail classes and the ``most`` frequent words of a bucket."""
+    top = np.lexsort((names, -sums))[:most]
+    return tails.astype(np.float64).tobytes() + names[top].tobytes() + sums[top].astype(np.int64).tobytes()
+
+
+def untold(parts: list[bytes], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(counts of tail classes, words, counts) of several buckets, of the words the ``most`` frequent."""
+    tails, names, sums = np.zeros((2, TAILS)), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for part in parts:
+        tails += np.frombuffer(part[: 16 * TAILS], np.float64).reshape(2, TAILS)
+        half = (len(part) - 16 * TAILS) // 16
+        names.append(np.frombuffer(part, np.uint64, half, 16 * TAILS))
+        sums.append(np.frombuffer(part, np.int64, half, 16 * TAILS + 8 * half))
+    names, sums = np.concatenate(names), np.concatenate(sums)
+    top = np.lexsort((names, -sums))[:most]
+    return tails, names[top], sums[top]
+
+
+#: Rows that one task merges, and that the driver gets.
+FAN = 256
+
+
+def merged(rows: DataFrame, most: int, fan: int = FAN) -> list:
+    """At most ``fan`` rows (held, total, stats) that sum up one row for each bucket: merged by tasks, level by level."""
+
+    def add(table: pa.Table) -> pa.Table:
+        parts = table.sort_by("bucket").to_pylist()
+        tails, names, sums = untold([r["stats"] for r in parts], most)
+        row = {"bucket": parts[0]["bucket"] // fan, "held": sum(r["held"] for r in parts), "total": float(sum(r["total"] for r in parts)), "stats": told(tails, names, sums, most)}
+        return pa.Table.from_pylist([row], pa.schema([("bucket", pa.int32()), ("held", pa.int64()), ("total", pa.float64()), ("stats", pa.binary())]))
+
+    last = rows.agg(F.max("bucket")).first()[0] or 0
+    while last >= fan:
+        rows = rows.groupBy(F.floor(F.col("bucket") / fan)).applyInArrow(add, "bucket int, held long, total double, stats binary")
+        last //= fan
+    return sorted(rows.collect(), key=lambda r: r["bucket"])
+
+
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_sum double, score double"
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_sum", pa.float64()), ("score", pa.float64())])
 
@@ -279,21 +318,13 @@ def score_texts(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
         held = sums > 0
         names, sums = names[held], sums[held]
         low = (names % np.uint64(TAILS)).astype(np.int64)
-        top = np.lexsort((names, -sums))[: shape.head]
-        tails = np.stack([np.bincount(low, sums, minlength=TAILS), np.bincount(low, minlength=TAILS)])
-        return tails.astype(np.float64).tobytes() + names[top].tobytes() + sums[top].astype(np.int64).tobytes()
+        return told(np.stack([np.bincount(low, sums, minlength=TAILS), np.bincount(low, minlength=TAILS)]), names, sums, shape.head)
 
-    answers = written(pk.ask(packs, keys, 64, lambda totals: totals.astype(np.uint32), stats, parts=pk.buckets(docs.sparkSession, size.words)))
-    # one row a bucket, each of bounded size
-    said = answers.where("stats is not null").select("bucket", "held", "total", "stats").orderBy("bucket").collect()
+    answers = written(pk.ask(packs, keys, 64, pk.planes, stats, parts=pk.buckets(docs.sparkSession, size.words)))
+    said = merged(answers.where("stats is not null").select("bucket", "held", "total", "stats"), shape.head)
     n, v = int(sum(r["total"] for r in said)), int(sum(r["held"] for r in said))
-    tails, top = np.zeros((2, TAILS)), []
-    for r in said:
-        tails += np.frombuffer(r["stats"][: 16 * TAILS], np.float64).reshape(2, TAILS)
-        half = (len(r["stats"]) - 16 * TAILS) // 16
-        top += zip(np.frombuffer(r["stats"], np.uint64, half, 16 * TAILS).tolist(), np.frombuffer(r["stats"], np.int64, half, 16 * TAILS + 8 * half).tolist(), strict=True)
-    top = sorted(top, key=lambda x: (-x[1], x[0]))[: shape.head]
-    head = Head(np.array([k for k, _ in top], np.uint64), np.array([c for _, c in top], np.float64), tails[0], tails[1], shape)
+    tails, names, sums = untold([r["stats"] for r in said], shape.head)
+    head = Head(names, sums.astype(np.float64), tails[0], tails[1], shape)
     weights, bias = train(packs, head, shape)
     pk.release(docs.sparkSession)
     answers = answers.select("pack_id", "bucket", "found")
@@ -303,7 +334,7 @@ def score_texts(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
         return key_counts(pairs(k, owner, head.find(k)[0]), used_tokens(pack, owner))
 
     parts = pk.buckets(docs.sparkSession, size.words)
-    met = pk.ask(packs, pair_keys, 64, lambda rows: rows.astype(np.uint32), parts=parts, low=WORD_BITS)
+    met = pk.ask(packs, pair_keys, 64, pk.planes, parts=parts, low=WORD_BITS)
     # counts of words come before those of pairs
     answers = answers.unionByName(met.select("pack_id", (F.col("bucket") + parts).cast("int").alias("bucket"), "found"))
 
@@ -326,5 +357,5 @@ def score_texts(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
         for d, i in enumerate(pack.ids):
             yield {"doc_id": i, "held_out": held_out(i), "n_tokens": int(length[d]), "n_known": int(known[d]), "base_sum": float(base[d]), "score": float(total[d])}
 
-    rows = pk.answered(packs, answers, score, SCORES, _SCORES, np.uint32, tasks=pk.buckets(docs.sparkSession, size.packs, pk.PACKS))
+    rows = pk.answered(packs, answers, score, SCORES, _SCORES, pk.from_planes, tasks=pk.buckets(docs.sparkSession, size.packs, pk.PACKS))
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base_sum").alias("base_score"), "score")

@@ -13,6 +13,7 @@ hold counts once for each pack, so a hot key makes no large group.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -137,17 +138,34 @@ def packed(docs: DataFrame, size: int = PACK_BYTES, part_bytes: int | None = Non
     return written(rows.mapInArrow(lambda batches: _build(batches, size), PACK), "none")
 
 
+@functools.lru_cache(maxsize=16)
+def limits(bits: int, parts: int, low: int = 0) -> np.ndarray:
+    """First key of each bucket, and the last possible one; worked out once for a worker, however many packs it cuts."""
+    first = (np.arange(parts + 1, dtype=object) << bits) // parts >> low << low
+    return np.array([min(int(x), 2**64 - 1) for x in first], np.uint64)
+
+
+def planes(counts: np.ndarray) -> np.ndarray:
+    """Whole numbers as their 8 bytes, all lowest first, then all next ones: what is zero in most of them costs little when zipped."""
+    return np.ascontiguousarray(counts.astype("<i8").reshape(-1, 1).view(np.uint8).T)
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    """The numbers of ``planes``, in one row."""
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").reshape(-1)
+
+
 def cut(pack_id: int, keys: np.ndarray, counts: np.ndarray | None, bits: int, parts: int, low: int = 0) -> Iterator[dict]:
     """Rows of ASKED for sorted distinct keys of ``bits`` bits; keys equal but for their ``low`` last bits share a bucket."""
-    first = (np.arange(parts + 1, dtype=object) << bits) // parts >> low << low
-    at = np.searchsorted(keys, np.array([min(int(x), 2**64 - 1) for x in first], np.uint64), "left")
+    first = limits(bits, parts, low)
+    at = np.searchsorted(keys, first, "left")
     at[0], at[-1] = 0, len(keys)
     for b in np.flatnonzero(at[1:] > at[:-1]):
         k = keys[at[b] : at[b + 1]]
         gaps = np.empty_like(k)
-        gaps[0], gaps[1:] = k[0] - np.uint64(int(first[b])), k[1:] - k[:-1]
+        gaps[0], gaps[1:] = k[0] - first[b], k[1:] - k[:-1]
         width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
-        c = b"" if counts is None else squeeze(counts[at[b] : at[b + 1]].astype(np.uint32).tobytes())
+        c = b"" if counts is None else squeeze(planes(counts[at[b] : at[b + 1]]).tobytes())
         yield {"pack_id": pack_id, "bucket": int(b), "n": len(k), "width": width, "keys": gaps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes(), "counts": c}
 
 
@@ -179,7 +197,7 @@ def counted(asked: DataFrame, bits: int, parts: int, found: Finding, stats: Call
     def bucket(table: pa.Table) -> pa.Table:
         rows = table.sort_by("pack_id").to_pylist()
         keys = [join_keys(r, bits, parts) for r in rows]
-        counts = [np.frombuffer(expand(r["counts"]), np.uint32).astype(np.int64) if r["counts"] else np.ones(r["n"], np.int64) for r in rows]
+        counts = [from_planes(expand(r["counts"])) if r["counts"] else np.ones(r["n"], np.int64) for r in rows]
         every = np.concatenate(keys)
         order = np.argsort(every, kind="stable")
         ranked = every[order]
@@ -214,12 +232,16 @@ def ask(packs: DataFrame, keys: Callable[[Pack], tuple[np.ndarray, np.ndarray |
     return counted(packs.mapInArrow(send, ASKED), bits, parts, found, stats, low)
 
 
-def met(packs: DataFrame, answers: DataFrame, then: Callable[[dict, np.ndarray], Iterator[dict]], schema: str, arrow: pa.Schema, dtype=np.uint8, *, tasks: int) -> DataFrame:
+def as_bytes(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8)
+
+
+def met(packs: DataFrame, answers: DataFrame, then: Callable[[dict, np.ndarray], Iterator[dict]], schema: str, arrow: pa.Schema, read: Callable[[bytes], np.ndarray] = as_bytes, *, tasks: int) -> DataFrame:
     """Rows that ``then(row of packs, answers in the order of its keys)`` gives for each pack."""
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         found = right.sort_by("bucket").column("found").to_pylist()
-        got = np.concatenate([np.frombuffer(expand(x), dtype) for x in found]) if found else np.zeros(0, dtype)
+        got = np.concatenate([read(expand(x)) for x in found]) if found else np.zeros(0, np.uint8)
         rows = [r for x in left.to_pylist() for r in then(x, got)]
         return pa.Table.from_pylist(rows, arrow)
 
@@ -227,6 +249,6 @@ def met(packs: DataFrame, answers: DataFrame, then: Callable[[dict, np.ndarray],
     return asked.cogroup(answers.select("pack_id", "bucket", "found").repartition(tasks, "pack_id").groupBy("pack_id")).applyInArrow(both, schema)
 
 
-def answered(packs: DataFrame, answers: DataFrame, then: Callable[[Pack, np.ndarray], Iterator[dict]], schema: str, arrow: pa.Schema, dtype=np.uint8, *, tasks: int) -> DataFrame:
+def answered(packs: DataFrame, answers: DataFrame, then: Callable[[Pack, np.ndarray], Iterator[dict]], schema: str, arrow: pa.Schema, read: Callable[[bytes], np.ndarray] = as_bytes, *, tasks: int) -> DataFrame:
     """``met`` for packs of ``packed``."""
-    return met(packs, answers, lambda row, got: then(Pack(row), got), schema, arrow, dtype, tasks=tasks)
+    return met(packs, answers, lambda row, got: then(Pack(row), got), schema, arrow, read, tasks=tasks)
