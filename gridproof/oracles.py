@@ -295,6 +295,16 @@ ORACLE_SQL: dict[str, str] = {
         SELECT * FROM (SELECT 'city_' || c AS city, CAST(count(*) / 4 AS DOUBLE) AS area_m2 FROM q GROUP BY c) JOIN (SELECT 'city_' || c AS city, min(x - r) + {X('c')} AS xmin, min(y - r) + {Y('c')} AS ymin, max(x + r) + {X('c')} AS xmax, max(y + r) + {Y('c')} AS ymax FROM o GROUP BY c) USING (city)""",
     "repaired_outlines": query("ref", "SELECT bld_id, CAST(CASE WHEN bld_id % 3 = 2 THEN 1 ELSE 2 END AS BIGINT) AS n_parts, CAST(CASE bld_id % 3 WHEN 0 THEN 2 ELSE 4 END * pow(1 + bld_id % 9, 2) AS DOUBLE) AS area_m2 FROM ref"),
     "buffered_outlines": "SELECT 'city_' || (o_orderkey % 4) AS city, count(*) AS n_parts, round(sum(pow(4 + o_orderkey % 23, 2) + 24 * (4 + o_orderkey % 23) + 32 * 36 * sin(pi() / 32)), 2) + 0.0 AS area_m2 FROM orders GROUP BY 1",
+    "raster_warp": """WITH k AS (SELECT 1 / (2 * 298.257223563 - 1) AS n), m AS (SELECT n, 0.9996 * 6378137.0 / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) AS r,
+          n / 2 - 2 * n ** 2 / 3 + 37 * n ** 3 / 96 AS b1, n ** 2 / 48 + n ** 3 / 15 AS b2, 17 * n ** 3 / 480 AS b3, 2 * n - 2 * n ** 2 / 3 - 2 * n ** 3 AS d1, 7 * n ** 2 / 3 - 8 * n ** 3 / 5 AS d2, 56 * n ** 3 / 15 AS d3 FROM k),
+        t AS (SELECT o_orderkey % 110 AS gx, o_orderkey // 110 AS gy, (5566700.0 - 40.0 * (gy + 0.5)) / r AS xi, (571300.0 + 40.0 * (gx + 0.5) - 500000) / r AS eta, m.* FROM orders, m),
+        p AS (SELECT *, xi - b1 * sin(2 * xi) * cosh(2 * eta) - b2 * sin(4 * xi) * cosh(4 * eta) - b3 * sin(6 * xi) * cosh(6 * eta) AS p, eta - b1 * cos(2 * xi) * sinh(2 * eta) - b2 * cos(4 * xi) * sinh(4 * eta) - b3 * cos(6 * xi) * sinh(6 * eta) AS q FROM t),
+        g AS (SELECT *, asin(sin(p) / cosh(q)) AS chi, 9 + degrees(atan2(sinh(q), cos(p))) AS lon FROM p),
+        u AS (SELECT gx, gy, (lon - 10.0) / 0.0005 AS u, (degrees(chi + d1 * sin(2 * chi) + d2 * sin(4 * chi) + d3 * sin(6 * chi)) - 50.25) / -0.0005 AS v FROM g),
+        c AS (SELECT o_orderkey % 120 AS col, o_orderkey // 120 AS row, CASE WHEN o_orderkey % 17 <> 3 THEN CAST(o_orderkey * 7919 % 1009 AS DOUBLE) END AS value FROM orders),
+        w AS (SELECT gx, gy, floor(u - 0.5) + i AS col, floor(v - 0.5) + j AS row, (1 - abs(u - 0.5 - (floor(u - 0.5) + i))) * (1 - abs(v - 0.5 - (floor(v - 0.5) + j))) AS w FROM u, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j))
+        SELECT u.gx, u.gy, round(c.value, 4) + 0.0 AS nearest, round(b.value, 4) + 0.0 AS bilinear FROM u LEFT JOIN c ON c.col = floor(u.u) AND c.row = floor(u.v)
+        JOIN (SELECT gx, gy, sum(w * value) / nullif(sum(w) FILTER (WHERE value IS NOT NULL), 0) AS value FROM w LEFT JOIN c USING (col, row) GROUP BY gx, gy) b ON b.gx = u.gx AND b.gy = u.gy""",
     "file_tree": """WITH RECURSIVE i AS (SELECT c_custkey AS id, CASE WHEN c_custkey <= 3 THEN NULL ELSE c_custkey // 3 END AS parent, 'n' || c_custkey AS name FROM customer WHERE c_custkey > 0),
         t AS (SELECT id, name, 1 AS level, name AS path, name AS top_folder FROM i WHERE parent IS NULL UNION ALL SELECT i.id, i.name, t.level + 1, t.path || '/' || i.name, t.top_folder FROM i JOIN t ON i.parent = t.id) SELECT * FROM t""",
 }

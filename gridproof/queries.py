@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridproof.functions import exprs, geometry, names
-from gridproof.operators import charts, dissolve, extract, inventory, matching, raster, rollup, tiling, vector_metrics
+from gridproof.operators import charts, dissolve, extract, inventory, matching, raster, rollup, tiling, vector_metrics, warp
 from gridproof.plans import fixtures as fx
 from gridproof.sources.scratch import written
 
@@ -499,6 +499,22 @@ def buffered_outlines(spark: SparkSession, d: str) -> DataFrame:
     return rounded(dissolve.buffered(rings, 6.0).groupBy("city").agg(F.count("*").alias("n_parts"), F.sum("area_m2").alias("area_m2")), 2)
 
 
+#: A raster in degrees of which each order fills a cell, 120 to a row, and the plane it is brought to.
+_DEGREES, _PLANE = warp.Grid(10.0, 50.25, 0.0005, -0.0005), warp.Grid(571300.0, 5566700.0, 40.0, -40.0, "utm", 32)
+
+
+def _degree_cells(spark: SparkSession, d: str) -> DataFrame:
+    return fx.table(spark, d, "orders").selectExpr("'c' as city", "'orders' as dataset", "o_orderkey % 120 as col", "o_orderkey div 120 as row", "if(o_orderkey % 17 = 3, null, cast(o_orderkey * 7919 % 1009 as double)) as value")
+
+
+def raster_warp(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of 40 m in a plane, a row of 110 for each 110 orders, with the nearest and the bilinear value of a raster in degrees."""
+    cells = _degree_cells(spark, d)
+    targets = fx.table(spark, d, "orders").selectExpr("'c' as city", "'orders' as dataset", "o_orderkey % 110 as gx", "o_orderkey div 110 as gy")
+    near, between = (warp.warp(cells, _DEGREES, targets, _PLANE, m).withColumnRenamed("value", m) for m in ("nearest", "bilinear"))
+    return rounded(near.join(between, ["city", "dataset", "gx", "gy"]).drop("city", "dataset"), 4)
+
+
 def _customers(spark: SparkSession, d: str) -> DataFrame:
     """A tree of customers: each but the first hangs below number div 3."""
     return fx.table(spark, d, "customer").where("c_custkey > 0").selectExpr("c_custkey as id", "if(c_custkey <= 3, null, c_custkey div 3) as parent", "concat('n', c_custkey) as name")
@@ -522,6 +538,6 @@ QUERIES: dict[str, Query] = {
         raster_global_rollup, best_raster_per_city_grid, name_match_scores, best_folder_match, download_summary, unmatched_codes, duplicate_codes, duplicate_matches, file_manifest, aoi_ref_listing, quality_value_counts, tracker_explode,
         tracker_references, validation_areas, tracker_high_quality, quality_flag, inventory_rows, bbox_extract, sub_aoi_tagging, range_lookup, tracker_tiles, split_bounds, split_bounds_all, select_files, first_file, work_list, tile_density, density_class_summary, iou_histogram, boxplot_stats,
         iou_by_size_quantile, f1_pivot, tile_f1_map, polygon_area, point_in_polygon, size_bins, utm_projection, polygon_iou_buffered, boundary_f_pair, boundary_f_tile, dissolved_area, file_tree, file_tree_all,
-        iou_mean, iou_by_size_class, outline_extract, buffered_extract, area_mask, dissolved_outlines, repaired_outlines, buffered_outlines,
+        iou_mean, iou_by_size_class, outline_extract, buffered_extract, area_mask, dissolved_outlines, repaired_outlines, buffered_outlines, raster_warp,
     )
 }
