@@ -320,7 +320,7 @@ def score_texts(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
         low = (names % np.uint64(TAILS)).astype(np.int64)
         return told(np.stack([np.bincount(low, sums, minlength=TAILS), np.bincount(low, minlength=TAILS)]), names, sums, shape.head)
 
-    answers = written(pk.ask(packs, keys, 64, pk.planes, stats, parts=pk.buckets(docs.sparkSession, size.words)))
+    answers = written(pk.ask(packs, keys, 64, pk.narrow, stats, parts=pk.buckets(docs.sparkSession, size.words)))
     said = merged(answers.where("stats is not null").select("bucket", "held", "total", "stats"), shape.head)
     n, v = int(sum(r["total"] for r in said)), int(sum(r["held"] for r in said))
     tails, names, sums = untold([r["stats"] for r in said], shape.head)
@@ -334,7 +334,7 @@ def score_texts(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
         return key_counts(pairs(k, owner, head.find(k)[0]), used_tokens(pack, owner))
 
     parts = pk.buckets(docs.sparkSession, size.words)
-    met = pk.ask(packs, pair_keys, 64, pk.planes, parts=parts, low=WORD_BITS)
+    met = pk.ask(packs, pair_keys, 64, pk.narrow, parts=parts, low=WORD_BITS)
     # counts of words come before those of pairs
     answers = answers.unionByName(met.select("pack_id", (F.col("bucket") + parts).cast("int").alias("bucket"), "found"))
 
@@ -357,5 +357,5 @@ def score_texts(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
         for d, i in enumerate(pack.ids):
             yield {"doc_id": i, "held_out": held_out(i), "n_tokens": int(length[d]), "n_known": int(known[d]), "base_sum": float(base[d]), "score": float(total[d])}
 
-    rows = pk.answered(packs, answers, score, SCORES, _SCORES, pk.from_planes, tasks=pk.buckets(docs.sparkSession, size.packs, pk.PACKS))
+    rows = pk.answered(packs, answers, score, SCORES, _SCORES, pk.widened, tasks=pk.buckets(docs.sparkSession, size.packs, pk.PACKS))
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base_sum").alias("base_score"), "score")

@@ -145,14 +145,16 @@ def limits(bits: int, parts: int, low: int = 0) -> np.ndarray:
     return np.array([min(int(x), 2**64 - 1) for x in first], np.uint64)
 
 
-def planes(counts: np.ndarray) -> np.ndarray:
-    """Whole numbers as their 8 bytes, all lowest first, then all next ones: what is zero in most of them costs little when zipped."""
-    return np.ascontiguousarray(counts.astype("<i8").reshape(-1, 1).view(np.uint8).T)
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes: their width, then each in as few bytes (1, 2, 4 or 8) as the largest needs."""
+    most = int(counts.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+    return np.concatenate([np.array([width], np.uint8), np.ascontiguousarray(counts.reshape(-1), f"<u{width}").view(np.uint8)])
 
 
-def from_planes(data: bytes) -> np.ndarray:
-    """The numbers of ``planes``, in one row."""
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").reshape(-1)
+def widened(data: bytes) -> np.ndarray:
+    """The counts of ``narrow``, in one row."""
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
 def cut(pack_id: int, keys: np.ndarray, counts: np.ndarray | None, bits: int, parts: int, low: int = 0) -> Iterator[dict]:
@@ -165,7 +167,7 @@ def cut(pack_id: int, keys: np.ndarray, counts: np.ndarray | None, bits: int, pa
         gaps = np.empty_like(k)
         gaps[0], gaps[1:] = k[0] - first[b], k[1:] - k[:-1]
         width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
-        c = b"" if counts is None else squeeze(planes(counts[at[b] : at[b + 1]]).tobytes())
+        c = b"" if counts is None else squeeze(narrow(counts[at[b] : at[b + 1]]).tobytes())
         yield {"pack_id": pack_id, "bucket": int(b), "n": len(k), "width": width, "keys": gaps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes(), "counts": c}
 
 
@@ -197,7 +199,7 @@ def counted(asked: DataFrame, bits: int, parts: int, found: Finding, stats: Call
     def bucket(table: pa.Table) -> pa.Table:
         rows = table.sort_by("pack_id").to_pylist()
         keys = [join_keys(r, bits, parts) for r in rows]
-        counts = [from_planes(expand(r["counts"])) if r["counts"] else np.ones(r["n"], np.int64) for r in rows]
+        counts = [widened(expand(r["counts"])) if r["counts"] else np.ones(r["n"], np.int64) for r in rows]
         every = np.concatenate(keys)
         order = np.argsort(every, kind="stable")
         ranked = every[order]

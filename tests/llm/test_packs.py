@@ -20,18 +20,18 @@ def test_counts_beyond_32_bits_survive(spark):
             for i in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_pylist(list(pk.cut(i, keys, counts[i], 64, 4)), schema)
 
-    answers = pk.counted(spark.range(2).mapInArrow(send, pk.ASKED), 64, 4, pk.planes).collect()
+    answers = pk.counted(spark.range(2).mapInArrow(send, pk.ASKED), 64, 4, pk.narrow).collect()
     for i in range(2):
-        got = np.concatenate([pk.from_planes(pk.expand(r.found)) for r in sorted(answers, key=lambda r: r.bucket) if r.pack_id == i])
+        got = np.concatenate([pk.widened(pk.expand(r.found)) for r in sorted(answers, key=lambda r: r.bucket) if r.pack_id == i])
         assert got.tolist() == [3 * 2**32 + 5, 1, 2**45]
     assert sum(r.total for r in answers) == 3 * 2**32 + 5 + 1 + 2**45
     assert sum(r.held for r in answers) == 3
 
 
 @pytest.mark.parametrize("shape", [(0,), (5,), (4, 3)])
-def test_planes_come_back(shape):
+def test_narrow_counts_come_back(shape):
     x = np.random.default_rng(1).integers(0, 2**50, shape)
-    assert pk.from_planes(pk.planes(x).tobytes()).tolist() == x.reshape(-1).tolist()
+    assert pk.widened(pk.narrow(x).tobytes()).tolist() == x.reshape(-1).tolist()
 
 
 def test_cutting_into_many_buckets_is_quick():
