@@ -23,16 +23,16 @@ def bbox_filter(bounds: tuple[float, float, float, float], column: str | None =
 BOX_CELL, OUTLINE_CELL = 1000.0, 100.0
 
 
-def _boxes_meet(footprints: DataFrame, areas: DataFrame) -> DataFrame:
+def _boxes_meet(footprints: DataFrame, areas: DataFrame, cell: float = BOX_CELL, by: Sequence[str] = ("city",)) -> DataFrame:
     """Footprints with _id and sub_aoi_id (where areas have it), a row for each cell and area in which boxes touch."""
     def cells(df: DataFrame, prefix: str) -> DataFrame:
         for axis, c in (("_cx", "x"), ("_cy", "y")):
-            df = df.withColumn(axis, F.explode(F.sequence(F.floor(F.col(f"{prefix}{c}min") / BOX_CELL).cast("long"), F.floor(F.col(f"{prefix}{c}max") / BOX_CELL).cast("long"))))
+            df = df.withColumn(axis, F.explode(F.sequence(F.floor(F.col(f"{prefix}{c}min") / cell).cast("long"), F.floor(F.col(f"{prefix}{c}max") / cell).cast("long"))))
         return df
 
     names = [c for c in ("sub_aoi_id",) if c in areas.columns]
-    other = cells(areas.select("city", *[F.col(k).alias(f"_{k}") for k in BOX], *names), "_")
-    met = cells(footprints.withColumn("_id", F.monotonically_increasing_id()), "").join(other, ["city", "_cx", "_cy"])
+    other = cells(areas.select(*by, *[F.col(k).alias(f"_{k}") for k in BOX], *names), "_")
+    met = cells(footprints.withColumn("_id", F.monotonically_increasing_id()), "").join(other, [*by, "_cx", "_cy"])
     return met.where(boxes_touch(box(), {k: F.col(f"_{k}") for k in BOX})).drop("_cx", "_cy", *[f"_{k}" for k in BOX])
 
 
@@ -125,9 +125,30 @@ def parse_tracker_tiles(paths: DataFrame, degrees: float = 2.0, pad: float = 0.0
 
 
 def touching_tiles(index: DataFrame, areas: DataFrame) -> DataFrame:
-    """Rows of a tile index (with a box) that touch any area."""
-    a = areas.select(*[F.col(k).alias(f"_{k}") for k in BOX])
-    return index.join(a, boxes_touch({k: F.col(k) for k in BOX}, {k: F.col(f"_{k}") for k in BOX}), "left_semi")
+    """Rows of a tile index (with a box) that touch any area; both meet by cells as large as the largest tile."""
+    side = index.agg(F.max(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")))).first()[0]
+    return _boxes_meet(index, areas.drop("sub_aoi_id"), float(side or 1.0) or 1.0, ()).dropDuplicates(["_id"]).select(*index.columns)
+
+
+#: Names that a grid's number can have, the first one counts.
+GRID_NAMES = ("gridID", "grid_id", "grid_ID", "GRIDID", "GRID_ID", "id", "ID")
+
+
+def grid_ids(grid: DataFrame, areas: DataFrame, cell: float = 0.25) -> DataFrame:
+    """city and grid_id: the distinct cells of a grid of outlines that each city's areas touch, in order.
+
+    The number is the first of GRID_NAMES that the grid has.  ``cell`` is the
+    side of the squares by which outlines meet, in their unit (degrees by default).
+    """
+    name = next((n for n in GRID_NAMES if n in grid.columns), None)
+    if name is None:
+        raise ValueError(f"a grid needs one of the columns {', '.join(GRID_NAMES)}")
+    # the grid belongs to no city, so all meet under one name and by cell
+    holes = [c for c in ("holes",) if c in grid.columns]
+    own = written(grid.select(F.lit("").alias("city"), F.col(name).alias("grid_id"), "ring", *holes).withColumn("_id", F.monotonically_increasing_id()))
+    other = written(areas.withColumnsRenamed({"city": "_city"}).withColumns({"city": F.lit(""), "_area": F.monotonically_increasing_id()}))
+    found = cover.meeting(own, other, cell).join(own.select("_id", "grid_id"), "_id").join(other.select("_area", F.col("_city").alias("city")), "_area")
+    return found.select("city", "grid_id").distinct().sort("city", "grid_id")
 
 
 def split_bounds(bounds: DataFrame, width: float, height: float) -> DataFrame:

@@ -17,17 +17,20 @@ def weighted(df: DataFrame, values: Sequence[str], weight: str, by: Sequence[str
 
 
 #: Names of the columns that are summed and averaged, in this and the raster roll-up.
-VECTOR_SUMS = ("n_tiles", "n_ref_total", "n_cand_total", "tp_total", "fp_total", "fn_total")
-VECTOR_MEANS = ("precision_city", "recall_city", "f1_city", "iou_mean_tp", "iou_median_tp", "iou_p25_tp", "iou_p75_tp", "rel_area_error_mean_tp", "rel_area_error_median_tp", "signed_area_bias_tp")
+VECTOR_SUMS = ("n_sub_areas", "n_tiles", "n_ref_total", "n_cand_total", "tp_total", "fp_total", "fn_total")
+VECTOR_MEANS = ("precision_city", "recall_city", "f1_city", "iou_mean_tp", "iou_median_tp", "iou_p25_tp", "iou_p75_tp", "boundary_f_meanpair_tp", "rel_area_error_mean_tp", "rel_area_error_median_tp", "signed_area_bias_tp")
 
 
 def vector_by_dataset(cities: DataFrame) -> DataFrame:
-    """Sums, shares of the sums, medians of city shares, and means weighted by references; NULL datasets are left out."""
+    """Sums, shares of the sums, medians of city shares, and means weighted by references; NULL datasets are left out.
+
+    Columns that the cities don't have are left out too.
+    """
     out = cities.where("dataset is not null").groupBy("dataset").agg(
         F.countDistinct("city").alias("n_cities"),
-        *[F.sum(c).alias(c) for c in VECTOR_SUMS],
+        *[F.sum(c).alias(c) for c in VECTOR_SUMS if c in cities.columns],
         *[F.median(f"{c}_city").alias(f"{c}_city_median") for c in ("precision", "recall", "f1")],
-        *[mean_missing_as_zero(c, "n_ref_total").alias(f"{c}_wavg") for c in VECTOR_MEANS],
+        *[mean_missing_as_zero(c, "n_ref_total").alias(f"{c}_wavg") for c in VECTOR_MEANS if c in cities.columns],
     )
     p, r, f1 = precision_recall_f1("tp_total", "fp_total", "fn_total", None)
     return out.withColumns({"precision_global": p, "recall_global": r, "f1_global": f1})

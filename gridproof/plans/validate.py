@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,22 +30,12 @@ def city_tiles(areas: DataFrame, size: float) -> DataFrame:
     return kept.withColumn("tile_id", number).select(*tiles.columns)
 
 
-def validate_vector(refs: DataFrame, cands: DataFrame, areas: DataFrame, settings: Settings) -> dict[str, bool]:
-    """Writes matches, tile, city, size and density tables and the global roll-up; says which were written.
-
-    Footprints with a ``ring`` are compared as polygons: their boxes find pairs,
-    the rings decide, and boundary scores are added.  Others are boxes.
-
-    Later tables read the written earlier ones, so nothing is worked out twice.
-    A table that is complete stays unless overwriting is asked for.
-    """
-    spark, v, root = refs.sparkSession, settings.vector, settings.output.root_dir.rstrip("/")
-    done: dict[str, bool] = {}
+Table = Callable[..., DataFrame]
 
-    def table(name: str, df: DataFrame, csv: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
-        done[name] = write_table(df, f"{root}/{name}", settings.output.overwrite, by, csv)
-        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
 
+def vector_tables(refs: DataFrame, cands: DataFrame, areas: DataFrame, settings: Settings, table: Table) -> None:
+    """All tables of the cities at hand but the roll-ups; ``table(name, df, csv, by)`` writes one and reads it again."""
+    v = settings.vector
     tiles = table("tiles", city_tiles(areas, v.tile_size_m))
     refs, cands = refs.where(F.col("area_m2") >= v.min_area_m2), cands.where(F.col("area_m2") >= v.min_area_m2)
     tiled_refs, tiled_cands = tiling.assign_tiles(refs, tiles, v.tile_size_m), tiling.assign_tiles(cands, tiles, v.tile_size_m)
@@ -58,12 +50,37 @@ def validate_vector(refs: DataFrame, cands: DataFrame, areas: DataFrame, setting
     union = polygon_metrics.tile_boundary_f(polygon_metrics.with_rings(matches, refs, cands), v.tau_boundary) if rings else None
     per_tile = table("tile_metrics", vector_metrics.tile_metrics(tiled_refs, tiled_cands, matches, tau_overlap=v.tau_overlap, tau_buffer=v.tau_buffer_m, boundaries=union, tau_boundary=v.tau_boundary), True)
     km2 = written(areas_km2(areas))
-    cities = table("city_summary", vector_metrics.city_summary(per_tile, matches, km2), True)
+    table("city_summary", vector_metrics.city_summary(per_tile, matches, km2), True)
     table("size_bins", vector_metrics.size_bin_metrics(matches, refs, cands), True)
     table("density", vector_metrics.density_summary(refs, cands, km2), True)
-    table("iou_histogram", charts.iou_histogram(per_tile, matches), True)
-    table("global_by_dataset", rollup.vector_by_dataset(cities), True)
-    table("best_per_city", rollup.best_vector_per_city(cities), True)
+
+
+def roll_ups(cities: DataFrame, per_tile: DataFrame, matches: DataFrame) -> dict[str, DataFrame]:
+    """Tables over all cities, by name."""
+    return {"iou_histogram": charts.iou_histogram(per_tile, matches), "global_by_dataset": rollup.vector_by_dataset(cities), "best_per_city": rollup.best_vector_per_city(cities)}
+
+
+def validate_vector(refs: DataFrame, cands: DataFrame, areas: DataFrame, settings: Settings) -> dict[str, bool]:
+    """Writes matches, tile, city, size and density tables and the global roll-up; says which were written.
+
+    Footprints with a ``ring`` are compared as polygons: their boxes find pairs,
+    the rings decide, and boundary scores are added.  Others are boxes.
+
+    Later tables read the written earlier ones, so nothing is worked out twice.
+    A table that is complete stays unless overwriting is asked for.
+    """
+    spark, root = refs.sparkSession, settings.output.root_dir.rstrip("/")
+    done: dict[str, bool] = {}
+    tables: dict[str, DataFrame] = {}
+
+    def table(name: str, df: DataFrame, csv: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+        done[name] = write_table(df, f"{root}/{name}", settings.output.overwrite, by, csv)
+        tables[name] = spark.read.schema(df.schema).parquet(f"{root}/{name}")
+        return tables[name]
+
+    vector_tables(refs, cands, areas, settings, table)
+    for name, df in roll_ups(tables["city_summary"], tables["tile_metrics"], tables["matches"]).items():
+        table(name, df, True)
     return done
 
 

@@ -136,7 +136,7 @@ def weighted_mean_zero(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_global_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(rollup.vector_by_dataset(vector_cities(spark, d)))
+    return rounded(rollup.vector_by_dataset(vector_cities(spark, d).drop("n_sub_areas")))
 
 
 def best_dataset_per_city(spark: SparkSession, d: str) -> DataFrame:

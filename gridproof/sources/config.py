@@ -8,6 +8,12 @@ from typing import Any, get_type_hints
 from gridproof.functions.exprs import SIZE_EDGES, SIZE_LABELS
 
 
+@dataclass
+class Candidate:
+    name: str = ""
+    enabled: bool = True
+
+
 @dataclass
 class VectorSettings:
     min_area_m2: float = 20.0
@@ -15,6 +21,8 @@ class VectorSettings:
     tau_overlap: float = 0.5
     tau_buffer_m: float = 2.0
     tau_boundary: float = 2.0
+    fix_invalid_geoms: bool = True
+    datasets: list[Candidate] = field(default_factory=list)
 
 
 @dataclass
@@ -70,6 +78,7 @@ class Output:
 @dataclass
 class Settings:
     data_dir: str = ""
+    aoi_tracker: str = ""
     size_edges: list[float] = field(default_factory=lambda: list(SIZE_EDGES))
     size_labels: list[str] = field(default_factory=lambda: list(SIZE_LABELS))
     vector: VectorSettings = field(default_factory=VectorSettings)

@@ -256,7 +256,7 @@ def geo_entry(spark: SparkSession, path: str) -> dict | None:
     if not files:
         return None
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(sorted(files)[0]), conf)
+    source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(sorted(files)[0])), conf)
     reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
     try:
         text = reader.getFooter().getFileMetaData().getKeyValueMetaData().get("geo")

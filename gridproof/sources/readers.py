@@ -22,18 +22,21 @@ def read_footprints(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"no reader for {path}")
 
 
-def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """feature (number in its file), properties (JSON), ring, holes, xmin, ymin, xmax, ymax.
+def read_geojson(spark: SparkSession, path: str | list[str], file: bool = False) -> DataFrame:
+    """feature (number in its file), properties (JSON), ring, holes, xmin, ymin, xmax, ymax, and the file where asked for.
 
     Features without a readable polygon go, as do outer rings of fewer than four
     points and holes of fewer.
     """
     raw = spark.read.schema(_FEATURES).option("multiLine", True).json(path)
-    rows = raw.select(F.posexplode("features").alias("feature", "f")).select("feature", F.col("f.properties").alias("properties"), F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("c"))
+    if file:
+        raw = raw.select("features", F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias("file"))
+    more = ["file"] if file else []
+    rows = raw.select(*more, F.posexplode("features").alias("feature", "f")).select(*more, "feature", F.col("f.properties").alias("properties"), F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("c"))
     one = F.array(F.from_json("c", f"array<{_POINT}>"))
     many = F.from_json("c", f"array<array<{_POINT}>>")
     polygons = F.when(F.col("kind") == "Polygon", one).when(F.col("kind") == "MultiPolygon", many)
-    rings = rows.select("feature", "properties", F.explode(polygons).alias("p")).where("size(p) > 0 and size(p[0]) >= 4")
+    rings = rows.select(*more, "feature", "properties", F.explode(polygons).alias("p")).where("size(p) > 0 and size(p[0]) >= 4")
 
     def points(r):
         return F.transform(r, lambda q: F.struct(F.get(q, F.lit(0)).alias("x"), F.get(q, F.lit(1)).alias("y")))

@@ -14,6 +14,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done))
 
 
+def drop_partitions(spark: SparkSession, path: str, column: str, values: Sequence[str]) -> None:
+    """Deletes the folders of a partitioned table for some values of its first partition column."""
+    jvm = spark._jvm
+    for value in values:
+        name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(column, value)
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{name}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def write_table(df: DataFrame, path: str, overwrite: bool = False, partition_by: Sequence[str] = (), csv: bool = False) -> bool:
     """Writes parquet, and CSV beside it, unless the table is complete already; says whether it wrote."""
     spark = df.sparkSession
