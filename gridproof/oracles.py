@@ -305,6 +305,29 @@ ORACLE_SQL: dict[str, str] = {
         w AS (SELECT gx, gy, floor(u - 0.5) + i AS col, floor(v - 0.5) + j AS row, (1 - abs(u - 0.5 - (floor(u - 0.5) + i))) * (1 - abs(v - 0.5 - (floor(v - 0.5) + j))) AS w FROM u, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j))
         SELECT u.gx, u.gy, round(c.value, 4) + 0.0 AS nearest, round(b.value, 4) + 0.0 AS bilinear FROM u LEFT JOIN c ON c.col = floor(u.u) AND c.row = floor(u.v)
         JOIN (SELECT gx, gy, sum(w * value) / nullif(sum(w) FILTER (WHERE value IS NOT NULL), 0) AS value FROM w LEFT JOIN c USING (col, row) GROUP BY gx, gy) b ON b.gx = u.gx AND b.gy = u.gy""",
+    "order_area_methods": """WITH px AS (SELECT 'city_' || (o_orderkey % 4) AS city, o_orderkey // 400 AS row, o_orderkey // 4 % 100 AS col, CASE WHEN o_orderkey % 29 <> 0 THEN CAST(o_orderkey % 25 AS DOUBLE) END AS value FROM orders)
+        SELECT method, city, row, col, round(area, 6) + 0.0 AS area, coalesce(CASE WHEN method = 7 THEN area / 400 >= 0.5 WHEN method >= 3 THEN area > 0 ELSE area / 400 >= 0.05 END, false) AS built FROM (
+        SELECT CAST(method AS INTEGER) AS method, city, row, col, CASE WHEN value IS NULL THEN NULL ELSE CASE method WHEN 0 THEN least(1.0, greatest(0.0, value)) * 400 WHEN 1 THEN value / 100 * 400 WHEN 2 THEN least(greatest(0.0, value), 400.0) WHEN 3 THEN CASE WHEN value >= 0.5 THEN 400.0 ELSE 0.0 END
+        WHEN 4 THEN CASE WHEN value <> 0 THEN 400.0 ELSE 0.0 END WHEN 5 THEN CASE WHEN value IN (3, 5, 8) THEN 400.0 ELSE 0.0 END WHEN 6 THEN CASE WHEN value >= 1 AND value <= 10 THEN 400.0 ELSE 0.0 END ELSE CASE WHEN value >= 1 AND value <= 19 THEN 400.0 ELSE 0.0 END END END AS area
+        FROM px, (SELECT unnest(range(8)) AS method))""",
+    "order_regrid": """WITH px AS (SELECT 'city_' || (o_orderkey % 4) AS city, o_orderkey // 4 % 100 * 20.0 AS x, o_orderkey // 400 * 20.0 AS y, CASE WHEN o_orderkey % 29 <> 0 THEN o_orderkey * 7 % 101 / 100.0 END AS v FROM orders),
+        w AS (SELECT city, gx, gy, v, (least(x + 20, gx * 50 + 50) - greatest(x, gx * 50)) * (least(y + 20, gy * 50 + 50) - greatest(y, gy * 50)) AS w, floor((gx * 50 + 25) / 20) * 20 = x AND floor((gy * 50 + 25) / 20) * 20 = y AS near
+          FROM px, LATERAL (SELECT unnest(range(CAST(floor(x / 50) AS BIGINT), CAST(ceil((x + 20) / 50) AS BIGINT))) AS gx) a, LATERAL (SELECT unnest(range(CAST(floor(y / 50) AS BIGINT), CAST(ceil((y + 20) / 50) AS BIGINT))) AS gy) b)
+        SELECT city, 'orders' AS dataset, gx, gy, round(sum(CASE WHEN v >= 0.05 THEN w ELSE 0 END) FILTER (WHERE v IS NOT NULL) / sum(w) FILTER (WHERE v IS NOT NULL), 6) + 0.0 AS built_share,
+          round(sum(w * v * 400) / sum(w) FILTER (WHERE v IS NOT NULL) * 6.25, 6) + 0.0 AS pred_area, coalesce(bool_or(near AND v IS NOT NULL), false) AS valid FROM w GROUP BY city, gx, gy""",
+    "order_mosaic_clip": """WITH px AS (SELECT 'city_' || (o_orderkey % 4) AS city, o_orderkey // 4 % 100 * 20 AS x, o_orderkey // 400 * 20 AS y, CASE WHEN o_orderkey % 29 <> 0 THEN o_orderkey * 7 % 101 / 100.0 END AS v FROM orders),
+        h AS (SELECT city, max(y) + 21 AS h FROM px GROUP BY city),
+        m AS (SELECT city, x, y, max(v) AS v, max(u) AS u FROM (SELECT city, x, y, v, NULL AS u FROM px UNION ALL SELECT city, x + 200, y, NULL, v + 1 FROM px) GROUP BY city, x, y)
+        SELECT city, 'orders' AS dataset, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CASE WHEN (x + 10) * h + (y + 10) * 2001 < 2001 * h THEN round(coalesce(v, u), 6) + 0.0 END AS value FROM m JOIN h USING (city)""",
+    "diamond_cells": f"""SELECT DISTINCT city, cx, cy FROM (SELECT 'city_' || c AS city, cx, cy, abs((cx + 0.5) * 1.4142 - x) + abs((cy + 0.5) * 1.4142 - y) AS far, r FROM (
+        SELECT o_orderkey % 4 AS c, (o_orderkey * 7919) % 3001 + {X('o_orderkey % 4')} AS x, (o_orderkey * 104729) % 3001 + {Y('o_orderkey % 4')} AS y, 3 + o_orderkey % 5 AS r FROM orders),
+        LATERAL (SELECT unnest(range(CAST(floor((x - r) / 1.4142) AS BIGINT), CAST(ceil((x + r) / 1.4142) AS BIGINT))) AS cx) a, LATERAL (SELECT unnest(range(CAST(floor((y - r) / 1.4142) AS BIGINT), CAST(ceil((y + r) / 1.4142) AS BIGINT))) AS cy) b)
+        WHERE far < r AND (r < 5 OR far >= r - 3)""",
+    "release_as_of": """WITH a AS (SELECT o_orderkey, ['view', 'signup', 'click', 'error', 'purchase'][CAST(o_orderkey % 5 + 1 AS INTEGER)] AS event_type, make_timestamp((1704067200 + o_orderkey * 397 % 2592000) * 1000000) AS moment FROM orders)
+        SELECT a.o_orderkey, a.event_type, e.event_id FROM a ASOF LEFT JOIN events e ON a.event_type = e.event_type AND a.moment >= e.ts""",
+    "temporal_composite": """WITH e AS (SELECT user_id % 50 AS col, event_id % 40 AS row, CAST(ts AS DATE) AS d, CASE event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 3 END AS k, value, event_id FROM events),
+        a AS (SELECT DISTINCT d AS day FROM e), m AS (SELECT day, col, row, value, d, row_number() OVER (PARTITION BY day, col, row ORDER BY d DESC, k, event_id DESC) AS n FROM a JOIN e ON d <= day AND d >= day - 6 WHERE k IS NOT NULL AND value IS NOT NULL)
+        SELECT CAST(day AS VARCHAR) AS day, col, row, value, CAST(d AS VARCHAR) AS newest FROM m WHERE n = 1""",
     "file_tree": """WITH RECURSIVE i AS (SELECT c_custkey AS id, CASE WHEN c_custkey <= 3 THEN NULL ELSE c_custkey // 3 END AS parent, 'n' || c_custkey AS name FROM customer WHERE c_custkey > 0),
         t AS (SELECT id, name, 1 AS level, name AS path, name AS top_folder FROM i WHERE parent IS NULL UNION ALL SELECT i.id, i.name, t.level + 1, t.path || '/' || i.name, t.top_folder FROM i JOIN t ON i.parent = t.id) SELECT * FROM t""",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridproof.functions import exprs, geometry, names
-from gridproof.operators import charts, dissolve, extract, inventory, matching, raster, rollup, tiling, vector_metrics, warp
+from gridproof.operators import charts, cover, dissolve, extract, inventory, matching, raster, releases, rollup, tiling, vector_metrics, warp
 from gridproof.plans import fixtures as fx
 from gridproof.sources.scratch import written
 
@@ -515,6 +515,57 @@ def raster_warp(spark: SparkSession, d: str) -> DataFrame:
     return rounded(near.join(between, ["city", "dataset", "gx", "gy"]).drop("city", "dataset"), 4)
 
 
+def _order_pixels(spark: SparkSession, d: str, value: str) -> DataFrame:
+    """A cell of 20 m for each order, 100 to a row of its city's raster."""
+    k = fx.table(spark, d, "orders").selectExpr("o_orderkey as k", "concat('city_', o_orderkey % 4) as city", "o_orderkey div 4 % 100 as col", "o_orderkey div 400 as row")
+    return k.selectExpr("city", "'orders' as dataset", "row", "col", "cast(col * 20 as double) as x", "cast(row * 20 as double) as y", f"if(k % 29 = 0, null, {value}) as value")
+
+
+def order_area_methods(spark: SparkSession, d: str) -> DataFrame:
+    """Built area and bin of each order's code under each method."""
+    cells, out = _order_pixels(spark, d, "cast(k % 25 as double)"), None
+    for k, spec in enumerate(METHODS):
+        part = raster.native_cells(cells, NATIVE, spec, MIN_AREA).select(F.lit(k).alias("method"), "city", "row", "col", "area", "built")
+        out = part if out is None else out.unionByName(part)
+    return rounded(out)
+
+
+def order_regrid(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of orders' cells of 20 m on cells of 50 m."""
+    cells = raster.native_cells(_order_pixels(spark, d, "k * 7 % 101 / 100D"), NATIVE, SPECS["share"], MIN_AREA)
+    return rounded(raster.regrid(cells, NATIVE, 50))
+
+
+def order_mosaic_clip(spark: SparkSession, d: str) -> DataFrame:
+    """Orders' raster over the same one moved by 200 m, cut by the outline of a triangle as high as the raster."""
+    a = _order_pixels(spark, d, "k * 7 % 101 / 100D").select("city", "dataset", "x", "y", "value")
+    b = a.select("city", "dataset", (F.col("x") + 200).alias("x"), "y", (F.col("value") + 1).alias("value"))
+    high = fx.table(spark, d, "orders").selectExpr("concat('city_', o_orderkey % 4) as city", "o_orderkey div 400 * 20 + 21.0D as h").groupBy("city").agg(F.max("h").alias("h"))
+    zero, wide = F.lit(0.0), F.lit(2001.0)
+    areas = high.select("city", F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((zero, zero), (wide, zero), (zero, F.col("h")))]).alias("ring"))
+    return rounded(raster.clip_to_areas(raster.mosaic([a, b]), areas, NATIVE))
+
+
+def diamond_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of 1.4142 m whose centre lies in a diamond of their city and outside its hole."""
+    return cover.covered_cells(_diamonds(spark, d), ["city"], 1.4142)
+
+
+def release_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """For each order's moment the newest event of its kind that isn't later."""
+    asked = fx.table(spark, d, "orders").selectExpr("o_orderkey", "element_at(array('view', 'signup', 'click', 'error', 'purchase'), cast(o_orderkey % 5 + 1 as int)) as event_type", "timestamp_seconds(1704067200 + o_orderkey * 397 % 2592000) as moment")
+    found = releases.as_of(asked, fx.table(spark, d, "events").select("event_type", "ts", "event_id"), ["event_type"], "moment", "ts")
+    return found.select("o_orderkey", "event_type", F.col("release.event_id").alias("event_id"))
+
+
+def temporal_composite(spark: SparkSession, d: str) -> DataFrame:
+    """For each day with an event: the newest value, at most 6 days old, of cells that events fill, purchases before clicks before views."""
+    e = fx.table(spark, d, "events").selectExpr("user_id % 50 as col", "event_id % 40 as row", "ts", "event_type", "value", "event_id")
+    asked = e.select(F.to_date("ts").alias("day")).distinct()
+    out = releases.composite(e, asked, ["col", "row"], "ts", "day", 6, "event_type", ("purchase", "click", "view"), F.col("event_id"))
+    return out.withColumns({c: F.col(c).cast("string") for c in ("day", "newest")})
+
+
 def _customers(spark: SparkSession, d: str) -> DataFrame:
     """A tree of customers: each but the first hangs below number div 3."""
     return fx.table(spark, d, "customer").where("c_custkey > 0").selectExpr("c_custkey as id", "if(c_custkey <= 3, null, c_custkey div 3) as parent", "concat('n', c_custkey) as name")
@@ -539,5 +590,6 @@ QUERIES: dict[str, Query] = {
         tracker_references, validation_areas, tracker_high_quality, quality_flag, inventory_rows, bbox_extract, sub_aoi_tagging, range_lookup, tracker_tiles, split_bounds, split_bounds_all, select_files, first_file, work_list, tile_density, density_class_summary, iou_histogram, boxplot_stats,
         iou_by_size_quantile, f1_pivot, tile_f1_map, polygon_area, point_in_polygon, size_bins, utm_projection, polygon_iou_buffered, boundary_f_pair, boundary_f_tile, dissolved_area, file_tree, file_tree_all,
         iou_mean, iou_by_size_class, outline_extract, buffered_extract, area_mask, dissolved_outlines, repaired_outlines, buffered_outlines, raster_warp,
+        order_area_methods, order_regrid, order_mosaic_clip, diamond_cells, release_as_of, temporal_composite,
     )
 }
