@@ -77,6 +77,19 @@ def match_by_rounds(pairs: DataFrame, tau: float = 0.5) -> DataFrame:
     return out
 
 
+#: Pairs of one tile beyond which it goes by rounds.
+DENSE = 500_000
+
+
+def match(pairs: DataFrame, tau: float = 0.5, dense: int = DENSE) -> DataFrame:
+    """``greedy_match``, but tiles with more than ``dense`` pairs go through ``match_by_rounds``: the same matches, and no tile grows beyond a task."""
+    own = written(pairs.where(F.col("iou") >= tau))
+    crowded = written(own.groupBy(*KEYS).count().where(F.col("count") > dense).select(*KEYS))
+    if crowded.isEmpty():
+        return greedy_match(own, tau)
+    return greedy_match(own.join(crowded, list(KEYS), "left_anti"), tau).unionByName(match_by_rounds(own.join(crowded, list(KEYS), "left_semi"), tau))
+
+
 def with_area_error(matches: DataFrame) -> DataFrame:
     return matches.withColumn("rel_area_error", F.when(F.col("area_ref") > 0, (F.col("area_cand") - F.col("area_ref")) / F.col("area_ref")))
 

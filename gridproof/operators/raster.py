@@ -206,13 +206,24 @@ def tile_metrics(tiles: DataFrame, refs: DataFrame, native: DataFrame, native_re
     so is F1 where P + R = 0.  A tile without a valid cell has zeros and NULLs.
     With ``areas`` only cells in an area of the city are valid, as in ``tile_cells``.
     """
+    fraction = reference_fraction(refs, resolution, oversample, all_touched)
+    return metrics_of_cells(tile_cells(tiles, resolution, areas, all_touched), fraction, built_counts(refs, tiles, tile_size), native, native_resolution, resolution, grid, ref_min_area)
+
+
+def built_counts(refs: DataFrame, tiles: DataFrame, tile_size: float) -> DataFrame:
+    """Number and mean area of the references of each tile."""
+    return assign_tiles(refs, tiles, tile_size).groupBy("city", "tile_id").agg(F.count("*").alias("ref_building_count"), F.avg("area_m2").alias("mean_ref_building_area_m2"))
+
+
+def metrics_of_cells(cells: DataFrame, fraction: DataFrame, built: DataFrame, native: DataFrame, native_resolution: float, resolution: float, grid: str, ref_min_area: float = 20.0) -> DataFrame:
+    """``tile_metrics`` from what all products of a grid share: ``tile_cells``, ``reference_fraction`` and ``built_counts``."""
     px = float(resolution) ** 2
     tau = min(1.0, ref_min_area / px)
-    datasets = native.select("city", "dataset").distinct()
-    cells = tile_cells(tiles, resolution, areas, all_touched).join(datasets, "city")
-    cells = cells.join(regrid(native, native_resolution, resolution), ["city", "dataset", "gx", "gy"], "left").join(reference_fraction(refs, resolution, oversample, all_touched), ["city", "gx", "gy"], "left")
+    masked = "in_area" in cells.columns
+    cells = cells.join(native.select("city", "dataset").distinct(), "city")
+    cells = cells.join(regrid(native, native_resolution, resolution), ["city", "dataset", "gx", "gy"], "left").join(fraction, ["city", "gx", "gy"], "left")
     valid, share = F.coalesce("valid", F.lit(False)), F.coalesce("ref_share", F.lit(0.0))
-    if areas is not None:
+    if masked:
         valid = valid & F.col("in_area")
     ref, pred = share >= tau, F.coalesce(F.col("built_share") >= tau, F.lit(False))
 
@@ -226,7 +237,6 @@ def tile_metrics(tiles: DataFrame, refs: DataFrame, native: DataFrame, native_re
         F.count("*").alias("n_pixels"), count().alias("n_valid"), count(ref, pred).alias("tp"), count(~ref, pred).alias("fp"), count(ref, ~pred).alias("fn"), count(~ref, ~pred).alias("tn"),
         F.sum(F.when(valid, share * px)).alias("ref_area_m2"), F.sum(F.when(valid, F.coalesce("pred_area", F.lit(0.0)))).alias("pred_area_m2"),
     )
-    built = assign_tiles(refs, tiles, tile_size).groupBy("city", "tile_id").agg(F.count("*").alias("ref_building_count"), F.avg("area_m2").alias("mean_ref_building_area_m2"))
     out = per.join(built, ["city", "tile_id"], "left")
     none = F.col("n_valid") == 0
     p, r, f1 = precision_recall_f1("tp", "fp", "fn", None)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ def vector_tables(refs: DataFrame, cands: DataFrame, areas: DataFrame, settings:
     pairs = matching.candidate_pairs(tiled_refs.drop("ring"), tiled_cands.drop("ring"), v.tau_buffer_m, touching=rings)
     if rings:
         pairs = polygon_metrics.exact_pairs(written(pairs), refs, cands, v.tau_buffer_m)
-    found = matching.with_area_error(matching.greedy_match(pairs, v.tau_overlap))
+    found = matching.with_area_error(matching.match(pairs, v.tau_overlap))
     if rings:
         found = polygon_metrics.pair_boundary_f(polygon_metrics.with_rings(found, refs, cands), v.tau_boundary).drop("a", "b")
     matches = table("matches", found, by=("city", "dataset"))
@@ -95,6 +96,15 @@ def validate_raster(refs: DataFrame, pixels: DataFrame, areas: DataFrame, settin
     outlines = areas if "ring" in areas.columns else None
     guard = s.native_resolution_guard
     out = None
+    # what references and areas give is the same for all products of a grid
+    shared: dict[tuple, DataFrame] = {}
+
+    def once(name: str, *key, make: Callable[[], DataFrame]) -> DataFrame:
+        if (name, *key) not in shared:
+            shared[name, *key] = written(make())
+        return shared[name, *key]
+
+    built = written(raster.built_counts(refs, tiles, size))
     for product in s.products:
         if not product.enabled:
             continue
@@ -106,7 +116,10 @@ def validate_raster(refs: DataFrame, pixels: DataFrame, areas: DataFrame, settin
                 raise ValueError(f"{grid.name} is finer than {product.name}")
             if finer and guard.mode == "skip_finer":
                 continue
-            part = raster.tile_metrics(tiles, refs, native, resolution, grid.resolution, grid.name, s.min_building_m2, product.oversample_factor or s.oversample_factor, size, outlines, product.all_touched)
+            finest, touched = product.oversample_factor or s.oversample_factor, product.all_touched
+            fraction = once("fraction", grid.resolution, finest, touched, make=partial(raster.reference_fraction, refs, grid.resolution, finest, touched))
+            cells = once("cells", grid.resolution, touched, make=partial(raster.tile_cells, tiles, grid.resolution, outlines, touched))
+            part = raster.metrics_of_cells(cells, fraction, built, native, resolution, grid.resolution, grid.name, s.min_building_m2)
             out = part if out is None else out.unionByName(part)
     if out is None:
         return {}

@@ -154,3 +154,16 @@ def test_areas_keep_their_digits_far_from_the_origin(spark):
     ring = [{"x": 500000.1 + a, "y": 5200000.3 + b} for a, b in ((0, 0), (10, 0), (10, 4), (4, 4), (4, 10), (0, 10))]
     r = spark.createDataFrame([(ring,)], "ring array<struct<x:double,y:double>>").select(geometry.ring_area("ring").alias("a"), geometry.ring_centroid("ring").alias("c")).first()
     assert r.a == pytest.approx(64, abs=1e-6) and r.c.x - 500000.1 == pytest.approx((40 * 5 + 24 * 2) / 64, abs=1e-6)
+
+
+def test_dense_tiles_go_by_rounds(spark):
+    import random
+
+    from gridproof.operators import matching
+
+    rng = random.Random(6)
+    rows = [("c", "d", rng.randrange(3), rng.randrange(30), 100 + rng.randrange(30), round(rng.random(), 1), 9.0, 8.0) for _ in range(400)] + [("c", "d", 7, 1, 2, 0.9, 9.0, 8.0)]
+    pairs = spark.createDataFrame(rows, "city string, dataset string, tile_id long, ref_id long, cand_id long, iou double, area_ref double, area_cand double").dropDuplicates(["tile_id", "ref_id", "cand_id"])
+    want = sorted(map(tuple, matching.greedy_match(pairs).collect()))
+    assert sorted(map(tuple, matching.match(pairs).collect())) == want
+    assert sorted(map(tuple, matching.match(pairs, dense=40).collect())) == want
