@@ -459,7 +459,7 @@ def dissolved_area(spark: SparkSession, d: str) -> DataFrame:
     return rounded(polygon_metrics.union_area(fx.sub_areas(spark).select("city", geometry.box_ring(geometry.box()).alias("ring")), ["city"], "ring"))
 
 
-def _points(x, y, corners) -> F.Column:
+def _ring_at(x, y, corners) -> F.Column:
     return F.array(*[F.struct((x + a).cast("double").alias("x"), (y + b).cast("double").alias("y")) for a, b in corners])
 
 
@@ -468,7 +468,7 @@ def _diamonds(spark: SparkSession, d: str) -> DataFrame:
     k = fx.table(spark, d, "orders").selectExpr("concat('city_', o_orderkey % 4) as city", f"(o_orderkey * 7919) % 3001 + {fx.corner(0, 'o_orderkey % 4')} as x", f"(o_orderkey * 104729) % 3001 + {fx.corner(1, 'o_orderkey % 4')} as y", "3 + o_orderkey % 5 as r")
 
     def diamond(r):
-        return _points(F.col("x"), F.col("y"), ((r, 0), (0, r), (-r, 0), (0, -r)))
+        return _ring_at(F.col("x"), F.col("y"), ((r, 0), (0, r), (-r, 0), (0, -r)))
 
     return k.select("city", diamond(F.col("r")).alias("ring"), F.when(F.col("r") >= 5, F.array(diamond(F.col("r") - 3))).alias("holes"))
 
@@ -483,10 +483,10 @@ def repaired_outlines(spark: SparkSession, d: str) -> DataFrame:
     """Parts and area of a broken ring for each reference: a bow tie, a square with a hole that sticks out, or one with a spike."""
     r = fx.references(spark, d).select("bld_id", F.col("xmin").alias("x"), F.col("ymin").alias("y"), (1 + F.col("bld_id") % 9).alias("a"), (F.col("bld_id") % 3).alias("kind"))
     x, y, a = F.col("x"), F.col("y"), F.col("a")
-    tie = _points(x, y, ((0, 0), (2 * a, 2 * a), (2 * a, 0), (0, 2 * a)))
-    square = _points(x, y, ((0, 0), (2 * a, 0), (2 * a, 2 * a), (0, 2 * a)))
-    hole = _points(x, y, ((a, a / 2), (3 * a, a / 2), (3 * a, 3 * a / 2), (a, 3 * a / 2)))
-    spike = _points(x, y, ((0, 0), (2 * a, 0), (4 * a, 0), (2 * a, 0), (2 * a, 2 * a), (0, 2 * a)))
+    tie = _ring_at(x, y, ((0, 0), (2 * a, 2 * a), (2 * a, 0), (0, 2 * a)))
+    square = _ring_at(x, y, ((0, 0), (2 * a, 0), (2 * a, 2 * a), (0, 2 * a)))
+    hole = _ring_at(x, y, ((a, a / 2), (3 * a, a / 2), (3 * a, 3 * a / 2), (a, 3 * a / 2)))
+    spike = _ring_at(x, y, ((0, 0), (2 * a, 0), (4 * a, 0), (2 * a, 0), (2 * a, 2 * a), (0, 2 * a)))
     broken = r.select("bld_id", F.when(F.col("kind") == 0, tie).when(F.col("kind") == 1, square).otherwise(spike).alias("ring"), F.when(F.col("kind") == 1, F.array(hole)).alias("holes"))
     return rounded(dissolve.repair(broken).groupBy("bld_id").agg(F.count("*").alias("n_parts"), F.sum("area_m2").alias("area_m2")), 3)
 
@@ -495,7 +495,7 @@ def buffered_outlines(spark: SparkSession, d: str) -> DataFrame:
     """Area of squares on a grid of 40 m after a round buffer of 6 m, by city."""
     s = fx.table(spark, d, "orders").selectExpr("concat('city_', o_orderkey % 4) as city", "cast(o_orderkey div 4 % 300 * 40 as double) as x", "cast(o_orderkey div 1200 * 40 as double) as y", "cast(4 + o_orderkey % 23 as double) as s")
     side = F.col("s")
-    rings = s.select("city", _points(F.col("x"), F.col("y"), ((0, 0), (side, 0), (side, side), (0, side))).alias("ring"))
+    rings = s.select("city", _ring_at(F.col("x"), F.col("y"), ((0, 0), (side, 0), (side, side), (0, side))).alias("ring"))
     return rounded(dissolve.buffered(rings, 6.0).groupBy("city").agg(F.count("*").alias("n_parts"), F.sum("area_m2").alias("area_m2")), 2)
 
 
