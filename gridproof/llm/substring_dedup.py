@@ -31,6 +31,8 @@ from gridproof.sources.scratch import written
 #: Rows of the sketch, and cells of a row for each word of the corpus.
 ROWS, CELLS = 2, 4
 PACK_BYTES = 4 << 20
+#: Cells, or windows, that one task merges.
+KEYS = 2 << 20
 SCHEMA = "doc_id long, n_words long, spans array<struct<start:long,stop:long>>, kept binary"
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", _SPAN), ("kept", pa.binary())])
@@ -166,7 +168,7 @@ def remove_repeats(docs: DataFrame, width: int = 20) -> DataFrame:
     def twice(totals: np.ndarray) -> np.ndarray:
         return (totals > 1).astype(np.uint8)
 
-    merged = pk.ask(packs, sketch, bits + (ROWS - 1).bit_length(), twice, parts=pk.buckets(spark, size.words * ROWS))
+    merged = pk.ask(packs, sketch, bits + (ROWS - 1).bit_length(), twice, parts=pk.buckets(spark, size.words * ROWS, KEYS))
     merged = written(merged.select("pack_id", "bucket", "found"))
     pk.release(spark)
 
@@ -185,7 +187,7 @@ def remove_repeats(docs: DataFrame, width: int = 20) -> DataFrame:
     pk.discard(packs, merged)
     pk.release(spark)
     cut = left.where("not settled")
-    parts = pk.buckets(spark, size.words)
+    parts = pk.buckets(spark, size.words, KEYS)
 
     def send(batches):
         for batch in batches:
