@@ -45,7 +45,7 @@ def test_odd_rows_and_empty_tables(spark, documents, odd, tmp_path):
 
 def test_queries(spark):
     # op9 has a second query, with long lines
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11)) and len(queries.QUERIES) == 11
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14)) and len(queries.QUERIES) == 14
     for name in ("op2_decontamination", "op3_token_counts", "op4_mixing", "op5_importance", "op10_pii"):
         assert queries.QUERIES[name](spark, SF).count() > 0
 
