@@ -16,10 +16,13 @@ have can add to an overlap, so only those are stored.
 
 Rows of equal sets are one row (a copy links with its class).  Within a column
 every row is first paired with one pivot row only, the most central one; pairs of
-rows that this already brought into one component need no product, all others
-are paired in a second round, a column of very many rows in as many slices as it
-needs.  So a column that a third of all documents hold costs work in proportion
-to its rows, and no link between components is lost.
+rows that this already brought into one component need no product.  All others
+are paired in a second round, where the bounds of step 1 are part of the join's
+key: a row meets only rows of sizes that both rows' bounds allow, and a row with
+too few columns left for any partner isn't dealt out at all.  So pages that
+share one passage, too short to link them, make no pairs; rows whose bounds do
+allow a link are paired each with each, in as many slices as it needs.  No link
+between components is lost.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ from gridproof.sources.scratch import written
 
 #: Column blocks: the share of all columns in each, in eighths.  A small first one drops most pairs that don't link.
 BLOCKS = (1, 2, 5)
-#: Rows of a column in one slice of the second round.
+#: Larger rows of a cell in one slice of the second round.
 SLICE_ROWS = 2000
 #: Row classes of each pack.  first and the blocks are null for a row that can't link with another class.
 #: met: how many columns any other row has; central: their mean frequency level; b0 and so on: those columns by block.
@@ -141,39 +144,92 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     return _labelled(docs, width, percent).select("doc_id", "n_shingles", "component_id", "class_size")
 
 
-def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``jaccard_components`` with key, the hash of the text, and root, which names the component (null without words)."""
+def class_links(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """Links found between classes of equal sets, as pairs (doc_id, linked_id) of the smallest doc_id of either class.
+
+    They join every component: documents are in one component of
+    ``jaccard_components`` if a path of these pairs, or an equal set, joins
+    them.  Pairs inside a component that the path already joins needn't be there.
+    Nulls are as in ``jaccard_components``; empty input gives no rows.
+    """
+    _, classes, links, _ = _linked(docs, width, percent)
+    ids = classes.select("sig", "rep")
+    return links.join(ids.toDF("u", "a"), "u").join(ids.toDF("v", "b"), "v").select(F.least("a", "b").alias("doc_id"), F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.greatest("a", "b")).alias("linked_id"))
+
+
+def _band(size):
+    """Sixteenths of a doubling; sizes up to 22 have one each."""
+    return F.floor(16 * F.log2(size)).cast("int")
+
+
+def _roles(cells: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of each column as the smaller and as the larger of a pair: sig, root, n, room, cell.
+
+    Of a pair's two sets of n and m columns, room (what a row has left from the
+    column on) bounds the overlap, so ``n + m <= (100 + percent) room / percent`` for
+    either room: each row knows the largest partner it can have.  A row that can't have one
+    in a role isn't there.  cell hashes the column and both bands of sizes; a row has
+    its own band in it and goes to each of the partner's that its bounds allow.
+    """
+    n = F.col("n")
+    top = F.floor((100 + percent) * F.col("room") / percent) - n
+    last = F.least(F.floor(100 * n / percent), top)
+    least_ = F.ceil(percent * n / 100)
+    keep = ("sig", "root", "n", "room")
+    small = cells.where(last >= n).select(*keep, "shingle", F.explode(F.sequence(_band(n), _band(last))).alias("b"))
+    large = cells.where(top >= least_).select(*keep, "shingle", F.explode(F.sequence(_band(least_), _band(F.least(n, top)))).alias("a"))
+    return small.select(*keep, F.xxhash64("shingle", _band(n), "b").alias("cell")), large.select(*keep, F.xxhash64("shingle", "a", _band(n)).alias("cell"))
+
+
+def _meeting(cells: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v), u < v, of rows in different components that meet in a column with bounds that let them link."""
+    mixed = written(cells.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("shingle", "k"))
+    hot = hot_keys(mixed, "shingle", "k", _total(mixed, "k"))
+    small, large = (written(side) for side in _roles(join_hot(cells, mixed.select("shingle"), "shingle", hot, "left_semi"), percent))
+    of = [side.groupBy("cell").agg(F.count("*").alias(f"k{e}"), F.min("root").alias(f"lo{e}"), F.max("root").alias(f"hi{e}")) for e, side in enumerate((small, large))]
+    both = written(of[0].join(of[1], "cell").where("least(lo0, lo1) <> greatest(hi0, hi1)").select("cell", (F.col("k0") + F.col("k1")).alias("k"), F.ceil(F.col("k1") / SLICE_ROWS).cast("int").alias("slices")))
+    hot = hot_keys(both, "cell", "k", _total(both, "k"))
+    small, large = (join_hot(side, both.select("cell", "slices"), "cell", hot) for side in (small, large))
+    large = large.withColumn("slice", F.pmod(F.xxhash64("sig"), "slices").cast("int"))
+    small = small.select("cell", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("sig").alias("sig2"), F.col("root").alias("root2"), F.col("n").alias("m"), F.col("room").alias("room2"))
+    fits = F.expr(f"100 * m >= {percent} * n and (100 + {percent}) * least(room, room2) >= {percent} * (n + m)")
+    met = large.join(small, ["cell", "slice"]).where((F.col("root") != F.col("root2")) & (F.expr("m < n or (m = n and sig2 < sig)")) & fits)
+    return met.select(F.least("sig", "sig2").alias("u"), F.greatest("sig", "sig2").alias("v")).distinct()
+
+
+def _total(counts: DataFrame, n: str) -> int:
+    return counts.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+
+
+def _linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows, their classes of equal sets, links between classes and the root of each class with a link."""
     rows = incidence(docs, width, percent)
     classes = written(rows.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size")))
     one = [F.first(c).alias(c) for c in ("first", *[f"b{k}" for k in range(len(BLOCKS))])]
     sets = written(rows.where("first is not null").groupBy("sig").agg(F.first("n_shingles").alias("n"), F.max("met").alias("met"), F.max("central").alias("central"), *one))
-    # pos counts the columns before that another row may have
-    cells = sets.select("sig", "n", "met", "central", F.posexplode("first").alias("at", "shingle")).where("shingle <> 0").withColumn("pos", F.expr("at - (n - met)"))
-    columns = cells.groupBy("shingle").agg(F.max(F.struct("central", "sig", "n")).alias("p"), F.count("*").alias("k")).where("k > 1")
+    # what a row has left from a column on: stored columns, as n - met others come first and can't be met
+    cells = sets.select("sig", "n", "met", "central", F.posexplode("first").alias("at", "shingle")).where("shingle <> 0").withColumn("room", F.expr("n - at"))
+    columns = written(cells.groupBy("shingle").agg(F.max(F.struct("central", "sig", "n")).alias("p"), F.count("*").alias("k")).where("k > 1").select("shingle", F.col("p.sig").alias("u"), F.col("p.n").alias("m"), "k"))
     near = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-    stars = cells.join(columns.select("shingle", F.col("p.sig").alias("u"), F.col("p.n").alias("m")), "shingle").where((F.col("sig") != F.col("u")) & near).select("u", F.col("sig").alias("v")).distinct()
-    stars = written(stars)
+    pivots = join_hot(cells, columns.drop("k"), "shingle", hot_keys(columns, "shingle", "k", _total(columns, "k")))
+    stars = written(pivots.where((F.col("sig") != F.col("u")) & near).select("u", F.col("sig").alias("v")).distinct())
     links = written(_product(stars, sets, percent))
     label = written(connected(links))
 
     # second round: rows that meet in a column and are still apart
-    apart = cells.drop("central", "at").join(label.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    mixed = apart.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo <> hi")
-    left = written(apart.join(mixed.select("shingle", F.ceil(F.col("k") / SLICE_ROWS).cast("int").alias("slices")), "shingle"))
-    one_side = left.withColumn("slice", F.pmod(F.xxhash64("sig"), "slices").cast("int"))
-    other = left.select("shingle", F.col("sig").alias("sig2"), F.col("root").alias("root2"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("met").alias("met2"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
-    # what the two rows can share, if this is the first column where they meet; each linked pair has such a column
-    room = F.expr(f"(100 + {percent}) * least(met - pos, met2 - pos2) >= {percent} * (n + m)")
-    met = one_side.join(other, ["shingle", "slice"]).where((F.col("root") < F.col("root2")) & near & room)
-    met = met.select(F.least("sig", "sig2").alias("u"), F.greatest("sig", "sig2").alias("v")).distinct()
-    more = met.join(stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
-    label = connected(written(links.unionByName(_product(more, sets, percent))))
-
-    roots = label.join(classes.select(F.col("sig").alias("node"), "rep"), "node").groupBy("root").agg(F.min("rep").alias("component"))
-    linked = label.join(roots, "root").select(F.col("node").alias("sig"), "root", "component")
+    apart = cells.select("sig", "n", "room", "shingle").join(label.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    more = _meeting(apart, percent).join(stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
+    links = written(links.unionByName(_product(more, sets, percent)))
+    return rows, classes, links, written(connected(links))
+
+
+def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``jaccard_components`` with key, the hash of the text, and root, which names the component (null without words)."""
+    rows, classes, _, label = _linked(docs, width, percent)
+    roots = written(label.join(classes.select(F.col("sig").alias("node"), "rep"), "node").groupBy("root").agg(F.min("rep").alias("component"), F.count("*").alias("k")))
+    linked = join_hot(label, roots.drop("k"), "root", hot_keys(roots, "root", "k", _total(roots, "k"))).select(F.col("node").alias("sig"), "root", "component")
     of_class = classes.join(linked, "sig", "left").select("sig", "class_size", F.coalesce("root", "sig").alias("root"), F.coalesce("component", "rep").alias("component_id"))
-    total = classes.agg(F.coalesce(F.sum("class_size"), F.lit(0))).first()[0]
-    full = join_hot(rows.where("n_shingles > 0").select("doc_id", "key", "n_shingles", "sig"), of_class, "sig", hot_keys(classes, "sig", "class_size", total)).drop("sig")
+    full = join_hot(rows.where("n_shingles > 0").select("doc_id", "key", "n_shingles", "sig"), of_class, "sig", hot_keys(classes, "sig", "class_size", _total(classes, "class_size"))).drop("sig")
     none = rows.where("n_shingles = 0").select("doc_id", "key", "n_shingles", F.lit(None).cast("binary").alias("root"), F.lit(1).cast("long").alias("class_size"), F.col("doc_id").alias("component_id"))
     return full.unionByName(none)
 

@@ -128,3 +128,30 @@ def test_hot_keys_are_joined_without_a_shuffle(spark):
     for how in ("inner", "left", "left_semi"):
         got, want = (sorted(map(tuple, df.collect()), key=str) for df in (join_hot(rows, table, "k", hot, how), rows.join(table, "k", how)))
         assert got == want
+
+
+def test_rows_without_a_possible_partner_are_not_dealt_out(spark):
+    """A shared passage too short to link pages of 100 shingles: no row has either role, so no pair is made."""
+    cells = spark.range(500).selectExpr("cast(cast(id as string) as binary) as sig", "cast(cast(id as string) as binary) as root", "100L as n", "85L as room", "7L as shingle")
+    small, large = ngram_join._roles(cells, 80)
+    # a partner has 91 columns at most, so pages of 100 can only be the larger of a pair
+    assert small.count() == 0
+    assert ngram_join._meeting(cells, 80).count() == 0
+    assert large.select("sig").distinct().count() == 500
+
+
+def test_meeting_is_all_pairs_that_the_bounds_allow(spark):
+    rng = random.Random(5)
+    rows = [(bytearray(f"{k:03}".encode()), bytearray(f"{k % 37:03}".encode()), n, rng.randrange(n // 2, n + 1), k % 3) for k in range(150) for n in [rng.choice([5, 9, 20, 23, 40, 44, 50, 90, 100, 110])]]
+    cells = spark.createDataFrame(rows, "sig binary, root binary, n long, room long, shingle long")
+    want = {(bytes(a[0]), bytes(b[0])) for a in rows for b in rows if a[0] < b[0] and a[1] != b[1] and a[4] == b[4] and 100 * min(a[2], b[2]) >= 80 * max(a[2], b[2]) and 180 * min(a[3], b[3]) >= 80 * (a[2] + b[2])}
+    assert want and {(bytes(r.u), bytes(r.v)) for r in ngram_join._meeting(cells, 80).collect()} == want
+
+
+def test_links_between_classes_join_the_components(documents):
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join([*base[:50], *(f"x{k % 5}y{j}" for j in range(k % 5))])) for k in range(12)] + [(20, "one two three four five six seven")]
+    links = [(r.doc_id, r.linked_id) for r in ngram_join.class_links(documents(rows)).collect()]
+    nodes = {x for pair in links for x in pair}
+    assert nodes == {0, 1, 2, 3, 4} and all(a < b for a, b in links)
+    assert {r[2] for r in run(documents(rows))} == {0, 20}
