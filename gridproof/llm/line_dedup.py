@@ -142,9 +142,13 @@ def dedup_lines(docs: DataFrame, window: int = 2, line_words: int | None = LINE_
     return _rest(docs, window, line_words).select(*_columns(docs, own), *more)
 
 
-def keep_rest(docs: DataFrame, window: int = 2, line_words: int | None = LINE_WORDS) -> DataFrame:
+def keep_rest(docs: DataFrame, window: int = 2, line_words: int | None = LINE_WORDS, least_percent: int = 0) -> DataFrame:
     """``docs`` with the shortened texts, and n_chars, where there is one, to match; documents that lost all their words go.
 
+    With ``least_percent``, so do those that keep a smaller percentage of their
+    words: nearly all that they say stands earlier, and what is left of such a near
+    copy is too little to be found as one.  A document that lost no line never goes.
+
     Nulls, ties and repeats are as in ``dedup_lines``: a null text stays null, rows
     with a null doc_id come after all others, rows with the same doc_id and text
     share their fate.  A text that had no words before stays.  Empty input gives
@@ -153,10 +157,12 @@ def keep_rest(docs: DataFrame, window: int = 2, line_words: int | None = LINE_WO
     """
     found = _rest(docs, window, line_words)
     empty = (F.col("n_removed") > 0) & ~F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]"))
+    words = [F.regexp_count(t, F.lit(r"[^\x20\x09-\x0D]+")).cast("long") for t in ("text", "d.text")]
+    little = (F.col("n_removed") > 0) & (100 * words[0] < least_percent * words[1]) if least_percent else F.lit(False)
     own = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         own["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("d.n_chars")).cast(docs.schema["n_chars"].dataType)
-    return found.where(~empty).select(*_columns(docs, own))
+    return found.where(~F.coalesce(empty | little, F.lit(False))).select(*_columns(docs, own))
 
 
 ORACLE = """

@@ -150,3 +150,21 @@ def test_without_selection_or_extension_nothing_is_found(documents, monkeypatch)
         extended = line_dedup._extended
         m.setattr(line_dedup, "_extended", lambda *a: extended(*a).limit(0))
         assert sum(r[3] for r in run(df, 2)) == 0
+
+
+def test_keep_rest_drops_what_keeps_too_little(documents):
+    """With a least share: a near copy goes, at exactly the share a document stays, one with a long own part stays, untouched and null ones too."""
+    lines = [" ".join(f"l{k}w{j}" for j in range(8)) for k in range(10)]
+    own = [f"own{k}" for k in range(40)]
+    rows = [
+        (1, "\n".join(lines)),
+        (2, "\n".join([*lines[:9], " ".join(own[:8])])),
+        (3, "\n".join([*lines[:4], " ".join(own[:8])])),
+        (4, "\n".join([*lines[:4], " ".join(own[:7])])),
+        (5, "\n".join([*lines[:4], *own])),
+        (6, None),
+        (7, ""),
+    ]
+    df = documents(rows)
+    assert sorted(r.doc_id for r in line_dedup.keep_rest(df, least_percent=20).collect()) == [1, 3, 5, 6, 7]
+    assert sorted(r.doc_id for r in line_dedup.keep_rest(df).collect()) == [1, 2, 3, 4, 5, 6, 7]
