@@ -17,8 +17,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later repeats of runs of lines; n_chars follows the text."""
-    return line_dedup.keep_rest(docs)
+    """Texts without later repeats of runs of lines; n_chars follows the text.
+
+    A document of whose words less than a fifth stays is a near copy of what stood
+    earlier and goes: what is left of it would pass the next stage unseen.
+    """
+    return line_dedup.keep_rest(docs, least_percent=20)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
