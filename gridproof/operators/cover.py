@@ -9,6 +9,7 @@ length of the outline, not the number of cells times the number of edges.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,9 +32,20 @@ def edges_of(outlines: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.select(*keys, F.explode(outline(rows)).alias("e"))
 
 
-def _first(value: Column, size: float) -> Column:
-    """The first cell whose centre is at a value or beyond it."""
-    return F.ceil(value / size - 0.5).cast("long")
+def _centre(cell: Column, size: float) -> Column:
+    """The double nearest to a cell's centre, from the decimal digits of the size: (cell + 0.5) * 1.4142 in doubles is one step off for many cells."""
+    n, d = (Fraction(str(float(size))) / 2).as_integer_ratio()
+    return (2.0 * cell + 1.0) * float(n) / float(d)
+
+
+def _first(value: Column, size: float, beyond: bool = False) -> Column:
+    """The first cell whose centre is at a value or beyond it, or only ``beyond`` it; centres decide, as a quotient is off where one is at the value."""
+    near = F.ceil(value / size - 0.5).cast("long")
+
+    def reached(cell: Column) -> Column:
+        return _centre(cell, size) > value if beyond else _centre(cell, size) >= value
+
+    return F.when(reached(near - 1), near - 1).when(reached(near), near).otherwise(near + 1)
 
 
 def inside_runs(edges: DataFrame, keys: Sequence[str], size: float) -> DataFrame:
@@ -44,11 +56,11 @@ def inside_runs(edges: DataFrame, keys: Sequence[str], size: float) -> DataFrame
     p, q = F.col("e.p"), F.col("e.q")
     low, high = F.least(p["y"], q["y"]), F.greatest(p["y"], q["y"])
     rows = edges.withColumns({"_a": _first(low, size), "_b": _first(high, size) - 1}).where("_a <= _b").withColumn("cy", F.explode(F.sequence("_a", "_b")))
-    y = (F.col("cy") + 0.5) * size
+    y = _centre(F.col("cy"), size)
     at = p["x"] + (y - p["y"]) * (q["x"] - p["x"]) / (q["y"] - p["y"])
-    met = rows.groupBy(*keys, "cy").agg(F.sort_array(F.collect_list(at)).alias("_x"))
-    pair = F.transform(F.sequence(F.lit(0), F.size("_x") - 2, F.lit(2)), lambda k: F.struct(_first(F.get("_x", k), size).alias("c0"), _first(F.get("_x", k + 1), size).alias("c1")))
-    return met.where(F.size("_x") >= 2).select(*keys, "cy", F.explode(pair).alias("_r")).select(*keys, "cy", "_r.*").where("c0 < c1")
+    met = rows.groupBy(*keys, "cy").agg(F.sort_array(F.collect_list(_first(at, size))).alias("_c"))
+    pair = F.transform(F.sequence(F.lit(0), F.size("_c") - 2, F.lit(2)), lambda k: F.struct(F.get("_c", k).alias("c0"), F.get("_c", k + 1).alias("c1")))
+    return met.where(F.size("_c") >= 2).select(*keys, "cy", F.explode(pair).alias("_r")).select(*keys, "cy", "_r.*").where("c0 < c1")
 
 
 def edge_cells(edges: DataFrame, keys: Sequence[str], size: float) -> DataFrame:
@@ -81,6 +93,39 @@ def covered_cells(outlines: DataFrame, keys: Sequence[str], size: float, all_tou
     return cells.distinct()
 
 
+def interior_cells(outlines: DataFrame, keys: Sequence[str], size: float) -> DataFrame:
+    """keys, cx, cy: cells whose centre lies in the interior of a polygon's ring and not in that of its holes, each once.
+
+    Edges belong to no interior, on any side: a centre on the ring is outside, one on the edge of a hole isn't in the hole.
+    """
+    own, of = written(outlines.withColumn("_o", F.monotonically_increasing_id())), [*keys, "_o"]
+    edges = edges_of(own.drop("holes"), of).withColumn("_hole", F.lit(False))
+    if "ring" in own.columns and "holes" in own.columns:
+        edges = edges.unionByName(edges_of(own.select(*of, F.explode("holes").alias("ring")), of).withColumn("_hole", F.lit(True)))
+    p, q = F.col("e.p"), F.col("e.q")
+    low, high, level = F.least(p["y"], q["y"]), F.greatest(p["y"], q["y"]), p["y"] == q["y"]
+    rows = edges.withColumns({"_a": _first(low, size), "_b": _first(high, size, True) - 1}).where("_a <= _b").withColumn("cy", F.explode(F.sequence("_a", "_b")))
+    y, none = _centre(F.col("cy"), size), F.array().cast("array<bigint>")
+    at = F.when(y == p["y"], p["x"]).when(y == q["y"], q["x"]).otherwise(p["x"] + (y - p["y"]) * (q["x"] - p["x"]) / F.when(level, 1.0).otherwise(q["y"] - p["y"]))
+    ends = (F.when(level, f(p["x"], q["x"])).otherwise(at) for f in (F.least, F.greatest))
+    # cells first to last - 1 have their centre on the edge; an edge along the row, or that ends in it from below, isn't crossed
+    rows = rows.select(*of, "cy", "_hole", (y < high).alias("_met"), *[_first(x, size, k == "_last").alias(k) for k, x in zip(("_first", "_last"), ends, strict=True)])
+    crossed, on = F.when(F.col("_met"), F.col("_first")), F.when(F.col("_first") < F.col("_last"), F.sequence("_first", F.col("_last") - 1))
+    lists = [f(F.collect_list(F.when(side, x))).alias(f"{name}{k}") for k, side in enumerate((~F.col("_hole"), F.col("_hole"))) for name, f, x in (("_c", F.sort_array, crossed), ("_on", F.flatten, on))]
+    met = rows.groupBy(*of, "cy").agg(*lists).where(F.size("_c0") >= 2)
+
+    def less(cells: Column, others: Column) -> Column:
+        return F.when(F.size(others) == 0, cells).otherwise(F.array_except(cells, others))
+
+    def within(c: str, on: str) -> Column:
+        """Cells between crossings, without those on an edge."""
+        runs = F.transform(F.sequence(F.lit(0), F.size(c) - 2, F.lit(2)), lambda k: F.when(F.get(c, k) < F.get(c, k + 1), F.sequence(F.get(c, k), F.get(c, k + 1) - 1)).otherwise(none))
+        return F.when(F.size(c) >= 2, less(F.flatten(runs), F.col(on))).otherwise(none)
+
+    met = met.select(*keys, "cy", within("_c0", "_on0").alias("_in"), within("_c1", "_on1").alias("_out"))
+    return met.select(*keys, F.explode(less(F.col("_in"), F.col("_out"))).alias("cx"), "cy").distinct()
+
+
 def _blocks(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, level, c, cy: runs as blocks of FAN ** level cells, each as large as fits."""
     lo, hi, parts = F.col("c0"), F.col("c1"), []
@@ -123,7 +168,7 @@ def meeting(footprints: DataFrame, areas: DataFrame, size: float = 100.0, distan
     levels = F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col("cx") / FAN**k).cast("long").alias("c")) for k in range(LEVELS)])
     inside = point.select("city", "_id", "cy", F.explode(levels).alias("_b")).select("city", "_id", "cy", "_b.*").join(blocks, ["city", "level", "c", "cy"]).select("_id", "_area", F.lit(1).alias("_n"))
     # from the cell's centre straight up or down, then along: how many edges lie between
-    xc, yc = (F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size
+    xc, yc = _centre(F.col("cx"), size), _centre(F.col("cy"), size)
 
     def between(e: Column) -> Column:
         p, q = e["p"], e["q"]

@@ -548,7 +548,7 @@ def order_mosaic_clip(spark: SparkSession, d: str) -> DataFrame:
 
 def diamond_cells(spark: SparkSession, d: str) -> DataFrame:
     """Cells of 1.4142 m whose centre lies in a diamond of their city and outside its hole."""
-    return cover.covered_cells(_diamonds(spark, d), ["city"], 1.4142)
+    return cover.interior_cells(_diamonds(spark, d), ["city"], 1.4142)
 
 
 def release_as_of(spark: SparkSession, d: str) -> DataFrame:

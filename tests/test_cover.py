@@ -118,3 +118,62 @@ def test_clip_by_outlines(spark):
     assert got == {(x, y) for x in range(0, 200, 20) for y in range(0, 200, 20) if x + y + 20 < 100}
     wide = {(r.x, r.y) for r in raster.clip_to_areas(cells, areas, 20.0, True).where("value is not null").collect()}
     assert wide == {(x, y) for x in range(0, 200, 20) for y in range(0, 200, 20) if x + y <= 100}
+
+
+def test_sides_at_centres(spark):
+    centres = [(2 * k + 1) * 7071 / 10000 for k in range(247_000, 247_500)]
+    boxes = spark.createDataFrame([(k, a, a, b, b) for k, (a, b) in enumerate(zip(centres, centres[2:], strict=False))], f"k int, {BOXES}")
+    got = {tuple(r) for r in cover.covered_cells(boxes, ["k"], 1.4142).collect()}
+    assert got == {(k, 247_000 + k + i, 247_000 + k + j) for k in range(498) for i in (0, 1) for j in (0, 1)}
+    got = {tuple(r) for r in cover.interior_cells(boxes, ["k"], 1.4142).collect()}
+    assert got == {(k, 247_001 + k, 247_001 + k) for k in range(498)}
+
+
+def within(ring, x, y):
+    """In a ring and on none of its edges, in whole numbers."""
+    odd = False
+    for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True):
+        side = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+        if side == 0 and min(ax, bx) <= x <= max(ax, bx) and min(ay, by) <= y <= max(ay, by):
+            return False
+        if (ay > y) != (by > y):
+            odd ^= (side > 0) == (by > ay)
+    return odd
+
+
+def test_interiors_in_whole_numbers(spark):
+    rng, rings = random.Random(7), []
+    for _ in range(40):
+        # corners on centres of cells, on odd numbers of halves
+        at = sorted(rng.sample(range(24), rng.randrange(3, 12)))
+        rings.append([tuple(2 * round(r * f(math.pi * t / 12) / 2) + 1 for f in (math.cos, math.sin)) for t in at for r in [rng.uniform(4, 24)]])
+    rings.append([(-11, -11), (1, -1), (11, -11), (11, 11), (1, 3), (-11, 11)])
+    rings.append([(-11, -11), (-3, -11), (-3, -5), (5, -5), (5, -11), (11, -11), (11, 7), (3, 7), (3, 1), (-5, 1), (-5, 7), (-11, 7)])
+    holes = [None, [], [[(-5, -3), (3, -3), (3, 5), (-5, 5)]], [[(1, -5), (5, 1), (1, 5), (-3, 1)]], [[(-7, -3), (-1, -3), (-1, 3), (-7, 3)], [(-1, -3), (3, -1), (-1, 3)]]]
+    rows = [(n, r, holes[(n + more) % 5]) for n, r in enumerate(rings) for more in range(5)]
+
+    def halves(ring):
+        return [(x / 2, y / 2) for x, y in ring]
+
+    df = spark.createDataFrame([(k, n, halves(r), h and [halves(x) for x in h]) for k, (n, r, h) in enumerate(rows)], f"k int, n int, ring {RING}, holes array<{RING}>")
+    want = {(k, x // 2, y // 2) for k, (_, r, h) in enumerate(rows) for x in range(-27, 28, 2) for y in range(-27, 28, 2) if within(r, x, y) and not any(within(o, x, y) for o in h or [])}
+    got = [tuple(r) for r in cover.interior_cells(df, ["k"], 1.0).collect()]
+    assert sorted(got) == sorted(want)
+    rows_of = {k: n for k, (n, _, _) in enumerate(rows)}
+    assert sorted(tuple(r) for r in cover.interior_cells(df, ["n"], 1.0).collect()) == sorted({(rows_of[k], x, y) for k, x, y in want})
+    nothing = spark.createDataFrame([(1, None, None), (2, [], None), (3, [(0.0, 0.0), (9.0, 9.0)], [[(1.0, 1.0), (2.0, 1.0), (2.0, 2.0)]])], f"k int, ring {RING}, holes array<{RING}>")
+    assert not cover.interior_cells(nothing, ["k"], 1.0).collect()
+
+
+def test_diamonds_with_centres_on_their_edges(spark, tmp_path):
+    import duckdb
+
+    from gridproof.oracles import ORACLE_SQL
+    from gridproof.queries import diamond_cells
+
+    # in each a centre is within a millionth of an edge
+    keys = [4352, 7366, 8427, 9099, 10462, 10978, 11347, 13308]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    assert sorted(tuple(r) for r in diamond_cells(spark, str(tmp_path)).collect()) == sorted(con.execute(ORACLE_SQL["diamond_cells"]).fetchall())
