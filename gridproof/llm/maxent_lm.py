@@ -94,35 +94,65 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys, owner
 
 
-def pack_tokens(pack: pk.Pack) -> tuple[np.ndarray, np.ndarray]:
-    """``tokens`` of all documents of a pack."""
-    parts = [(first, *tokens(data, offsets)) for first, data, offsets in pack.slices()]
-    return np.concatenate([k for _, k, _ in parts]), np.concatenate([first + owner for first, _, owner in parts])
-
-
-def used_tokens(pack: pk.Pack, owner: np.ndarray) -> np.ndarray:
-    """Which tokens are trained on."""
-    return np.array([not held_out(x) for x in pack.ids])[owner]
-
-
-def key_counts(keys: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and how often each is trained on."""
-    names, index = np.unique(keys, return_inverse=True)
-    return names, np.bincount(index, used, minlength=len(names)).astype(np.int64)
-
-
-def before(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """The previous token of each, within its text."""
-    out = np.full(len(keys), _NONE, np.uint64)
-    same = owner[1:] == owner[:-1]
-    out[1:][same] = keys[:-1][same]
-    return out
-
-
-def pairs(keys: np.ndarray, owner: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Keys of (previous word, class) in the high bits and of the word in the low ones."""
-    context = textops.mix(before(keys, owner) + target.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 15)
-    return (context >> np.uint64(WORD_BITS) << np.uint64(WORD_BITS)) | (textops.mix(keys, 16) >> np.uint64(64 - WORD_BITS))
+#: A pack with its tokens in place of the texts: distinct keys with counts as ``packs.cut`` has them, tokens of each document, and each token's key by its rank.
+TOKENS = "pack_id long, ids array<long>, n_words long, n_bytes long, words struct<n: long, width: int, keys: binary, counts: binary>, lengths binary, ranks binary"
+_TOKENS = pa.schema(
+    [("pack_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("n_words", pa.int64()), ("n_bytes", pa.int64())]
+    + [("words", pa.struct([("n", pa.int64()), ("width", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])), ("lengths", pa.binary()), ("ranks", pa.binary())]
+)
+
+
+def _by_count(counts: np.ndarray) -> np.ndarray:
+    return np.argsort(-counts, kind="stable")
+
+
+def token_columns(data: bytes, offsets: np.ndarray) -> dict:
+    """Columns of TOKENS for the texts of a pack.  Ranks by count go byte by byte, high bytes being mostly zero."""
+    parts = [(first, *tokens(d, o)) for first, d, o in pk.text_slices(np.frombuffer(data, np.uint8), offsets)]
+    names, index, counts = np.unique(np.concatenate([k for _, k, _ in parts]), return_inverse=True, return_counts=True)
+    lengths = np.bincount(np.concatenate([first + owner for first, _, owner in parts]), minlength=len(offsets) - 1)
+    rank = np.empty(len(names), np.uint32)
+    rank[_by_count(counts)] = np.arange(len(names))
+    (words,) = pk.cut(0, names, counts, 64, 1)
+    return {
+        "n_words": len(index) - len(lengths),
+        "words": {x: words[x] for x in ("n", "width", "keys", "counts")},
+        "lengths": lengths.astype(np.int64).tobytes(),
+        "ranks": pk.squeeze(rank[index].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()),
+    }
+
+
+class Tokens:
+    """Tokens of one pack: sorted distinct keys (``names``), each token's place among them (``index``) and its document (``owner``)."""
+
+    def __init__(self, row: dict):
+        self.pack_id, self.ids = row["pack_id"], row["ids"]
+        self.names = pk.join_keys(row["words"], 64, 1)
+        rank = np.ascontiguousarray(np.frombuffer(pk.expand(row["ranks"]), np.uint8).reshape(4, -1).T).view("<u4")[:, 0]
+        self.index = _by_count(pk.widened(pk.expand(row["words"]["counts"])))[rank]
+        self.owner = np.repeat(np.arange(len(self.ids)), np.frombuffer(row["lengths"], np.int64))
+
+    def used(self) -> np.ndarray:
+        """Which tokens are trained on."""
+        return np.array([not held_out(x) for x in self.ids])[self.owner]
+
+    def before(self, steps: int) -> np.ndarray:
+        """Place among the names of the token some steps before each in its text; one past the last for none."""
+        out = np.full(len(self.index), len(self.names))
+        same = self.owner[steps:] == self.owner[:-steps]
+        out[steps:][same] = self.index[:-steps][same]
+        return out
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The names and how often each is trained on."""
+        return self.names, np.bincount(self.index, self.used(), minlength=len(self.names)).astype(np.int64)
+
+    def pairs(self, target: np.ndarray) -> np.ndarray:
+        """For classes of the names: each token's key of (previous word, class) in the high bits and of the word in the low ones."""
+        context = np.append(self.names, _NONE)[self.before(1)]
+        context += (target.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[self.index]
+        context = textops.mix(context, 15)
+        return (context >> np.uint64(WORD_BITS) << np.uint64(WORD_BITS)) | (textops.mix(self.names, 16) >> np.uint64(64 - WORD_BITS))[self.index]
 
 
 def within(share: np.ndarray, met: np.ndarray) -> np.ndarray:
@@ -131,16 +161,15 @@ def within(share: np.ndarray, met: np.ndarray) -> np.ndarray:
     return np.log(np.where(total > 0, (n + kinds * share) / np.maximum(1, total + kinds), share))
 
 
-def features(keys: np.ndarray, owner: np.ndarray, shape: Shape) -> np.ndarray:
+def features(pack: Tokens, shape: Shape) -> np.ndarray:
     """Rows of the weight matrix for each token: previous word, skip, and both."""
-    one, two = before(keys, owner), np.full(len(keys), _NONE, np.uint64)
-    same = owner[2:] == owner[:-2]
-    two[2:][same] = keys[:-2][same]
+    one, two = pack.before(1), pack.before(2)
+    names = np.append(pack.names, _NONE)
     size = np.uint64(shape.buckets)
-    out = np.empty((3, len(keys)), np.int32)
-    out[0] = textops.mix(one, 11) % size
-    out[1] = textops.mix(two, 12) % size + size
-    out[2] = textops.mix(one * np.uint64(0x9E3779B97F4A7C15) + two, 13) % size + size + size
+    out = np.empty((3, len(one)), np.int32)
+    out[0] = (textops.mix(names, 11) % size)[one]
+    out[1] = (textops.mix(names, 12) % size + size)[two]
+    out[2] = textops.mix((names * np.uint64(0x9E3779B97F4A7C15))[one] + names[two], 13) % size + size + size
     return out
 
 
@@ -179,31 +208,67 @@ class Head:
         return np.where(rank >= 0, self.share[rank], out) if len(self.keys) else out
 
 
-def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def _logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of weights for each class, less the greatest of the row."""
     z = weights.take(rows[0], 0)
     z += weights.take(rows[1], 0)
     z += weights.take(rows[2], 0)
     z += bias
     z -= z.max(1, keepdims=True)
+    return z
+
+
+def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    z = _logits(weights, bias, rows)
     z -= np.log(np.exp(z).sum(1, keepdims=True))
     return z
 
 
+def log_chance(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """``log_softmax`` of one class for each row."""
+    z = _logits(weights, bias, rows)
+    out = z[np.arange(len(target)), target]
+    return out - np.log(np.exp(z, out=z).sum(1))
+
+
+def row_sums(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows in order, and for each the sum of its values: in runs of equal rows, neighbours are added, then sums of two, of four, and so on."""
+    # numbers of 16 bits are sorted by digits
+    order = np.argsort(rows.astype(np.uint16) if rows.max(initial=0) < 1 << 16 else rows, kind="stable")
+    ranked = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    place = np.arange(len(rows)) - np.repeat(first, np.diff(first, append=len(rows)))
+    # a place in its run is added to the one before it by its lowest bit, once all higher places of that bit's width have come in
+    lowest, most = place & -place, place.max(initial=0)
+    sums = values.take(order, 0)
+    step = 1
+    while step <= most:
+        at = np.flatnonzero(lowest == step)
+        both = sums.take(at - step, 0)
+        both += sums.take(at, 0)
+        sums[at - step] = both
+        step *= 2
+    return ranked[first], sums.take(first, 0)
+
+
 def _step(weights, bias, power, power_bias, rows, target, rate):
     """One Adagrad step on a batch, in place."""
-    grad = np.exp(log_softmax(weights, bias, rows))
+    grad = _logits(weights, bias, rows)
+    np.exp(grad, out=grad)
+    grad /= grad.sum(1, keepdims=True)
     grad[np.arange(len(target)), target] -= 1
     g = grad.sum(0)
     power_bias += g * g
     bias -= rate * g / np.sqrt(power_bias + 1)
     for row in rows:
-        # numbers of 16 bits are sorted by digits
-        order = np.argsort(row.astype(np.uint16) if len(weights) <= 1 << 16 else row, kind="stable")
-        ranked = row[order]
-        new = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        g, at = np.add.reduceat(grad.take(order, 0), new, 0), ranked[new]
-        power[at] += g * g
-        weights[at] -= rate * g / np.sqrt(power[at] + 1)
+        at, g = row_sums(grad, row)
+        p = power.take(at, 0)
+        p += g * g
+        power[at] = p
+        p += 1
+        g *= rate
+        g /= np.sqrt(p, out=p)
+        weights[at] -= g
 
 
 _CHUNK = "chunk int, salt int, n double, part binary"
@@ -231,10 +296,9 @@ def train(packs: DataFrame, head: Head, shape: Shape) -> tuple[np.ndarray, np.nd
             power, power_bias, n = np.zeros_like(w), np.zeros_like(b), 0
             for batch in batches:
                 for i in range(batch.num_rows):
-                    pack = pk.Pack(batch.slice(i, 1).to_pylist()[0])
-                    keys, owner = pack_tokens(pack)
-                    used = np.flatnonzero(used_tokens(pack, owner))
-                    rows, target = features(keys, owner, shape)[:, used], head.find(keys[used])[0]
+                    pack = Tokens(batch.slice(i, 1).to_pylist()[0])
+                    used = np.flatnonzero(pack.used())
+                    rows, target = features(pack, shape)[:, used], head.find(pack.names)[0][pack.index[used]]
                     for at in range(0, len(target), shape.batch):
                         _step(w, b, power, power_bias, rows[:, at : at + shape.batch], target[at : at + shape.batch], shape.rate)
                     n += len(target)
@@ -307,20 +371,16 @@ def score_texts(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     and its text is trained on.  Repeated rows each count.  Empty input gives no
     rows; other columns are ignored.
     """
-    packs = pk.packed(docs, part_bytes=PART_BYTES)
+    packs = pk.packed(docs, part_bytes=PART_BYTES, columns=token_columns, schema=TOKENS, arrow=_TOKENS)
     size = pk.sizes(packs)
 
-    def keys(pack):
-        k, owner = pack_tokens(pack)
-        return key_counts(k, used_tokens(pack, owner))
-
     def stats(bucket, names, sums):
         held = sums > 0
         names, sums = names[held], sums[held]
         low = (names % np.uint64(TAILS)).astype(np.int64)
         return told(np.stack([np.bincount(low, sums, minlength=TAILS), np.bincount(low, minlength=TAILS)]), names, sums, shape.head)
 
-    answers = written(pk.ask(packs, keys, 64, pk.narrow, stats, parts=pk.buckets(docs.sparkSession, size.words)))
+    answers = written(pk.ask(packs, Tokens.counts, 64, pk.narrow, stats, parts=pk.buckets(docs.sparkSession, size.words), kind=Tokens))
     said = merged(answers.where("stats is not null").select("bucket", "held", "total", "stats"), shape.head)
     n, v = int(sum(r["total"] for r in said)), int(sum(r["held"] for r in said))
     tails, names, sums = untold([r["stats"] for r in said], shape.head)
@@ -330,32 +390,30 @@ def score_texts(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     answers = answers.select("pack_id", "bucket", "found")
 
     def pair_keys(pack):
-        k, owner = pack_tokens(pack)
-        return key_counts(pairs(k, owner, head.find(k)[0]), used_tokens(pack, owner))
+        found, index = np.unique(pack.pairs(head.find(pack.names)[0]), return_inverse=True)
+        return found, np.bincount(index, pack.used(), minlength=len(found)).astype(np.int64)
 
     parts = pk.buckets(docs.sparkSession, size.words)
-    met = pk.ask(packs, pair_keys, 64, pk.narrow, parts=parts, low=WORD_BITS)
+    met = pk.ask(packs, pair_keys, 64, pk.narrow, parts=parts, low=WORD_BITS, kind=Tokens)
     # counts of words come before those of pairs
     answers = answers.unionByName(met.select("pack_id", (F.col("bucket") + parts).cast("int").alias("bucket"), "found"))
 
-    def score(pack, counts):
-        k, owner = pack_tokens(pack)
-        n_docs = len(pack.ids)
-        names, index = np.unique(k, return_inverse=True)
-        c = counts[: len(names)][index].astype(np.float64)
-        target, rank = head.find(k)
-        pair = np.unique(pairs(k, owner, target), return_inverse=True)[1]
-        chosen = within(head.shares(c, target, rank), counts[len(names) :].reshape(-1, 3)[pair])
-        rows = features(k, owner, shape)
-        for at in range(0, len(k), shape.batch):
+    def score(row, counts):
+        pack = Tokens(row)
+        owner, index, n_docs = pack.owner, pack.index, len(pack.ids)
+        c = counts[: len(pack.names)].astype(np.float64)
+        target, rank = head.find(pack.names)
+        pair = np.unique(pack.pairs(target), return_inverse=True)[1]
+        chosen = within(head.shares(c, target, rank)[index], counts[len(c) :].reshape(-1, 3)[pair])
+        rows, target = features(pack, shape), target[index]
+        for at in range(0, len(index), shape.batch):
             part = slice(at, at + shape.batch)
-            z = log_softmax(weights, bias, rows[:, part])
-            chosen[part] += z[np.arange(len(z)), target[part]]
+            chosen[part] += log_chance(weights, bias, rows[:, part], target[part])
         total = np.bincount(owner, chosen / np.log(10), minlength=n_docs)
-        base = np.bincount(owner, np.log10((c + 1) / (n + v + 1)), minlength=n_docs)
-        length, known = np.bincount(owner, minlength=n_docs), np.bincount(owner, c > 0, minlength=n_docs)
+        base = np.bincount(owner, np.log10((c + 1) / (n + v + 1))[index], minlength=n_docs)
+        length, known = np.bincount(owner, minlength=n_docs), np.bincount(owner, (c > 0)[index], minlength=n_docs)
         for d, i in enumerate(pack.ids):
             yield {"doc_id": i, "held_out": held_out(i), "n_tokens": int(length[d]), "n_known": int(known[d]), "base_sum": float(base[d]), "score": float(total[d])}
 
-    rows = pk.answered(packs, answers, score, SCORES, _SCORES, pk.widened, tasks=pk.buckets(docs.sparkSession, size.packs, pk.PACKS))
+    rows = pk.met(packs, answers, score, SCORES, _SCORES, pk.widened, tasks=pk.buckets(docs.sparkSession, size.packs, pk.PACKS))
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base_sum").alias("base_score"), "score")

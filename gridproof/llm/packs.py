@@ -34,6 +34,7 @@ KEYS = 4 << 20
 #: Packs whose answers one task brings back.
 PACKS = 16
 PACK = "pack_id long, ids array<long>, keys array<long>, sizes binary, n_words long, n_bytes long, data binary"
+_PACK = pa.schema([("pack_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("sizes", pa.binary()), ("n_words", pa.int64()), ("n_bytes", pa.int64()), ("data", pa.binary())])
 ASKED = "pack_id long, bucket int, n long, width int, keys binary, counts binary"
 ANSWER = "pack_id long, bucket int, found binary, held long, total double, stats binary"
 
@@ -77,6 +78,13 @@ def expand(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def text_slices(data: np.ndarray, offsets: np.ndarray):
+    """(first document, bytes, offsets) of parts of some megabytes."""
+    for a, b in textops.slices(offsets):
+        lo = offsets[a]
+        yield a, data[lo : offsets[b]], offsets[a : b + 1] - lo
+
+
 class Pack:
     """Documents of one pack: ids (None where null), hashes of the texts (where the pack has them), bytes and offsets."""
 
@@ -86,45 +94,44 @@ class Pack:
         self.data = np.frombuffer(expand(row["data"]), np.uint8)
 
     def slices(self):
-        """(first document, bytes, offsets) of parts of some megabytes."""
-        for a, b in textops.slices(self.offsets):
-            lo = self.offsets[a]
-            yield a, self.data[lo : self.offsets[b]], self.offsets[a : b + 1] - lo
+        return text_slices(self.data, self.offsets)
+
+
+def texts(data: bytes, sizes: np.ndarray) -> dict:
+    """Columns of a pack that hold its texts, given as bytes and offsets."""
+    words = sum(len(textops.spans(d, o)[0]) for _, d, o in text_slices(np.frombuffer(data, np.uint8), sizes))
+    return {"n_words": words, "data": squeeze(data)}
 
 
-def _build(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def _build(batches: Iterator[pa.RecordBatch], size: int, columns: Callable[[bytes, np.ndarray], dict], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
     part, number = TaskContext.get().partitionId(), 0
-    ids, keys, texts, sizes = [], [], [], [0]
+    ids, keys, found, sizes = [], [], [], [0]
 
     def pack():
-        data = b"".join(texts)
-        words = sum(len(textops.spans(d, o)[0]) for d, o in _parts(data, sizes))
-        row = {"pack_id": [(part << 24) + number], "ids": [list(ids)], "keys": [list(keys)], "sizes": [np.array(sizes, np.int64).tobytes()], "n_words": [words], "n_bytes": [len(data)], "data": [squeeze(data)]}
-        return pa.RecordBatch.from_pydict(row, pa.schema([("pack_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("sizes", pa.binary()), ("n_words", pa.int64()), ("n_bytes", pa.int64()), ("data", pa.binary())]))
+        data, offsets = b"".join(found), np.array(sizes, np.int64)
+        row = {"pack_id": (part << 24) + number, "ids": list(ids), "keys": list(keys), "sizes": offsets.tobytes(), "n_bytes": len(data)} | columns(data, offsets)
+        return pa.RecordBatch.from_pylist([row], arrow)
 
     for batch in batches:
         for i, key, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1), strict=True):
             text = (text.as_py() or "").encode()
             if ids and sizes[-1] + len(text) > size:
                 yield pack()
-                number, ids, keys, texts, sizes = number + 1, [], [], [], [0]
+                number, ids, keys, found, sizes = number + 1, [], [], [], [0]
             ids.append(i)
             keys.append(key)
-            texts.append(text)
+            found.append(text)
             sizes.append(sizes[-1] + len(text))
     if ids:
         yield pack()
 
 
-def _parts(data: bytes, sizes: list[int]):
-    whole, offsets = np.frombuffer(data, np.uint8), np.array(sizes, np.int64)
-    for a, b in textops.slices(offsets):
-        yield whole[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-
-
-def packed(docs: DataFrame, size: int = PACK_BYTES, part_bytes: int | None = None) -> DataFrame:
+def packed(docs: DataFrame, size: int = PACK_BYTES, part_bytes: int | None = None, columns: Callable[[bytes, np.ndarray], dict] = texts, schema: str = PACK, arrow: pa.Schema = _PACK) -> DataFrame:
     """All documents in written packs of about ``size`` bytes; a null text is empty.
 
+    ``columns`` gives n_words and what a pack holds in place of its texts; of
+    the other columns those of ``schema`` are kept.
+
     With ``part_bytes`` documents are first dealt to parts of about that size by a
     hash of id and text, in order of it, so packs depend on the documents alone
     and not on how the input is partitioned.
@@ -133,9 +140,9 @@ def packed(docs: DataFrame, size: int = PACK_BYTES, part_bytes: int | None = Non
         total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
         rows = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t"), F.xxhash64("text").alias("k"), F.xxhash64("doc_id", "text").alias("h"))
         rows = rows.repartition(max(1, -(-int(total) // part_bytes)), "h").sortWithinPartitions("h", "i", "k").drop("h")
-        return written(rows.mapInArrow(lambda batches: _build(batches, size), PACK), "none")
+        return written(rows.mapInArrow(lambda batches: _build(batches, size, columns, arrow), schema), "none")
     rows = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t"), F.xxhash64("text").alias("k"))
-    return written(rows.mapInArrow(lambda batches: _build(batches, size), PACK), "none")
+    return written(rows.mapInArrow(lambda batches: _build(batches, size, columns, arrow), schema), "none")
 
 
 @functools.lru_cache(maxsize=16)
@@ -219,14 +226,14 @@ def counted(asked: DataFrame, bits: int, parts: int, found: Finding, stats: Call
     return asked.repartition(parts, "bucket").groupBy("bucket").applyInArrow(bucket, ANSWER)
 
 
-def ask(packs: DataFrame, keys: Callable[[Pack], tuple[np.ndarray, np.ndarray | None]], bits: int, found: Finding, stats=None, *, parts: int, low: int = 0) -> DataFrame:
-    """Rows of ANSWER, for ``keys(pack)``: sorted distinct keys and their counts in the pack."""
+def ask(packs: DataFrame, keys: Callable[[Pack], tuple[np.ndarray, np.ndarray | None]], bits: int, found: Finding, stats=None, *, parts: int, low: int = 0, kind: Callable[[dict], Pack] = Pack) -> DataFrame:
+    """Rows of ANSWER, for ``keys(pack)``: sorted distinct keys and their counts in the pack, made from its row by ``kind``."""
     schema = pa.schema([("pack_id", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("width", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def send(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                pack = Pack(batch.slice(i, 1).to_pylist()[0])
+                pack = kind(batch.slice(i, 1).to_pylist()[0])
                 rows = list(cut(pack.pack_id, *keys(pack), bits, parts, low))
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)

@@ -143,3 +143,50 @@ def test_gradient_lowers_the_loss():
     for _ in range(20):
         maxent_lm._step(w, b, gw, gb, rows, target, 0.25)
     assert loss() < first
+
+
+def test_packs_give_back_the_tokens_of_their_texts():
+    rng = np.random.default_rng(4)
+    texts = [b"", b" ", b"one", b"A a\x0bB", *(" ".join(f"w{x}" for x in rng.zipf(1.3, 70_000) % 4000).encode() for _ in range(6)), b""]
+    data, offsets = b"".join(texts), np.cumsum([0, *map(len, texts)])
+    row = maxent_lm.token_columns(data, offsets)
+    pack = maxent_lm.Tokens(row | {"pack_id": 5, "ids": [*range(len(texts) - 1), None]})
+    keys, owner = maxent_lm.tokens(np.frombuffer(data, np.uint8), offsets)
+    assert (np.diff(pack.names.astype(object)) > 0).all()
+    assert (pack.names[pack.index] == keys).all() and (pack.owner == owner).all()
+    assert row["n_words"] == len(keys) - len(texts)
+    names, counts = pack.counts()
+    held = np.array([maxent_lm.held_out(i) for i in pack.ids])[owner]
+    assert dict(zip(names.tolist(), counts.tolist(), strict=True)) == dict.fromkeys(keys.tolist(), 0) | Counter(keys[~held].tolist())
+    last = np.append(pack.names, maxent_lm._NONE)[pack.before(2)]
+    assert last.tolist() == [keys[i - 2] if i > 1 and owner[i - 2] == owner[i] else maxent_lm._NONE for i in range(len(keys))]
+
+
+def test_later_steps_read_tokens_and_no_texts(sample, monkeypatch):
+    """Texts are cut and hashed once, when packs are written."""
+    made, packed = [], maxent_lm.pk.packed
+    monkeypatch.setattr(maxent_lm.pk, "packed", lambda *args, **more: made.append(packed(*args, **more)) or made[-1])
+    docs = sample.select("doc_id", "text")
+    plan = maxent_lm.score_texts(docs)
+    (packs,) = made
+    assert "data" not in packs.columns and "ranks" in packs.columns
+    tokens = sum(len(maxent_lm.Tokens(r.asDict(True)).index) for r in packs.collect())
+    assert tokens == plan.selectExpr("sum(n_tokens)").first()[0]
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 8192])
+def test_sums_of_equal_rows(n):
+    rng = np.random.default_rng(n)
+    for rows in (rng.integers(0, 9, n), rng.integers(0, 1 << 20, n), np.full(n, 3), np.minimum(rng.zipf(1.2, n), 4000)):
+        values = rng.integers(-99, 99, (n, 5)).astype(np.float32)
+        want = np.zeros((rows.max() + 1, 5))
+        np.add.at(want, rows, values)
+        at, sums = maxent_lm.row_sums(values, rows)
+        assert at.tolist() == np.unique(rows).tolist() and (sums == want[at]).all()
+
+
+def test_chance_of_one_class():
+    rng = np.random.default_rng(6)
+    weights, bias, rows = rng.normal(0, 20, (48, 9)).astype(np.float32), rng.normal(size=9).astype(np.float32), rng.integers(0, 48, (3, 400))
+    target = rng.integers(0, 9, 400)
+    assert maxent_lm.log_chance(weights, bias, rows, target) == pytest.approx(maxent_lm.log_softmax(weights, bias, rows)[np.arange(400), target], abs=1e-4)
