@@ -37,7 +37,7 @@ def tiled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def matches(spark: SparkSession, d: str) -> DataFrame:
     refs, cands = tiled(spark, d)
-    return matching.with_area_error(matching.greedy_match(matching.candidate_pairs(refs, cands)))
+    return matching.with_area_error(matching.match_boxes(refs, cands))
 
 
 def vector_tiles(spark: SparkSession, d: str, found: DataFrame | None = None) -> DataFrame:
