@@ -164,7 +164,8 @@ def clip_to_areas(cells: DataFrame, areas: DataFrame, resolution: float, all_tou
     """
     inside = cover.covered_cells(areas, ["city"], resolution, all_touched).select("city", F.col("cx").alias("_gx"), F.col("cy").alias("_gy"), F.lit(True).alias("_in"))
     at = {f"_g{c}": F.floor((F.col(c) + resolution / 2) / resolution).cast("long") for c in "xy"}
-    out = cells.withColumns(at).join(inside, ["city", "_gx", "_gy"], "left")
+    # a few outlines may hold very many cells, which no estimate from the outlines' size foresees, so the driver must not gather them
+    out = cells.withColumns(at).join(inside.hint("merge"), ["city", "_gx", "_gy"], "left")
     return out.withColumn("value", F.when(F.col("_in"), F.col("value"))).select(*cells.columns)
 
 

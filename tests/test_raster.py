@@ -85,3 +85,13 @@ def test_tile_metrics_of_wrong_cells_have_no_f1(spark):
 def test_mosaic_takes_the_first_value(spark):
     out = raster.mosaic([cells(spark, [(0, 0, None), (10, 0, 1.0)]), cells(spark, [(0, 0, 2.0), (10, 0, 3.0)])])
     assert [r.value for r in out.orderBy("x").collect()] == [2.0, 1.0]
+
+
+def test_cells_of_an_area_are_not_gathered_by_the_driver(spark):
+    ring = "array(named_struct('x', 0D, 'y', 0D), named_struct('x', 40000D, 'y', 0D), named_struct('x', 0D, 'y', 40000D)) as ring"
+    areas = spark.range(1).selectExpr("'c' as city", ring)
+    cells = spark.range(1000).selectExpr("'c' as city", "'d' as dataset", "id * 20D as x", "id * 20D as y", "1D as value")
+    out = raster.clip_to_areas(cells, areas, 20.0)
+    # 2 million cells from three points
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.where("value is not null").count() == 1000
